@@ -3,9 +3,9 @@
 Texts are cut into words by the tokenizer's pattern. Each chunk of texts becomes one row
 with its distinct words and, per text, the word numbers; so a word that occurs a thousand
 times in a chunk is encoded once, and nothing is shuffled. A fold over every distinct word
-merges the adjacent pair of lowest rank, leftmost first, until no pair is in the rank map;
-the map is a literal of the plan, cut into buckets by crc32 so that a look-up reads a few
-entries. Decoding concatenates the pieces of the ids. The last step strings words together
+merges the adjacent pair of lowest rank, leftmost first, until no pair is in the rank map,
+a literal of the plan laid out so that a look-up reads two numbers. Words that are pieces
+themselves need no merge. Decoding concatenates the pieces of the ids. The last step strings words together
 to texts by their numbers.
 
 Null and empty texts have no tokens. Words are limited by nothing; the fold's cost grows
@@ -19,7 +19,6 @@ import base64
 import functools
 import hashlib
 import json
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-BUCKETS = 16384
-NO_RANK = 2_147_483_647
+#: An entry of the rank table is left id * ONE + rank; FREE is no entry of any left id.
+ONE, FREE, PART = 131_072, 1 << 40, 1 << 42
 #: Code points of text in one chunk; a chunk is one row, so this bounds a row's size.
-CHUNK_CHARS = 24_000_000
+CHUNK_CHARS = 12_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,52 +47,76 @@ def _vocabulary(path: str) -> tuple[bytes, ...]:
 
 
 @functools.lru_cache(maxsize=4)
-def _tables(path: str) -> tuple[str, str]:
-    """JSON of the bucketed rank map (hex piece to rank) and of the pieces by id, in hex."""
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    pieces = [p.hex().upper() for p in _vocabulary(path)]
-    for rank, piece in enumerate(pieces):
-        if piece:
-            buckets[zlib.crc32(piece.encode()) % BUCKETS][piece] = rank
-    return json.dumps(buckets, separators=(",", ":")), json.dumps(pieces, separators=(",", ":"))
-
-
-def encode_word(word: Column, ranks: Column) -> Column:
-    """Token ids of one word (binary), by a fold of ranked merges."""
-
-    def rank(piece: Column) -> Column:
-        bucket = F.get(ranks, (F.crc32(piece.cast("binary")) % BUCKETS).cast("int"))
-        return F.coalesce(F.element_at(bucket, piece), F.lit(NO_RANK))
+def _tables(path: str) -> tuple[str, str, str]:
+    """JSON of the rank map of adjacent ids, as shifts and entries, and of the pieces by id in hex.
+
+    A pair of ids that makes up a piece is found at entries[shifts[left] + right], which holds
+    left * 131072 + rank; the rows of all left ids are shifted into each other so that no two
+    pairs share a place. A place of another left id, or a free one, gives a number of 131072
+    or more once left * 131072 is taken out by exclusive or: no rank.
+    """
+    vocabulary = _vocabulary(path)
+    rank_of = {p: i for i, p in enumerate(vocabulary) if p}
+    rows: dict[int, dict[int, int]] = {}
+    for piece, rank in rank_of.items():
+        for cut in range(1, len(piece)):
+            left, right = rank_of.get(piece[:cut]), rank_of.get(piece[cut:])
+            if left is not None and right is not None:
+                rows.setdefault(left, {})[right] = rank
+    stop = len(vocabulary)
+    used, entries = np.zeros(64 * (stop + 1), bool), np.full(64 * (stop + 1), FREE)
+    shifts, top = np.zeros(stop + 1, np.int64), 0
+    for left in sorted(rows, key=lambda k: (-len(rows[k]), k)):  # the longest rows first, each at the first place that fits
+        rights = np.array(sorted(rows[left]))
+        at, step = None, 20_000
+        for lo in range(0, len(used) - step, step):
+            places = np.flatnonzero(~used[lo : lo + step]) + lo - rights[0]
+            places = places[places >= 0]
+            fits = np.ones(len(places), bool)
+            for right in rights[:40]:
+                fits &= ~used[places + right]
+            at = next((int(p) for p in places[fits] if not used[p + rights].any()), None)
+            if at is not None:
+                break
+        used[at + rights] = True
+        entries[at + rights] = left * ONE + np.array([rows[left][int(r)] for r in rights])
+        shifts[left], top = at, max(top, at)
+    entries = entries[: top + stop + 1].copy()
+    shifts[stop] = 0
+    pieces = [p.hex().upper() for p in vocabulary]
+    return tuple(json.dumps(x, separators=(",", ":")) for x in (shifts.tolist(), entries.tolist(), pieces))
+
+
+def encode_word(word: Column, shifts: Column, entries: Column, stop: int) -> Column:
+    """Token ids of one word, given as its byte tokens, by a fold of ranked merges.
+
+    The state is one array: stopper, rank, part, rank, part ... rank, stopper, parts marked by
+    PART so that the least number is the least rank. A merge replaces the leftmost pair of
+    least rank by the piece of that rank, whose id is the rank, and looks up the two pairs it
+    forms with its neighbours.
+    """
+
+    def rank(left: Column, right: Column) -> Column:
+        return F.get(entries, F.get(shifts, left) + right).bitwiseXOR(F.shiftleft(left, 17))
 
     def merge(state: Column, _: Column) -> Column:
-        parts, order = state["parts"], state["ranks"]
+        best = F.array_min(state)
 
         def at(p: Column) -> Column:
-            def put(piece: Column) -> Column:
-                none = F.slice(order, 1, 0)
-                left = F.when(p > 1, F.array(rank(F.concat(F.get(parts, p - 2), piece)))).otherwise(none)
-                right = F.when(p < F.size(order), F.array(rank(F.concat(piece, F.get(parts, p + 1))))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(parts, F.lit(1), p - 1), F.array(piece), F.slice(parts, p + 2, F.size(parts))).alias("parts"),
-                    F.concat(F.slice(order, F.lit(1), F.greatest(p - 2, F.lit(0))), left, right, F.slice(order, p + 2, F.size(order))).alias("ranks"),
-                )
+            piece = F.get(state, p - 1)
+            middle = F.array(rank(F.get(state, p - 4) - PART, piece), piece + PART, rank(piece, F.get(state, p + 2) - PART))
+            return F.concat(F.slice(state, F.lit(1), p - 3), middle, F.slice(state, p + 3, F.size(state)))
 
-            return let(F.concat(F.get(parts, p - 1), F.get(parts, p)), put)
-
-        best = F.array_min(order)
-        return F.when(best < NO_RANK, let(F.array_position(order, best).cast("int"), at)).otherwise(state)
+        return F.when(best < ONE, let(F.array_position(state, best).cast("int"), at)).otherwise(state)
 
     def fold(parts: Column) -> Column:
-        n = F.size(parts)
-        pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
-        start = F.struct(parts.alias("parts"), pairs.alias("ranks"))
-        return F.aggregate(F.sequence(F.lit(2), n), start, merge, lambda s: F.transform(s["parts"], rank))
-
-    def whole(hexed: Column) -> Column:
-        bytes_ = F.transform(F.sequence(F.lit(1), F.length(hexed), F.lit(2)), lambda i: F.substring(hexed, i, F.lit(2)))
-        return let(rank(hexed), lambda r: F.when(r < NO_RANK, F.array(r)).otherwise(let(bytes_, fold)))
+        pair = lambda i: F.array(rank(F.get(parts, i), F.get(parts, i + 1)), F.get(parts, i + 1) + PART)
+        state = F.concat(F.array(F.lit(stop + PART)), F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 2), pair)))
+        merged = F.aggregate(F.sequence(F.lit(4), F.size(parts)), state, merge)
+        return F.transform(F.filter(merged, lambda x: (x >= PART) & (x < stop + PART)), lambda x: x - PART)
 
-    return let(F.hex(word), whole)
+    stopper = F.array(F.lit(stop).cast("long"))
+    return F.when(F.size(word) < 2, word).otherwise(let(F.concat(stopper, word, stopper), fold))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -109,23 +132,39 @@ class _Numbers(dict):
         return n
 
 
-def _chunks(pattern: str, chunk_chars: int):
-    """Task body: doc_id, text -> one row per chunk: distinct words, doc ids, word numbers of each text."""
+def _chunks(path: str, pattern: str, chunk_chars: int):
+    """Task body: doc_id, text -> one row per chunk: distinct words as byte tokens, doc ids, word numbers of each text."""
+
+    pieces = _vocabulary(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
+        rank_of = {p: i for i, p in enumerate(pieces) if p}
+        byte_rank = np.array([rank_of.get(bytes([b]), 0) for b in range(256)], np.int64)
         numbers, ids, rows, size = _Numbers(), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            words = pa.array([[w.encode("utf-8", "replace") for w in numbers]], pa.list_(pa.binary()))
-            return pa.RecordBatch.from_arrays([words, pa.array([ids], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))], ["words", "ids", "rows"])
+            # a word that is a piece is one part, others are their bytes
+            parts, lengths = [], []
+            for word in numbers:
+                raw = word.encode("utf-8", "replace")
+                whole = rank_of.get(raw)
+                part = byte_rank[np.frombuffer(raw, np.uint8)] if whole is None else np.array([whole], np.int64)
+                parts.append(part)
+                lengths.append(len(part))
+            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
+            one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+            return pa.RecordBatch.from_arrays([one, pa.array([ids], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))], ["words", "ids", "rows"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = find(text.as_py() or "")
+            for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = value.as_py() or ""
+                found = find(text)
                 ids.append(doc_id)
                 rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)).tobytes())
-                size += len(text.as_py() or "")
+                size += len(text)
                 if size >= chunk_chars:
                     yield flush()
                     numbers, ids, rows, size = _Numbers(), [], [], 0
@@ -156,12 +195,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, token_ids (binary, little-endian unsigned 32-bit), decoded (binary) per row of ``docs(doc_id, text)``."""
-    ranks, pieces = _tables(path)
-    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(pattern, chunk_chars), "words array<binary>, ids array<long>, rows array<binary>")
-    ranks = F.from_json(F.lit(ranks), "array<map<string,int>>")
-    pieces = F.from_json(F.lit(pieces), "array<string>")
-    chunks = chunks.withColumn("tokens", F.transform("words", lambda w: encode_word(w, ranks)))
-    chunks = chunks.withColumn("decoded", F.transform("tokens", lambda ids: decode_ids(ids, pieces)))
+    shifts, entries, pieces = _tables(path)
+    stop = len(_vocabulary(path))
+    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(path, pattern, chunk_chars), "words array<array<long>>, ids array<long>, rows array<binary>")
+    # each literal stands in the plan once
+    maps = F.struct(F.from_json(F.lit(shifts), "array<bigint>").alias("shifts"), F.from_json(F.lit(entries), "array<bigint>").alias("entries"))
+    chunks = chunks.withColumn("tokens", let(maps, lambda m: F.transform("words", lambda w: encode_word(w, m["shifts"], m["entries"], stop))))
+    chunks = chunks.withColumn("decoded", let(F.from_json(F.lit(pieces), "array<string>"), lambda table: F.transform("tokens", lambda ids: decode_ids(ids, table))))
     return chunks.select("ids", "rows", "tokens", "decoded").mapInArrow(_texts, "doc_id long, token_ids binary, decoded binary")
 
 
