@@ -11,11 +11,15 @@ one of the first segments with its one-deletion neighbourhood (the segment and a
 variants that lack one shingle), which costs an opponent two differences instead of one.
 Sides need not agree on how many they upgrade: the one that upgrades fewer decides.
 
-Within a bucket of equal keys every member is compared with the smallest member only.
-A second pass compares members that are not yet known to be connected, so links that
-connect components are never lost and no bucket is ever multiplied out. Whole sets are
-verified exactly, on 64-bit shingle hashes; equal sets are one class from the start, so
-copies cost nothing.
+Within a bucket of equal keys every member is compared with the smallest member only, its
+pivot. Where that leaves several components, the members go by their differences to the
+pivot: if x and y link, but not both with p, their differences x ^ p and y ^ p overlap in
+all but H shingles. So they share one of the first H + 1 of the longer and H / 2 + 1 of the
+shorter difference, in any common order. Own insertions come first in the order, and what a
+sample of the members shows to be common comes last, so only related members meet and
+are compared. No bucket is multiplied out, and no link that joins components is lost.
+Whole sets are verified exactly, on 64-bit shingle hashes; equal sets are one class from
+the start, so copies cost nothing.
 
 Null and empty texts have an empty set and link with nothing. Ties cannot arise: ids
 decide. Rows with the same doc_id and different texts count as one document linked by id.
@@ -153,6 +157,40 @@ def _verify(num: int, den: int):
     return run
 
 
+def _difference(x: pa.Scalar, y: pa.Scalar) -> np.ndarray:
+    return np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
+
+
+def _common(table: pa.Table) -> pa.Table:
+    """Shingles in the differences of two or more of a pivot's sampled members."""
+    each = np.concatenate([_difference(x, y) for x, y in zip(table.column("x"), table.column("y"), strict=True)])
+    found, n = np.unique(each, return_counts=True)
+    return pa.table({"a": table.column("a")[:1], "common": pa.array([found[n > 1].tobytes()], pa.binary())})
+
+
+def _difference_keys(num: int, den: int):
+    """Task body: pivot a, member b, their sets and the pivot's common shingles -> keys of the next round."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sids, sizes, short = [], [], [], []
+            for a, b, x, y, common in zip(*(batch.column(i) for i in range(5)), strict=True):
+                apart, own = _difference(x, y), np.frombuffer(y.as_buffer(), np.uint64)
+                often = np.isin(apart, np.frombuffer(common.as_buffer(), np.uint64)) if common.is_valid else np.zeros(len(apart), bool)
+                rank = np.where(often, 2, np.where(np.isin(apart, own, assume_unique=True), 0, 1))
+                n = len(own)
+                most = (n + n * den // num) * (den - num) // (den + num)
+                first = apart[np.argsort(rank, kind="stable")][: most + 1]
+                keys.append(mix64(first + np.uint64(a.as_py() & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+                sids.append(np.full(len(first), b.as_py(), np.int64))
+                sizes.append(np.full(len(first), len(apart), np.int64))
+                short.append(np.arange(len(first)) <= most // 2)
+            flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
+            yield pa.RecordBatch.from_arrays([flat(keys, np.int64), flat(sids, np.int64), flat(sizes, np.int64), flat(short, bool)], ["key", "sid", "apart", "short"])
+
+    return run
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of ``docs(doc_id, text)``.
 
@@ -164,32 +202,51 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     )
     classes = signed.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("class_id"))
     # buckets with more than one set; every member knows the smallest
-    keyed = signed.select("sid", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
-    shared = keyed.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
-    shared = materialise(shared.where("lo < hi").select("key", "sid", "lo"), "jaccard-buckets")
-    needed = shared.select("sid").distinct()
+
+    def pivoted(keyed: DataFrame) -> DataFrame:
+        keyed = keyed.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
+        return materialise(keyed.where("lo < hi").select("key", "sid", "lo"), "jaccard-buckets")
+
+    buckets = pivoted(signed.select("sid", F.explode("keys").alias("key")))
+    needed = buckets.select("sid").distinct()
     homes = signed.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(needed, "sid", "left_semi")
     texts = docs.select("doc_id", "text").join(homes, "doc_id").select("sid", "text")
     members = materialise(texts.mapInArrow(_sets(width), "sid long, members binary").dropDuplicates(["sid"]), "jaccard-members")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def with_sets(pairs: DataFrame, *more: str) -> DataFrame:
         one = members.select(F.col("sid").alias("a"), F.col("members").alias("x"))
         two = members.select(F.col("sid").alias("b"), F.col("members").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "a long, b long, linked boolean")
+        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y", *more)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return materialise(with_sets(pairs).mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "jaccard-pairs")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return materialise(connected_components(links), "jaccard-labels").withColumnsRenamed({"id": "sid", "component": "group"})
+
+    def mixed(keyed: DataFrame, label: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several components."""
+        placed = keyed.join(label, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+        split = placed.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("key")
+        return placed.join(split, "key")
 
-    first = materialise(verified(shared.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()), "jaccard-first")
+    first = verified(buckets.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct())
     links = first.where("linked").select("a", "b")
-    # members of a bucket that the first pass left in different components
-    label = connected_components(links).withColumnsRenamed({"id": "sid", "component": "group"})
-    placed = shared.join(label, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
-    split = placed.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("key")
-    open_ = materialise(placed.join(split, "key").select("key", "sid", "group"), "jaccard-open")
-    other = open_.select("key", F.col("sid").alias("b"), F.col("group").alias("group_b"))
-    across = open_.withColumnRenamed("sid", "a").join(other, "key").where("a < b and group <> group_b").select("a", "b").distinct()
-    second = verified(across.join(first, ["a", "b"], "left_anti")).where("linked").select("a", "b")
-    links = materialise(links.unionByName(second), "jaccard-links")
-    label = connected_components(links)
+    label = labelled(links)
+    around = mixed(buckets, label).where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
+    around = materialise(around, "jaccard-around")
+    around = around.join(around.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "a")
+    # up to 16 members of each pivot show what its members commonly differ in
+    sample = around.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("slot")).agg(F.min("b").alias("b")).select("a", "b")
+    common = materialise(with_sets(sample).groupBy("a").applyInArrow(_common, "a long, common binary"), "jaccard-common")
+    keyed = with_sets(around.join(common, "a"), "common").mapInArrow(_difference_keys(num, den), "key long, sid long, apart long, short boolean")
+    keyed = materialise(mixed(materialise(keyed, "jaccard-differences"), label), "jaccard-open")
+    shorter = keyed.where("short").select("key", F.col("sid").alias("b"), F.col("apart").alias("apart_b"), F.col("group").alias("group_b"))
+    across = keyed.join(shorter, "key").where("apart >= apart_b and group <> group_b")
+    across = across.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
+    links = links.unionByName(verified(across).where("linked").select("a", "b"))
+    label = labelled(links).withColumnsRenamed({"sid": "id", "group": "component"})
     # sets to documents: a component's id is its smallest document
     home = classes.join(label, F.col("sid") == F.col("id"), "left").withColumn("group", F.coalesce("component", "sid"))
     smallest = home.groupBy("group").agg(F.min("class_id").alias("component_id"))
