@@ -1,17 +1,206 @@
-"""All queries of the observation engine by name, with the SQL that checks them."""
+"""All queries of the observation engine by name, with the SQL that checks them (in oracle.py)."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import oracle
+from .functions.stats import family_alpha, kish_n, norm_cdf, norm_ppf, sidak_z
+from .model import Curation, Lens
+from .operators import brain, calibration, coverage, curator, retention
+from .operators.lens import apply_lens
+from .oracle import DAY, END, GAP_HOURS, HOUR, MID, TICK, WINDOW
+from .plans.registry import Registry
+from .sources import events as source
+from .sources import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
+DIGITS = 4
+#: Means of two-digit values end in 5 too often to be rounded to a few digits.
+MEAN_DIGITS = 7
+WINDOW_COLUMNS = ("group_label", "window_start", "window_end", "count", "mean", "sum_sq", "sum_w", "min_v", "max_v", "valid")
+GROUPED = Lens(window_ms=DAY, origin=0, group_by=("event_type",))
+PLAIN = Lens(window_ms=DAY, origin=0)
+#: Narrow enough that the random events cross it, so the queries return tiles.
+SENSITIVE = Curation(spike_z=0.8, step_threshold=0.02, step_windows=2, divergence_z=0.5)
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    """Doubles rounded for comparison across engines."""
+    wanted = names or df.columns
+    kinds = dict(df.dtypes)
+    digits = lambda c: MEAN_DIGITS if c == "mean" and "sum_sq" in wanted else DIGITS
+    return df.select(*[F.round(c, digits(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in wanted])
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.lens_events(source.read_events(spark, sf_dir))
+
+
+def _two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.two_valued(source.read_events(spark, sf_dir))
+
+
+def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.test_events(source.read_events(spark, sf_dir))
+
+
+def _lens(lens: Lens, make=_events) -> Query:
+    return lambda spark, sf_dir: rounded(apply_lens(make(spark, sf_dir), lens), *WINDOW_COLUMNS)
+
+
+def _sides(spark: SparkSession, sf_dir: str, lens: Lens, make=_events) -> tuple[DataFrame, DataFrame]:
+    return retention.replay_with_reference(make(spark, sf_dir), lens, MID, END)
+
+
+def _kish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = apply_lens(_events(spark, sf_dir), Lens(window_ms=DAY, origin=0, decay="exp(tau=432000s)"))
+    return rounded(out.select("window_start", "sum_w", "sum_w2", kish_n(F.col("sum_w"), F.col("sum_w2")).alias("n_eff")))
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = curator.pool_stats(_sides(spark, sf_dir, GROUPED)[1])
+    return rounded(pools.select("unit", "ref_w", "ref_n", "ref_mean", "ref_var", "ref_count", "ref_windows"))
+
+
+def _usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = curator.pool_stats(_sides(spark, sf_dir, GROUPED, _two_valued)[1])
+    return pools.select("unit", curator.usable(F.col("ref_n"), F.col("ref_var")).alias("usable"))
+
+
+def _numbers(spark: SparkSession, expression: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    return rounded(spark.range(1, 61).select(F.col("id").alias("n"), *[c.alias(k) for k, c in expression(F.col("id")).items()]))
+
+
+def _scores(lens: Lens, make=_events) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = curator.score_windows(*_sides(spark, sf_dir, lens, make), SENSITIVE, bool(lens.group_by))
+        return rounded(out.select("unit", "window_start", "n_eff", "step", "raw_z", "gate_z", "family_n", "threshold", "tag"))
+
+    return run
+
+
+def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _events(spark, sf_dir)
+    return events.where(~F.floor(F.pmod("ts_ms", F.lit(DAY)) / HOUR).isin(*GAP_HOURS))
+
+
+def _tiles(frame: DataFrame) -> DataFrame:
+    return rounded(frame, *curator.TILE)
+
+
+def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(curator.curate(*_sides(spark, sf_dir, PLAIN), DAY, SENSITIVE))
+
+
+def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (a, b), (c, d) = retention.live_spans(END - DAY - 1, DAY, 5)
+    events = _events(spark, sf_dir)
+    return _tiles(curator.spikes(retention.replay(events, PLAIN, a, b), retention.replay(events, PLAIN, c, d), SENSITIVE))
+
+
+def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    observed, reference = _sides(spark, sf_dir, PLAIN)
+    return _tiles(curator.baseline(observed, reference, curator.spikes(observed, reference, SENSITIVE)))
+
+
+def _divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = source.read_events(spark, sf_dir)
+    one = apply_lens(source.lens_events(events.where("user_id % 2 = 0")), PLAIN)
+    return _tiles(curator.divergences(one, apply_lens(source.lens_events(events.where("user_id % 2 = 1")), PLAIN), SENSITIVE))
+
+
+def _late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(apply_lens(source.arriving_late(_events(spark, sf_dir)), PLAIN), *WINDOW_COLUMNS)
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.agent_stats(_tests(spark, sf_dir), TICK, WINDOW)
+
+
+def _domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return coverage.domain_stats(_tests(spark, sf_dir), TICK, WINDOW)
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each (schema, view) resolves to after the writes the oracle lists."""
+    registry = Registry()
+    for scope, window in oracle.WRITES:
+        registry.set(scope, {"window_ms": window})
+    found = [(s, v, (registry.get_observe(s, v) or {}).get("window_ms")) for s, v in oracle.LOOKUPS]
+    return spark.createDataFrame(found, "schema string, view string, window_ms long")
+
+
+def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dataclasses import replace
+
+    from .model import Rules
+
+    stats = _agents(spark, sf_dir)
+    both = brain.shadowed(brain.regressions(stats), brain.regressions(stats, replace(Rules(), delta=0.05)))
+    return both.groupBy("source", "type").agg(F.count("*").alias("n"))
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    """Name to query; each takes (spark, sf_dir)."""
+    return {
+        "lens_tumbling": _lens(PLAIN),
+        "lens_epoch_origin": _lens(Lens(window_ms=6 * HOUR, origin=3 * HOUR)),
+        "lens_first_event": _lens(Lens(window_ms=DAY)),
+        "lens_group_by": _lens(GROUPED),
+        "lens_group_by_multi": _lens(Lens(window_ms=DAY, origin=0, group_by=("event_type", "bucket"))),
+        "lens_unkeyed": _lens(Lens(window_ms=DAY, origin=0, group_by=("event_type", "absent"))),
+        "lens_downsample": _lens(Lens(window_ms=6 * HOUR, origin=0, downsample_factor=4)),
+        "lens_decay_step": _lens(Lens(window_ms=DAY, origin=0, decay="step(cutoff=now-864000s)")),
+        "lens_decay_exp": _lens(Lens(window_ms=DAY, origin=0, decay="exp(tau=432000s)")),
+        "lens_decay_exp_grouped": _lens(Lens(window_ms=6 * HOUR, origin=0, downsample_factor=4, group_by=("event_type",), decay="exp(tau=432000s)")),
+        "lens_weighted_kish": _kish,
+        "retention_segment": lambda s, d: retention.segment(_events(s, d), MID, END).select("seq", "ts_ms", F.round("value", 2).alias("value")),
+        "retention_thinned": lambda s, d: retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3).select("seq", "ts_ms", "weight"),
+        "replay_thinned": lambda s, d: rounded(retention.replay(retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3), PLAIN), *WINDOW_COLUMNS),
+        "pool_reference": _pool,
+        "reference_usable": _usable,
+        "unscored_groups": lambda s, d: curator.unscored_groups(*_sides(s, d, GROUPED, _two_valued)),
+        "sidak_threshold": lambda s, d: _numbers(s, lambda n: {"z": sidak_z(F.lit(2.0), n)}),
+        "family_alpha": lambda s, d: _numbers(s, lambda n: {"alpha": family_alpha(n / 20), "cdf": norm_cdf(n / 20 - 1.5), "ppf": norm_ppf(n / 61)}),
+        "curate_spike_dip": _scores(PLAIN),
+        "curate_spike_dip_lattice": _scores(PLAIN, _two_valued),
+        "curate_grouped": _scores(GROUPED),
+        "curate_steps": lambda s, d: _tiles(curator.steps(*_sides(s, d, PLAIN), SENSITIVE)),
+        "curate_gaps": lambda s, d: _tiles(curator.gaps(apply_lens(_gappy(s, d), Lens(window_ms=HOUR, origin=0)), apply_lens(_gappy(s, d), Lens(window_ms=HOUR, origin=0)), HOUR)),
+        "curate_divergence": _divergence,
+        "curate_baseline": _baseline,
+        "unreachable_tails": lambda s, d: rounded(curator.unreachable_tails(*_sides(s, d, GROUPED, _two_valued_tight), Curation(), True)),
+        "curate_top_tiles": _curated,
+        "package_header": lambda s, d: rounded(curator.package_header(*_sides(s, d, GROUPED), Curation(), True)),
+        "live_spans_curated": _live,
+        "domain_rollup": lambda s, d: coverage.rollup(_tests(s, d)),
+        "domain_coverage": lambda s, d: coverage.coverage(_tests(s, d)),
+        "coverage_gaps": lambda s, d: coverage.coverage_gaps(_tests(s, d).where("seq < 300")),
+        "primary_domain": lambda s, d: _tests(s, d).groupBy(coverage.primary_domain(F.col("areas")).alias("domain")).agg(F.count("*").alias("n")),
+        "observed_tests": lambda s, d: rounded(apply_lens(source.observe(_tests(s, d)), Lens(window_ms=DAY, origin=0, group_by=("agentId", "domain"))), *WINDOW_COLUMNS),
+        "tick_agent_stats": lambda s, d: rounded(_agents(s, d)),
+        "tick_domain_stats": _domains,
+        "tick_touched_bits": lambda s, d: coverage.touched_bits(_tests(s, d), TICK, WINDOW),
+        "brain_baseline_ewma": lambda s, d: rounded(brain.baselines(_agents(s, d))),
+        "brain_ar": lambda s, d: brain.regressions(_agents(s, d)),
+        "brain_rc": lambda s, d: brain.replays(_agents(s, d)),
+        "brain_cg": lambda s, d: brain.coverage_alerts(_domains(s, d)),
+        "brain_shadow": _shadow,
+        "late_arrival_equivalence": _late,
+        "registry_resolution": _registry,
+        "calibration_false_alarm": lambda s, d: calibration.alarm_rate(fixtures.trials(s, 500)),
+        "calibration_power": lambda s, d: calibration.alarm_rate(fixtures.trials(s, 500, burst=0.90)),
+    }
+
+
+def _two_valued_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two-valued events whose groups hardly vary: most windows cannot reach the spike gate."""
+    return source.lens_events(source.read_events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(1.0)))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.queries()
