@@ -11,15 +11,16 @@ one of the first segments with its one-deletion neighbourhood (the segment and a
 variants that lack one shingle), which costs an opponent two differences instead of one.
 Sides need not agree on how many they upgrade: the one that upgrades fewer decides.
 
-Within a bucket of equal keys every member is compared with the smallest member only, its
-pivot. Where that leaves several components, the members go by their differences to the
-pivot: if x and y link, but not both with p, their differences x ^ p and y ^ p overlap in
-all but H shingles. So they share one of the first H + 1 of the longer and H / 2 + 1 of the
-shorter difference, in any common order. Own insertions come first in the order, and what a
-sample of the members shows to be common comes last, so only related members meet and
-are compared. No bucket is multiplied out, and no link that joins components is lost.
-Whole sets are verified exactly, on 64-bit shingle hashes; equal sets are one class from
-the start, so copies cost nothing.
+A sketch goes with every set: its shingles counted in SKETCH hash cells. The summed
+differences of two sketches are at most the difference of the sets, so pairs that exceed H
+there are out without a look at the sets; for unrelated sets that is nearly all.
+
+Within a bucket of equal keys every member is compared with the smallest member. Then,
+where a bucket still holds several components, members of different components are
+compared, by sketch, inside the tasks: buckets above BLOCK members as a grid of blocks, so
+no task holds more than two. Only pairs whose sketches are close leave a task; their whole
+sets are verified exactly, on 64-bit shingle hashes. Equal sets are one class from the
+start, so copies cost nothing, and no link that joins components is lost.
 
 Null and empty texts have an empty set and link with nothing. Ties cannot arise: ids
 decide. Rows with the same doc_id and different texts count as one document linked by id.
@@ -40,6 +41,8 @@ from .textstats import WordHashes, mix64, shingle_set
 
 #: Segments with at most so many shingles are skipped and paid for by a one-deletion neighbourhood.
 UNSELECTIVE = 1
+#: Cells of a sketch, and members of a bucket compared in one go.
+SKETCH, BLOCK = 128, 1024
 
 
 def _bands(num: int, den: int, size: int) -> list[tuple[int, int, int]]:
@@ -98,36 +101,136 @@ def segment_keys(h: np.ndarray, band: int, segments: int) -> np.ndarray:
     return mix64(mix64(np.concatenate(content)) + np.concatenate(numbers) * np.uint64(0x9E3779B97F4A7C15) + salt)
 
 
-def _signatures(width: int, num: int, den: int):
-    """Task body: doc_id, text -> rows of doc_id, n, set hashes and all index keys of the set.
+def _sketch(h: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
 
-    A set already indexed by this task brings no keys again.
-    """
+
+def _identities(width: int):
+    """Task body: doc_id, text -> doc_id, size of the set, two 64-bit hashes of it, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, seen = WordHashes(), Bands(num, den), set()
+        hashes = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            n, sid, check, keys = [], [], [], []
-            for text in texts:
-                h = shingle_set(text, width, hashes)
-                n.append(len(h))
+            n, sid, check, sketch = [], [], [], []
+            for text in batch.column(1):
+                h = shingle_set(text.as_py(), width, hashes)
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
+                n.append(len(h))
                 sid.append((digest >> 64) - (1 << 63))
                 check.append((digest & (1 << 64) - 1) - (1 << 63))
-                own = np.empty(0, np.int64)
+                sketch.append(_sketch(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n", "sid", "check", "sketch"])
+
+    return run
+
+
+def _index(width: int, num: int, den: int):
+    """Task body: text -> key, sid of all index keys of its set. A set this task has indexed brings no keys again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, bands, seen = WordHashes(), Bands(num, den), set()
+        for batch in batches:
+            keys, sids, held = [], [], 0
+            for at, text in enumerate(batch.column(0)):
+                h = shingle_set(text.as_py(), width, hashes)
+                digest = xxhash.xxh3_128_intdigest(h.tobytes())
                 if len(h) and digest not in seen:
                     if len(seen) >= 200_000:
                         seen.clear()
                     seen.add(digest)
                     b = bands.of(len(h))
                     # a band whose sets admit no difference links equal sets only: those are one class already
-                    own = np.concatenate([segment_keys(h, k, bands.rows[k][2]) for k in (b, b - 1) if k >= 0 and bands.rows[k][2] > 1] or [own]).view(np.int64)
-                keys.append(own)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(check, pa.int64()), lists], ["doc_id", "n", "sid", "check", "keys"])
+                    for k in (b, b - 1):
+                        if k >= 0 and bands.rows[k][2] > 1:
+                            own = segment_keys(h, k, bands.rows[k][2]).view(np.int64)
+                            keys.append(own)
+                            sids.append(np.full(len(own), (digest >> 64) - (1 << 63), np.int64))
+                            held += len(own)
+                if keys and (held >= 200_000 or at + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sids))], ["key", "sid"])
+                    keys, sids, held = [], [], 0
+
+    return run
+
+
+class _Buckets:
+    """Whole buckets from batches sorted by bucket: a bucket cut by a batch's end waits for the next."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], by: int):
+        self.batches, self.by = batches, by
+
+    def __iter__(self) -> Iterator[tuple[pa.Table, np.ndarray]]:
+        rest = None
+        for batch in self.batches:
+            table = pa.Table.from_batches([batch])
+            table = (pa.concat_tables([rest, table]) if rest is not None else table).combine_chunks()
+            if not table.num_rows:
+                continue
+            marks = np.stack([np.asarray(table.column(c)) for c in range(self.by)])
+            new = np.concatenate([[True], (marks[:, 1:] != marks[:, :-1]).any(0)])
+            last = int(np.flatnonzero(new)[-1])
+            rest = table.slice(last)
+            if last:
+                yield table.slice(0, last), np.cumsum(new[:last])
+        if rest is not None and rest.num_rows:
+            yield rest, np.ones(rest.num_rows, np.int64)
+
+
+def _close(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether rows a and b can link as far as their sketches tell."""
+    out = np.empty(len(a), bool)
+    for lo in range(0, len(a), 50_000):
+        i, j = a[lo : lo + 50_000], b[lo : lo + 50_000]
+        apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(1, dtype=np.int64)
+        out[lo : lo + 50_000] = apart <= (n[i] + n[j]) * (den - num) // (den + num)
+    return out
+
+
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    flat = b"".join(table.column("sketch").to_pylist())
+    return np.asarray(table.column("sid")), np.asarray(table.column("n")), np.frombuffer(flat, np.uint8).reshape(-1, SKETCH)
+
+
+def _pairs(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(sid[a], sid[b])), pa.array(np.maximum(sid[a], sid[b]))], ["a", "b"])
+
+
+def _with_smallest(num: int, den: int):
+    """Task body: rows sorted by key and sid -> close pairs of each member and its bucket's smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bucket in _Buckets(batches, 1):
+            sid, n, sketch = _columns(table)
+            first = np.concatenate([[True], bucket[1:] != bucket[:-1]])
+            pivot = np.maximum.accumulate(np.where(first, np.arange(len(sid)), 0))
+            b = np.flatnonzero(sid != sid[pivot])
+            b = b[_close(sketch, n, pivot[b], b, num, den)]
+            yield _pairs(sid, pivot[b], b)
+
+    return run
+
+
+def _across(num: int, den: int):
+    """Task body: rows sorted by key and grid place -> close pairs of different components.
+
+    On the diagonal all members meet; elsewhere those of side 1 meet those of side 2.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bucket in _Buckets(batches, 3):
+            sid, n, sketch = _columns(table)
+            group, side = np.asarray(table.column("group")), np.asarray(table.column("side"))
+            step = 1
+            while step < len(sid):
+                together = bucket[step:] == bucket[:-step]
+                if not together.any():
+                    break
+                meets = together & (group[step:] != group[:-step]) & ((side[step:] == 0) | (side[step:] != side[:-step]))
+                a = np.flatnonzero(meets)
+                a = a[_close(sketch, n, a, a + step, num, den)]
+                if len(a):
+                    yield _pairs(sid, a, a + step)
+                step += 1
 
     return run
 
@@ -157,96 +260,52 @@ def _verify(num: int, den: int):
     return run
 
 
-def _difference(x: pa.Scalar, y: pa.Scalar) -> np.ndarray:
-    return np.setxor1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True)
-
-
-def _common(table: pa.Table) -> pa.Table:
-    """Shingles in the differences of two or more of a pivot's sampled members."""
-    each = np.concatenate([_difference(x, y) for x, y in zip(table.column("x"), table.column("y"), strict=True)])
-    found, n = np.unique(each, return_counts=True)
-    return pa.table({"a": table.column("a")[:1], "common": pa.array([found[n > 1].tobytes()], pa.binary())})
-
-
-def _difference_keys(num: int, den: int):
-    """Task body: pivot a, member b, their sets and the pivot's common shingles -> keys of the next round."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, sids, sizes, short = [], [], [], []
-            for a, b, x, y, common in zip(*(batch.column(i) for i in range(5)), strict=True):
-                apart, own = _difference(x, y), np.frombuffer(y.as_buffer(), np.uint64)
-                often = np.isin(apart, np.frombuffer(common.as_buffer(), np.uint64)) if common.is_valid else np.zeros(len(apart), bool)
-                rank = np.where(often, 2, np.where(np.isin(apart, own, assume_unique=True), 0, 1))
-                n = len(own)
-                most = (n + n * den // num) * (den - num) // (den + num)
-                first = apart[np.argsort(rank, kind="stable")][: most + 1]
-                keys.append(mix64(first + np.uint64(a.as_py() & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-                sids.append(np.full(len(first), b.as_py(), np.int64))
-                sizes.append(np.full(len(first), len(apart), np.int64))
-                short.append(np.arange(len(first)) <= most // 2)
-            flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.empty(0, kind))
-            yield pa.RecordBatch.from_arrays([flat(keys, np.int64), flat(sids, np.int64), flat(sizes, np.int64), flat(short, bool)], ["key", "sid", "apart", "short"])
-
-    return run
-
-
 def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id for every row of ``docs(doc_id, text)``.
 
     Documents link when den * |x & y| >= num * |x | y| over sets of ``width``-word shingles;
     class_id is the smallest doc_id with the same set, component_id the smallest reachable.
     """
-    signed = materialise(
-        docs.select("doc_id", "text").mapInArrow(_signatures(width, num, den), "doc_id long, n long, sid long, check long, keys array<long>"), "jaccard-sets"
-    )
+    texts = docs.select("doc_id", "text")
+    signed = materialise(texts.mapInArrow(_identities(width), "doc_id long, n long, sid long, check long, sketch binary"), "jaccard-sets")
     classes = signed.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("class_id"))
-    # buckets with more than one set; every member knows the smallest
+    # buckets with more than one set
     bucket = Window.partitionBy("key")
+    keyed = texts.select("text").mapInArrow(_index(width, num, den), "key long, sid long")
+    keyed = keyed.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
+    buckets = materialise(keyed.where("lo < hi").select("key", "sid"), "jaccard-buckets")
+    sketches = signed.select("sid", "n", "sketch").join(buckets.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+    sketches = materialise(sketches, "jaccard-sketches")
+    sorted_ = buckets.join(sketches, "sid").select("key", "sid", "n", "sketch").repartition("key").sortWithinPartitions("key", "sid")
+    pairs = materialise(sorted_.mapInArrow(_with_smallest(num, den), "a long, b long").distinct(), "jaccard-pairs")
 
-    def pivoted(keyed: DataFrame) -> DataFrame:
-        keyed = keyed.withColumns({"lo": F.min("sid").over(bucket), "hi": F.max("sid").over(bucket)})
-        return materialise(keyed.where("lo < hi").select("key", "sid", "lo"), "jaccard-buckets")
-
-    buckets = pivoted(signed.select("sid", F.explode("keys").alias("key")))
-    needed = buckets.select("sid").distinct()
-    homes = signed.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(needed, "sid", "left_semi")
-    texts = docs.select("doc_id", "text").join(homes, "doc_id").select("sid", "text")
-    members = materialise(texts.mapInArrow(_sets(width), "sid long, members binary").dropDuplicates(["sid"]), "jaccard-members")
-
-    def with_sets(pairs: DataFrame, *more: str) -> DataFrame:
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The linked ones of the pairs, by their whole sets."""
+        needed = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        homes = signed.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(needed, "sid", "left_semi")
+        members = texts.join(homes, "doc_id").select("sid", "text").mapInArrow(_sets(width), "sid long, members binary").dropDuplicates(["sid"])
+        members = materialise(members, "jaccard-members")
         one = members.select(F.col("sid").alias("a"), F.col("members").alias("x"))
         two = members.select(F.col("sid").alias("b"), F.col("members").alias("y"))
-        return pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y", *more)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        return materialise(with_sets(pairs).mapInArrow(_verify(num, den), "a long, b long, linked boolean"), "jaccard-pairs")
+        both = pairs.join(two, "b").join(one, "a").select("a", "b", "x", "y")
+        return materialise(both.mapInArrow(_verify(num, den), "a long, b long, linked boolean").where("linked").select("a", "b"), "jaccard-links")
 
     def labelled(links: DataFrame) -> DataFrame:
         return materialise(connected_components(links), "jaccard-labels").withColumnsRenamed({"id": "sid", "component": "group"})
 
-    def mixed(keyed: DataFrame, label: DataFrame) -> DataFrame:
-        """Rows of the buckets that hold several components."""
-        placed = keyed.join(label, "sid", "left").withColumn("group", F.coalesce("group", "sid"))
-        split = placed.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("key")
-        return placed.join(split, "key")
-
-    first = verified(buckets.where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct())
-    links = first.where("linked").select("a", "b")
-    label = labelled(links)
-    around = mixed(buckets, label).where("sid > lo").select(F.col("lo").alias("a"), F.col("sid").alias("b")).distinct()
-    around = materialise(around, "jaccard-around")
-    around = around.join(around.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"), "a")
-    # up to 16 members of each pivot show what its members commonly differ in
-    sample = around.groupBy("a", F.pmod(F.xxhash64("b"), F.lit(16)).alias("slot")).agg(F.min("b").alias("b")).select("a", "b")
-    common = materialise(with_sets(sample).groupBy("a").applyInArrow(_common, "a long, common binary"), "jaccard-common")
-    keyed = with_sets(around.join(common, "a"), "common").mapInArrow(_difference_keys(num, den), "key long, sid long, apart long, short boolean")
-    keyed = materialise(mixed(materialise(keyed, "jaccard-differences"), label), "jaccard-open")
-    shorter = keyed.where("short").select("key", F.col("sid").alias("b"), F.col("apart").alias("apart_b"), F.col("group").alias("group_b"))
-    across = keyed.join(shorter, "key").where("apart >= apart_b and group <> group_b")
-    across = across.select(F.least("sid", "b").alias("a"), F.greatest("sid", "b").alias("b")).distinct()
-    links = links.unionByName(verified(across).where("linked").select("a", "b"))
-    label = labelled(links).withColumnsRenamed({"sid": "id", "group": "component"})
+    links = verified(pairs)
+    # buckets that hold several components still, large ones as a grid of blocks
+    placed = buckets.join(labelled(links), "sid", "left").withColumn("group", F.coalesce("group", "sid"))
+    split = placed.groupBy("key").agg(F.min("group").alias("g1"), F.max("group").alias("g2"), F.count("*").alias("members"))
+    split = split.where("g1 < g2 and members > 2").select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    placed = placed.join(split, "key").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    grid = placed.select("key", "sid", "group", "at", other)
+    grid = grid.select("key", "sid", "group", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") == F.col("other"), 0).when(F.col("at") < F.col("other"), 1).otherwise(2).alias("side"))
+    grid = grid.join(sketches, "sid").select("key", "i", "j", "sid", "group", "side", "n", "sketch")
+    grid = grid.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
+    more = materialise(grid.mapInArrow(_across(num, den), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"), "jaccard-across")
+    label = labelled(links.unionByName(verified(more))).withColumnsRenamed({"sid": "id", "group": "component"})
     # sets to documents: a component's id is its smallest document
     home = classes.join(label, F.col("sid") == F.col("id"), "left").withColumn("group", F.coalesce("component", "sid"))
     smallest = home.groupBy("group").agg(F.min("class_id").alias("component_id"))
