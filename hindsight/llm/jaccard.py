@@ -11,9 +11,10 @@ one of the first segments with its one-deletion neighbourhood (the segment and a
 variants that lack one shingle), which costs an opponent two differences instead of one.
 Sides need not agree on how many they upgrade: the one that upgrades fewer decides.
 
-A sketch goes with every set: its shingles counted in SKETCH hash cells. The summed
-differences of two sketches are at most the difference of the sets, so pairs that exceed H
-there are out without a look at the sets; for unrelated sets that is nearly all.
+A sketch goes with every set: its shingles counted in hash cells, some eight to a cell. The
+summed differences of two sketches, the longer folded to the shorter, are at most the
+difference of the sets, so pairs that exceed H there are out without a look at the sets;
+for unrelated sets that is nearly all.
 
 Within a bucket of equal keys every member is compared with the smallest member. Then,
 where a bucket still holds several components, members of different components are
@@ -41,8 +42,8 @@ from .textstats import WordHashes, mix64, shingle_set
 
 #: Segments with at most so many shingles are skipped and paid for by a one-deletion neighbourhood.
 UNSELECTIVE = 1
-#: Cells of a sketch, and members of a bucket compared in one go.
-SKETCH, BLOCK = 128, 1024
+#: Fewest cells of a sketch, shingles to a cell, and members of a bucket compared in one go.
+SKETCH, PER_CELL, BLOCK = 128, 8, 1024
 
 
 def _bands(num: int, den: int, size: int) -> list[tuple[int, int, int]]:
@@ -102,7 +103,13 @@ def segment_keys(h: np.ndarray, band: int, segments: int) -> np.ndarray:
 
 
 def _sketch(h: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((h & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+    """Counts of hashes by their low bits: a power of two of cells, one byte each, none cut off."""
+    cells = SKETCH
+    while cells * PER_CELL < len(h):
+        cells *= 2
+    while (counts := np.bincount((h & np.uint64(cells - 1)).astype(np.int64), minlength=cells)).max() > 255:
+        cells *= 2
+    return counts.astype(np.uint8).tobytes()
 
 
 def _identities(width: int):
@@ -176,19 +183,24 @@ class _Buckets:
             yield rest, np.ones(rest.num_rows, np.int64)
 
 
-def _close(sketch: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
+def _close(sketches: list[np.ndarray], n: np.ndarray, a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
     """Whether rows a and b can link as far as their sketches tell."""
-    out = np.empty(len(a), bool)
-    for lo in range(0, len(a), 50_000):
-        i, j = a[lo : lo + 50_000], b[lo : lo + 50_000]
-        apart = np.abs(sketch[i].astype(np.int16) - sketch[j]).sum(1, dtype=np.int64)
-        out[lo : lo + 50_000] = apart <= (n[i] + n[j]) * (den - num) // (den + num)
+    cells = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    width, out = np.minimum(cells[a], cells[b]), np.zeros(len(a), bool)
+    for w in np.unique(width):
+        chosen, step = np.flatnonzero(width == w), max(1, 6_000_000 // int(w))
+        for lo in range(0, len(chosen), step):
+            at = chosen[lo : lo + step]
+            rows, place = np.unique(np.concatenate([a[at], b[at]]), return_inverse=True)
+            folded = np.stack([sketches[r].reshape(-1, w).sum(0, dtype=np.int16) for r in rows])
+            apart = np.abs(folded[place[: len(at)]] - folded[place[len(at) :]]).sum(1, dtype=np.int64)
+            out[at] = apart <= (n[a[at]] + n[b[at]]) * (den - num) // (den + num)
     return out
 
 
-def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    flat = b"".join(table.column("sketch").to_pylist())
-    return np.asarray(table.column("sid")), np.asarray(table.column("n")), np.frombuffer(flat, np.uint8).reshape(-1, SKETCH)
+def _columns(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    sketches = [np.frombuffer(x, np.uint8) for x in table.column("sketch").to_pylist()]
+    return np.asarray(table.column("sid")), np.asarray(table.column("n")), sketches
 
 
 def _pairs(sid: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
