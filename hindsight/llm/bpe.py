@@ -32,7 +32,7 @@ from .common import let
 #: An entry of the rank table is left id * ONE + rank; FREE is no entry of any left id.
 ONE, FREE, PART = 131_072, 1 << 40, 1 << 42
 #: Code points of text in one chunk; a chunk is one row, so this bounds a row's size.
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 5_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -168,6 +168,7 @@ def _chunks(path: str, pattern: str, chunk_chars: int):
                 if size >= chunk_chars:
                     yield flush()
                     numbers, ids, rows, size = _Numbers(), [], [], 0
+                    pa.default_memory_pool().release_unused()
         if ids:
             yield flush()
 
@@ -191,6 +192,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     out_ids.append(b"".join(map(packed.__getitem__, order)))
                     out_text.append(b"".join(map(plain.__getitem__, order)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 2000], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())], ["doc_id", "token_ids", "decoded"])
+        pa.default_memory_pool().release_unused()
 
 
 def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
