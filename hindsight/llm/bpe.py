@@ -1,16 +1,22 @@
 """Byte-level BPE: ranked merges folded by higher-order functions over distinct words.
 
-Texts are cut into words by the tokenizer's pattern. Each chunk of texts becomes one row
-with its distinct words and, per text, the word numbers; so a word that occurs a thousand
-times in a chunk is encoded once, and nothing is shuffled. A fold over every distinct word
-merges the adjacent pair of lowest rank, leftmost first, until no pair is in the rank map,
-a literal of the plan laid out so that a look-up reads two numbers. Words that are pieces
-themselves need no merge. Decoding concatenates the pieces of the ids. The last step strings words together
-to texts by their numbers.
+Texts are cut into words by the tokenizer's pattern. A task remembers the words it has met,
+so each is encoded once in a task, however many texts hold it, and nothing is shuffled. Words
+that are pieces themselves need no merge. For any other the task lists the ranks of the pieces
+that occur in its bytes, in order; a higher-order fold goes through them and replaces the pair
+each rank stands for, leftmost first, in the word's byte tokens. The pairs by rank are a
+literal of the plan. In a ranked vocabulary a piece comes after the two it is merged from, so
+one pass in rank order is the whole of the merging. A token is one character of a string there,
+its id moved by SHIFT. Decoding concatenates the pieces of the ids. The last step strings words
+together to texts by their numbers.
+
+A task forgets its words when it holds MOST_WORDS and starts afresh; both sides of the fold
+do so at the same row, and rows are cut by texts and new words, so memory is bounded by
+these figures and the longest text.
 
 Null and empty texts have no tokens. Words are limited by nothing; the fold's cost grows
 with the square of a single word's length. Repeated rows are encoded each, extra columns
-are not read.
+are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,8 +24,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import let
 
-#: An entry of the rank table is left id * ONE + rank; FREE is no entry of any left id.
-ONE, FREE, PART = 131_072, 1 << 40, 1 << 42
-#: Code points of text in one chunk; a chunk is one row, so this bounds a row's size.
-CHUNK_CHARS = 5_000_000
+#: A token id plus SHIFT is its character; all stay below the surrogates.
+SHIFT, STOP = 256, 0xD800 - 256
+#: Words a task remembers, and new words and code points of text that make up one row between the steps.
+MOST_WORDS, ROW_WORDS, ROW_CHARS = 250_000, 4_096, 1_000_000
 
 
 @functools.lru_cache(maxsize=4)
@@ -43,168 +50,194 @@ def _vocabulary(path: str) -> tuple[bytes, ...]:
     out: list[bytes] = [b""] * (1 + max(int(r) for _, r in pairs))
     for piece, rank in pairs:
         out[int(rank)] = base64.b64decode(piece)
+    if len(out) > STOP:
+        raise ValueError(f"{path}: more than {STOP} pieces")
     return tuple(out)
 
 
+def _halves(piece: bytes, rank_of: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two pieces a piece is merged from: its bytes merged by the ranks before its own."""
+    parts, own = [piece[i : i + 1] for i in range(len(piece))], rank_of[piece]
+    while len(parts) > 2:
+        rank, at = min((rank_of.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+        if rank >= own:
+            raise ValueError(f"{piece!r} is not merged from two earlier pieces")
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts[0], parts[1]
+
+
 @functools.lru_cache(maxsize=4)
 def _tables(path: str) -> tuple[str, str, str]:
-    """JSON of the rank map of adjacent ids, as shifts and entries, and of the pieces by id in hex.
-
-    A pair of ids that makes up a piece is found at entries[shifts[left] + right], which holds
-    left * 131072 + rank; the rows of all left ids are shifted into each other so that no two
-    pairs share a place. A place of another left id, or a free one, gives a number of 131072
-    or more once left * 131072 is taken out by exclusive or: no rank.
-    """
+    """JSON of the pairs by the rank of their merge, of the tokens' characters, and of the pieces by id in hex."""
     vocabulary = _vocabulary(path)
     rank_of = {p: i for i, p in enumerate(vocabulary) if p}
-    rows: dict[int, dict[int, int]] = {}
-    for piece, rank in rank_of.items():
-        for cut in range(1, len(piece)):
-            left, right = rank_of.get(piece[:cut]), rank_of.get(piece[cut:])
-            if left is not None and right is not None:
-                rows.setdefault(left, {})[right] = rank
-    stop = len(vocabulary)
-    used, entries = np.zeros(64 * (stop + 1), bool), np.full(64 * (stop + 1), FREE)
-    shifts, top = np.zeros(stop + 1, np.int64), 0
-    for left in sorted(rows, key=lambda k: (-len(rows[k]), k)):  # the longest rows first, each at the first place that fits
-        rights = np.array(sorted(rows[left]))
-        at, step = None, 20_000
-        for lo in range(0, len(used) - step, step):
-            places = np.flatnonzero(~used[lo : lo + step]) + lo - rights[0]
-            places = places[places >= 0]
-            fits = np.ones(len(places), bool)
-            for right in rights[:40]:
-                fits &= ~used[places + right]
-            at = next((int(p) for p in places[fits] if not used[p + rights].any()), None)
-            if at is not None:
-                break
-        used[at + rights] = True
-        entries[at + rights] = left * ONE + np.array([rows[left][int(r)] for r in rights])
-        shifts[left], top = at, max(top, at)
-    entries = entries[: top + stop + 1].copy()
-    shifts[stop] = 0
-    pieces = [p.hex().upper() for p in vocabulary]
-    return tuple(json.dumps(x, separators=(",", ":")) for x in (shifts.tolist(), entries.tolist(), pieces))
-
-
-def encode_word(word: Column, shifts: Column, entries: Column, stop: int) -> Column:
-    """Token ids of one word, given as its byte tokens, by a fold of ranked merges.
-
-    The state is one array: stopper, rank, part, rank, part ... rank, stopper, parts marked by
-    PART so that the least number is the least rank. A merge replaces the leftmost pair of
-    least rank by the piece of that rank, whose id is the rank, and looks up the two pairs it
-    forms with its neighbours.
-    """
+    pairs = ["".join(chr(rank_of[x] + SHIFT) for x in _halves(p, rank_of)) if len(p) > 1 else "" for p in vocabulary]
+    tokens = [chr(i + SHIFT) for i in range(len(vocabulary))]
+    return tuple(json.dumps(x, separators=(",", ":")) for x in (pairs, tokens, [p.hex().upper() for p in vocabulary]))
 
-    def rank(left: Column, right: Column) -> Column:
-        return F.get(entries, F.get(shifts, left) + right).bitwiseXOR(F.shiftleft(left, 17))
 
-    def merge(state: Column, _: Column) -> Column:
-        best = F.array_min(state)
+def encode_word(word: Column, ranks: Column, pairs: Column, tokens: Column) -> Column:
+    """Tokens of one word, a character each: a fold over the ranks that can occur in it, in order."""
+    return F.aggregate(ranks, word, lambda parts, rank: F.replace(parts, F.get(pairs, rank), F.get(tokens, rank)))
 
-        def at(p: Column) -> Column:
-            piece = F.get(state, p - 1)
-            middle = F.array(rank(F.get(state, p - 4) - PART, piece), piece + PART, rank(piece, F.get(state, p + 2) - PART))
-            return F.concat(F.slice(state, F.lit(1), p - 3), middle, F.slice(state, p + 3, F.size(state)))
 
-        return F.when(best < ONE, let(F.array_position(state, best).cast("int"), at)).otherwise(state)
+def decode_word(word: Column, pieces: Column) -> Column:
+    """Bytes of a word's tokens."""
+    return F.unhex(F.array_join(F.transform(F.split(word, ""), lambda t: F.get(pieces, F.ascii(t) - SHIFT)), ""))
 
-    def fold(parts: Column) -> Column:
-        pair = lambda i: F.array(rank(F.get(parts, i), F.get(parts, i + 1)), F.get(parts, i + 1) + PART)
-        state = F.concat(F.array(F.lit(stop + PART)), F.flatten(F.transform(F.sequence(F.lit(0), F.size(parts) - 2), pair)))
-        merged = F.aggregate(F.sequence(F.lit(4), F.size(parts)), state, merge)
-        return F.transform(F.filter(merged, lambda x: (x >= PART) & (x < stop + PART)), lambda x: x - PART)
 
-    stopper = F.array(F.lit(stop).cast("long"))
-    return F.when(F.size(word) < 2, word).otherwise(let(F.concat(stopper, word, stopper), fold))
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
 
 
-def decode_ids(ids: Column, pieces: Column) -> Column:
-    """Bytes of a token id array."""
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), ""))
+@functools.lru_cache(maxsize=2)
+def _trie(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The beginnings of pieces, numbered from 0, the empty one, as a hash table of keys and values.
 
-
-class _Numbers(dict):
-    """Word to number, in order of first sight."""
+    A key is parent * 256 + byte; it stands in its slot or the first free place behind. The value
+    is the child's number times 2 ** 16 and, in the low bits, 1 + the rank of the piece it is (0: none).
+    """
+    vocabulary = _vocabulary(path)
+    number, children = {b"": 0}, {}
+    for piece in vocabulary:
+        for n in range(1, len(piece) + 1):
+            if piece[:n] not in number:
+                number[piece[:n]] = len(number)
+                children[number[piece[: n - 1]] * 256 + piece[n - 1]] = number[piece[:n]] << 16
+    for rank, piece in enumerate(vocabulary):
+        if piece:
+            children[number[piece[:-1]] * 256 + piece[-1]] += rank + 1
+    keys, values = np.full((1 << 20) + 1024, -1), np.zeros((1 << 20) + 1024, np.int64)
+    left, more = np.array(list(children), np.int64), np.array(list(children.values()), np.int64)
+    place = _slot(left)
+    while len(left):
+        free = keys[place] < 0
+        keys[place[free]], values[place[free]] = left[free], more[free]
+        late = keys[place] != left
+        left, more, place = left[late], more[late], place[late] + 1
+    return keys, values
+
+
+def _ranks_within(words: list[bytes], path: str) -> pa.ListArray:
+    """For each word, the ranks of the pieces of two bytes or more that occur in it, each once, in order."""
+    keys, values = _trie(path)
+    flat, ends = np.frombuffer(b"".join(words), np.uint8).astype(np.int64), np.cumsum([len(w) for w in words], dtype=np.int64)
+    word = np.repeat(np.arange(len(words)), np.diff(ends, prepend=0))
+    at, node, n, found = np.arange(len(flat)), np.zeros(len(flat), np.int64), 0, [np.empty(0, np.int64)]
+    while len(at):
+        wanted = node * 256 + flat[at + n]
+        place = _slot(wanted)
+        while len(other := np.flatnonzero((keys[place] != wanted) & (keys[place] >= 0))):
+            place[other] += 1
+        is_there = keys[place] == wanted
+        at, n, child = at[is_there], n + 1, values[place[is_there]]
+        if n > 1:
+            piece = child & 0xFFFF
+            found.append((word[at] << 16 | piece)[piece > 0] - 1)
+        inside = at + n < ends[word[at]]
+        at, node = at[inside], child[inside] >> 16
+    pairs = np.unique(np.concatenate(found))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(pairs >> 16, minlength=len(words)))])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((pairs & 0xFFFF).astype(np.int32)))
+
+
+class _Words(dict):
+    """Word to number: a piece's is its rank, others follow in order of first sight and wait in ``new``."""
+
+    def __init__(self, path: str):
+        super().__init__()
+        pieces = _vocabulary(path)
+        self.rank_of = {p: i for i, p in enumerate(pieces) if p}
+        self.bytes = np.array([self.rank_of.get(bytes([b]), 0) + SHIFT for b in range(256)], "<u2")
+        self.first = self.next = len(pieces)
+        self.new: list[bytes] = []
 
     def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
+        raw = word.encode("utf-8", "replace")
+        number = self.rank_of.get(raw)
+        if number is None:
+            number, self.next = self.next, self.next + 1
+            self.new.append(raw)
+        self[word] = number
+        return number
 
+    def as_tokens(self) -> list[str]:
+        """The new words as byte tokens."""
+        chars = self.bytes[np.frombuffer(b"".join(self.new), np.uint8)].tobytes().decode("utf-16-le")
+        ends = np.cumsum([0, *map(len, self.new)]).tolist()
+        return [chars[a:b] for a, b in itertools.pairwise(ends)]
 
-def _chunks(path: str, pattern: str, chunk_chars: int):
-    """Task body: doc_id, text -> one row per chunk: distinct words as byte tokens, doc ids, word numbers of each text."""
 
-    pieces = _vocabulary(path)
+def _rows(path: str, pattern: str) -> Callable:
+    """Task body: doc_id, text -> rows of new words, the ranks within them, doc ids and word numbers of each text."""
+    names = ["afresh", "words", "ranks", "ids", "rows"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        rank_of = {p: i for i, p in enumerate(pieces) if p}
-        byte_rank = np.array([rank_of.get(bytes([b]), 0) for b in range(256)], np.int64)
-        numbers, ids, rows, size = _Numbers(), [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            # a word that is a piece is one part, others are their bytes
-            parts, lengths = [], []
-            for word in numbers:
-                raw = word.encode("utf-8", "replace")
-                whole = rank_of.get(raw)
-                part = byte_rank[np.frombuffer(raw, np.uint8)] if whole is None else np.array([whole], np.int64)
-                parts.append(part)
-                lengths.append(len(part))
-            flat = np.concatenate(parts) if parts else np.empty(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            one = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
-            return pa.RecordBatch.from_arrays([one, pa.array([ids], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))], ["words", "ids", "rows"])
+        words = _Words(path)
+        find, afresh, ids, rows, size = regex.compile(pattern).findall, True, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            ranks = _ranks_within(words.new, path)
+            ranks = pa.ListArray.from_arrays(pa.array([0, len(ranks)], pa.int32()), ranks)
+            lists = [pa.array([words.as_tokens()], pa.list_(pa.string())), ranks, pa.array([ids], pa.list_(pa.int64())), pa.array([rows], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays([pa.array([afresh]), *lists], names)
 
         for batch in batches:
             for doc_id, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = value.as_py() or ""
-                found = find(text)
                 ids.append(doc_id)
-                rows.append(np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found)).tobytes())
+                found = find(text)
+                rows.append(np.fromiter(map(words.__getitem__, found), np.uint32, len(found)).tobytes())
                 size += len(text)
-                if size >= chunk_chars:
-                    yield flush()
-                    numbers, ids, rows, size = _Numbers(), [], [], 0
-                    pa.default_memory_pool().release_unused()
+                if size >= ROW_CHARS or len(words.new) >= ROW_WORDS:
+                    yield row()
+                    words.new, afresh, ids, rows, size = [], False, [], [], 0
+                    if words.next - words.first >= MOST_WORDS:
+                        words.clear()
+                        words.next, afresh = words.first, True
+            pa.default_memory_pool().release_unused()
         if ids:
-            yield flush()
+            yield row()
+
+    return run
+
+
+def _texts(path: str) -> Callable:
+    """Task body: rows with each new word's tokens and decoded bytes -> doc_id, token_ids (uint32, little-endian), decoded."""
+    pieces = _vocabulary(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = [i.to_bytes(4, "little") for i in range(len(pieces))]
+        packed, plain = list(first), list(pieces)
+        for batch in batches:
+            for at in range(batch.num_rows):
+                if batch.column("afresh")[at].as_py():
+                    packed, plain = list(first), list(pieces)
+                for word in batch.column("tokens")[at].as_py():
+                    packed.append((np.frombuffer(word.encode("utf-16-le"), "<u2").astype("<u4") - SHIFT).astype("<u4").tobytes())
+                plain += batch.column("decoded")[at].as_py()
+                ids, rows = batch.column("ids")[at].as_py(), batch.column("rows")[at].values
+                for lo in range(0, len(ids), 1000):
+                    out_ids, out_text = [], []
+                    for row in rows[lo : lo + 1000]:
+                        order = np.frombuffer(row.as_buffer(), np.uint32).tolist()
+                        out_ids.append(b"".join(map(packed.__getitem__, order)))
+                        out_text.append(b"".join(map(plain.__getitem__, order)))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1000], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())], ["doc_id", "token_ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: chunk rows with each word's ids and decoded bytes -> doc_id, ids (uint32, little-endian), decoded."""
-    for batch in batches:
-        for at in range(batch.num_rows):
-            tokens = batch.column("tokens")[at].values
-            flat, ends = tokens.flatten().to_numpy().astype("<u4").tobytes(), tokens.offsets.to_numpy() * 4
-            ends = ends - ends[0]
-            packed = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            plain = batch.column("decoded")[at].values.to_pylist()
-            ids, rows = batch.column("ids")[at].values.to_pylist(), batch.column("rows")[at].values
-            for lo in range(0, len(ids), 2000):
-                out_ids, out_text = [], []
-                for row in rows[lo : lo + 2000]:
-                    order = np.frombuffer(row.as_buffer(), np.uint32).tolist()
-                    out_ids.append(b"".join(map(packed.__getitem__, order)))
-                    out_text.append(b"".join(map(plain.__getitem__, order)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 2000], pa.int64()), pa.array(out_ids, pa.binary()), pa.array(out_text, pa.binary())], ["doc_id", "token_ids", "decoded"])
-        pa.default_memory_pool().release_unused()
-
-
-def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, token_ids (binary, little-endian unsigned 32-bit), decoded (binary) per row of ``docs(doc_id, text)``."""
-    shifts, entries, pieces = _tables(path)
-    stop = len(_vocabulary(path))
-    chunks = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_chunks(path, pattern, chunk_chars), "words array<array<long>>, ids array<long>, rows array<binary>")
+    pairs, tokens, pieces = _tables(path)
+    new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows(path, pattern), "afresh boolean, words array<string>, ranks array<array<int>>, ids array<long>, rows array<binary>")
     # each literal stands in the plan once
-    maps = F.struct(F.from_json(F.lit(shifts), "array<bigint>").alias("shifts"), F.from_json(F.lit(entries), "array<bigint>").alias("entries"))
-    chunks = chunks.withColumn("tokens", let(maps, lambda m: F.transform("words", lambda w: encode_word(w, m["shifts"], m["entries"], stop))))
-    chunks = chunks.withColumn("decoded", let(F.from_json(F.lit(pieces), "array<string>"), lambda table: F.transform("tokens", lambda ids: decode_ids(ids, table))))
-    return chunks.select("ids", "rows", "tokens", "decoded").mapInArrow(_texts, "doc_id long, token_ids binary, decoded binary")
+    maps = F.struct(F.from_json(F.lit(pairs), "array<string>").alias("pairs"), F.from_json(F.lit(tokens), "array<string>").alias("tokens"))
+    new = new.withColumn("tokens", let(maps, lambda m: F.zip_with("words", "ranks", lambda w, r: encode_word(w, r, m["pairs"], m["tokens"]))))
+    new = new.withColumn("decoded", let(F.from_json(F.lit(pieces), "array<string>"), lambda table: F.transform("tokens", lambda w: decode_word(w, table))))
+    return new.select("afresh", "ids", "rows", "tokens", "decoded").mapInArrow(_texts(path), "doc_id long, token_ids binary, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
