@@ -5,8 +5,9 @@ so each is encoded once in a task, however many texts hold it, and nothing is sh
 that are pieces themselves need no merge. For any other the task lists the ranks of the pieces
 that occur in its bytes, in order; a higher-order fold goes through them and replaces the pair
 each rank stands for, leftmost first, in the word's byte tokens. The pairs by rank are a
-literal of the plan. In a ranked vocabulary a piece comes after the two it is merged from, so
-one pass in rank order is the whole of the merging. A token is one character of a string there,
+literal of the plan. Every piece is merged from two earlier ones (other vocabularies are
+refused), so a merge never opens one of lower rank, and two neighbours that make up a piece
+are the two its bytes merge to on their own: one pass in rank order is the whole merging. A token is one character of a string there,
 its id moved by SHIFT. Decoding concatenates the pieces of the ids. The last step strings words
 together to texts by their numbers.
 

@@ -1,10 +1,12 @@
 """The ten operators against brute force, SQL or the tokenizer's own library, and on awkward rows."""
 
 import hashlib
+import json
 import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from hindsight.llm import bpe, embeddings, html_text, jaccard, line_dedup, mixing, pii, quality, queries, rules, secrets
@@ -190,6 +192,36 @@ def test_random_tokens_are_told_from_text():
     assert not any((t := secrets.battery(x)) and t[1] >= secrets.REJECT for x in words)
 
 
+def test_bpe_forgets_words_and_numbers_them_anew(monkeypatch):
+    path, pattern = queries.tokenizer()
+    monkeypatch.setattr(bpe, "MOST_WORDS", 20)
+    monkeypatch.setattr(bpe, "ROW_WORDS", 5)
+    pick = np.random.default_rng(3)
+    texts = ["".join(pick.choice(list("aabceinorst  é世😀'1.\n"), 30)) for _ in range(200)] + [None, "", "a" * 500]
+    pairs = json.loads(bpe._tables(path)[0])
+    pieces = bpe._vocabulary(path)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+    def folded(rows):
+        for row in rows:
+            (one,) = row.to_pylist()
+            tokens = []
+            for word, ranks in zip(one["words"], one["ranks"], strict=True):
+                for rank in ranks:
+                    word = word.replace(pairs[rank], chr(rank + bpe.SHIFT))
+                tokens.append(word)
+            plain = [b"".join(pieces[ord(t) - bpe.SHIFT] for t in w) for w in tokens]
+            yield pa.RecordBatch.from_pylist([{"afresh": one["afresh"], "ids": one["ids"], "rows": one["rows"], "tokens": tokens, "decoded": plain}])
+
+    rows = list(bpe._rows(path, pattern)(iter([batch])))
+    assert sum(r.column("afresh")[0].as_py() for r in rows) > 3
+    got = {r["doc_id"]: r for out in bpe._texts(path)(folded(rows)) for r in out.to_pylist()}
+    for at, text in enumerate(texts):
+        ids, decoded = got[at]["token_ids"], got[at]["decoded"]
+        found = len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
+        assert found == bpe.reference_digest(text, path, pattern)
+
+
 def test_bpe_equals_the_library(spark, docs):
     path, pattern = queries.tokenizer()
     texts = [t for t in ODD] + ["a" * 500, "it's we'RE 'll 1234 ½", " " * 40 + "x  ", "the quick" * 50] + [r.text for r in docs.limit(40).collect()]
