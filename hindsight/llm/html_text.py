@@ -1,26 +1,35 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Per host, tokens (tags with their place in the page, and runs of text) that occur equally
-often in the same pages form an equivalence class. A class is valid if it spans nearly all
-pages of a host with several pages; its tokens are the host's template, and nesting puts
-them in page order: what lies between template tokens are slots. Slots inside an article
-or main element hold the text; where a page has neither, slots outside menus, headers,
-footers and the like do, less the runs the template itself owns.
-
-Occurrence vectors are summed as hashes (one number per host and token), so a host with a
-third of all pages is pre-aggregated like any other and never gathered.
-
-Null and empty html give an empty text. A host seen once has no template: the element rules
-alone decide. Pages with equal ids are extracted one by one; a null url is a host of its own.
+Per host, tokens (tags with their class and id words, and whole runs of text) that occur
+equally often in the same pages form an equivalence class. The largest class of tokens that
+occur once a page is the root: its tokens, in the order of their mean places, are the host's
+frame, less those that in more than a tenth of the pages stand out of that order. Every other
+class is valid if in nine tenths of the pages its tokens repeat in one order, all of them
+between the same two tags of the frame; nesting is one level deep.
+
+What lies between a page's template tokens are its slots. Runs of text that stand in their
+place in the template are the template's and never text, in an article or main element as
+elsewhere; the same words out of that place are text. Of the slots, those inside an article
+or main element hold the text; where a page has neither, those outside menus, headers,
+footers and the like do.
+
+Pages of a host whose main text by the element rules alone is equal count as one page, so
+copies of an article make no template. Occurrence vectors are summed as hashes (two numbers
+per host and token), so a host with a third of all pages is pre-aggregated like any other
+and never gathered.
+
+Null and empty html give an empty text. A host of fewer than three different pages has no
+template: the element rules alone decide. Pages with equal ids are extracted one by one; a
+null url is a host of its own.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -40,6 +49,8 @@ _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: A class is valid in hosts of so many pages, in such a share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.9
+#: What one page weighs; copies share it.
+PAGE = 1 << 30
 _SPACE = re.compile(r"\s+")
 
 
@@ -81,27 +92,85 @@ def _hash(token: str) -> int:
     return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) - (1 << 63)
 
 
-def page_tokens(page: str) -> dict[int, int]:
-    """Occurrences of every token of a page: tags with their class, and whole runs of text."""
-    out: dict[int, int] = {}
+def page_tokens(page: str) -> list[tuple[int, bool] | None]:
+    """Token and whether it is a tag, for every piece of a page; null for blank text."""
+    out: list[tuple[int, bool] | None] = []
     for kind, name, content in pieces(page):
         if kind == "text":
             run = _SPACE.sub(" ", content).strip()
-            token = "=" + run if run else None
+            out.append((_hash("=" + run), False) if run else None)
         else:
-            token = kind[0] + name + " ".join(x for t in _CLASS.findall(content) for x in t if x)
+            words = " ".join(x for t in _CLASS.findall(content) for x in t if x) if "=" in content else ""
+            out.append((_hash(kind[0] + name + " " + words), True))
+    return out
+
+
+def _places(tokens: list[tuple[int, bool] | None]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for at, token in enumerate(tokens):
         if token:
-            key = _hash(token)
-            out[key] = out.get(key, 0) + 1
+            out.setdefault(token[0], []).append(at)
     return out
 
 
-def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list[str]:
-    """Text blocks of the main content, in page order."""
+def _in_order(places: list[int]) -> list[int]:
+    """Indices of a longest increasing part of ``places``."""
+    ends: list[int] = []
+    held: list[int] = []
+    before: list[int] = []
+    for i, place in enumerate(places):
+        k = bisect_left(ends, place)
+        before.append(held[k - 1] if k else -1)
+        ends[k:], held[k:] = [place, *ends[k + 1 :]], [i, *held[k + 1 :]]
+    out, i = [], held[-1] if held else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+def _frame(classes: list[list[int]], places: dict[int, list[int]], among: frozenset[int] | None = None) -> dict[int, int]:
+    """Place of every token of the root class that stands in order on this page."""
+    once = [t for t in classes[0] if len(places.get(t, ())) == 1 and (among is None or t in among)]
+    return {once[i]: places[once[i]][0] for i in _in_order([places[t][0] for t in once])}
+
+
+def _nested(tokens: list[int], places: dict[int, list[int]], bounds: list[int]) -> int | None:
+    """Number of the slot all tuples of a class lie in, each in order and apart from the next; else null."""
+    rows = [places.get(t, ()) for t in tokens]
+    if not rows[0] or any(len(r) != len(rows[0]) for r in rows):
+        return None
+    flat = [r[j] for j in range(len(rows[0])) for r in rows]
+    if any(x >= y for x, y in zip(flat, flat[1:], strict=False)):
+        return None
+    slot = bisect_right(bounds, flat[0])
+    return slot if slot == bisect_right(bounds, flat[-1]) else None
+
+
+def _bounds(frame: dict[int, int], tags: dict[int, bool]) -> tuple[list[int], list[int]]:
+    """Places and tokens of the frame's tags on this page."""
+    held = sorted((at, t) for t, at in frame.items() if tags[t])
+    return [at for at, _ in held], [t for _, t in held]
+
+
+def owned_pieces(page: str, classes: list[list[int]], valid: list[tuple[int, int]]) -> frozenset[int]:
+    """Numbers of the page's pieces that are its host's template."""
+    tokens = page_tokens(page)
+    places, tags = _places(tokens), dict(t for t in tokens if t)
+    frame = _frame(classes, places, frozenset(t for c, t in valid if c == 0))
+    bounds, names = _bounds(frame, tags)
+    out = set(frame.values())
+    for c, before in valid:
+        if c and (slot := _nested(classes[c], places, bounds)) is not None and (names[slot - 1] if slot else 0) == before:
+            out.update(at for t in classes[c] for at in places[t])
+    return frozenset(out)
+
+
+def blocks(page: str, owned: frozenset[int] = frozenset()) -> list[str]:
+    """Text blocks of the main content, in page order, less the pieces the template owns."""
     stack: list[tuple[str, bool, bool]] = []
-    found: list[tuple[bool, bool, str]] = []
+    found: list[tuple[bool, str]] = []
     run: list[str] = []
-    runs_fixed: list[bool] = []
     skip = main = 0
     any_main = False
 
@@ -109,17 +178,13 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
         if run:
             text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
             if text:
-                found.append((main > 0, all(runs_fixed), text))
+                found.append((main > 0, text))
             run.clear()
-            runs_fixed.clear()
 
-    for kind, name, content in pieces(page):
+    for at, (kind, name, content) in enumerate(pieces(page)):
         if kind == "text":
             if not skip:
-                run.append(content)
-                bare = _SPACE.sub(" ", content).strip()
-                if bare:
-                    runs_fixed.append(_hash("=" + bare) in template)
+                run.append(" " if at in owned else content)
             continue
         if name in BLOCK or name in SKIP:
             flush()
@@ -147,48 +212,93 @@ def blocks(page: str, template: frozenset[int] | set[int] = frozenset()) -> list
                 if top == name:
                     break
     flush()
-    if any_main:
-        return [t for inside, _, t in found if inside]
-    return [t for _, fixed, t in found if not fixed]
+    return [t for inside, t in found if inside or not any_main]
+
+
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: host, page, html -> host, page, hash of the main text by the element rules alone."""
+    for batch in batches:
+        marks = [_hash("\n\n".join(blocks(page.as_py() or ""))) for page in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["host", "page", "mark"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: host, html -> host, token, pages, vector (sum over pages of a hash of page and count)."""
+    """Task body: host, page, html, copies -> host, token, weight and numbers of pages and occurrences, mean places summed, occurrence vector."""
     for batch in batches:
-        pages: dict[tuple[str, int], list[int]] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = page.as_py() or ""
-            mark = xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"))
-            for token, n in page_tokens(text).items():
-                at = pages.setdefault((host, token), [0, 0])
-                at[0] += 1
-                at[1] += (mark * (2 * n + 1)) & 0xFFFFFFFFFFFF
-        keys = list(pages)
+        sums: dict[tuple[str, int], list] = {}
+        for host, page, text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
+            for token, places in _places(page_tokens(text.as_py() or "")).items():
+                n = len(places)
+                digest = xxhash.xxh3_64_intdigest(f"{page} {n}".encode())
+                new = (PAGE // copies, 1, n, sum(places) / n, digest & 0x7FFFFFFF, digest >> 33)
+                at = sums.get((host, token))
+                sums[host, token] = [x + y for x, y in zip(at, new, strict=True)] if at else list(new)
+        columns = list(zip(*sums.values(), strict=True)) or [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
+            ["host", "token", "weight", "pages", "times", "place", "v1", "v2"],
+        )
+
+
+def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: host, html, copies, classes -> host, class, token, weight of the pages where it fits.
+
+    For the root class the token is one of its own, for others the tag before their slot.
+    """
+    for batch in batches:
+        sums: dict[tuple[str, int, int], int] = {}
+        for host, text, copies, classes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            tokens = page_tokens(text.as_py() or "")
+            places = _places(tokens)
+            frame = _frame(classes, places)
+            bounds, names = _bounds(frame, dict(t for t in tokens if t))
+            fits = [(0, t) for t in frame]
+            for c in range(1, len(classes)):
+                if (slot := _nested(classes[c], places, bounds)) is not None:
+                    fits.append((c, names[slot - 1] if slot else 0))
+            for c, token in fits:
+                sums[host, c, token] = sums.get((host, c, token), 0) + PAGE // copies
+        keys = list(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([v[0] for v in pages.values()], pa.int64()), pa.array([v[1] & 0xFFFFFFFFFFFFF for v in pages.values()], pa.int64())],
-            ["host", "token", "pages", "vector"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(sums.values(), pa.int64())],
+            ["host", "class", "token", "weight"],
         )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, tokens: the tokens of the valid equivalence classes of every host of several pages."""
-    hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), "html")
-    counted = hosted.mapInArrow(_vectors, "host string, token long, pages long, vector long")
-    tokens = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum(F.col("vector") % 1_000_000_007).alias("vector"))
-    tokens = tokens.where(F.col("pages") >= LEAST_PAGES)
-    size = hosted.groupBy("host").agg(F.count("*").alias("host_pages"))
-    tokens = tokens.join(size, "host").where(F.col("pages") >= LEAST_SHARE * F.col("host_pages"))
+    """host, classes (the root first, tokens in order), valid (class and token: of the root its own, else the tag before the slot)."""
+    hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), F.xxhash64("html").alias("page"), "html")
+    # of the pages of a host with one main text, one stands for all; its exact copies share its weight
+    marks = hosted.mapInArrow(_signatures, "host string, page long, mark long").groupBy("host", "mark", "page").agg(F.count("*").alias("copies"))
+    chosen = marks.groupBy("host", "mark").agg(F.min(F.struct("page", "copies")).alias("one")).select("host", "one.*")
+    large = chosen.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
+    chosen = materialise(chosen.join(large, "host"), "template-pages")
+    sample = hosted.join(chosen, ["host", "page"]).select("host", "page", "html", "copies")
+    counted = sample.mapInArrow(_vectors, "host string, token long, weight long, pages long, times long, place double, v1 long, v2 long")
+    names = ("weight", "pages", "times", "place", "v1", "v2")
+    tokens = counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in names])
+    share = LEAST_SHARE * PAGE * F.col("host_pages") - PAGE // 1000  # copies' weights are rounded down
+    tokens = tokens.join(large, "host").where(F.col("weight") >= share)
     # tokens of one vector are one class; a class holds at most a page's worth of tokens, and so does a host
-    classes = tokens.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens"))
-    return classes.groupBy("host").agg(F.sort_array(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    once = (F.col("times") == F.col("pages")).alias("once")
+    classes = tokens.groupBy("host", "v1", "v2", once).agg(F.sort_array(F.collect_list(F.struct(F.round(F.col("place") / F.col("pages"), 6).alias("place"), "token"))).alias("tokens"))
+    ranked = F.struct((~F.col("once")).alias("often"), (-F.size("tokens")).alias("fewer"), "v1", "v2", F.col("tokens.token").alias("tokens"))
+    classes = classes.groupBy("host").agg(F.sort_array(F.collect_list(ranked)).alias("ranked"), F.max("once").alias("framed")).where("framed")
+    classes = materialise(classes.select("host", F.col("ranked.tokens").alias("classes")), "template-classes")
+    fits = sample.join(classes, "host").select("host", "html", "copies", "classes").mapInArrow(_fits, "host string, class int, token long, weight long")
+    fits = fits.groupBy("host", "class", "token").agg(F.sum("weight").alias("weight")).join(large, "host").where(F.col("weight") >= share)
+    valid = fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("class", "token"))).alias("valid"))
+    return classes.join(valid, "host")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for page, tokens in zip(batch.column(2), batch.column(3), strict=True):
-            owned = frozenset(np.asarray(tokens.values).tolist()) if tokens.is_valid else frozenset()
-            out.append("\n\n".join(blocks(page.as_py() or "", owned)))
+        for page, classes, valid in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+            text = page.as_py() or ""
+            owned = owned_pieces(text, classes.as_py(), [(v["class"], v["token"]) for v in valid.as_py()]) if classes.is_valid else frozenset()
+            out.append("\n\n".join(blocks(text, owned)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -197,7 +307,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     learned = materialise(templates(pages), "templates")
     host = F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))
     with_template = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(learned, "host", "left")
-    return with_template.select("page_id", "url", "html", "tokens").mapInArrow(_extract, "page_id long, url string, text string")
+    return with_template.select("page_id", "url", "html", "classes", "valid").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def html_digest(pages: DataFrame) -> DataFrame:
