@@ -3,7 +3,9 @@
 Candidates are long tokens of one inferred encoding (hex, base32, base64). For each the
 battery tests the hypothesis "drawn evenly from the encoding's alphabet": a chi-squared
 test of symbol counts, a runs test of symbols above and below the alphabet's middle and a
-test of serial correlation. A candidate the tests do not reject still may be ordinary
+test of serial correlation. '=' is padding at a token's end only, so it parts a name from
+its value. A run that no alphabet holds falls apart into its longest stretches of one
+alphabet; of those that overlap, the one least like text stands. A candidate the tests do not reject still may be ordinary
 text that is too short to show. So its chi-squared is also set against what text of that
 length would give, which yields a p-value for "ordinary text", and the Benjamini-Hochberg
 rule over all candidates of an encoding and length class bounds the share of false finds.
@@ -33,7 +35,9 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "random")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}(?:=+(?![A-Za-z0-9+/_=-]))?")
+#: What a candidate of no encoding falls apart into: its stretches of the two largest alphabets.
+_STRETCHES = (re.compile(r"[A-Za-z0-9+/]{20,}=*"), re.compile(r"[A-Za-z0-9_-]{20,}=*"))
 
 #: Alphabets by encoding, tried in order.
 ALPHABETS = {
@@ -109,6 +113,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, tuple[str, float, float]]]:
+    """(start, end, battery) of the candidates outside the base spans that may be random, in order."""
+    out = []
+    for m in _CANDIDATE.finditer(text):
+        if infer_encoding(m.group().rstrip("=")):
+            parts = [m.span()]
+        else:
+            parts = [(m.start() + x.start(), m.start() + x.end()) for stretch in _STRETCHES for x in stretch.finditer(m.group())]
+        free = [(i, j) for i, j in parts if not any(a < j and i < b for a, _, b in spans)]
+        tested = [(i, j, t) for i, j in free if (t := battery(text[i:j])) and t[1] >= REJECT]
+        kept: list[tuple[int, int, tuple[str, float, float]]] = []
+        for i, j, t in sorted(tested, key=lambda x: (x[2][2], x[0] - x[1], x[0])):
+            if not any(a < j and i < b for a, b, _ in kept):
+                kept.append((i, j, t))
+        out += sorted(kept)
+    return out
+
+
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _RANDOM = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length_class", pa.int32()), ("step", pa.int32())]))
 _SCHEMA = "doc_id long, base array<struct<start:long,kind:int,end:long>>, random array<struct<start:long,end:long,encoding:string,length_class:int,step:int>>"
@@ -122,13 +144,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
             found = []
-            for m in _CANDIDATE.finditer(text):
-                if any(a < m.end() and m.start() < b for a, _, b in spans):
-                    continue
-                tested = battery(m.group())
-                if tested and tested[1] >= REJECT:
-                    step = min(P_STEPS, int(-2 * math.log10(tested[2])))
-                    found.append({"start": m.start(), "end": m.end(), "encoding": tested[0], "length_class": length_class(m.end() - m.start()), "step": step})
+            for start, end, (encoding, _, like_text) in candidates(text, spans):
+                step = min(P_STEPS, int(-2 * math.log10(like_text)))
+                found.append({"start": start, "end": end, "encoding": encoding, "length_class": length_class(end - start), "step": step})
             random.append(found)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(random, _RANDOM)], ["doc_id", "base", "random"])
 

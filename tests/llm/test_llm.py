@@ -209,6 +209,21 @@ def test_random_tokens_are_told_from_text():
     assert not any((t := secrets.battery(x)) and t[1] >= secrets.REJECT for x in words)
 
 
+def test_random_tokens_after_a_name_or_a_path(spark):
+    rng = np.random.default_rng(4)
+    tokens = ["".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), 64)) for _ in range(40)]
+    forms = ["SIGNING_KEY={}", "see ?sig={} now", "my-own_path/{}", "a-b/{}==", "A_NAME_OF_TWENTY_LETTERS={}"]
+    texts = [forms[i % 5].format(t) for i, t in enumerate(tokens)]
+    got = {r.doc_id: r.spans for r in secrets.secrets_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    hit = []
+    for i, t in enumerate(tokens):
+        at = texts[i].index(t)
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[i].split(",") if x]
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+        hit.append(any(a <= at and at + len(t) <= b for a, b in spans))
+    assert all(np.mean(hit[k::5]) > 0.7 for k in range(5))
+
+
 def test_bpe_forgets_words_and_numbers_them_anew(monkeypatch):
     path, pattern = queries.tokenizer()
     monkeypatch.setattr(bpe, "MOST_WORDS", 20)
