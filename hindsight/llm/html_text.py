@@ -14,9 +14,14 @@ or main element hold the text; where a page has neither, those outside menus, he
 footers and the like do.
 
 Pages of a host whose main text by the element rules alone is equal count as one page, so
-copies of an article make no template. Occurrence vectors are summed as hashes (two numbers
-per host and token), so a host with a third of all pages is pre-aggregated like any other
-and never gathered.
+copies of an article make no template. Html is read twice: once for a page's tokens, 64-bit
+hashes that all the deduction works on, and once for the text. Occurrence vectors are summed
+as hashes (two numbers per host and token), so a host with a third of all pages is
+pre-aggregated like any other and never gathered.
+
+A header inside an article or main element is the article's own; any other is the page's.
+Markup is read in time linear in the page: a tag whose quotes never close ends at the next
+'>', and what follows the last '>' is text.
 
 Null and empty html give an empty text. A host of fewer than three different pages has no
 template: the element rules alone decide. Pages with equal ids are extracted one by one; a
@@ -28,8 +33,12 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -42,86 +51,99 @@ SKIP = frozenset("nav header footer aside form script style noscript template if
 BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody blockquote pre figure figcaption hr body html address details summary nav header footer aside form".split())
 RAW = frozenset("script style textarea title noscript template iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+INLINE = frozenset("p b i em strong span a u small".split())
 MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|cookie\w*|consent|comments?|sidebar|menu|nav\w*|breadcrumbs?|footer|header|share|social|related|promo\w*|sponsor\w*|popup|modal|newsletter|subscribe|notice|widget|pagination|disclaimer)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</?[a-zA-Z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|</?[a-zA-Z][^>]*>", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-#: A class is valid in hosts of so many pages, in such a share of them.
-LEAST_PAGES, LEAST_SHARE = 3, 0.9
-#: What one page weighs; copies share it.
-PAGE = 1 << 30
+#: A class is valid in hosts of so many pages, in so many tenths of them.
+LEAST_PAGES, LEAST_TENTHS = 3, 9
 _SPACE = re.compile(r"\s+")
 
 
-def pieces(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, content) in page order: kind is open, close or text; content is markup or raw text.
+class Tag(NamedTuple):
+    """What the extraction needs to know of a tag; token is odd."""
+
+    opens: bool
+    name: str
+    token: int
+    marked: bool
+    single: bool
+
+
+def _hash(token: str) -> int:
+    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) - (1 << 63)
+
+
+@lru_cache(maxsize=20_000)
+def read_tag(markup: str) -> Tag | None:
+    """The tag of a piece of markup; null for comments and declarations."""
+    found = _NAME.match(markup)
+    if found is None:
+        return None
+    name, opens = found.group(1).lower(), markup[1] != "/"
+    words = [a or b or c for a, b, c in _CLASS.findall(markup)] if "=" in markup else []
+    token = _hash(("o" if opens else "c") + name + " " + " ".join(w for w in words if w)) | 1
+    return Tag(opens, name, token, any(MARKED.search(w) for w in words), name in VOID or markup.endswith("/>"))
+
+
+def pieces(page: str) -> list[tuple[str, Tag | None]]:
+    """(text, none) or (markup, tag) in page order.
 
     A closed raw element (script, style ...) is one piece, so markup in it is not read as tags.
     """
-    at, n = 0, len(page)
-    lower = None
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            yield "text", "", page[at:]
-            return
-        if m.start() > at:
-            yield "text", "", page[at : m.start()]
-        at = m.end()
-        tag = m.group()
-        name = _NAME.match(tag)
-        if name is None:
-            continue
-        name = name.group(1).lower()
-        if tag[1] == "/":
-            yield "close", name, tag
+    out: list[tuple[str, Tag | None]] = []
+    at, lower, last = 0, None, page.rfind(">")
+    while True:
+        found = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
+        start = found.start() if found else len(page)
+        if start > at:
+            out.append((page[at:start], None))
+        if found is None:
+            return out
+        at, markup = found.end(), found.group()
+        tag = read_tag(markup) if len(markup) <= 2000 else read_tag.__wrapped__(markup)
+        if tag is None:
             continue
-        yield "open", name, tag
-        if name in RAW and not tag.endswith("/>"):
+        out.append((markup, tag))
+        if tag.opens and tag.name in RAW and not tag.single:
             lower = lower or page.lower()
-            if (end := lower.find(f"</{name}", at)) >= 0:
+            if len(lower) == len(page) and (end := lower.find(f"</{tag.name}", at)) >= 0:
                 at = end
 
 
-def _marked(tag: str) -> bool:
-    return any(MARKED.search(a or b or c) for a, b, c in _CLASS.findall(tag))
-
-
-def _hash(token: str) -> int:
-    return xxhash.xxh3_64_intdigest(token.encode("utf-8", "replace")) - (1 << 63)
-
-
-def page_tokens(page: str) -> list[tuple[int, bool] | None]:
-    """Token and whether it is a tag, for every piece of a page; null for blank text."""
-    out: list[tuple[int, bool] | None] = []
-    for kind, name, content in pieces(page):
-        if kind == "text":
-            run = _SPACE.sub(" ", content).strip()
-            out.append((_hash("=" + run), False) if run else None)
+def page_tokens(parts: list[tuple[str, Tag | None]]) -> list[int]:
+    """Token of every piece of a page: odd for tags, even for runs of text, 0 for blank text."""
+    out = []
+    for content, tag in parts:
+        if tag is not None:
+            out.append(tag.token)
         else:
-            words = " ".join(x for t in _CLASS.findall(content) for x in t if x) if "=" in content else ""
-            out.append((_hash(kind[0] + name + " " + words), True))
+            run = " ".join(content.split())
+            out.append((_hash("=" + run) & ~1 or 2) if run else 0)
     return out
 
 
-def _places(tokens: list[tuple[int, bool] | None]) -> dict[int, list[int]]:
+def _places(tokens: list[int]) -> dict[int, list[int]]:
     out: dict[int, list[int]] = {}
     for at, token in enumerate(tokens):
         if token:
-            out.setdefault(token[0], []).append(at)
+            out.setdefault(token, []).append(at)
     return out
 
 
 def _in_order(places: list[int]) -> list[int]:
     """Indices of a longest increasing part of ``places``."""
+    if all(x < y for x, y in zip(places, places[1:], strict=False)):
+        return list(range(len(places)))
     ends: list[int] = []
     held: list[int] = []
     before: list[int] = []
     for i, place in enumerate(places):
         k = bisect_left(ends, place)
         before.append(held[k - 1] if k else -1)
-        ends[k:], held[k:] = [place, *ends[k + 1 :]], [i, *held[k + 1 :]]
+        ends[k : k + 1], held[k : k + 1] = [place], [i]
     out, i = [], held[-1] if held else -1
     while i >= 0:
         out.append(i)
@@ -147,18 +169,17 @@ def _nested(tokens: list[int], places: dict[int, list[int]], bounds: list[int])
     return slot if slot == bisect_right(bounds, flat[-1]) else None
 
 
-def _bounds(frame: dict[int, int], tags: dict[int, bool]) -> tuple[list[int], list[int]]:
+def _bounds(frame: dict[int, int]) -> tuple[list[int], list[int]]:
     """Places and tokens of the frame's tags on this page."""
-    held = sorted((at, t) for t, at in frame.items() if tags[t])
+    held = sorted((at, t) for t, at in frame.items() if t & 1)
     return [at for at, _ in held], [t for _, t in held]
 
 
-def owned_pieces(page: str, classes: list[list[int]], valid: list[tuple[int, int]]) -> frozenset[int]:
+def owned_pieces(tokens: list[int], classes: list[list[int]], valid: list[tuple[int, int]]) -> frozenset[int]:
     """Numbers of the page's pieces that are its host's template."""
-    tokens = page_tokens(page)
-    places, tags = _places(tokens), dict(t for t in tokens if t)
+    places = _places(tokens)
     frame = _frame(classes, places, frozenset(t for c, t in valid if c == 0))
-    bounds, names = _bounds(frame, tags)
+    bounds, names = _bounds(frame)
     out = set(frame.values())
     for c, before in valid:
         if c and (slot := _nested(classes[c], places, bounds)) is not None and (names[slot - 1] if slot else 0) == before:
@@ -166,9 +187,10 @@ def owned_pieces(page: str, classes: list[list[int]], valid: list[tuple[int, int
     return frozenset(out)
 
 
-def blocks(page: str, owned: frozenset[int] = frozenset()) -> list[str]:
+def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozenset()) -> list[str]:
     """Text blocks of the main content, in page order, less the pieces the template owns."""
     stack: list[tuple[str, bool, bool]] = []
+    opened: Counter[str] = Counter()
     found: list[tuple[bool, str]] = []
     run: list[str] = []
     skip = main = 0
@@ -176,129 +198,167 @@ def blocks(page: str, owned: frozenset[int] = frozenset()) -> list[str]:
 
     def flush() -> None:
         if run:
-            text = _SPACE.sub(" ", html.unescape("".join(run))).strip()
+            text = " ".join(html.unescape("".join(run)).split())
             if text:
                 found.append((main > 0, text))
             run.clear()
 
-    for at, (kind, name, content) in enumerate(pieces(page)):
-        if kind == "text":
+    def leave() -> str:
+        nonlocal skip, main
+        name, was_skip, was_main = stack.pop()
+        opened[name] -= 1
+        skip -= was_skip
+        main -= was_main
+        return name
+
+    for at, (content, tag) in enumerate(parts):
+        if tag is None:
             if not skip:
                 run.append(" " if at in owned else content)
             continue
+        name = tag.name
         if name in BLOCK or name in SKIP:
             flush()
         elif name == "br" and not skip:
             run.append(" ")
-        if kind == "open":
-            if name in VOID or content.endswith("/>"):
+        if tag.opens:
+            if tag.single:
                 continue
-            if name == "p":  # a new paragraph ends an open one
-                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "small") and any(s[0] == "p" for s in stack):
-                    _, was_skip, was_main = stack.pop()
-                    skip -= was_skip
-                    main -= was_main
-            opens = name in SKIP or (name not in ("html", "body", "article", "main") and "=" in content and _marked(content))
+            if name == "body" and opened["head"]:  # an end tag of head may be left out
+                while leave() != "head":
+                    pass
+            elif name == "p" and opened["p"]:  # a new paragraph ends an open one
+                while stack and stack[-1][0] in INLINE and opened["p"]:
+                    leave()
+            own_header = name == "header" and main > 0
+            opens = (name in SKIP and not own_header) or (tag.marked and name not in ("html", "body", "article", "main"))
             holds = name in ("article", "main") and not skip
             any_main = any_main or holds
             stack.append((name, opens, holds))
+            opened[name] += 1
             skip += opens
             main += holds
-        elif any(s[0] == name for s in stack):
-            while stack:
-                top, was_skip, was_main = stack.pop()
-                skip -= was_skip
-                main -= was_main
-                if top == name:
-                    break
+        elif opened[name]:
+            while leave() != name:
+                pass
     flush()
     return [t for inside, t in found if inside or not any_main]
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: host, page, html -> host, page, hash of the main text by the element rules alone."""
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: host, html -> host, hash of the main text by the element rules alone, tokens."""
     for batch in batches:
-        marks = [_hash("\n\n".join(blocks(page.as_py() or ""))) for page in batch.column(2)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks, pa.int64())], ["host", "page", "mark"])
+        marks, tokens = [], []
+        for page in batch.column(1):
+            parts = pieces(page.as_py() or "")
+            marks.append(_hash("\n\n".join(blocks(parts))))
+            tokens.append(page_tokens(parts))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["host", "mark", "tokens"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: host, page, html, copies -> host, token, weight and numbers of pages and occurrences, mean places summed, occurrence vector."""
+    """Task body: host, mark, tokens -> host, token, numbers of pages and occurrences, mean places summed, occurrence vector."""
     for batch in batches:
         sums: dict[tuple[str, int], list] = {}
-        for host, page, text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist(), strict=True):
-            for token, places in _places(page_tokens(text.as_py() or "")).items():
+        for host, mark, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            digests: dict[int, int] = {}
+            for token, places in _places(tokens).items():
                 n = len(places)
-                digest = xxhash.xxh3_64_intdigest(f"{page} {n}".encode())
-                new = (PAGE // copies, 1, n, sum(places) / n, digest & 0x7FFFFFFF, digest >> 33)
+                if n not in digests:
+                    digests[n] = xxhash.xxh3_64_intdigest(f"{mark} {n}".encode())
+                new = (1, n, sum(places) / n, digests[n] & 0x7FFFFFFF, digests[n] >> 33)
                 at = sums.get((host, token))
                 sums[host, token] = [x + y for x, y in zip(at, new, strict=True)] if at else list(new)
-        columns = list(zip(*sums.values(), strict=True)) or [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        columns = list(zip(*sums.values(), strict=True)) or [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.int64()), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]],
-            ["host", "token", "weight", "pages", "times", "place", "v1", "v2"],
+            ["host", "token", "pages", "times", "place", "v1", "v2"],
         )
 
 
+class Templates:
+    """Templates by host as they come with a batch's rows, each unpacked once."""
+
+    def __init__(self, hosts: list[str], packed: pa.Array, valid: pa.Array | None = None):
+        self.hosts, self.packed, self.valid, self.known = hosts, packed, valid, {}
+
+    def at(self, row: int) -> tuple[list[list[int]], list[tuple[int, int]]]:
+        host = self.hosts[row]
+        if host not in self.known:
+            flat, classes, at = self.packed[row].values.to_pylist(), [], 0
+            while at < len(flat):
+                classes.append(flat[at + 1 : at + 1 + flat[at]])
+                at += 1 + flat[at]
+            pairs = self.valid[row].values.to_pylist() if self.valid is not None else []
+            self.known[host] = classes, list(zip(pairs[::2], pairs[1::2], strict=True))
+        return self.known[host]
+
+
 def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: host, html, copies, classes -> host, class, token, weight of the pages where it fits.
+    """Task body: host, tokens, classes -> host, class, token, number of the pages where it fits.
 
     For the root class the token is one of its own, for others the tag before their slot.
     """
     for batch in batches:
-        sums: dict[tuple[str, int, int], int] = {}
-        for host, text, copies, classes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            tokens = page_tokens(text.as_py() or "")
+        sums: Counter[tuple[str, int, int]] = Counter()
+        hosts = batch.column(0).to_pylist()
+        known = Templates(hosts, batch.column(2))
+        for row, tokens in enumerate(batch.column(1).to_pylist()):
+            host, (classes, _) = hosts[row], known.at(row)
             places = _places(tokens)
             frame = _frame(classes, places)
-            bounds, names = _bounds(frame, dict(t for t in tokens if t))
-            fits = [(0, t) for t in frame]
+            bounds, names = _bounds(frame)
+            sums.update((host, 0, t) for t in frame)
             for c in range(1, len(classes)):
                 if (slot := _nested(classes[c], places, bounds)) is not None:
-                    fits.append((c, names[slot - 1] if slot else 0))
-            for c, token in fits:
-                sums[host, c, token] = sums.get((host, c, token), 0) + PAGE // copies
+                    sums[host, c, names[slot - 1] if slot else 0] += 1
         keys = list(sums)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.int64()), pa.array(sums.values(), pa.int64())],
-            ["host", "class", "token", "weight"],
+            [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int64()), pa.array(sums.values(), pa.int64())],
+            ["host", "class", "token", "pages"],
         )
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, classes (the root first, tokens in order), valid (class and token: of the root its own, else the tag before the slot)."""
-    hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), F.xxhash64("html").alias("page"), "html")
-    # of the pages of a host with one main text, one stands for all; its exact copies share its weight
-    marks = hosted.mapInArrow(_signatures, "host string, page long, mark long").groupBy("host", "mark", "page").agg(F.count("*").alias("copies"))
-    chosen = marks.groupBy("host", "mark").agg(F.min(F.struct("page", "copies")).alias("one")).select("host", "one.*")
+    """host, classes (the root first, tokens in order, each class after its length), valid (class, token, class, token ...).
+
+    A token goes with class 0 if it is of the frame; with another class it is the tag before the slot.
+    """
+    hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), "html")
+    read = hosted.mapInArrow(_read, "host string, mark long, tokens array<long>")
+    # of the pages of a host with one main text, one stands for all
+    chosen = materialise(read.groupBy("host", "mark").agg(F.min("tokens").alias("tokens")), "template-pages")
     large = chosen.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
-    chosen = materialise(chosen.join(large, "host"), "template-pages")
-    sample = hosted.join(chosen, ["host", "page"]).select("host", "page", "html", "copies")
-    counted = sample.mapInArrow(_vectors, "host string, token long, weight long, pages long, times long, place double, v1 long, v2 long")
-    names = ("weight", "pages", "times", "place", "v1", "v2")
-    tokens = counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in names])
-    share = LEAST_SHARE * PAGE * F.col("host_pages") - PAGE // 1000  # copies' weights are rounded down
-    tokens = tokens.join(large, "host").where(F.col("weight") >= share)
+    enough = 10 * F.col("pages") >= LEAST_TENTHS * F.col("host_pages")
+    counted = chosen.mapInArrow(_vectors, "host string, token long, pages long, times long, place double, v1 long, v2 long")
+    tokens = counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in ("pages", "times", "place", "v1", "v2")])
+    tokens = tokens.join(large, "host").where(enough)
     # tokens of one vector are one class; a class holds at most a page's worth of tokens, and so does a host
     once = (F.col("times") == F.col("pages")).alias("once")
     classes = tokens.groupBy("host", "v1", "v2", once).agg(F.sort_array(F.collect_list(F.struct(F.round(F.col("place") / F.col("pages"), 6).alias("place"), "token"))).alias("tokens"))
     ranked = F.struct((~F.col("once")).alias("often"), (-F.size("tokens")).alias("fewer"), "v1", "v2", F.col("tokens.token").alias("tokens"))
     classes = classes.groupBy("host").agg(F.sort_array(F.collect_list(ranked)).alias("ranked"), F.max("once").alias("framed")).where("framed")
-    classes = materialise(classes.select("host", F.col("ranked.tokens").alias("classes")), "template-classes")
-    fits = sample.join(classes, "host").select("host", "html", "copies", "classes").mapInArrow(_fits, "host string, class int, token long, weight long")
-    fits = fits.groupBy("host", "class", "token").agg(F.sum("weight").alias("weight")).join(large, "host").where(F.col("weight") >= share)
-    valid = fits.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("class", "token"))).alias("valid"))
+    packed = F.flatten(F.transform("ranked.tokens", lambda t: F.concat(F.array(F.size(t).cast("long")), t)))
+    classes = materialise(classes.select("host", packed.alias("classes")), "template-classes")
+    fits = chosen.join(classes, "host").select("host", "tokens", "classes").mapInArrow(_fits, "host string, class long, token long, pages long")
+    fits = fits.groupBy("host", "class", "token").agg(F.sum("pages").alias("pages")).join(large, "host").where(enough)
+    pair = F.sort_array(F.collect_list(F.struct("class", "token")))
+    valid = fits.groupBy("host").agg(F.flatten(F.transform(pair, lambda p: F.array(p["class"], p["token"]))).alias("valid"))
     return classes.join(valid, "host")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: page_id, url, html, host, classes, valid -> page_id, url, text."""
     for batch in batches:
         out = []
-        for page, classes, valid in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
-            text = page.as_py() or ""
-            owned = owned_pieces(text, classes.as_py(), [(v["class"], v["token"]) for v in valid.as_py()]) if classes.is_valid else frozenset()
-            out.append("\n\n".join(blocks(text, owned)))
+        classes = batch.column(4)
+        known = Templates(batch.column(3).to_pylist(), classes, batch.column(5))
+        has = np.asarray(classes.is_valid())
+        for row, page in enumerate(batch.column(2)):
+            parts = pieces(page.as_py() or "")
+            owned = owned_pieces(page_tokens(parts), *known.at(row)) if has[row] else frozenset()
+            out.append("\n\n".join(blocks(parts, owned)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -307,7 +367,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     learned = materialise(templates(pages), "templates")
     host = F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))
     with_template = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(learned, "host", "left")
-    return with_template.select("page_id", "url", "html", "classes", "valid").mapInArrow(_extract, "page_id long, url string, text string")
+    return with_template.select("page_id", "url", "html", "host", "classes", "valid").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def html_digest(pages: DataFrame) -> DataFrame:
