@@ -15,9 +15,11 @@ WORD_BREAK = "[ \\t-\\r]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where none is named and all run on this machine."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="hindsight-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -28,7 +30,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def discard(written: DataFrame) -> None:
+    """Delete the files of a table from :func:`materialise` that no later read needs."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,7 +56,8 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
     """Smallest id reachable from every id in ``links(a, b)``.
 
     Alternating large-star and small-star passes; each halves the distance to the
-    smallest id at least, holds one row per link and gathers no group anywhere.
+    smallest id at least and holds one row per link. A hub's links are joined with one
+    number, its smallest neighbour, as a stream; no task holds them.
     Self-links, repeated and null links are ignored; no links give no rows.
     """
     edges = materialise(
@@ -62,8 +74,10 @@ def connected_components(links: DataFrame, label: str = "components") -> DataFra
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
+        last = edges
         edges = materialise(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", "m")).distinct(), label
         )
+        discard(last)
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

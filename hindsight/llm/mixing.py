@@ -1,37 +1,62 @@
 """Mixing sources to target weights by entropy balancing, with built-in functions only.
 
-The rates closest in relative entropy to one that meet the token target of every
-source have the form exp(lambda_source); Newton iterations on the convex dual find
-lambda. As one multiplier serves a source, the dual splits by source and its moments
-are one sum per source: a pre-aggregated pass, then Newton over the small table.
-
-Rates become whole copies: every document gets floor(rate) copies and those whose hash
-falls under a threshold get one more. The threshold of a source is found by refining a
-histogram of hashes three times, so no source is ever sorted or gathered in one place.
-
-Null texts have size 0. Null sources form a source of their own, last in order. Tables
-without words give targets and copies of 0. Rows with equal doc_id share a hash and so
-are taken together. Reruns agree: nothing is random.
+Of all rates per document whose words meet the token target of every source, with no rate
+above MOST, those closest in relative entropy to one copy each are
+
+    rate(document) = min(MOST, exp(lambda(source) * size(document))),
+
+exponentially tilted in the tokens a document brings: a source above its target gives up
+its long documents first, one below it repeats them most. The multipliers solve a convex
+dual with one token constraint per source. Newton steps on the logarithm of the words taken,
+kept inside a bracket, find them for all sources at once. Every step is one distributed sum
+of a source's first and second moments under the current tilt; as documents of equal source
+and size have equal rates, the sums run over counts of sizes, aggregated once. The state of
+the iteration is a table with one row per source.
+
+Rates become whole copies: every document gets floor(rate) copies, and those with a small
+hash for the fraction left get one more. How small is found per source by refining a
+histogram of hash over fraction, so no source is ever sorted or gathered in one place.
+
+Null texts have size 0 and are never taken, nor are others without a word. Null sources form
+a source of their own, last in order. Tables without words have targets of 0 and no copies.
+Rows are rated one by one by their own size; rows with equal doc_id share a hash. Reruns
+agree: nothing is random, and rates are whole billionths.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, words_of
+from .common import discard, materialise, words_of
 
 #: Weights of sources in code point order, repeating, and the most a source or document may grow.
 WEIGHTS = (1, 2, 3)
 MOST = 3
-NEWTON_STEPS = 64
-#: Bins of each histogram level; three levels tell 2**30 hashes apart.
-LEVEL_BITS, LEVELS = 10, 3
+#: The iteration ends when every source's words are this near its target, or after so many steps.
+CLOSE, NEWTON_STEPS = 1e-11, 100
+#: Rates are whole multiples of 1 / BILLION.
+BILLION = 1_000_000_000
+#: Bits of the hash, and of each of the levels that find a threshold.
+HASH_BITS, LEVEL_BITS, LEVELS = 30, 10, 4
+
+
+def _hash_bits(doc_id: Column) -> Column:
+    """HASH_BITS bits from the md5 of the id, the same in any engine."""
+    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
+    return F.shiftright(bits, 32 - HASH_BITS)
+
+
+def word_count(text: Column) -> Column:
+    """Number of words; a null text has none."""
+    return F.size(words_of(text)).cast("long")
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and number of words per row."""
-    return docs.select("doc_id", "source", F.size(words_of(F.col("text"))).cast("long").alias("size"))
+    """doc_id, source, number of words and hash per row."""
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _hash_bits(F.col("doc_id")).alias("u"))
 
 
 def source_targets(sized: DataFrame) -> DataFrame:
@@ -68,56 +93,106 @@ def everything_sorted(spec):
     return spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def log_rate(size: Column, target: Column) -> Column:
-    """Newton steps on the dual  size * exp(l) - target * l ; null where there is nothing to take."""
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
 
-    def step(l: Column, _: Column) -> Column:
-        return F.least(l - 1 + target / (size * F.exp(l)), F.lit(4.0))
 
-    solved = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
-    return F.when((size > 0) & (target > 0), solved)
+def tilted(lam: Column, size: Column) -> Column:
+    """The rate under a multiplier."""
+    return F.least(F.lit(float(MOST)), F.exp(lam * size))
 
 
-def _hash_bits(doc_id: Column) -> Column:
-    """30 bits from the md5 of the id, the same in any engine."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
-    return F.shiftright(bits, 2)
+def multipliers(targets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``targets`` with ``lam``, the dual's solution; ``counts(source, size, n)`` has no size 0. Sources without words get null.
 
+    At either end of the bracket all documents have at most, or at least, the rate that the target asks of them on average.
+    """
+    least = counts.groupBy("source").agg(F.min("size").alias("least"))
+    state = targets.alias("t").join(least.alias("l"), _same("t", "l")).where("target > 0").select("t.*", "least")
+    ends = {
+        "lo": F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) / F.col("least")),
+        "hi": F.when(F.col("target") > F.col("source_size"), F.lit(math.log(MOST)) / F.col("least")).otherwise(0.0),
+    }
+    state = state.withColumns(ends).withColumn("lam", F.when(F.col("target") >= MOST * F.col("source_size"), F.col("hi")).otherwise(0.0))
+    written = materialise(state, "mixing-dual")
+    for _ in range(NEWTON_STEPS):
+        state = written.drop("open")
+        rate = tilted(F.col("lam"), F.col("size"))
+        rows = counts.alias("c").join(state.select("source", "lam").alias("s"), _same("c", "s"))
+        words = F.col("n") * F.col("size") * rate
+        moments = rows.groupBy(F.col("c.source").alias("source")).agg(F.sum(words).alias("m1"), F.sum(F.when(rate < MOST, words * F.col("size")).otherwise(0.0)).alias("m2"))
+        step = state.alias("s").join(moments.alias("m"), _same("s", "m")).select("s.*", "m1", "m2")
+        step = step.withColumn("off", F.abs(F.col("m1") / F.col("target") - 1))
+        step = step.withColumns({"lo": F.when(F.col("m1") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("m1") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))})
+        newton = F.col("lam") + F.log(F.col("target") / F.col("m1")) * F.col("m1") / F.col("m2")
+        inside = (F.col("m2") > 0) & (newton > F.col("lo")) & (newton < F.col("hi"))
+        done = (F.col("off") <= CLOSE) | (F.col("lam") == F.lit(math.log(MOST)) / F.col("least"))
+        step = step.withColumn("lam", F.when(done, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2))
+        last, written = written, materialise(step.withColumn("open", ~done).drop("m1", "m2", "off"), "mixing-dual")
+        discard(last)
+        if written.where("open").isEmpty():
+            break
+    lam = written.select("source", "lam")
+    return targets.alias("t").join(lam.alias("s"), _same("t", "s"), "left").select("t.*", "s.lam")
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, rate, copies per row of ``docs``."""
-    sized = materialise(sizes(docs).withColumn("u", _hash_bits(F.col("doc_id"))), "mixing")
-    # one row per source
-    plan = source_targets(sized)
-    plan = plan.withColumn("rate", F.coalesce(F.exp(log_rate(F.col("source_size"), F.col("target"))), F.lit(0.0)))
-    plan = plan.withColumn("whole", F.floor(F.col("rate") + 1e-9))
-    plan = plan.withColumn("need", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    plan = materialise(plan.withColumns({"prefix": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}), "mixing-plan")
 
-    def same(a: str, b: str) -> Column:
-        return F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
+def plan_mix(sized: DataFrame) -> DataFrame:
+    """source, source_size, target, lam, below for every source of ``sized(source, size, u)``.
 
+    Documents whose hash over fraction is under ``below`` get one copy more than their whole rate.
+    """
+    counts = materialise(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mixing-counts")
+    plan = multipliers(source_targets(sized), counts)
+    whole = counts.alias("c").join(plan.alias("p"), _same("c", "p")).select("c.source", (F.col("n") * F.col("size") * copies_and_fraction()[0]).alias("words"))
+    whole = whole.groupBy("source").agg(F.sum("words").alias("words"))
+    plan = plan.alias("p").join(whole.alias("w"), _same("p", "w"), "left")
+    plan = plan.select("p.*", F.greatest(F.col("target") - F.coalesce("words", F.lit(0)), F.lit(0.0)).alias("need"))
+    plan = materialise(plan.withColumns({"below": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}), "mixing-plan")
     for level in range(1, LEVELS + 1):
         shift = LEVEL_BITS * (LEVELS - level)
-        inside = F.shiftright("u", shift + LEVEL_BITS) == F.col("prefix")
-        rows = sized.alias("d").join(plan.alias("p"), same("d", "p") & inside)
-        bins = rows.groupBy(F.col("d.source").alias("source"), F.shiftright("u", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        rows = sized.alias("d").join(plan.alias("p"), _same("d", "p")).where("size > 0").select("p.source", "size", "below", order_of().alias("v"))
+        rows = rows.where(F.shiftright("v", shift + LEVEL_BITS) == F.col("below"))
+        bins = rows.groupBy("source", F.shiftright("v", shift).alias("bin")).agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("below", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-        found = bins.alias("b").join(plan.alias("p"), same("b", "p")).where("under + below <= need")
-        last = found.groupBy(F.col("b.source").alias("source")).agg(F.max(F.struct("bin", "below", "words")).alias("at"))
-        joined = plan.alias("p").join(last.alias("l"), same("p", "l"), "left")
-        keep = [F.col(f"p.{c}").alias(c) for c in ("source", "source_size", "weight", "target", "rate", "whole", "need")]
-        below = F.coalesce(F.col("at.below"), F.lit(0)) + F.col("under")
-        bin_, words = F.coalesce(F.col("at.bin"), F.shiftleft("prefix", LEVEL_BITS)), F.coalesce(F.col("at.words"), F.lit(0))
-        if level == LEVELS:  # the row at the threshold is taken if that comes nearer
-            takes = (words > 0) & (below + words - F.col("need") < F.col("need") - below)
+        bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
+        found = bins.alias("b").join(plan.alias("p"), _same("b", "p")).where("under + before <= need")
+        last = found.groupBy(F.col("b.source").alias("source")).agg(F.max(F.struct("bin", "before", "words")).alias("at"))
+        joined = plan.alias("p").join(last.alias("l"), _same("p", "l"), "left")
+        under = F.coalesce(F.col("at.before"), F.lit(0)) + F.col("under")
+        bin_, words = F.coalesce(F.col("at.bin"), F.shiftleft("below", LEVEL_BITS)), F.coalesce(F.col("at.words"), F.lit(0))
+        if level == LEVELS:  # the rows at the threshold are taken if that comes nearer
+            takes = (words > 0) & (under + words - F.col("need") < F.col("need") - under)
             bin_ = F.when(takes, bin_ + 1).otherwise(bin_)
-        plan = materialise(joined.select(*keep, bin_.alias("prefix"), below.alias("under")), "mixing-plan")
-    out = sized.alias("d").join(plan.alias("p"), same("d", "p"))
-    copies = F.col("whole") + F.when(F.col("u") < F.col("prefix"), 1).otherwise(0)
-    copies = F.when(F.col("size") > 0, F.least(copies, F.lit(MOST))).otherwise(0)
-    return out.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", "rate", copies.cast("long").alias("copies"))
+        keep = [F.col(f"p.{c}").alias(c) for c in ("source", "source_size", "target", "lam", "need")]
+        before, plan = plan, materialise(joined.select(*keep, bin_.alias("below"), under.alias("under")), "mixing-plan")
+        discard(before)
+    return plan.drop("need", "under")
+
+
+def copies_and_fraction() -> tuple[Column, Column]:
+    """Whole copies, and what is left of the rate in billionths, from size and lam."""
+    rate = F.floor(tilted(F.col("lam"), F.col("size")) * BILLION + 0.5)
+    return F.floor(rate / BILLION).cast("long"), (rate % BILLION).cast("long")
+
+
+def order_of() -> Column:
+    """Where a row stands in line for one more copy: its hash over its fraction; at the end if it has none."""
+    last, fraction = (1 << LEVEL_BITS * LEVELS) - 1, copies_and_fraction()[1]
+    return F.when(fraction > 0, F.least(F.call_function("div", F.col("u") * F.lit(BILLION), fraction), F.lit(last))).otherwise(last)
+
+
+def copies() -> Column:
+    """Copies of a row from size, u, lam and below."""
+    more = F.when(order_of() < F.col("below"), 1).otherwise(0)
+    return F.when((F.col("size") > 0) & F.col("lam").isNotNull(), F.least(copies_and_fraction()[0] + more, F.lit(MOST))).otherwise(0).cast("long")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, rate, copies per row of ``docs``."""
+    sized = materialise(sizes(docs), "mixing")
+    out = sized.alias("d").join(plan_mix(sized).alias("p"), _same("d", "p"))
+    rate = F.when(F.col("size") > 0, tilted(F.col("lam"), F.col("size"))).otherwise(0.0)
+    return out.select("doc_id", F.col("d.source").alias("source"), "size", "source_size", "target", rate.alias("rate"), copies().alias("copies"))
 
 
 def mixing_digest(docs: DataFrame) -> DataFrame:
@@ -128,18 +203,16 @@ def mixing_digest(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The mixed corpus: rows of ``docs`` as often as the mix takes them, columns unchanged.
 
-    Rows with the same doc_id have the same hash and source rate, so one copy count per
-    (doc_id, source) serves them all.
+    Texts are never shuffled for it unless the sources are too many to send to every task.
     """
-    counts = mix(docs).groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    joined = docs.alias("d").join(counts.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")) & F.col("d.source").eqNullSafe(F.col("c.source")))
-    taken = F.when(F.size(words_of(F.col("d.text"))) > 0, F.col("_copies")).otherwise(0)
-    one_each = joined.where(taken > 0).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return one_each.select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+    plan = plan_mix(materialise(sizes(docs), "mixing"))
+    held = docs.select(F.struct("*").alias("row"), "source", word_count(F.col("text")).alias("size"), _hash_bits(F.col("doc_id")).alias("u"))
+    held = held.alias("d").join(plan.alias("p"), _same("d", "p")).select("row", copies().cast("int").alias("copies")).where("copies > 0")
+    return held.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT >> 2 AS u
   FROM documents
@@ -157,17 +230,36 @@ WITH d AS (
   ) WHERE weight * lvl <= cap
 ), t AS (
   SELECT source, source_size, least(weight * coalesce(lvl, 'inf'::DOUBLE), cap::DOUBLE) AS target FROM k, lv
-), p AS (
-  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size + 1e-9) ELSE 0 END AS whole FROM t
-), q AS (
-  SELECT *, greatest(target - whole * source_size, 0) AS need FROM p
+), h AS (
+  SELECT source, size, count(*) AS n FROM d WHERE size > 0 GROUP BY source, size
+), b AS (
+  SELECT source, source_size, target, (SELECT min(size) FROM h WHERE h.source IS NOT DISTINCT FROM t.source) AS least_size FROM t WHERE target > 0
+), halved AS (
+  SELECT 0 AS i, source, target, least(0, ln(target / source_size) / least_size) AS lo,
+         CASE WHEN target > source_size THEN ln(3) / least_size ELSE 0 END AS hi
+  FROM b
+  UNION ALL
+  SELECT i + 1, source, target, CASE WHEN m < target THEN mid ELSE lo END, CASE WHEN m < target THEN hi ELSE mid END
+  FROM (
+    SELECT x.i, x.source, any_value(x.target) AS target, any_value(x.lo) AS lo, any_value(x.hi) AS hi, any_value((x.lo + x.hi) / 2) AS mid,
+           sum(n * size * least(3, exp((x.lo + x.hi) / 2 * size))) AS m
+    FROM halved x JOIN h ON h.source IS NOT DISTINCT FROM x.source WHERE x.i < 110 GROUP BY x.i, x.source
+  )
+), l AS (
+  SELECT source, hi AS lam FROM halved WHERE i = 110
+), rated AS (
+  SELECT d.*, source_size, target, coalesce(floor(least(3, exp(lam * size)) * 1e9 + 0.5), 0)::BIGINT AS nano
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN l ON d.source IS NOT DISTINCT FROM l.source
 ), c AS (
-  SELECT d.*, source_size, target, whole, need,
-         coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY u RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below,
-         sum(size) OVER (PARTITION BY d.source, u) AS tie
-  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+  SELECT *, nano // 1000000000 AS whole, CASE WHEN size > 0 AND nano % 1000000000 > 0 THEN least(u * 1000000000 // (nano % 1000000000), 1099511627775) ELSE 1099511627775 END AS v
+  FROM rated
+), q AS (
+  SELECT *, greatest(target - sum(whole * size) OVER (PARTITION BY source), 0) AS need,
+         coalesce(sum(size) OVER (PARTITION BY source ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         sum(size) OVER (PARTITION BY source, v) AS tie
+  FROM c
 )
 SELECT doc_id, size, source_size, target,
-       (size * least(whole + CASE WHEN below + tie <= need OR (below <= need AND below + tie - need < need - below) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
-FROM c
+       (size * least(whole + CASE WHEN before + tie <= need OR (before <= need AND before + tie - need < need - before) THEN 1 ELSE 0 END, 3))::BIGINT AS taken
+FROM q
 """
