@@ -46,28 +46,27 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated lines taken out of text, plus n_lines and n_removed."""
+    """``docs`` with the repeated lines taken out of text, plus n_lines and n_removed; they replace columns of the same name."""
     marks = repeated_lines(docs)
-    joined = docs.withColumn("_t", F.xxhash64("text")).alias("d").join(
-        marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d._t") == F.col("m.t")), "left"
-    )
-    joined = joined.select("d.*", F.col("m.starts").alias("_starts")).withColumn("_lines", F.split("text", "\n"))
+    held = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
+    joined = held.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t")), "left")
+    joined = joined.select("row", "lines", "starts")
 
     def removed(worded: Column) -> Column:
-        return F.array_distinct(F.flatten(F.transform("_starts", lambda p: F.slice(worded, p + 1, WINDOW_LINES))))
+        return F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice(worded, p + 1, WINDOW_LINES))))
 
     # the worded indexes are bound once per row by the outer transform
-    gone = F.when(F.col("_starts").isNotNull(), F.transform(F.array(_worded(F.col("_lines"))), removed)[0])
-    joined = joined.withColumn("_gone", gone)
-    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n")
-    return joined.withColumns(
-        {
-            "text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept),
-            "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"),
-            "n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"),
-        }
-    ).drop("_t", "_starts", "_lines", "_gone")
+    gone = F.when(F.col("starts").isNotNull(), F.transform(F.array(_worded(F.col("lines"))), removed)[0])
+    joined = joined.withColumn("gone", gone)
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get("lines", i)), "\n")
+    found = {
+        "text": F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept),
+        "n_lines": F.when(F.col("row.text").isNull(), 0).otherwise(F.size("lines")).cast("long"),
+        "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"),
+    }
+    own = [found.pop(c).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(*own, *[v.alias(k) for k, v in found.items()])
 
 
 def dedup_digest(docs: DataFrame) -> DataFrame:

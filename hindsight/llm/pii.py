@@ -6,8 +6,11 @@ Base kinds are always kept once confirmed; the method's own kinds need the score
 
 Null and empty texts have no spans. Offsets count code points, the end is
 exclusive. Possessive quantifiers keep the matcher from backtracking or
-recursing on very long runs. Repeated rows each get their own result, extra
-columns are carried by :func:`find_pii` unless they clash, when the result wins.
+recursing on very long runs. The text is split at the matches once; places are
+running sums of lengths, taken in blocks, and context is read off the pieces
+beside a match, so a text with very many spans stays near linear. Repeated rows
+each get their own result, extra columns are carried by :func:`find_pii` unless
+they clash, when the result wins.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ CONTEXT_FOR = {"iban": "iban|bic|swift|account|konto|compte|cuenta|bank", "ssn":
 CONTEXT_AGAINST = "version|isbn|part|serial|model|order"
 CONTEXT_CHARS = 48
 KEEP_SCORE = 0.5
+#: Numbers that a running sum takes at a time.
+BLOCK = 64
 
 
 def _digits(match: Column) -> Column:
@@ -77,42 +82,52 @@ def _confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _score(kind: str, text: Column, start: Column, end: Column) -> Column:
-    """Prior of the kind, moved by words within CONTEXT_CHARS code points on either side."""
-    lo = F.greatest(start - CONTEXT_CHARS, F.lit(0))
-    near = F.lower(F.concat(F.substring(text, lo + 1, start - lo), F.lit(" "), F.substring(text, end + 1, F.lit(CONTEXT_CHARS))))
+def _score(kind: str, before: Column, after: Column) -> Column:
+    """Prior of the kind, moved by words within CONTEXT_CHARS code points, no further than the next match of the kind."""
+    near = F.lower(F.concat(F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS), F.lit(" "), F.substring(after, 1, CONTEXT_CHARS)))
     prior = {"iban": 0.6, "ssn": 0.3}.get(kind, 0.9)
     for_it = F.when(near.rlike(CONTEXT_FOR[kind]), 0.4).otherwise(0.0) if kind in CONTEXT_FOR else F.lit(0.0)
     against = F.when(near.rlike(rf"\b(?:{CONTEXT_AGAINST})\b"), 0.3).otherwise(0.0)
     return F.lit(prior) + for_it - against
 
 
+def sums_before(lengths: Column) -> Column:
+    """For each of an array's whole numbers the sum of those before it.
+
+    Arrays only grow within blocks of BLOCK numbers and over the list of blocks, not number by number over all.
+    """
+    ints, lists = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: F.slice(lengths, b * BLOCK + 1, BLOCK))
+
+    def within(block: Column) -> Column:
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), ints.alias("out")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+
+    def over(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda x: x + acc["at"])
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    return F.flatten(F.aggregate(F.transform(blocks, within), F.struct(F.lit(0).alias("at"), lists.alias("out")), over, lambda a: a["out"]))
+
+
 def _spans(kind: str, text: Column) -> Column:
     """array<struct<start,end,score>> of confirmed spans of one kind, in text order."""
     pattern = PATTERNS[kind]
     empty = F.array().cast("array<struct<start:int,end:int,score:double>>")
 
-    def locate(found: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-
-        def place(pieces: Column) -> Column:
-            lengths = F.transform(pieces, lambda p: F.length(p))
+    def located(found: Column, gaps: Column, before: Column) -> Column:
+        def span(match: Column, i: Column) -> Column:
+            start = F.get(before, i) + F.length(F.get(gaps, i))
+            score = _score(kind, F.get(gaps, i), F.get(gaps, i + 1))
+            return F.struct(start.alias("start"), (start + F.length(match)).alias("end"), score.alias("score"))
 
-            def add(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.get(lengths, i)
-                end = start + F.length(F.get(found, i))
-                return F.struct(
-                    end.alias("at"),
-                    F.when(
-                        _confirmed(kind, F.get(found, i)),
-                        F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), _score(kind, text, start, end).alias("score")))),
-                    ).otherwise(acc["out"]).alias("out"),
-                )
+        spans = F.transform(found, lambda match, i: F.when(_confirmed(kind, match), span(match, i)))
+        return F.filter(spans, lambda s: s.isNotNull())
 
-            start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, add, lambda acc: acc["out"])
+    def steps(found: Column, gaps: Column) -> Column:
+        return F.transform(found, lambda match, i: F.length(match) + F.length(F.get(gaps, i)))
 
-        return let(gaps, place)
+    def locate(found: Column) -> Column:
+        return let(F.split(text, pattern, -1), lambda gaps: let(sums_before(steps(found, gaps)), lambda before: located(found, gaps, before)))
 
     matches = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: F.when(F.size(found) > 0, locate(found)).otherwise(empty))
     return F.when(text.rlike(pattern), matches).otherwise(empty)
@@ -120,11 +135,10 @@ def _spans(kind: str, text: Column) -> Column:
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with one column ``pii_<kind>``: array of {start, end, score} per span kind."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    spans = {f"pii_{k}": _spans(k, F.col("_pii_text")) for k in PATTERNS}
-    out = docs.withColumn("_pii_text", body).withColumns(spans)
-    kept = {f"pii_{k}": F.filter(f"pii_{k}", lambda s: s["score"] >= KEEP_SCORE) for k in PATTERNS if k not in BASE}
-    return out.withColumns(kept).drop("_pii_text")
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    spans = {f"pii_{k}": _spans(k, F.col("body")) for k in PATTERNS}
+    kept = [F.col(k) if k[4:] in BASE else F.filter(k, lambda s: s["score"] >= KEEP_SCORE).alias(k) for k in spans]
+    return held.withColumns(spans).select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in spans], *kept)
 
 
 def span_string(kinds: tuple[str, ...] | list[str]) -> Column:
@@ -144,25 +158,25 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "<{}>") -> DataFrame
         return F.transform(f"pii_{kind}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(mask.format(kind)).alias("mask")))
 
     every = F.array_sort(F.concat(*[masked(k) for k in PATTERNS]))
+    body = F.coalesce(F.col(text), F.lit(""))
 
     def cut(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), s["mask"])).alias("out"),
-        )
+        more = F.array(F.substring(body, acc["at"] + 1, s["start"] - acc["at"]), s["mask"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], more)).alias("out"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text))))
-    cleaned = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, rest)
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(body, acc["at"] + 1, F.length(body)))
+    cleaned = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), cut, rest)
     return found.withColumn(text, F.when(F.col(text).isNotNull(), cleaned)).drop(*[f"pii_{k}" for k in PATTERNS])
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns per document: counts, digest of the base spans, all spans."""
+    """The contract's columns per document: counts, digest of the base spans, all spans and their number."""
     found = find_pii(docs.select("doc_id", "text"))
     return found.select(
         "doc_id",
         *[F.size(f"pii_{k}").cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(span_string(BASE).cast("binary"), 256).alias("base_sha256"),
         span_string(list(PATTERNS)).alias("spans"),
+        sum(F.size(f"pii_{k}") for k in PATTERNS).cast("long").alias("n_spans"),
     )

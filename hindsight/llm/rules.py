@@ -1,16 +1,24 @@
 """Quality rules as a short-circuit cascade, with built-in functions only.
 
-Each rule is a Boolean expression over text measures. Cost (seconds over a sample)
-and selectivity (share of sampled rows it rejects) decide the order: most rejections
-per second first. The verdict does not depend on the order, only the work does.
-
-Null text counts as empty: no words, so the base rule rejects it. Ties in the
-ordering go by rule name. Repeated rows are judged one by one.
+Each rule is a Boolean expression over text measures. On a sample of rows, spread over the
+table, the planner counts which rules reject together and how long texts are. From the
+lengths and the fixed COST of a measure (passes over characters, words or lines) follows
+what a rule would cost on a row that has come so far. The order is greedy: always the rule
+that rejects most of the rows still left per unit of cost, where measures that an earlier
+rule has taken are free. :func:`judge` evaluates rules in that order and stops at the first
+that rejects, so the measures of later rules are not taken for that row. The verdict does
+not depend on the order, nor on the sample; only the work and the rule named do.
+
+The contract's query needs some measures of every row whatever the verdict. It takes them
+first and hands them to the cascade as known, which leaves the others to be short-circuited.
+
+Null text counts as empty: no words, so the base rule rejects it. Ties in the order go by
+rule name. Repeated rows are judged one by one. An empty table has the order of the names.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +28,8 @@ from .common import SPACES, let, words_of
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WINDOW = 8
-#: Rows the cost and selectivity estimates look at; the verdict never depends on it.
-SAMPLE_ROWS = 1000
+#: Rows, on average, that the estimates look at; the verdict never depends on them.
+SAMPLE_ROWS, SEED = 1000, 11
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -62,80 +70,135 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
 
 
+def _without(text: Column, characters: str) -> Column:
+    return F.length(F.translate(text, characters, ""))
+
+
+#: Measure of a text (never null) by name.
+MEASURES: dict[str, Callable[[Column], Column]] = {
+    "n_words": lambda t: F.size(words_of(t)),
+    "word_chars": lambda t: _without(t, SPACES),
+    "n_symbols": lambda t: F.length(t) - _without(t, SYMBOLS),
+    "n_capitals": lambda t: F.length(t) - _without(t, CAPITALS),
+    "n_lines": lambda t: F.size(_lines(t)),
+    "n_dup_lines": lambda t: let(_lines(t), lambda x: F.size(x) - F.size(F.array_distinct(x))),
+    "n_repeat_words": lambda t: repeated_words(words_of(t)),
+}
+#: What a measure costs per character, word and line of a text.
+COST = {
+    "n_words": (2, 4, 0),
+    "word_chars": (3, 0, 0),
+    "n_symbols": (3, 0, 0),
+    "n_capitals": (3, 0, 0),
+    "n_lines": (3, 0, 8),
+    "n_dup_lines": (4, 0, 16),
+    "n_repeat_words": (4, 60, 0),
+}
+
+
+class Rule:
+    """Measures a rule reads and the condition, over those measures, under which it rejects."""
+
+    def __init__(self, condition: Callable[..., Column], *reads: str):
+        self.condition, self.reads = condition, reads
+
+    def rejects(self, of: Callable[[str], Column]) -> Column:
+        return self.condition(*map(of, self.reads))
+
+
+#: Whole-number comparisons only.
+RULES = {
+    "too_few_words": Rule(lambda n: n < 20, "n_words"),
+    "repeated_windows": Rule(lambda r, n: 100 * r > 30 * n, "n_repeat_words", "n_words"),
+    "symbol_heavy": Rule(lambda s, n: 100 * s > 10 * n, "n_symbols", "n_words"),
+    "shouting": Rule(lambda c, w: 100 * c > 40 * w, "n_capitals", "word_chars"),
+    "duplicate_lines": Rule(lambda d, n: 100 * d > 30 * n, "n_dup_lines", "n_lines"),
+    "word_length": Rule(lambda w, n: (w < 2 * n) | (w > 14 * n), "word_chars", "n_words"),
+}
+BASE_RULES = ("too_few_words", "repeated_windows")
+
+
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the measures the rules read; they replace columns of the same name."""
+    """``docs`` with all measures; they replace columns of the same name."""
     body = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumns({"_body": body, "_words": words_of(F.col(text)), "_lines": _lines(body)})
-    body = F.col("_body")
-    return out.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.translate(body, SPACES, "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
-            "n_capitals": (F.length(body) - F.length(F.translate(body, CAPITALS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        }
-    ).drop("_body", "_words", "_lines")
-
-
-def rules() -> dict[str, Column]:
-    """Rule name to rejecting condition over the measures; whole-number comparisons only."""
-    return {
-        "too_few_words": F.col("n_words") < 20,
-        "repeated_windows": 100 * F.col("n_repeat_words") > 30 * F.col("n_words"),
-        "symbol_heavy": 100 * F.col("n_symbols") > 10 * F.col("n_words"),
-        "shouting": 100 * F.col("n_capitals") > 40 * F.col("word_chars"),
-        "duplicate_lines": 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"),
-        "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 14 * F.col("n_words")),
+    held = docs.select(F.struct("*").alias("row"), body.alias("body")).withColumns({"words": words_of(F.col("body")), "lines": _lines(F.col("body"))})
+    shared = {
+        "n_words": F.size("words"),
+        "n_lines": F.size("lines"),
+        "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
+        "n_repeat_words": repeated_words(F.col("words")),
     }
+    found = [shared.get(n, of(F.col("body"))).cast("long").alias(n) for n, of in MEASURES.items()]
+    return held.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in MEASURES], *found)
+
+
+def plan_order(docs: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, known: tuple[str, ...] = (), sample_rows: int = SAMPLE_ROWS) -> list[dict]:
+    """Rules in order: rule, cost (of what it adds per row), rejects (sampled rows left that it rejects)."""
+    rules = rules or RULES
+    total = docs.count()
+    sample = docs.select(F.col(text).alias("text")).sample(fraction=min(1.0, sample_rows / max(1, total)), seed=SEED)
+    measured = measures(sample).withColumn("chars", F.length(F.coalesce("text", F.lit(""))))
+    each = [r.rejects(F.col).alias(f"r{i}") for i, r in enumerate(rules.values())]
+    sums = [F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("chars", "n_words", "n_lines")]]
+    # at most one row for each combination of rejecting rules
+    seen = measured.select(*each, "chars", "n_words", "n_lines").groupBy(*[f"r{i}" for i in range(len(rules))]).agg(*sums).collect()
+    left, free, out = seen, set(known), []
+    while len(out) < len(rules):
+        rows = sum(r["rows"] for r in left)
+        per_row = [sum(r[c] for r in left) / rows if rows else 0.0 for c in ("chars", "n_words", "n_lines")]
+        options = []
+        for i, (name, rule) in enumerate(rules.items()):
+            if name not in {o["rule"] for o in out}:
+                cost = 1 + sum(w * x for m in set(rule.reads) - free for w, x in zip(COST[m], per_row, strict=True))
+                rejects = sum(r["rows"] for r in left if r[f"r{i}"])
+                options.append((-rejects / cost, name, i, cost, rejects))
+        _, name, i, cost, rejects = min(options)
+        out.append({"rule": name, "cost": cost, "rejects": rejects})
+        free |= set(rules[name].reads)
+        left = [r for r in left if not r[f"r{i}"]]
+    return out
 
 
-BASE_RULES = ("too_few_words", "repeated_windows")
+def cascade(order: list[str], text: Column, rules: dict[str, Rule] | None = None, known: tuple[str, ...] = ()) -> Column:
+    """Name of the first rule, in this order, that rejects; null if none does.
 
+    Measures in ``known`` are columns; any other is taken when the first rule that reads it is reached, and kept for later ones.
+    """
+    rules = rules or RULES
 
-def plan_order(docs: DataFrame, conditions: dict[str, Column] | None = None, sample_rows: int = SAMPLE_ROWS) -> list[dict]:
-    """Rules by estimated rejections per second, best first, each with its cost and selectivity."""
-    conditions = conditions or rules()
-    sample = docs.select("text").limit(sample_rows).persist()
-    try:
-        n = sample.count()
-        found = []
-        for name, rejects in conditions.items():
-            began = time.perf_counter()
-            hits = measures(sample).where(rejects).count()
-            cost = time.perf_counter() - began
-            share = hits / n if n else 0.0
-            found.append({"rule": name, "cost_s": cost, "selectivity": share, "rate": share / max(cost, 1e-9)})
-    finally:
-        sample.unpersist()
-    return sorted(found, key=lambda r: (-r["rate"], r["rule"]))
-
-
-def cascade(order: list[str], conditions: dict[str, Column] | None = None) -> Column:
-    """Name of the first rule, in this order, that rejects; null if none does. Later rules are not evaluated."""
-    conditions = conditions or rules()
-    out = F.lit(None).cast("string")
-    for name in reversed(order):
-        out = F.when(conditions[name], F.lit(name)).otherwise(out)
-    return out
+    def from_rule(at: int, have: dict[str, Column]) -> Column:
+        if at == len(order):
+            return F.lit(None).cast("string")
+        rule = rules[order[at]]
+        missing = [m for m in dict.fromkeys(rule.reads) if m not in have]
+
+        def bound(have: dict[str, Column], missing: list[str]) -> Column:
+            if missing:
+                return let(MEASURES[missing[0]](text), lambda value: bound(have | {missing[0]: value}, missing[1:]))
+            return F.when(rule.rejects(have.__getitem__), F.lit(order[at])).otherwise(from_rule(at + 1, have))
+
+        return bound(have, missing)
+
+    return from_rule(0, {m: F.col(m) for m in known})
 
 
-def judge(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with measures, ``base_failed``, ``rejected_by`` (first rule of the chosen order) and ``kept``."""
-    order = [r["rule"] for r in plan_order(docs.select(F.col(text).alias("text")))]
-    conditions = rules()
-    base = conditions[BASE_RULES[0]] | conditions[BASE_RULES[1]]
-    out = measures(docs, text).withColumns({"base_failed": base, "rejected_by": cascade(order, conditions)})
+def judge(docs: DataFrame, text: str = "text", rules: dict[str, Rule] | None = None, known: tuple[str, ...] = ()) -> DataFrame:
+    """``docs`` with ``rejected_by`` (first rule of the chosen order that rejects) and ``kept``; they replace columns of the same name."""
+    order = [r["rule"] for r in plan_order(docs, text, rules, known)]
+    verdict = cascade(order, F.coalesce(F.col(text), F.lit("")), rules, known)
+    out = docs.select(*[c for c in docs.columns if c not in ("rejected_by", "kept")], verdict.alias("rejected_by"))
     return out.withColumn("kept", F.col("rejected_by").isNull())
 
 
 def rules_digest(docs: DataFrame) -> DataFrame:
     """The contract's columns per document."""
-    return judge(docs.select("doc_id", "text")).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
-    )
+    contract = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    words = docs.select("doc_id", "text", words_of(body).alias("words"))
+    of = {"n_words": F.size("words"), "n_repeat_words": repeated_words(F.col("words"))}
+    known = words.select("doc_id", "text", *[of.get(n, MEASURES[n](body)).cast("long").alias(n) for n in contract])
+    base = RULES[BASE_RULES[0]].rejects(F.col) | RULES[BASE_RULES[1]].rejects(F.col)
+    return judge(known, known=contract).select("doc_id", *contract, base.alias("base_failed"), "kept")
 
 
 ORACLE_SQL = r"""

@@ -1,26 +1,37 @@
 """Secret scans: fixed patterns, and a randomness test battery for what they miss.
 
-Candidates are long tokens of one inferred encoding (hex, base32, base64). For each the
-battery tests the hypothesis "drawn evenly from the encoding's alphabet": a chi-squared
-test of symbol counts, a runs test of symbols above and below the alphabet's middle and a
-test of serial correlation. '=' is padding at a token's end only, so it parts a name from
-its value. A run that no alphabet holds falls apart into its longest stretches of one
-alphabet; of those that overlap, the one least like text stands. A candidate the tests do not reject still may be ordinary
-text that is too short to show. So its chi-squared is also set against what text of that
-length would give, which yields a p-value for "ordinary text", and the Benjamini-Hochberg
-rule over all candidates of an encoding and length class bounds the share of false finds.
-
-The p-values are counted in a fixed grid of (encoding, length class, p step), so the
-threshold comes from a table of bounded size whatever the corpus.
+Candidates are long tokens of one inferred encoding (hex, base32, base64). '=' is padding at
+a token's end only, so it parts a name from its value. A run that no alphabet holds falls
+apart into its longest stretches of one alphabet; of those that overlap, the one least like
+text stands. The battery tests the hypothesis "drawn evenly from the encoding's alphabet":
+a chi-squared test of symbol counts, a runs test of symbols above and below the alphabet's
+middle and a test of serial correlation. Its statistic is the sum of the three squared
+normal scores, small for random tokens; above EVEN (the 0.999 quantile of chi-squared with
+three degrees) a candidate is no random token.
+
+A candidate that passes may still be ordinary text that is too short to show. What the same
+statistic is for text is measured on the table itself: all text outside candidates and
+base spans, reduced to an alphabet and cut into tokens of every length class, goes through the same battery, and
+mean and variance of the statistic's logarithm are summed per encoding and length class.
+Small tables lean on PRIOR pseudo-tokens, whose mean follows from English letter shares.
+That gives each candidate a p-value for "ordinary text" of its length, and the
+Benjamini-Hochberg rule over all candidates of an encoding and length class bounds the share
+of false finds.
+
+Candidates are counted in a fixed grid of (encoding, length class, step of the statistic),
+so measures and thresholds come from tables of bounded size whatever the corpus.
 
 Null and empty texts have no spans. Spans count code points, ends are exclusive. Base
-spans always stay; a random token that overlaps one is not reported again.
+spans always stay; a random token that overlaps one is not reported again. Repeated rows
+are scanned one by one. Runs of digits alone, or of letters alone in hex and base32, are no
+encoding of their own.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,64 +58,105 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "base64url": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
 }
-#: How much a token's expected chi-squared grows per character if it is text: k * sum(q^2) - 1 for letter shares q.
-TEXT_EXCESS = {"hex": 1.2, "HEX": 1.2, "base32": 1.1, "base64": 3.2, "base64url": 3.2}
-REJECT = 0.001
+#: Text is measured once for both forms of base64, which differ in two rare symbols.
+MEASURED = ("hex", "HEX", "base32", "base64")
+#: Shares of the letters a to z in English, in thousandths.
+ENGLISH = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+EVEN = 16.27
 FALSE_DISCOVERY = 0.01
-P_STEPS = 60
+#: Pseudo-tokens of the prior, and its spread of the statistic's logarithm.
+PRIOR, PRIOR_SPREAD = 20, 0.35
+#: Steps of the logarithm in the grid, and the score of a token that a test finds impossible.
+STEPS, IMPOSSIBLE = 32, 30.0
+#: Lower ends of the length classes after the first, and the length at which text is measured for each class.
 _CLASSES = (24, 32, 48, 64, 128, 256)
+_LENGTHS = (22, 28, 40, 56, 96, 192, 320)
 _TABLES = {}
 for _name, _letters in ALPHABETS.items():
-    _TABLES[_name] = np.full(128, -1, np.int64)
+    _TABLES[_name] = np.full(256, -1, np.int16)
     _TABLES[_name][[ord(c) for c in _letters]] = range(len(_letters))
 
 
-def _upper_tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
 def infer_encoding(token: str) -> str | None:
     """First alphabet that holds every character; hex and base32 need both digits and letters."""
+    if token.isdigit():
+        return None
+    mixed = not token.isalpha()
     codes = np.frombuffer(token.encode("ascii"), np.uint8)
     for name, table in _TABLES.items():
-        if (table[codes] >= 0).all():
+        if (mixed or name.startswith("base64")) and (table[codes] >= 0).all():
             return name
     return None
 
 
-def battery(token: str) -> tuple[str, float, float] | None:
-    """(encoding, p that it is even, p that it is text) of a candidate; null if of no encoding."""
+def battery(x: np.ndarray, k: int) -> np.ndarray:
+    """The statistic of every row of ``x``, symbols 0 to k - 1 of tokens of one length."""
+    rows, n = x.shape
+    counts = np.bincount((np.arange(rows)[:, None] * k + x).ravel(), minlength=rows * k).reshape(rows, k)
+    df = k - 1
+    chi = ((counts - n / k) ** 2).sum(1) * k / n
+    # Wilson-Hilferty; counts that are too even are no evidence of text
+    even = np.maximum(0.0, ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = x >= k // 2
+    above = high.sum(1)
+    mean = 1 + 2 * above * (n - above) / n
+    spread = np.sqrt(np.maximum(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
+    runs = np.where((above > 0) & (above < n), np.abs(1 + (high[:, 1:] != high[:, :-1]).sum(1) - mean) / spread, IMPOSSIBLE)
+    c = x - x.mean(1, keepdims=True)
+    square = (c * c).sum(1)
+    serial = np.where(square > 0, np.abs((c[:, 1:] * c[:, :-1]).sum(1) / np.maximum(square, 1e-9) + 1 / n) * math.sqrt(n), IMPOSSIBLE)
+    return even**2 + np.minimum(runs, IMPOSSIBLE) ** 2 + np.minimum(serial, IMPOSSIBLE) ** 2
+
+
+def statistic(token: str) -> tuple[str, float] | None:
+    """(encoding, statistic) of a candidate; null if it is of no encoding."""
     token = token.rstrip("=")
     if len(token) < 20 or (name := infer_encoding(token)) is None:
         return None
     x = _TABLES[name][np.frombuffer(token.encode("ascii"), np.uint8)]
-    n, k = len(x), len(ALPHABETS[name])
-    chi = float(((np.bincount(x, minlength=k) - n / k) ** 2).sum() * k / n)
-    # Wilson-Hilferty for even; a moment-matched normal for text, whose chi-squared is non-central
-    df = k - 1
-    even = _upper_tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
-    shift = n * TEXT_EXCESS[name]
-    text = 1 - _upper_tail((chi - df - shift) / math.sqrt(2 * (df + 2 * shift)))
-    high = x >= k // 2
-    above = int(high.sum())
-    below = n - above
-    if above and below:
-        mean = 1 + 2 * above * below / n
-        spread = math.sqrt(max(1e-9, (mean - 1) * (mean - 2) / (n - 1)))
-        runs = 2 * _upper_tail(abs(1 + int((high[1:] != high[:-1]).sum()) - mean) / spread)
-    else:
-        runs = 0.0
-    c = x - x.mean()
-    square = float((c * c).sum())
-    serial = 2 * _upper_tail(abs(float((c[1:] * c[:-1]).sum()) / square + 1 / n) * math.sqrt(n)) if square else 0.0
-    # three tests, one answer: Bonferroni
-    return name, min(1.0, 3 * min(even, runs, serial)), min(1.0, max(1e-300, text))
+    return name, float(battery(x[None, :].astype(np.int64), len(ALPHABETS[name]))[0])
 
 
 def length_class(n: int) -> int:
     return sum(n >= c for c in _CLASSES)
 
 
+def text_moments(text: bytes) -> list[tuple[str, int, int, float, float]]:
+    """(encoding, length class, tokens, sum and square sum of the statistic's logarithm) of running text, every symbol used once per encoding."""
+    out, codes = [], np.frombuffer(text, np.uint8)
+    for name in MEASURED:
+        x = _TABLES[name][codes]
+        x, k = x[x >= 0], len(ALPHABETS[name])
+        share, at = len(x) // len(_LENGTHS), 0
+        for c, n in enumerate(_LENGTHS):
+            rows = x[at : at + share // n * n].reshape(-1, n)
+            at += share
+            logs = [np.log1p(battery(rows[i : i + 20_000].astype(np.int64), k)) for i in range(0, len(rows), 20_000)]
+            if logs:
+                logs = np.concatenate(logs)
+                out.append((name, c, len(logs), float(logs.sum()), float((logs * logs).sum())))
+    return out
+
+
+def prior_mean(encoding: str, n: int) -> float:
+    """Logarithm of the statistic of English of n symbols, by its expected chi-squared."""
+    letters = np.array([ENGLISH[ord(c) - 97] for c in "abcdefghijklmnopqrstuvwxyz" if {c, c.upper()} & set(ALPHABETS[encoding])], float)
+    k, shares = len(ALPHABETS[encoding]), letters / letters.sum()
+    df = k - 1
+    chi = df + n * (k * float((shares * shares).sum()) - 1)
+    return math.log1p((((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))) ** 2 + 2)
+
+
+def text_p(moments: dict[tuple[str, int], tuple[int, float, float]], encoding: str, size: int, log_statistic: float) -> float:
+    """p-value of "ordinary text" for a candidate of this encoding and length class."""
+    measured = "base64" if encoding == "base64url" else encoding
+    n, s, ss = moments.get((measured, size), (0, 0.0, 0.0))
+    prior = prior_mean(measured, _LENGTHS[size])
+    n, s, ss = n + PRIOR, s + PRIOR * prior, ss + PRIOR * (prior**2 + PRIOR_SPREAD**2)
+    spread = math.sqrt(max(1e-6, ss / n - (s / n) ** 2))
+    return 0.5 * math.erfc((s / n - log_statistic) / spread / math.sqrt(2))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base spans, in order."""
     out = [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m.group(2)) >= 8]
@@ -113,56 +165,91 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, tuple[str, float, float]]]:
-    """(start, end, battery) of the candidates outside the base spans that may be random, in order."""
-    out = []
+def _apart(spans: list[tuple[int, int, int]]):
+    """Test whether a stretch of text meets none of the spans; they are merged where they overlap."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+
+    def free(i: int, j: int) -> bool:
+        at = bisect_right(starts, i)
+        return not (at and ends[at - 1] > i) and not (at < len(starts) and starts[at] < j)
+
+    return free
+
+
+def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, str, float]], list[str]]:
+    """(start, end, encoding, statistic) of the candidates outside the base spans that may be random, in order; and the text around all of them."""
+    out, taken, free = [], [(a, b) for a, _, b in spans], _apart(spans)
     for m in _CANDIDATE.finditer(text):
+        taken.append(m.span())
         if infer_encoding(m.group().rstrip("=")):
             parts = [m.span()]
         else:
             parts = [(m.start() + x.start(), m.start() + x.end()) for stretch in _STRETCHES for x in stretch.finditer(m.group())]
-        free = [(i, j) for i, j in parts if not any(a < j and i < b for a, _, b in spans)]
-        tested = [(i, j, t) for i, j in free if (t := battery(text[i:j])) and t[1] >= REJECT]
-        kept: list[tuple[int, int, tuple[str, float, float]]] = []
-        for i, j, t in sorted(tested, key=lambda x: (x[2][2], x[0] - x[1], x[0])):
-            if not any(a < j and i < b for a, b, _ in kept):
-                kept.append((i, j, t))
+        tested = [(t[1], i - j, i, j, t[0]) for i, j in parts if free(i, j) and (t := statistic(text[i:j])) and t[1] <= EVEN]
+        kept: list[tuple[int, int, str, float]] = []
+        for value, _, i, j, encoding in sorted(tested):
+            if not any(a < j and i < b for a, b, _, _ in kept):
+                kept.append((i, j, encoding, value))
         out += sorted(kept)
-    return out
+    around, last = [], 0
+    for a, b in sorted(taken):
+        if a > last:
+            around.append(text[last:a])
+        last = max(last, b)
+    around.append(text[last:])
+    return out, around
 
 
 _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
 _RANDOM = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("encoding", pa.string()), ("length_class", pa.int32()), ("step", pa.int32())]))
-_SCHEMA = "doc_id long, base array<struct<start:long,kind:int,end:long>>, random array<struct<start:long,end:long,encoding:string,length_class:int,step:int>>"
+_MOMENTS = pa.list_(pa.struct([("encoding", pa.string()), ("length_class", pa.int32()), ("n", pa.int64()), ("s", pa.float64()), ("ss", pa.float64())]))
+_SCHEMA = (
+    "doc_id long, base array<struct<start:long,kind:int,end:long>>, random array<struct<start:long,end:long,encoding:string,length_class:int,step:int>>, "
+    "moments array<struct<encoding:string,length_class:int,n:long,s:double,ss:double>>"
+)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: doc_id, text -> _SCHEMA; the moments of a batch's text stand in its first row."""
     for batch in batches:
-        base, random = [], []
+        base, random, moments, held, size = [], [], [], [], 0
         for value in batch.column(1):
             text = value.as_py() or ""
             spans = base_spans(text)
             base.append([{"start": a, "kind": k, "end": b} for a, k, b in spans])
-            found = []
-            for start, end, (encoding, _, like_text) in candidates(text, spans):
-                step = min(P_STEPS, int(-2 * math.log10(like_text)))
-                found.append({"start": start, "end": end, "encoding": encoding, "length_class": length_class(end - start), "step": step})
-            random.append(found)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(random, _RANDOM)], ["doc_id", "base", "random"])
-
-
-def discovery_steps(counts: list[tuple[str, int, int, int]], rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
-    """Smallest p step that Benjamini-Hochberg admits per (encoding, length class).
-
-    A candidate of step s has p at most 10 ** (-s / 2), so the rule errs on the strict side.
+            found, around = candidates(text, spans)
+            random.append([{"start": i, "end": j, "encoding": e, "length_class": length_class(j - i), "step": int(STEPS * math.log1p(x))} for i, j, e, x in found])
+            held += [part.encode("utf-8", "replace") for part in around]
+            size += len(text)
+            if size >= 4_000_000:
+                moments += text_moments(b"".join(held))
+                held, size = [], 0
+        moments += text_moments(b"".join(held))
+        names = ("encoding", "length_class", "n", "s", "ss")
+        rows = [[dict(zip(names, m, strict=True)) for m in moments]] + [None] * (batch.num_rows - 1)
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, _SPAN), pa.array(random, _RANDOM), pa.array(rows, _MOMENTS)], ["doc_id", "base", "random", "moments"])
+
+
+def discovery_steps(counts: list[tuple[str, int, int, int]], moments: dict[tuple[str, int], tuple[int, float, float]], rate: float = FALSE_DISCOVERY) -> dict[tuple[str, int], int]:
+    """Largest step of the statistic that Benjamini-Hochberg admits per (encoding, length class).
+
+    ``counts`` has (encoding, length class, step, candidates). A candidate counts with the p-value of its step's upper end, so the rule errs on the strict side.
     """
     out = {}
     for key in {(e, c) for e, c, _, _ in counts}:
         steps = {s: n for e, c, s, n in counts if (e, c) == key}
-        total, at_least = sum(steps.values()), 0
-        for s in sorted(steps, reverse=True):
-            at_least += steps[s]
-            if 10 ** (-s / 2) <= rate * at_least / total:
+        total, at_most = sum(steps.values()), 0
+        for s in sorted(steps):
+            at_most += steps[s]
+            if text_p(moments, *key, (s + 1) / STEPS) <= rate * at_most / total:
                 out[key] = s
     return out
 
@@ -170,16 +257,18 @@ def discovery_steps(counts: list[tuple[str, int, int, int]], rate: float = FALSE
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and the random tokens that pass the false-discovery rule."""
     scanned = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCHEMA), "secrets")
+    sums = scanned.select(F.inline("moments")).groupBy("encoding", "length_class").agg(F.sum("n"), F.sum("s"), F.sum("ss"))
+    moments = {(r[0], r[1]): tuple(r[2:]) for r in sums.collect()}  # one row per encoding and length class
     grid = scanned.select(F.inline("random")).groupBy("encoding", "length_class", "step").agg(F.count("*").alias("n"))
-    steps = discovery_steps([tuple(r) for r in grid.collect()])  # at most encodings x classes x steps rows
+    steps = discovery_steps([tuple(r) for r in grid.collect()], moments)  # at most encodings x classes x steps up to EVEN
 
     def passes(r: Column) -> Column:
         out = F.lit(False)
         for (encoding, size), step in sorted(steps.items()):
-            out = out | ((r["encoding"] == encoding) & (r["length_class"] == size) & (r["step"] >= step))
+            out = out | ((r["encoding"] == encoding) & (r["length_class"] == size) & (r["step"] <= step))
         return out
 
-    return scanned.withColumn("random", F.filter("random", passes))
+    return scanned.drop("moments").withColumn("random", F.filter("random", passes))
 
 
 def _joined(spans: Column) -> Column:
