@@ -52,6 +52,41 @@ def test_rules_on_odd_rows(odd):
     same_as_sql(rules.rules_digest(odd), rules.ORACLE_SQL, con)
 
 
+def test_rules_verdict_does_not_depend_on_the_order(odd):
+    names = list(rules.RULES)
+    for order in (names, names[::-1], names[3:] + names[:3]):
+        text = rules.F.coalesce(rules.F.col("text"), rules.F.lit(""))
+        got = odd.select("doc_id", "text", rules.cascade(order, text).alias("by")).collect()
+        kept = {(r.doc_id, r.text): r.kept for r in rules.judge(odd).collect()}
+        assert all(kept[r.doc_id, r.text] == (r.by is None) for r in got)
+
+
+def test_rules_stop_at_the_first_that_rejects(spark):
+    frame = spark.createDataFrame([(1, "too short"), (2, "word " * 15 + "some twenty and more different words stand in this text so that it is not repeated at all")], "doc_id long, text string")
+    raising = rules.Rule(lambda n: rules.F.when(n < 20, rules.F.raise_error(rules.F.lit("reached"))).otherwise(False), "n_words")
+    some = {"too_few_words": rules.RULES["too_few_words"], "z_raising": raising}
+    text = rules.F.col("text")
+    got = [r.by for r in frame.select(rules.cascade(list(some), text, some).alias("by")).collect()]
+    assert got == ["too_few_words", None]
+    with pytest.raises(Exception, match="reached"):
+        frame.select(rules.cascade(list(some)[::-1], text, some).alias("by")).collect()
+
+
+def test_rules_order_is_greedy(docs):
+    planned = rules.plan_order(docs, sample_rows=10**9)
+    assert planned == rules.plan_order(docs.repartition(3), sample_rows=10**9) and {p["rule"] for p in planned} == set(rules.RULES)
+    rows = rules.measures(docs).toPandas()
+    first, base = planned[0], {n: r.rejects(rows.__getitem__).sum() for n, r in rules.RULES.items()}
+    assert first["rejects"] == base[first["rule"]]
+    assert sum(p["rejects"] for p in planned) == (~rules.judge(docs).toPandas().kept).sum()
+
+
+def test_extra_columns_stay(spark):
+    frame = spark.createDataFrame([(1, "mail a@b.cd now", 1, 2, 3, 4, 5, 6)], "doc_id long, text string, row int, body int, words int, lines int, `_t` int, `_lines` int")
+    for out in (rules.measures(frame), rules.judge(frame), pii.find_pii(frame), line_dedup.dedup_lines(frame), mixing.repeat_documents(frame.withColumn("source", rules.F.lit("s")))):
+        assert [tuple(r)[2:8] for r in out.select(*frame.columns).collect()][:1] == [(1, 2, 3, 4, 5, 6)]
+
+
 def digests(odd, labels):
     yield line_dedup.dedup_digest(odd)
     yield quality.score_quality(odd, labels)
@@ -123,6 +158,13 @@ def test_pii_method_and_redaction(spark):
     assert {r.doc_id: r.text for r in pii.redact(frame).collect()}[3] == "ssn <ssn> mail <email>"
 
 
+def test_pii_in_a_text_of_very_many_spans(spark):
+    text = " ".join(f"u{i}@mail.example +1 (988) 555-{i % 10000:04d}" for i in range(20_000))
+    row = pii.pii_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in BASE.items() for m in re.finditer(p, text) if ok(m.group(), re.sub("[^0-9]", "", m.group()))]
+    assert row.n_email == 20_000 and row.spans == ",".join(spans) and row.n_spans == len(spans)
+
+
 def components(ids, links):
     root = {i: i for i in ids}
 
@@ -137,10 +179,21 @@ def components(ids, links):
     return {i: find(i) for i in ids}
 
 
-@pytest.mark.parametrize(("width", "num", "den"), [(3, 9, 10), (5, 4, 5)])
-def test_jaccard_groups(spark, width, num, den):
-    rng, rows = np.random.default_rng(width), []
-    passage = [f"common{i}" for i in range(40)]
+def shingle_truth(rows, width, num, den):
+    """Size of every row's set and the rows each row can reach, all pairs compared."""
+    sets = []
+    for t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set())
+    at = range(len(sets))
+    links = [(a, b) for a in at for b in at if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    return [len(s) for s in sets], components(at, links)
+
+
+def jaccard_texts(seed):
+    """Families of near copies, odd ones around a passage of 40 words, texts that are little but a passage, short ones."""
+    rng, rows = np.random.default_rng(seed), []
+    passage, notice = [f"common{i}" for i in range(40)], [f"notice{i}" for i in range(90)]
     for family in range(12):
         base = [f"w{x}" for x in rng.integers(0, 4000, rng.integers(4, 260))] + (passage if family % 2 else [])
         for _ in range(14):
@@ -148,16 +201,62 @@ def test_jaccard_groups(spark, width, num, den):
             for _ in range(rng.integers(0, 1 + len(base) // 25)):
                 text[rng.integers(len(text))] = f"e{rng.integers(10_000)}"
             rows.append(" ".join(text))
-    rows += ["", "Two words", "two WORDS", "one", None]
-    sets = {}
-    for i, t in enumerate(rows):
-        w = (t or "").encode().lower().split()
-        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
-    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
-    truth = components(sets, links)
+    for _ in range(60):
+        rows.append(" ".join(notice + [f"o{x}" for x in rng.integers(0, 4000, rng.integers(0, 30))]))
+        at = rng.integers(0, 90)
+        rows.append(" ".join(notice[:at] + [f"o{x}" for x in rng.integers(0, 4000, 3)] + notice[at:]))
+    for _ in range(80):
+        rows.append(" ".join(f"s{x}" for x in rng.integers(0, 3, rng.integers(1, 9))))
+    return [*rows, "", "Two words", "two WORDS", "one", None]
+
+
+@pytest.mark.parametrize(("width", "num", "den", "levels", "block"), [(3, 9, 10, jaccard.LEVELS, 1024), (5, 4, 5, jaccard.LEVELS, 1024), (5, 4, 5, (2, 6, 1 << 62), 16), (3, 9, 10, (3, 4, 1 << 62), 30)])
+def test_jaccard_groups(spark, monkeypatch, width, num, den, levels, block):
+    monkeypatch.setattr(jaccard, "LEVELS", levels)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = jaccard_texts(width + block)
+    sizes, truth = shingle_truth(rows, width, num, den)
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(frame, width, num, den).collect()}
-    assert got == {i: (len(sets[i]), truth[i]) for i in sets}
+    assert got == {i: (sizes[i], truth[i]) for i in range(len(rows))}
+
+
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+def test_jaccard_allocation_loses_no_pair(num, den):
+    rng, bands = np.random.default_rng(den), jaccard.Bands(num, den)
+    for _ in range(300):
+        size = int(rng.integers(2, 400))
+        x = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        y = x.copy()
+        gone = int(rng.integers(0, 1 + len(x) // 6))
+        y[rng.choice(len(x), gone, replace=False)] = rng.integers(0, 2**63, gone)
+        y = np.unique(y)[: len(y) - int(rng.integers(0, 1 + len(x) // 12))]
+        if not len(y) or not jaccard._linked(x, y, num, den) or (x.tobytes() == y.tobytes()):
+            continue
+        sides = []
+        for h in (x, y):
+            b = bands.of(len(h))
+            sides.append({k: jaccard.segment_keys(h, k, bands.rows[k][2]) for k in (b, b - 1) if k >= 0 and bands.rows[k][2] > 1})
+        band = next(k for k in sides[0] if k in sides[1])
+        # as many dear segments as the first set can afford: exact keys of unpaid segments cost one
+        segments = bands.rows[band][2]
+        keys = sides[0][band][0]
+        unpaid = np.arange(jaccard.paid(segments), segments)
+        dear = set(keys[rng.permutation(unpaid)[: jaccard.paid(segments)]].tolist())
+        assert (set(keys.tolist()) & set(sides[1][band][0].tolist())) - dear
+
+
+def test_jaccard_rows_that_repeat_an_id(spark):
+    def text(seed, changed=0):
+        words = [f"{seed}x{i}" for i in range(200)]
+        return " ".join(words[: 200 - changed] + [f"new{seed}{i}" for i in range(changed)])
+
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 3)), (3, text("b", 3)), (None, text("c")), (9, text("c")), (None, "alone here now"), (None, None)]
+    for parts in (1, 3):
+        frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r.doc_id or 0, r.component_id or 0) for r in jaccard.jaccard_groups(frame).collect())
+        assert got == [(0, 0), (0, 0), (0, 9), (1, 1), (1, 1), (2, 1), (3, 1), (9, 9)]
+        assert sorted(r.doc_id or 0 for r in jaccard.keep_one(frame).collect()) == [0, 0, 0, 1, 1, 9]
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li>menu</li></ul></nav><div class="ad">buy</div>
@@ -200,13 +299,63 @@ def test_secret_spans(spark):
     assert got[1].spans == "assign:18:38" and got[2].spans == ""
 
 
-def test_random_tokens_are_told_from_text():
+def running_text(rng, n):
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9), p=np.array(secrets.ENGLISH) / sum(secrets.ENGLISH))) for _ in range(400)]
+    return " ".join(rng.choice(words, n))
+
+
+def test_battery_rows_equal_plain_sums():
+    rng = np.random.default_rng(2)
+    for k, n in ((16, 24), (64, 40)):
+        x = np.vstack([rng.integers(0, k, (20, n)), np.full((1, n), 3), np.arange(n)[None, :] % k, np.minimum(rng.integers(0, k, (5, n)), k // 4)])
+        for row, got in zip(x, secrets.battery(x, k), strict=True):
+            chi = sum((list(row).count(c) - n / k) ** 2 for c in range(k)) * k / n
+            df = k - 1
+            even = max(0.0, ((chi / df) ** (1 / 3) - 1 + 2 / (9 * df)) / (2 / (9 * df)) ** 0.5)
+            high = [c >= k // 2 for c in row]
+            above = sum(high)
+            mean = 1 + 2 * above * (n - above) / n
+            runs = abs(1 + sum(p != q for p, q in zip(high, high[1:], strict=False)) - mean) / max(1e-9, (mean - 1) * (mean - 2) / (n - 1)) ** 0.5 if 0 < above < n else 30
+            m = sum(row) / n
+            square = sum((c - m) ** 2 for c in row)
+            serial = abs(sum((p - m) * (q - m) for p, q in zip(row, row[1:], strict=False)) / square + 1 / n) * n**0.5 if square else 30
+            assert got == pytest.approx(even**2 + min(runs, 30) ** 2 + min(serial, 30) ** 2)
+
+
+def test_random_tokens_are_told_from_text(spark):
     rng = np.random.default_rng(1)
-    letters = secrets.ALPHABETS["base64"]
-    tokens = ["".join(rng.choice(list(letters), 64)) for _ in range(200)]
-    words = ["theRaininSpainStaysMainlyInThePlainAndOnTheHillsAroundTheTown"] * 20
-    assert np.mean([(t := secrets.battery(x)) is not None and t[1] >= secrets.REJECT and t[2] < 1e-6 for x in tokens]) > 0.9
-    assert not any((t := secrets.battery(x)) and t[1] >= secrets.REJECT for x in words)
+    texts, secret = [], []
+    for i in range(400):
+        words = running_text(rng, 60).split()
+        joined = "".join(words[:8])[: rng.integers(20, 60)]
+        token = "".join(rng.choice(list(secrets.ALPHABETS["base64"]), rng.integers(24, 70))) if i % 4 == 0 else joined
+        texts.append(" ".join(words[8:30] + [token] + words[30:]))
+        secret.append(i % 4 == 0)
+    got = {r.doc_id: r.spans for r in secrets.secrets_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    found = np.array(["random" in got[i] for i in range(400)])
+    assert found[np.array(secret)].mean() > 0.9
+    assert (found & ~np.array(secret)).sum() <= 0.03 * found.sum()
+
+
+def test_discovery_steps_are_benjamini_hochberg():
+    rng = np.random.default_rng(6)
+    logs = np.concatenate([rng.uniform(0, 1.5, 40), rng.normal(3.3, 0.4, 300)])
+    moments = {("base64", 2): (1000, 3300.0, 3300.0 * 3.3 + 160)}
+    steps = (secrets.STEPS * logs).astype(int)
+    counts = [("base64", 2, int(s), int((steps == s).sum())) for s in np.unique(steps)]
+    got = secrets.discovery_steps(counts, moments)["base64", 2]
+    p = np.sort([secrets.text_p(moments, "base64", 2, (s + 1) / secrets.STEPS) for s in steps])
+    passing = np.flatnonzero(p <= secrets.FALSE_DISCOVERY * (np.arange(len(p)) + 1) / len(p))
+    assert (steps <= got).sum() == passing.max() + 1
+    assert secrets.discovery_steps([], {}) == {}
+
+
+def test_secrets_in_a_text_of_very_many_spans(spark):
+    rng = np.random.default_rng(8)
+    token = lambda n: "".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), n))
+    text = " ".join(f'token="{token(12)}" {token(40)}' for _ in range(20_000))
+    row = secrets.secrets_digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_assign == 20_000 and row.spans.count("random") > 15_000
 
 
 def test_random_tokens_after_a_name_or_a_path(spark):
@@ -286,11 +435,31 @@ def test_embeddings(spark, monkeypatch):
 def test_mix_comes_near_its_targets(spark, docs):
     rows = mixing.mix(docs).toPandas()
     assert (rows.copies <= 3).all()
-    for _, r in rows.groupby("source"):
-        assert abs((r.copies * r["size"]).sum() - r.target.iloc[0]) <= r["size"].max()
+    for _, r in rows[rows["size"] > 0].groupby("source"):
+        target, size = r.target.iloc[0], r["size"]
+        assert abs((r.copies * size).sum() - target) <= size.max()
+        # the dual's solution: words at the tilted rates meet the target, and one multiplier serves the source
+        assert abs((r.rate * size).sum() / target - 1) < 1e-9
+        free = r[r.rate < 3]
+        lam = np.log(free.rate) / free["size"]
+        assert len(free) < 2 or np.ptp(lam) <= 1e-9 * abs(lam).max()
+        assert (r.rate[size > np.log(3) / lam.mean()] == 3).all() if len(free) and lam.mean() > 0 else (r.rate <= 3).all()
+        assert ((r.copies - r.rate).abs() < 1 + 1e-9).all() and r.rate.nunique() > 1
     assert mixing.repeat_documents(docs).count() == rows.copies.sum()
 
 
+def test_mix_of_odd_sources(spark):
+    rows = [(1, "a b c", None), (2, "a", None), (3, "x " * 500, "small"), (4, "y", "big"), (5, None, "empty"), (6, " ", "empty"), (4, "y z w", "big")]
+    rows += [(10 + i, "w " * (1 + i % 50), "big") for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "7 AS size", "8 AS copies", "9 AS u", "10 AS lam")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    same_as_sql(mixing.mixing_digest(frame), mixing.ORACLE_SQL, con)
+    again = mixing.repeat_documents(frame)
+    assert again.columns == frame.columns and {r["size"] for r in again.collect()} == {7}
+    assert again.where("source = 'empty'").count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
