@@ -12,10 +12,11 @@ from .functions.stats import family_alpha, kish_n, norm_cdf, norm_ppf, sidak_z
 from .model import Curation, Lens
 from .operators import brain, calibration, coverage, curator, retention
 from .operators.lens import apply_lens
-from .oracle import DAY, END, GAP_HOURS, HOUR, MID, TICK, WINDOW
-from .plans.registry import Registry
+from .oracle import ALERT_WINDOW, DAY, END, HOUR, MID, RESETS, TICK, WINDOW
+from .plans.registry import Registry, resolve
 from .sources import events as source
 from .sources import fixtures
+from .streaming import session, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 4
@@ -36,12 +37,12 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.round(c, digits(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in wanted])
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.lens_events(source.read_events(spark, sf_dir))
+def _events(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    return source.lens_events(source.read_events(spark, sf_dir, from_ms, to_ms))
 
 
-def _two_valued(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source.two_valued(source.read_events(spark, sf_dir))
+def _two_valued(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    return source.two_valued(source.read_events(spark, sf_dir, from_ms, to_ms))
 
 
 def _tests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +54,7 @@ def _lens(lens: Lens, make=_events) -> Query:
 
 
 def _sides(spark: SparkSession, sf_dir: str, lens: Lens, make=_events) -> tuple[DataFrame, DataFrame]:
-    return retention.replay_with_reference(make(spark, sf_dir), lens, MID, END)
+    return retention.replay_with_reference(make(spark, sf_dir, 2 * MID - END, END), lens, MID, END)
 
 
 def _kish(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +84,9 @@ def _scores(lens: Lens, make=_events) -> Query:
     return run
 
 
-def _gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    return events.where(~F.floor(F.pmod("ts_ms", F.lit(DAY)) / HOUR).isin(*GAP_HOURS))
+def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lens = Lens(window_ms=HOUR, origin=0, group_by=("event_type", "bucket"))
+    return _tiles(curator.gaps(*_sides(spark, sf_dir, lens), HOUR, Curation(), True))
 
 
 def _tiles(frame: DataFrame) -> DataFrame:
@@ -97,9 +98,9 @@ def _curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    (a, b), (c, d) = retention.live_spans(END - DAY - 1, DAY, 5)
-    events = _events(spark, sf_dir)
-    return _tiles(curator.spikes(retention.replay(events, PLAIN, a, b), retention.replay(events, PLAIN, c, d), SENSITIVE))
+    spans = retention.live_spans(END - DAY - 1, DAY, 5)
+    out = curator.score_windows(*retention.replay_spans(_events(spark, sf_dir, spans[1][0], spans[0][1]), PLAIN, *spans), SENSITIVE)
+    return rounded(out.select("unit", "window_start", "n_eff", "step", "raw_z", "gate_z", "family_n", "threshold", "tag"))
 
 
 def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +131,20 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = Registry()
     for scope, window in oracle.WRITES:
         registry.set(scope, {"window_ms": window})
-    found = [(s, v, (registry.get_observe(s, v) or {}).get("window_ms")) for s, v in oracle.LOOKUPS]
-    return spark.createDataFrame(found, "schema string, view string, window_ms long")
+    looks = spark.createDataFrame(oracle.LOOKUPS, "schema string, view string")
+    return resolve(registry.history(spark), looks, "window_ms").withColumn("window_ms", F.col("window_ms").cast("long"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = session.snapshot_frames(_tests(spark, sf_dir), TICK, WINDOW)
+    gap = F.aggregate("domains", F.lit(0).cast("long"), lambda n, d: n + d["gap"])
+    count = F.aggregate("agents", F.lit(0).cast("long"), lambda n, a: n + a["event_count"])
+    return frame.select("tick_ts", F.size("agents").cast("long").alias("agents"), count.alias("events"), gap.alias("gap"), "touched")
+
+
+def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lenses = {"fine": Lens(window_ms=6 * HOUR, origin=0), "by_type": GROUPED, "coarse": Lens(window_ms=6 * HOUR, origin=0, downsample_factor=8)}
+    return rounded(views.through_lenses(_events(spark, sf_dir), lenses).select("view", *WINDOW_COLUMNS))
 
 
 def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,9 +171,10 @@ def queries() -> dict[str, Query]:
         "lens_decay_exp": _lens(Lens(window_ms=DAY, origin=0, decay="exp(tau=432000s)")),
         "lens_decay_exp_grouped": _lens(Lens(window_ms=6 * HOUR, origin=0, downsample_factor=4, group_by=("event_type",), decay="exp(tau=432000s)")),
         "lens_weighted_kish": _kish,
-        "retention_segment": lambda s, d: retention.segment(_events(s, d), MID, END).select("seq", "ts_ms", F.round("value", 2).alias("value")),
+        "retention_segment": lambda s, d: retention.segment(_events(s, d, MID, END), MID, END).select("seq", "ts_ms", F.round("value", 2).alias("value")),
         "retention_thinned": lambda s, d: retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3).select("seq", "ts_ms", "weight"),
         "replay_thinned": lambda s, d: rounded(retention.replay(retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3), PLAIN), *WINDOW_COLUMNS),
+        "retention_sizes": lambda s, d: retention.sizes(_events(s, d), 5 * DAY, 15 * DAY, 3),
         "pool_reference": _pool,
         "reference_usable": _usable,
         "unscored_groups": lambda s, d: curator.unscored_groups(*_sides(s, d, GROUPED, _two_valued)),
@@ -170,36 +184,41 @@ def queries() -> dict[str, Query]:
         "curate_spike_dip_lattice": _scores(PLAIN, _two_valued),
         "curate_grouped": _scores(GROUPED),
         "curate_steps": lambda s, d: _tiles(curator.steps(*_sides(s, d, PLAIN), SENSITIVE)),
-        "curate_gaps": lambda s, d: _tiles(curator.gaps(apply_lens(_gappy(s, d), Lens(window_ms=HOUR, origin=0)), apply_lens(_gappy(s, d), Lens(window_ms=HOUR, origin=0)), HOUR)),
+        "curate_gaps": _gaps,
         "curate_divergence": _divergence,
         "curate_baseline": _baseline,
         "unreachable_tails": lambda s, d: rounded(curator.unreachable_tails(*_sides(s, d, GROUPED, _two_valued_tight), Curation(), True)),
         "curate_top_tiles": _curated,
+        "tile_text": lambda s, d: curator.tile_text(curator.spikes(*_sides(s, d, GROUPED), SENSITIVE, True)).select("shape_tag", "region_start", "label", "description"),
         "package_header": lambda s, d: rounded(curator.package_header(*_sides(s, d, GROUPED), Curation(), True)),
         "live_spans_curated": _live,
         "domain_rollup": lambda s, d: coverage.rollup(_tests(s, d)),
         "domain_coverage": lambda s, d: coverage.coverage(_tests(s, d)),
-        "coverage_gaps": lambda s, d: coverage.coverage_gaps(_tests(s, d).where("seq < 300")),
+        "coverage_gaps": lambda s, d: coverage.coverage_gaps(_tests(s, d), "commit_hash"),
         "primary_domain": lambda s, d: _tests(s, d).groupBy(coverage.primary_domain(F.col("areas")).alias("domain")).agg(F.count("*").alias("n")),
         "observed_tests": lambda s, d: rounded(apply_lens(source.observe(_tests(s, d)), Lens(window_ms=DAY, origin=0, group_by=("agentId", "domain"))), *WINDOW_COLUMNS),
         "tick_agent_stats": lambda s, d: rounded(_agents(s, d)),
         "tick_domain_stats": _domains,
+        "snapshot_frames": _frames,
+        "parallel_views": _views,
         "tick_touched_bits": lambda s, d: coverage.touched_bits(_tests(s, d), TICK, WINDOW),
         "brain_baseline_ewma": lambda s, d: rounded(brain.baselines(_agents(s, d))),
         "brain_ar": lambda s, d: brain.regressions(_agents(s, d)),
         "brain_rc": lambda s, d: brain.replays(_agents(s, d)),
-        "brain_cg": lambda s, d: brain.coverage_alerts(_domains(s, d)),
+        "brain_cg": lambda s, d: brain.coverage_alerts(coverage.domain_stats(_tests(s, d), TICK, ALERT_WINDOW)),
+        "brain_reset": lambda s, d: brain._reroutes(brain.judged(_agents(s, d), resets=RESETS)),
         "brain_shadow": _shadow,
         "late_arrival_equivalence": _late,
         "registry_resolution": _registry,
         "calibration_false_alarm": lambda s, d: calibration.alarm_rate(fixtures.trials(s, 500)),
+        "calibration_quiet_trials": lambda s, d: fixtures.quiet_false_positives(s, 500),
         "calibration_power": lambda s, d: calibration.alarm_rate(fixtures.trials(s, 500, burst=0.90)),
     }
 
 
-def _two_valued_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _two_valued_tight(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
     """Two-valued events whose groups hardly vary: most windows cannot reach the spike gate."""
-    return source.lens_events(source.read_events(spark, sf_dir).withColumn("value", F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(1.0)))
+    return source.lens_events(source.read_events(spark, sf_dir, from_ms, to_ms).withColumn("value", F.when(F.col("event_id") % 50 == 0, 0.0).otherwise(1.0)))
 
 
 def oracle_sql() -> dict[str, str]:

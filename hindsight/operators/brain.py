@@ -1,79 +1,135 @@
 """The rule layer: per-agent baselines and the regression, coverage and replay rules.
 
-State is per agent or domain and small, so a fold over an agent's ticks (an array of
-ticks, never of events) computes it inside the plan; the streaming twin feeds the same
-frames batch by batch.
+State is a few numbers per agent. An agent's ticks, in order of time, stream past it, so a
+task holds one agent's state and no list of ticks; agents are dealt over tasks by hash. The
+coverage rule needs no state beyond its run of ticks and is a window expression.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Rules
 
-
-def _fold(stats: DataFrame, rules: Rules) -> DataFrame:
-    """tick_ts, agent_id, pass_rate, baseline, observations, threshold, fired_ar, fired_rc, dip_start per tick."""
-    ticks = stats.groupBy("agent_id").agg(F.array_sort(F.collect_list(F.struct("tick_ts", "pass_rate", "event_count"))).alias("ticks"))
-    out_type = "array<struct<tick_ts:bigint,pass_rate:double,baseline:double,observations:int,threshold:double,fired_ar:boolean,fired_rc:boolean,dip_start:bigint>>"
-    null_d, null_l = F.lit(None).cast("double"), F.lit(None).cast("bigint")
-    start = F.struct(
-        null_d.alias("b"), F.lit(0).alias("n"), F.lit(0).alias("low"), F.lit(False).alias("rerouted"), F.lit(0).alias("dips"),
-        F.lit(False).alias("active"), null_l.alias("since"), F.lit(False).alias("replayed"), F.array().cast(out_type).alias("out"),
-    )
-
-    def step(s: Column, t: Column) -> Column:
-        seen = t["event_count"] >= rules.least_events
-        moves = s["b"].isNull() | (s["n"] < rules.warmup) | (t["pass_rate"] >= s["b"] - rules.delta)
-        moved = F.when(s["b"].isNull(), t["pass_rate"]).otherwise(rules.alpha * t["pass_rate"] + (1 - rules.alpha) * s["b"])
-        learned = F.struct(F.when(seen & moves, moved).otherwise(s["b"]).alias("b"), (s["n"] + F.when(seen, 1).otherwise(0)).alias("n"))
-
-        def judge(l: Column) -> Column:
-            threshold = F.when(l["n"] >= rules.warmup, F.greatest(l["b"] - rules.delta, F.lit(rules.floor)))
-            known = threshold.isNotNull()
-            below = F.coalesce(t["pass_rate"] < threshold, F.lit(False))
-            low = F.when(~known, s["low"]).when(below, s["low"] + 1).otherwise(0)
-            fires = known & below & (s["low"] + 1 >= rules.regression_ticks) & ~s["rerouted"]
-            in_dip = below & (t["pass_rate"] >= rules.dip_floor)
-            recovers = known & ~below & s["active"]
-            dips = F.when(~known, s["dips"]).when(in_dip, s["dips"] + 1).otherwise(0)
-            since = F.when(~known, s["since"]).when(in_dip, F.when(s["dips"] == 0, t["tick_ts"]).otherwise(s["since"]))
-            active = F.when(~known, s["active"]).when(in_dip, F.when(dips.between(rules.dip_ticks, rules.dip_most), True).when(dips > rules.dip_most, False).otherwise(s["active"])).otherwise(False)
-            replays = recovers & ~s["replayed"]
-            row = F.struct(
-                t["tick_ts"].alias("tick_ts"), t["pass_rate"].alias("pass_rate"), l["b"].alias("baseline"), l["n"].alias("observations"), threshold.alias("threshold"),
-                fires.alias("fired_ar"), replays.alias("fired_rc"), F.when(replays, F.coalesce(s["since"], t["tick_ts"])).alias("dip_start"),
-            )
-            return F.struct(
-                l["b"].alias("b"), l["n"].alias("n"), low.alias("low"), F.when(~known, s["rerouted"]).otherwise(below & (s["rerouted"] | fires)).alias("rerouted"),
-                dips.alias("dips"), active.alias("active"), since.alias("since"), (s["replayed"] | replays).alias("replayed"), F.concat(s["out"], F.array(row)).alias("out"),
-            )
-
-        return F.transform(F.array(learned), judge)[0]
-
-    folded = ticks.select("agent_id", F.aggregate("ticks", start, step, lambda s: s["out"]).alias("out"))
-    return folded.select("agent_id", F.inline("out"))
+#: Scope and lens that a replay asks for.
+FINE_SCOPE, FINE_GROUPS = "observe:test_result:v1#fine", ("agentId",)
+_JUDGED = "tick_ts long, agent_id string, pass_rate double, baseline double, observations int, threshold double, fired_ar boolean, fired_rc boolean, dip_start long"
+
+
+@dataclass
+class AgentState:
+    """What the rules remember of an agent."""
+
+    baseline: float | None = None
+    observations: int = 0
+    low: int = 0
+    rerouted: bool = False
+    dips: int = 0
+    active: bool = False
+    since: int | None = None
+    replayed: bool = False
+
+    def reset(self) -> None:
+        """Forget detections, keep what was learned."""
+        self.low = self.dips = 0
+        self.rerouted = self.active = self.replayed = False
+        self.since = None
+
+    def tick(self, ts: int, rate: float, count: int, rules: Rules) -> dict[str, Any]:
+        """Learn first, then judge with what this tick taught."""
+        if count >= rules.least_events:
+            if self.baseline is None:
+                self.baseline = rate
+            elif self.observations < rules.warmup or rate >= self.baseline - rules.delta:
+                self.baseline = rules.alpha * rate + (1 - rules.alpha) * self.baseline
+            self.observations += 1
+        out = {"baseline": self.baseline, "observations": self.observations, "threshold": None, "fired_ar": False, "fired_rc": False, "dip_start": None}
+        if self.observations < rules.warmup:
+            return out
+        out["threshold"] = threshold = max(self.baseline - rules.delta, rules.floor)
+        below = rate < threshold
+        self.low = self.low + 1 if below else 0
+        out["fired_ar"] = below and self.low >= rules.regression_ticks and not self.rerouted
+        self.rerouted = below and (self.rerouted or out["fired_ar"])
+        if below and rate >= rules.dip_floor:
+            self.since = ts if self.dips == 0 else self.since
+            self.dips += 1
+            self.active = rules.dip_ticks <= self.dips <= rules.dip_most or (self.active and self.dips <= rules.dip_most)
+        else:
+            if not below and self.active and not self.replayed:
+                out["fired_rc"], self.replayed = True, True
+                out["dip_start"] = ts if self.since is None else self.since
+            self.dips, self.active, self.since = 0, False, None
+        return out
+
+
+def _judge(rules: Rules, resets: tuple[int, ...]):
+    """Task body: ticks sorted by agent and time -> _JUDGED."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        agent, state, due = object(), AgentState(), 0
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                if row["agent_id"] != agent:
+                    agent, state, due = row["agent_id"], AgentState(), 0
+                while due < len(resets) and resets[due] < row["tick_ts"]:
+                    state.reset()
+                    due += 1
+                seen = {k: row[k] for k in ("tick_ts", "agent_id", "pass_rate")}
+                rows.append(seen | state.tick(row["tick_ts"], row["pass_rate"], row["event_count"], rules))
+            kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64()]
+            names = [c.split()[0] for c in _JUDGED.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+
+    return run
+
+
+def judged(stats: DataFrame, rules: Rules = Rules(), resets: Iterable[int] = ()) -> DataFrame:
+    """What every tick of an agent taught and fired: tick_ts, agent_id, pass_rate, baseline, observations, threshold (null while warming up), fired_ar, fired_rc, dip_start.
+
+    ``resets`` are times after which detections start anew on learned baselines.
+    """
+    ordered = stats.select("agent_id", "tick_ts", "pass_rate", "event_count").repartition("agent_id").sortWithinPartitions("agent_id", "tick_ts")
+    return ordered.mapInArrow(_judge(rules, tuple(sorted(resets))), _JUDGED)
 
 
 def baselines(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Learned baseline, observations and threshold (null while warming up) after every tick of an agent."""
-    return _fold(stats, rules).select("tick_ts", "agent_id", "baseline", "observations", "threshold")
+    return judged(stats, rules).select("tick_ts", "agent_id", "baseline", "observations", "threshold")
+
+
+def _reroutes(rows: DataFrame) -> DataFrame:
+    return rows.where("fired_ar").select("tick_ts", F.lit("rerouteSchema").alias("type"), F.col("agent_id").alias("subject"))
 
 
 def regressions(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """rerouteSchema decisions: below the threshold for two ticks present, once until recovery."""
-    return _fold(stats, rules).where("fired_ar").select("tick_ts", F.lit("rerouteSchema").alias("type"), F.col("agent_id").alias("subject"))
+    return _reroutes(judged(stats, rules))
+
+
+def _replays(rows: DataFrame, rules: Rules) -> DataFrame:
+    hits = rows.where("fired_rc")
+    return hits.select(
+        "tick_ts", F.lit("replayRequest").alias("type"), F.col("agent_id").alias("subject"),
+        (F.col("dip_start") - rules.pad_ms).alias("from_ts"), (F.col("tick_ts") + rules.pad_ms).alias("to_ts"),
+        F.lit(FINE_SCOPE).alias("scope"), F.lit(rules.fine_ms).cast("long").alias("window_ms"), F.lit(",".join(FINE_GROUPS)).alias("group_by"),
+    )
 
 
 def replays(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """replayRequest decisions with the span to look at again: a short dip, once per agent."""
-    hits = _fold(stats, rules).where("fired_rc")
-    return hits.select("tick_ts", F.lit("replayRequest").alias("type"), F.col("agent_id").alias("subject"), (F.col("dip_start") - rules.pad_ms).alias("from_ts"), (F.col("tick_ts") + rules.pad_ms).alias("to_ts"))
+    """replayRequest decisions with the span to look at again, the scope and its lens: a short dip, once per agent until a reset."""
+    return _replays(judged(stats, rules), rules)
 
 
 def coverage_alerts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """schemaUpdate decisions: a gap above the bar for five ticks in a row, once per episode."""
+    """schemaUpdate decisions: a gap above the bar for five ticks in a row, once per episode. ``stats`` has a row at every tick."""
     order = Window.partitionBy("domain").orderBy("tick_ts")
     rows = stats.withColumn("bad", F.col("gap") > rules.gap_above)
     rows = rows.withColumn("run", F.sum(F.when(F.col("bad"), 0).otherwise(1)).over(order)).where("bad")
@@ -81,12 +137,52 @@ def coverage_alerts(stats: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rows.withColumn("place", place).where(F.col("place") == rules.gap_ticks).select("tick_ts", F.lit("schemaUpdate").alias("type"), F.col("domain").alias("subject"), "gap")
 
 
-def decisions(agents: DataFrame, domains: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All decisions: tick_ts, type, subject."""
-    keep = ("tick_ts", "type", "subject")
-    return regressions(agents, rules).select(*keep).unionByName(coverage_alerts(domains, rules).select(*keep)).unionByName(replays(agents, rules).select(*keep))
+def decisions(agents: DataFrame, domains: DataFrame, rules: Rules = Rules(), resets: Iterable[int] = ()) -> DataFrame:
+    """All decisions in the order of the rules: tick_ts, type, subject and, of replays, span, scope and lens."""
+    rows = judged(agents, rules, resets)
+    found = _reroutes(rows).unionByName(coverage_alerts(domains, rules).drop("gap")).unionByName(_replays(rows, rules), allowMissingColumns=True)
+    return found
 
 
 def shadowed(primary: DataFrame, shadow: DataFrame) -> DataFrame:
     """Two rule layers side by side: all decisions tagged by source; only the primary's are to be applied."""
     return primary.withColumn("source", F.lit("primary")).unionByName(shadow.withColumn("source", F.lit("shadow")))
+
+
+def rules_of(schema_row: dict[str, Any] | None, rules: Rules = Rules()) -> Rules:
+    """The constants with the delta that a schema row sets; another value than a number of 0 or more is ignored."""
+    delta = (schema_row or {}).get("baseline_delta")
+    valid = isinstance(delta, (int, float)) and not isinstance(delta, bool) and 0 <= delta < float("inf")
+    return replace(rules, delta=float(delta)) if valid else rules
+
+
+@dataclass
+class ShadowLog:
+    """Runs a second rule layer beside the first: numbered entries, the last ``bound`` kept, tallies of all.
+
+    An error of the shadow is counted and goes no further.
+    """
+
+    bound: int = 500
+    entries: list[dict[str, Any]] = field(default_factory=list)
+    tallies: dict[tuple[str, str], int] = field(default_factory=dict)
+    errors: int = 0
+    last: int = 0
+
+    def _note(self, source: str, found: Iterable[dict[str, Any]]) -> None:
+        for row in found:
+            self.last += 1
+            self.entries.append({"seq": self.last, "source": source} | row)
+            key = source, row["type"]
+            self.tallies[key] = self.tallies.get(key, 0) + 1
+        del self.entries[: -self.bound]
+
+    def run(self, primary: DataFrame, shadow: Any) -> list[dict[str, Any]]:
+        """The primary's decisions of a tick (a few rows), to be applied; those of ``shadow()`` are logged only."""
+        applied = [r.asDict() for r in primary.collect()]
+        self._note("primary", applied)
+        try:
+            self._note("shadow", [r.asDict() for r in shadow().collect()])
+        except Exception:  # a proposal must not stop the engine
+            self.errors += 1
+        return applied

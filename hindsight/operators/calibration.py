@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import sidak_z
-from ..model import VALID_COUNT
-from .curator import gate_z, usable
+from ..model import VALID_COUNT, Curation, Lens
+from .curator import gaps, gate_z, steps, usable
+from .lens import apply_lens
 
 
 def trial_scores(trials: DataFrame, window_ms: int = 1000, spike_z: float = 2.0) -> DataFrame:
@@ -30,8 +31,29 @@ def trial_scores(trials: DataFrame, window_ms: int = 1000, spike_z: float = 2.0)
     return per_trial.select("trial_id", "windows", hit.alias("hit"), "blind")
 
 
-def alarm_rate(trials: DataFrame, window_ms: int = 1000, spike_z: float = 2.0) -> DataFrame:
-    """One row: trials, blind ones, and the share of the others with a spike or dip."""
-    scored = trial_scores(trials, window_ms, spike_z)
+def trial_tiles(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
+    """trial_id, shape_tag for every step and gap of a trial. The spans of a trial share no window start, so none diverges."""
+    lens = Lens(window_ms=window_ms, origin=0, group_by=("trial",))
+    events = trials.select("is_obs", "ts_ms", "value", F.create_map(F.lit("trial"), F.col("trial_id").cast("string")).alias("keys"), F.lit(1.0).alias("weight"))
+    observed, reference = (apply_lens(events.where(side), lens).where("group_label is not null") for side in ("is_obs", "not is_obs"))
+    found = steps(observed, reference, config, True).unionByName(gaps(observed, reference, window_ms, config, True))
+    return found.select(F.col("group_label").cast("long").alias("trial_id"), "shape_tag")
+
+
+def judged_trials(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
+    """trial_id, windows, hit, blind: whether a trial's package has any tile but the baseline."""
+    scored = trial_scores(trials, window_ms, config.spike_z)
+    other = trial_tiles(trials, window_ms, config).select("trial_id").distinct().withColumn("other", F.lit(True))
+    return scored.join(other, "trial_id", "left").select("trial_id", "windows", (F.col("hit") | F.coalesce("other", F.lit(False))).alias("hit"), "blind")
+
+
+def alarm_rate(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
+    """One row: trials, blind ones, and the share of the others with any tile but the baseline."""
     seen = F.when(~F.col("blind"), F.col("hit").cast("double"))
-    return scored.agg(F.count("*").alias("trials"), F.sum(F.col("blind").cast("long")).alias("blind"), F.round(F.avg(seen), 6).alias("rate"))
+    judged = judged_trials(trials, window_ms, config)
+    return judged.agg(F.count("*").alias("trials"), F.sum(F.col("blind").cast("long")).alias("blind"), F.round(F.avg(seen), 6).alias("rate"))
+
+
+def false_positives(quiet: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
+    """trial_id of the quiet trials that raise an alarm."""
+    return judged_trials(quiet, window_ms, config).where("hit and not blind").select("trial_id")

@@ -45,43 +45,67 @@ def rollup(tests: DataFrame) -> DataFrame:
     return F.broadcast(dictionary(tests.sparkSession)).join(counted, "domain", "left").select("domain", F.coalesce("n", F.lit(0)).alias("occurrences"))
 
 
-def coverage(tests: DataFrame) -> DataFrame:
-    """domain, covered, required, gap: distinct bits of every domain."""
-    counted = _bits(tests).distinct().groupBy("domain").agg(F.count("*").alias("n"))
-    joined = F.broadcast(dictionary(tests.sparkSession)).join(counted, "domain", "left")
+def coverage(tests: DataFrame, *by: str) -> DataFrame:
+    """domain, covered, required, gap: distinct bits of every domain, for every value of ``by`` that has tests."""
+    counted = _bits(tests, *by).select(*by, "domain", "bit").distinct().groupBy(*by, "domain").agg(F.count("*").alias("n"))
+    every = F.broadcast(dictionary(tests.sparkSession))  # one row per domain
+    joined = (tests.select(*by).distinct().crossJoin(every) if by else every).join(counted, [*by, "domain"], "left")
     covered = F.coalesce("n", F.lit(0))
-    return joined.select("domain", covered.alias("covered"), "required", F.greatest(F.col("required") - covered, F.lit(0)).alias("gap"))
+    return joined.select(*by, "domain", covered.alias("covered"), "required", F.greatest(F.col("required") - covered, F.lit(0)).alias("gap"))
 
 
-def coverage_gaps(tests: DataFrame) -> DataFrame:
-    return coverage(tests).where("covered < required")
+def coverage_gaps(tests: DataFrame, *by: str) -> DataFrame:
+    return coverage(tests, *by).where("covered < required")
 
 
-def at_ticks(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
-    """Each event once per tick whose window [tick - window_ms, tick] holds it, both ends included."""
-    first = F.ceil(F.col("ts_ms") / tick_ms) * tick_ms
-    last = F.floor((F.col("ts_ms") + window_ms) / tick_ms) * tick_ms
-    return tests.where("ts_ms is not null").withColumn("tick_ts", F.explode(F.when(first <= last, F.sequence(first, last, F.lit(tick_ms).cast("long"))).otherwise(F.array().cast("array<long>"))))
+def _slots(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
+    """Tests with the first and last tick whose window [tick - window_ms, tick] holds them, both ends included."""
+    first = (F.ceil(F.col("ts_ms") / tick_ms) * tick_ms).alias("first_tick")
+    last = (F.floor((F.col("ts_ms") + window_ms) / tick_ms) * tick_ms).alias("last_tick")
+    return tests.where("ts_ms is not null").select("*", first, last).where("first_tick <= last_tick")
+
+
+def _at_ticks(slots: DataFrame, tick_ms: int) -> DataFrame:
+    return slots.select("*", F.explode(F.sequence("first_tick", "last_tick", F.lit(tick_ms).cast("long"))).alias("tick_ts")).drop("first_tick", "last_tick")
+
+
+def ticks(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
+    """tick_ts: every tick from the first that sees an event to the last, those with an empty window too."""
+    ends = _slots(tests.select("ts_ms"), tick_ms, window_ms).agg(F.min("first_tick").alias("a"), F.max("last_tick").alias("b")).where("a is not null")
+    return ends.select(F.explode(F.sequence("a", "b", F.lit(tick_ms).cast("long"))).alias("tick_ts"))
 
 
 def agent_stats(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
-    """tick_ts, agent_id, pass_rate, flaky_rate, event_count; agents absent from a window have no row."""
-    share = lambda v: F.avg(F.when(F.col("result") == v, 1.0).otherwise(0.0))
-    return at_ticks(tests, tick_ms, window_ms).groupBy("tick_ts", "agent_id").agg(
-        share("pass").alias("pass_rate"), share("flaky").alias("flaky_rate"), F.count("*").alias("event_count")
+    """tick_ts, agent_id, pass_rate, flaky_rate, event_count; agents absent from a window have no row.
+
+    Events are counted once per slot (first and last tick they count for); ticks add slots.
+    """
+    slots = _slots(tests.select("ts_ms", "agent_id", "result"), tick_ms, window_ms)
+    is_ = lambda v: F.sum((F.col("result") == v).cast("long"))
+    slots = slots.groupBy("first_tick", "last_tick", "agent_id").agg(is_("pass").alias("passes"), is_("flaky").alias("flakies"), F.count("*").alias("n"))
+    n = F.sum("n")
+    return _at_ticks(slots, tick_ms).groupBy("tick_ts", "agent_id").agg(
+        (F.coalesce(F.sum("passes"), F.lit(0)) / n).alias("pass_rate"), (F.coalesce(F.sum("flakies"), F.lit(0)) / n).alias("flaky_rate"), n.alias("event_count")
     )
 
 
+def _bits_at_ticks(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
+    """tick_ts, bit: the distinct bits of every window; they are made distinct per slot first."""
+    slots = _slots(tests.select("ts_ms", "areas"), tick_ms, window_ms).select("first_tick", "last_tick", F.explode("areas").alias("bit")).distinct()
+    return _at_ticks(slots, tick_ms).distinct()
+
+
 def domain_stats(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
-    """tick_ts, domain, covered_bits, required_bits, gap: every domain at every tick with events."""
-    ticked = at_ticks(tests.select("ts_ms", "areas"), tick_ms, window_ms)
-    ticks = ticked.select("tick_ts").distinct().withColumn("domain", F.explode(F.array(*[F.lit(d[0]) for d in DOMAINS])))
-    counted = _bits(ticked, "tick_ts").distinct().groupBy("tick_ts", "domain").agg(F.count("*").alias("n"))
-    required = F.element_at(F.create_map(*[F.lit(x) for n, _, _, t in DOMAINS for x in (n, t)]), F.col("domain")).cast("long")
-    covered = F.coalesce("n", F.lit(0))
-    return ticks.join(counted, ["tick_ts", "domain"], "left").select("tick_ts", "domain", covered.alias("covered_bits"), required.alias("required_bits"), F.greatest(required - covered, F.lit(0)).alias("gap"))
+    """tick_ts, domain, covered_bits, required_bits, gap: every domain at every tick; an empty window covers nothing."""
+    every = F.array(*[F.struct(F.lit(n).alias("domain"), F.lit(t).cast("long").alias("required_bits")) for n, _, _, t in DOMAINS])
+    spine = ticks(tests, tick_ms, window_ms).select("tick_ts", F.inline(every))
+    bits = _bits_at_ticks(tests, tick_ms, window_ms).withColumn("domain", domain_of_bit(F.col("bit")))
+    counted = bits.groupBy("tick_ts", "domain").agg(F.count("*").alias("n"))
+    covered, required = F.coalesce("n", F.lit(0)), F.col("required_bits")
+    return spine.join(counted, ["tick_ts", "domain"], "left").select("tick_ts", "domain", covered.alias("covered_bits"), "required_bits", F.greatest(required - covered, F.lit(0)).alias("gap"))
 
 
 def touched_bits(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
     """tick_ts, touched: number of distinct bits in the window."""
-    return at_ticks(tests.select("ts_ms", "areas"), tick_ms, window_ms).select("tick_ts", F.explode("areas").alias("bit")).distinct().groupBy("tick_ts").agg(F.count("*").alias("touched"))
+    counted = _bits_at_ticks(tests, tick_ms, window_ms).groupBy("tick_ts").agg(F.count("*").alias("n"))
+    return ticks(tests, tick_ms, window_ms).join(counted, "tick_ts", "left").select("tick_ts", F.coalesce("n", F.lit(0)).alias("touched"))

@@ -177,14 +177,29 @@ def curate(observed: DataFrame, reference: DataFrame | None, window_ms: int, con
     return best.orderBy("region_start", rank, F.coalesce("group_label", F.lit(MIXED)), "shape_tag")
 
 
+def tile_text(tiles: DataFrame) -> DataFrame:
+    """``tiles`` with a short label and a description for people."""
+    where = F.when(F.col("group_label").isNotNull(), F.concat(F.lit(" in "), "group_label")).otherwise("")
+    said = F.lit("a quiet window near the reference mean")
+    for shape, text in {
+        "spike": "mean above the reference by %.1f standard errors", "dip": "mean below the reference by %.1f standard errors",
+        "step_up": "a run of windows above the reference, %.1f standard errors", "step_down": "a run of windows below the reference, %.1f standard errors",
+        "divergence": "observation and reference differ more than usual, %.3f deviations",
+    }.items():
+        said = F.when(F.col("shape_tag") == shape, F.format_string(text, "magnitude")).otherwise(said)
+    said = F.when(F.col("shape_tag") == "gap", F.format_string("no events for %.1f s", (F.col("region_end") - F.col("region_start")) / 1000)).otherwise(said)
+    return tiles.select("*", F.concat(F.replace("shape_tag", F.lit("_"), F.lit(" ")), where).alias("label"), said.alias("description"))
+
+
 def package_header(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
-    """One row: global statistics, whether the reference is usable, family size and thresholds, span, unscored groups."""
+    """One row: global statistics, whether the reference is usable, family size and thresholds, span, unscored groups and tails out of reach."""
     mixed = pool_stats(reference.where("group_label is null")).select(
         F.col("ref_mean").alias("mean"), F.sqrt("ref_var").alias("std_dev"), usable(F.col("ref_n"), F.col("ref_var")).alias("reference_usable")
     )
     seen = observed.where("group_label is null").agg(F.count("*").alias("window_count"), F.sum("count").alias("event_count"), (F.max("window_end") - F.min("window_start")).alias("span_ms"))
     family = _scored_units(observed, reference, grouped, config.strict_reference).withColumn("n_eff", kish_n(F.col("sum_w"), F.col("sum_w2")))
     family = family.where(f"count >= {VALID_COUNT} and n_eff > 0").agg(F.count("*").alias("family_n"))
-    unscored = unscored_groups(observed, reference).agg(F.count("*").alias("unscored_groups"))
-    out = seen.crossJoin(mixed).crossJoin(family).crossJoin(unscored)  # one row each
+    unscored = unscored_groups(observed, reference).agg(F.count("*").alias("unscored_groups"), F.array_join(F.sort_array(F.collect_list("group_label")), ",").alias("unscored_labels"))
+    tails = unreachable_tails(observed, reference, config, grouped).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "unit", "direction"))), ",").alias("unreachable"))
+    out = seen.crossJoin(mixed).crossJoin(family).crossJoin(unscored).crossJoin(tails)  # one row each
     return out.withColumns({"base_z": F.lit(config.spike_z), "effective_z": sidak_z(F.lit(config.spike_z), F.col("family_n"))})

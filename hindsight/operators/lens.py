@@ -57,12 +57,13 @@ def _pool(df: DataFrame, keys: list[str], merged: bool) -> DataFrame:
     return df.groupBy(*keys).agg(*sums).where("sum_w > 0")
 
 
-def apply_lens(events: DataFrame, lens: Lens | dict, now_ms: int | None = None) -> DataFrame:
+def apply_lens(events: DataFrame, lens: Lens | dict, now_ms: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Windows of a segment, mixed and, with ``group_by``, per group on the same grid.
 
     One aggregation over the events; the mixed view pools the groups' windows. Coarse
     windows come straight from the events, except under exponential decay, where fine
-    windows without weight vanish first.
+    windows without weight vanish first. Columns ``by`` part the events into segments with
+    windows of their own (on an epoch grid, without decay from a segment's end).
     """
     lens = Lens.of(lens) if isinstance(lens, dict) else lens
     events = events.where("ts_ms is not null and value is not null").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
@@ -75,7 +76,9 @@ def apply_lens(events: DataFrame, lens: Lens | dict, now_ms: int | None = None)
     events = events.withColumn("group_label", group_label(F.col("keys"), lens.group_by) if lens.group_by else F.lit(None).cast("string"))
     two_steps = lens.downsample_factor > 1 and lens.decay is not None and parse_decay(lens.decay).kind == "exp"
     first_ms = lens.window_ms if two_steps else lens.output_ms
-    keys = ["group_label", "window_start"]
+    if by and (lens.grid != "epoch" or lens.decay is not None and lens.decay_anchor != "now"):
+        raise ValueError("segments side by side need an epoch grid and no decay from their ends")
+    keys = [*by, "group_label", "window_start"]
     events = events.withColumn("window_start", floor_to_window(F.col("ts_ms"), first_ms, origin))
     if two_steps:
         events = events.withColumn("coarse", floor_to_window(F.col("ts_ms"), lens.output_ms, origin))
@@ -84,9 +87,10 @@ def apply_lens(events: DataFrame, lens: Lens | dict, now_ms: int | None = None)
     else:
         windows = _pool(events, keys, False)
     if lens.group_by:
-        mixed = _pool(windows, ["window_start"], True).withColumn("group_label", F.lit(None).cast("string"))
+        mixed = _pool(windows, [*by, "window_start"], True).withColumn("group_label", F.lit(None).cast("string"))
         windows = windows.unionByName(mixed)
     return windows.select(
+        *by,
         "group_label",
         "window_start",
         (F.col("window_start") + lens.output_ms).alias("window_end"),

@@ -34,14 +34,14 @@ def thinned(events: DataFrame, retention_ms: int, reference_ms: int, ratio: int)
     """Every ``ratio``-th aged event in arrival order, standing for ``ratio`` events, within ``reference_ms``.
 
     Numbers come from counts per bucket of ``seq`` plus the rank inside the bucket, so no
-    task ever orders all aged events.
+    task ever orders all aged events. Events without ``seq`` come first, in order of time.
     """
     aged = events.crossJoin(_last(events)).where(F.col("ts_ms") < F.col("_last") - retention_ms).drop("_last")
-    aged = aged.withColumn("_bucket", F.floor(F.col("seq") / BUCKET_EVENTS))
+    aged = aged.withColumn("_bucket", F.coalesce(F.floor(F.col("seq") / BUCKET_EVENTS), F.lit(-1)))
     counts = aged.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_bucket", before.alias("_before"))
-    numbered = aged.join(offsets, "_bucket").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("seq")))
+    numbered = aged.join(offsets, "_bucket").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("seq", "ts_ms")))
     kept = numbered.where(F.col("_i") % ratio == 0).drop("_bucket", "_before", "_i").withColumn("weight", F.lit(float(ratio)))
     return kept.crossJoin(_last(kept)).where(F.col("ts_ms") >= F.col("_last") - reference_ms).drop("_last")
 
@@ -69,7 +69,30 @@ def replay(events: DataFrame, lens: Lens | dict, from_ms: int | None = None, to_
 
 def replay_with_reference(events: DataFrame, lens: Lens | dict, from_ms: int, to_ms: int) -> tuple[DataFrame, DataFrame]:
     """Windows of a span and of the equally long span before it; the shared end point counts in both."""
-    return replay(events, lens, from_ms, to_ms), replay(events, lens, from_ms - (to_ms - from_ms), from_ms)
+    return replay_spans(events, lens, (from_ms, to_ms), (from_ms - (to_ms - from_ms), from_ms))
+
+
+def replay_spans(events: DataFrame, lens: Lens | dict, observed: tuple[int, int], reference: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Windows of two spans, ends included.
+
+    On an epoch grid both come from one scan and one aggregation, and are kept: windows are
+    few, and all comparisons read them again. A lost part is made again from the events.
+    """
+    lens = Lens.of(lens) if isinstance(lens, dict) else lens
+    if lens.grid != "epoch" or lens.decay is not None:
+        return replay(events, lens, *observed), replay(events, lens, *reference)
+    events = segment(events, min(observed[0], reference[0]), max(observed[1], reference[1]))
+    sides = F.array(*[F.when(F.col("ts_ms").between(*span), F.lit(i)) for i, span in enumerate((observed, reference))])
+    both = apply_lens(events.withColumn("side", F.explode(F.array_compact(sides))), lens, by=("side",)).persist()
+    return both.where("side = 0").drop("side"), both.where("side = 1").drop("side")
+
+
+def sizes(events: DataFrame, retention_ms: int, reference_ms: int | None = None, ratio: int | None = None) -> DataFrame:
+    """One row: size of the fresh zone and of the thinned one behind it."""
+    validate(retention_ms, reference_ms, ratio)
+    held = fresh(events, retention_ms).agg(F.count("*").alias("size"))
+    aged = held.select(F.lit(0).cast("long").alias("reference_size")) if ratio is None else thinned(events, retention_ms, reference_ms, ratio).agg(F.count("*").alias("reference_size"))
+    return held.crossJoin(aged)  # one row each
 
 
 def live_spans(now_ms: int, window_ms: int, count: int = 3, origin: int = 0) -> tuple[tuple[int, int], tuple[int, int]]:

@@ -8,7 +8,8 @@ HOUR, DAY = 3_600_000, 86_400_000
 MID = 1_704_067_200_000 + 15 * DAY
 END = MID + 15 * DAY
 TICK, WINDOW = 6 * HOUR, DAY
-GAP_HOURS = (3, 4, 5, 14, 15)
+ALERT_WINDOW = 12 * HOUR
+RESETS = (MID - 5 * DAY, MID + 4 * DAY)
 WRITES = (("observe:*", 1000), ("observe:a", 2000), ("observe:a#fine", 250), ("observe:b#fine", 500), ("observe:a", 3000))
 LOOKUPS = (("a", "fine"), ("a", "coarse"), ("a", None), ("b", "fine"), ("b", None), ("c", "fine"))
 
@@ -16,7 +17,7 @@ E = "SELECT (epoch_us(ts) // 1000) AS ts_ms, value, event_type, (user_id % 4)::V
 P = E.replace("value,", "CASE WHEN event_type = 'error' THEN 0.0 ELSE 1.0 END::DOUBLE AS value,", 1)
 TIGHT = E.replace("value,", "CASE WHEN event_id % 50 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS value,", 1)
 T = """SELECT (epoch_us(ts) // 1000) AS ts_ms, 'agent-' || substr('ABCD', (user_id % 4 + 1)::INT, 1) AS agent_id, event_id AS seq,
-  list_distinct([(user_id * 37) % 256, (event_id * 11) % 256, (user_id + event_id) % 256]) AS areas,
+  list_distinct([(user_id * 37) % 256, (event_id * 11) % 256, (user_id + event_id) % 256]) AS areas, 'commit-' || (event_id // 100) AS commit_hash,
   CASE event_type WHEN 'error' THEN 'fail' WHEN 'signup' THEN 'flaky' ELSE 'pass' END AS result FROM events"""
 DICTIONARY = "(VALUES (0, 'auth', 0, 31, 32), (1, 'payment', 32, 63, 32), (2, 'ui', 64, 127, 48), (3, 'utils', 128, 255, 32)) AS dict(position, domain, lo, hi, required)"
 
@@ -50,10 +51,10 @@ THINNED = f"""WITH e AS ({E}), fresh AS (SELECT * FROM e WHERE ts_ms >= (SELECT
   SELECT * FROM fresh UNION ALL SELECT * EXCLUDE (i) REPLACE (3.0 AS weight) FROM kept WHERE ts_ms >= (SELECT max(ts_ms) FROM kept) - {15 * DAY}"""
 
 
-def sides(source: str, label: str | None) -> str:
+def sides(source: str, label: str | None, w: int = DAY) -> str:
     """CTEs obs, ref and pool (one row per unit of the reference)."""
-    return f"""obs AS ({windows(source, DAY, label, where=f'ts_ms BETWEEN {MID} AND {END}')}),
-    ref AS ({windows(source, DAY, label, where=f'ts_ms BETWEEN {2 * MID - END} AND {MID}')}),
+    return f"""obs AS ({windows(source, w, label, where=f'ts_ms BETWEEN {MID} AND {END}')}),
+    ref AS ({windows(source, w, label, where=f'ts_ms BETWEEN {2 * MID - END} AND {MID}')}),
     pool0 AS (SELECT coalesce(group_label, '') AS unit, sum(sum_w) AS ref_w, sum(sum_w2) AS ref_w2, sum(mean * sum_w) / sum(sum_w) AS ref_mean,
       sum(sum_sq) AS ref_sq, sum(count)::BIGINT AS ref_count, count(*) AS ref_windows FROM ref GROUP BY 1),
     pool AS (SELECT *, ref_w * ref_w / ref_w2 AS ref_n, CASE WHEN ref_w * ref_w / ref_w2 >= 2 AND ref_w > ref_w2 / ref_w
@@ -89,14 +90,29 @@ TILE = "shape_tag, group_label, region_start, region_end, round(magnitude, 4) AS
 SPIKES = "SELECT tag AS shape_tag, group_label, window_start AS region_start, window_end AS region_end, abs(raw_z) AS magnitude FROM scored WHERE tag IS NOT NULL"
 AGENTS = f"""SELECT tick AS tick_ts, agent_id, avg((result = 'pass')::INT) AS pass_rate, avg((result = 'flaky')::INT) AS flaky_rate, count(*) AS event_count
     FROM ({T}) t JOIN (SELECT unnest(range({MID - 16 * DAY}, {END + 3 * DAY}, {TICK})) AS tick) ON ts_ms BETWEEN tick - {WINDOW} AND tick GROUP BY ALL"""
-DOMAINS_AT = f"""SELECT tick_ts, dict.domain, count(DISTINCT CASE WHEN bit BETWEEN lo AND hi THEN bit END) AS covered_bits, required::BIGINT AS required_bits,
+
+
+def spine(window: int) -> str:
+    """Every tick from the first to the last that sees an event."""
+    return f"""SELECT unnest(generate_series((ceil(min(ts_ms) / {float(TICK)}) * {TICK})::BIGINT, (max(ts_ms) + {window}) // {TICK} * {TICK}, {TICK})) AS tick_ts FROM ({T})"""
+
+
+def bits_at(window: int) -> str:
+    """Bits of every tick; a tick that sees none has one row without a bit."""
+    return f"""SELECT tick_ts, bit FROM ({spine(window)}) LEFT JOIN (SELECT ts_ms, unnest(areas) AS bit FROM ({T})) ON ts_ms BETWEEN tick_ts - {window} AND tick_ts"""
+
+
+def domains_at(window: int) -> str:
+    return f"""SELECT tick_ts, dict.domain, count(DISTINCT CASE WHEN bit BETWEEN lo AND hi THEN bit END) AS covered_bits, required::BIGINT AS required_bits,
       greatest(required - count(DISTINCT CASE WHEN bit BETWEEN lo AND hi THEN bit END), 0)::BIGINT AS gap
-    FROM (SELECT tick AS tick_ts, unnest(areas) AS bit FROM ({T}) t JOIN (SELECT unnest(range({MID - 16 * DAY}, {END + 3 * DAY}, {TICK})) AS tick) ON ts_ms BETWEEN tick - {WINDOW} AND tick), {DICTIONARY}
-    GROUP BY tick_ts, dict.domain, required"""
+    FROM ({bits_at(window)}), {DICTIONARY} GROUP BY tick_ts, dict.domain, required"""
 
 
-def fold(delta: float = 0.10) -> str:
+def fold(delta: float = 0.10, resets: tuple[int, ...] = ()) -> str:
     """Recursive CTE f: the rule state after every tick of an agent."""
+    fresh = " OR ".join(f"(coalesce(f.tick_ts, 0) <= {r} AND a.tick_ts > {r})" for r in resets) or "FALSE"
+    old = lambda name, reset: f"CASE WHEN {fresh} THEN {reset} ELSE f.{name} END AS {name}"
+    kept = ", ".join(old(n, r) for n, r in (("low", "0"), ("rer", "FALSE"), ("dips", "0"), ("act", "FALSE"), ("since", "NULL"), ("replayed", "FALSE")))
     below = "coalesce(pass_rate < th, FALSE)"
     dip = f"({below} AND pass_rate >= 0.40)"
     return f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY agent_id ORDER BY tick_ts) AS i FROM ({AGENTS})),
@@ -116,14 +132,15 @@ def fold(delta: float = 0.10) -> str:
         th IS NOT NULL AND NOT {below} AND act AND NOT replayed,
         CASE WHEN th IS NOT NULL AND NOT {below} AND act AND NOT replayed THEN coalesce(since, tick_ts) END
       FROM (SELECT *, CASE WHEN n >= 10 THEN greatest(b - {delta}, 0) END AS th FROM (
-        SELECT a.agent_id, a.i, a.tick_ts, a.pass_rate, f.low, f.rer, f.dips, f.act, f.since, f.replayed,
+        SELECT a.agent_id, a.i, a.tick_ts, a.pass_rate, {kept},
           f.n + (a.event_count >= 3)::INT AS n,
           CASE WHEN a.event_count < 3 THEN f.b WHEN f.b IS NULL THEN a.pass_rate WHEN f.n < 10 OR a.pass_rate >= f.b - {delta} THEN 0.05 * a.pass_rate + 0.95 * f.b ELSE f.b END AS b
         FROM f JOIN a ON a.agent_id = f.agent_id AND a.i = f.i + 1))
     )"""
 
 
-def trial_sql(burst: str) -> str:
+def trial_sql(burst: str, shown: str = "") -> str:
+    rate = f"SELECT count(*) AS trials, sum(blind::INT)::BIGINT AS blind, round(avg(CASE WHEN NOT blind THEN (z >= {sidak_z_sql('2.0', 'windows')})::INT END), 6) AS rate FROM t"
     return f"""WITH r AS (SELECT id // 2000 AS trial_id, id % 2000 AS i, (id // 1000) % 2 = 1 AS is_obs FROM (SELECT unnest(range(1000000)) AS id)),
     h AS (SELECT *, md5(trial_id || ':' || i) AS d FROM r),
     e AS (SELECT trial_id, is_obs, floor(('0x' || substr(d, 1, 8))::BIGINT / 4294967296.0 * 10000)::BIGINT + CASE WHEN is_obs THEN 10000 ELSE 0 END AS ts_ms, ('0x' || substr(d, 9, 8))::BIGINT / 4294967296.0 AS u FROM h),
@@ -132,7 +149,7 @@ def trial_sql(burst: str) -> str:
     pool AS (SELECT trial_id, sum(n) AS rn, sum(v) / sum(n) AS rm, greatest((sum(v) - sum(n) * (sum(v) / sum(n)) ** 2) / (sum(n) - 1), 0) AS rv FROM win WHERE NOT is_obs GROUP BY 1),
     z AS (SELECT trial_id, greatest(abs(v / n - rm) - 0.5 / n, 0) / nullif(sqrt(rv * (1.0 / n + 1.0 / rn)), 0) AS z, rv FROM win JOIN pool USING (trial_id) WHERE is_obs AND n >= 3),
     t AS (SELECT trial_id, count(*) AS windows, max(z) AS z, NOT bool_or(rv > 0) AS blind FROM z GROUP BY 1)
-    SELECT count(*) AS trials, sum(blind::INT)::BIGINT AS blind, round(avg(CASE WHEN NOT blind THEN (z >= {sidak_z_sql('2.0', 'windows')})::INT END), 6) AS rate FROM t"""
+    {shown or rate}"""
 
 
 def queries() -> dict[str, str]:
@@ -147,7 +164,6 @@ def queries() -> dict[str, str]:
     agent_label = f"""agent_id || '|' || (SELECT max_by(domain, n * 10 - position) FROM (SELECT domain, position, len(list_filter(areas, lambda b: b BETWEEN lo AND hi)) AS n FROM {DICTIONARY}))"""
     observed = f"SELECT ts_ms, CASE result WHEN 'pass' THEN 1.0 WHEN 'flaky' THEN 0.5 ELSE 0.0 END::DOUBLE AS value, 1.0::DOUBLE AS weight, {agent_label} AS who FROM ({T}) t"
     even, odd = (windows(f"SELECT * FROM ({E.replace('event_id AS seq', 'event_id AS seq, user_id')}) WHERE user_id % 2 = {k}", DAY) for k in (0, 1))
-    hours = ", ".join(map(str, GAP_HOURS))
     base_pick = """pick AS (SELECT window_start AS region_start, window_end AS region_end FROM obs, pool WHERE group_label IS NULL AND unit = ''
       ORDER BY NOT valid, abs(mean - ref_mean), window_start LIMIT 1)"""
     tails = """best AS (SELECT unit, max(max_v) AS hi, min(min_v) AS lo, max_by(struct_pack(n_eff, se, step, ref_mean, threshold), struct_pack(a := n_eff, b := -window_start)) AS b FROM scored WHERE ref_var > 0 AND se > 0 GROUP BY unit),
@@ -171,6 +187,7 @@ def queries() -> dict[str, str]:
         "retention_segment": f"SELECT seq, ts_ms, round(value, 2) AS value FROM ({E}) WHERE ts_ms BETWEEN {MID} AND {END}",
         "retention_thinned": f"SELECT seq, ts_ms, weight::DOUBLE AS weight FROM ({THINNED})",
         "replay_thinned": shown(windows(THINNED, DAY)),
+        "retention_sizes": f"SELECT count(*) FILTER (weight = 1) AS size, count(*) FILTER (weight = 3) AS reference_size FROM ({THINNED})",
         "pool_reference": f"WITH {sides(E, by_type)} SELECT unit, round(ref_w, 4) AS ref_w, round(ref_n, 4) AS ref_n, round(ref_mean, 4) AS ref_mean, round(ref_var, 4) AS ref_var, ref_count, ref_windows FROM pool",
         "reference_usable": f"WITH {sides(P, by_type)} SELECT unit, coalesce(ref_n >= 3 AND ref_var > 0, FALSE) AS usable FROM pool",
         "unscored_groups": f"WITH {sides(P, by_type)} SELECT DISTINCT group_label FROM obs WHERE group_label IS NOT NULL AND group_label NOT IN (SELECT unit FROM pool WHERE ref_n >= 3 AND ref_var > 0)",
@@ -180,8 +197,9 @@ def queries() -> dict[str, str]:
         "curate_spike_dip_lattice": f"WITH {scores(P, None, 0.8)} {SCORED}",
         "curate_grouped": f"WITH {scores(E, by_type, 0.8)} {SCORED}",
         "curate_steps": f"WITH {sides(E, None)}, {STEPS} SELECT {TILE} FROM steps",
-        "curate_gaps": f"""WITH w AS ({windows(E, HOUR, where=f"(ts_ms % {DAY}) // {HOUR} NOT IN ({hours})")}), n AS (SELECT *, lead(window_start) OVER (ORDER BY window_start) AS nx FROM w)
-          SELECT 'gap' AS shape_tag, NULL::VARCHAR AS group_label, window_end AS region_start, nx AS region_end, NULL::DOUBLE AS magnitude FROM n WHERE nx - window_end >= {2 * HOUR}""",
+        "curate_gaps": f"""WITH {sides(E, by_two, HOUR)}, n AS (SELECT o.*, lead(window_start) OVER (PARTITION BY group_label ORDER BY window_start) AS nx
+            FROM obs o JOIN pool ON group_label = unit WHERE ref_n >= 3 AND ref_var > 0)
+          SELECT 'gap' AS shape_tag, group_label, window_end AS region_start, nx AS region_end, NULL::DOUBLE AS magnitude FROM n WHERE nx - window_end >= {2 * HOUR}""",
         "curate_divergence": f"""WITH a AS ({even}), b AS ({odd}), p AS (SELECT a.window_start AS region_start, a.window_end AS region_end, abs(a.mean - b.mean) AS d FROM a JOIN b USING (window_start)),
           z AS (SELECT *, (d - avg(d) OVER ()) / nullif(stddev_pop(d) OVER (), 0) AS magnitude FROM p) SELECT 'divergence' AS shape_tag, NULL::VARCHAR AS group_label, region_start, region_end, round(magnitude, 4) AS magnitude FROM z WHERE magnitude >= 0.5""",
         "curate_baseline": f"WITH {scores(E, None, 0.8)}, {base_pick} SELECT 'baseline' AS shape_tag, NULL::VARCHAR AS group_label, region_start, region_end, NULL::DOUBLE AS magnitude FROM pick WHERE region_start NOT IN (SELECT window_start FROM scored WHERE tag IS NOT NULL)",
@@ -195,27 +213,39 @@ def queries() -> dict[str, str]:
           every AS (SELECT * FROM found UNION ALL SELECT 'baseline', NULL, region_start, region_end, NULL FROM pick WHERE region_start NOT IN (SELECT region_start FROM found))
           SELECT {TILE} FROM (SELECT * FROM every ORDER BY coalesce(magnitude, 0) DESC,
             CASE shape_tag WHEN 'spike' THEN 0 WHEN 'dip' THEN 0 WHEN 'step_up' THEN 1 WHEN 'step_down' THEN 1 WHEN 'divergence' THEN 2 WHEN 'gap' THEN 3 ELSE 4 END, region_start LIMIT 12)""",
-        "package_header": f"""WITH {scores(E, by_type, 2.0)} SELECT (SELECT count(*) FROM obs WHERE group_label IS NULL) AS window_count, (SELECT sum(count)::BIGINT FROM obs WHERE group_label IS NULL) AS event_count,
+        "tile_text": f"""WITH {scores(E, by_type, 0.8)} SELECT tag AS shape_tag, window_start AS region_start, tag || ' in ' || group_label AS label,
+          printf('mean %s the reference by %.1f standard errors', CASE WHEN tag = 'spike' THEN 'above' ELSE 'below' END, abs(raw_z)) AS description FROM scored WHERE tag IS NOT NULL""",
+        "package_header": f"""WITH {scores(E, by_type, 2.0)}, {tails} SELECT (SELECT count(*) FROM obs WHERE group_label IS NULL) AS window_count, (SELECT sum(count)::BIGINT FROM obs WHERE group_label IS NULL) AS event_count,
           (SELECT max(window_end) - min(window_start) FROM obs WHERE group_label IS NULL) AS span_ms, round(ref_mean, 4) AS mean, round(sqrt(ref_var), 4) AS std_dev, coalesce(ref_n >= 3 AND ref_var > 0, FALSE) AS reference_usable,
           (SELECT count(*) FROM scored) AS family_n, (SELECT count(DISTINCT group_label) FROM obs WHERE group_label IS NOT NULL AND group_label NOT IN (SELECT unit FROM pool WHERE ref_n >= 3 AND ref_var > 0)) AS unscored_groups,
+          coalesce((SELECT string_agg(DISTINCT group_label, ',' ORDER BY group_label) FROM obs WHERE group_label IS NOT NULL AND group_label NOT IN (SELECT unit FROM pool WHERE ref_n >= 3 AND ref_var > 0)), '') AS unscored_labels,
+          coalesce((SELECT string_agg(unit || ':' || direction, ',' ORDER BY unit || ':' || direction) FROM t WHERE z < th), '') AS unreachable,
           2.0::DOUBLE AS base_z, round({sidak_z_sql('2.0', '(SELECT count(*) FROM scored)')}, 4) AS effective_z FROM pool WHERE unit = ''""",
-        "live_spans_curated": f"WITH {live_scores} SELECT {TILE} FROM ({SPIKES})",
+        "live_spans_curated": f"WITH {live_scores} {SCORED}",
         "domain_rollup": f"SELECT domain, (SELECT count(*) FROM (SELECT unnest(areas) AS bit FROM ({T})) WHERE bit BETWEEN lo AND hi) AS occurrences FROM {DICTIONARY}",
         "domain_coverage": f"SELECT domain, covered, required::BIGINT AS required, greatest(required - covered, 0)::BIGINT AS gap FROM (SELECT *, (SELECT count(DISTINCT bit) FROM (SELECT unnest(areas) AS bit FROM ({T})) WHERE bit BETWEEN lo AND hi) AS covered FROM {DICTIONARY})",
-        "coverage_gaps": f"SELECT domain, covered, required::BIGINT AS required, (required - covered)::BIGINT AS gap FROM (SELECT *, (SELECT count(DISTINCT bit) FROM (SELECT unnest(areas) AS bit FROM ({T}) WHERE seq < 300) WHERE bit BETWEEN lo AND hi) AS covered FROM {DICTIONARY}) WHERE covered < required",
+        "coverage_gaps": f"""SELECT commit_hash, domain, covered, required::BIGINT AS required, (required - covered)::BIGINT AS gap FROM (
+            SELECT commit_hash, domain, required, count(DISTINCT CASE WHEN bit BETWEEN lo AND hi THEN bit END) AS covered
+            FROM (SELECT commit_hash, unnest(areas) AS bit FROM ({T})), {DICTIONARY} GROUP BY ALL) WHERE covered < required""",
         "primary_domain": f"SELECT split_part(who, '|', 2) AS domain, count(*) AS n FROM ({observed}) GROUP BY 1",
         "observed_tests": shown(windows(observed, DAY, "who")),
         "tick_agent_stats": f"SELECT tick_ts, agent_id, round(pass_rate, 4) AS pass_rate, round(flaky_rate, 4) AS flaky_rate, event_count FROM ({AGENTS})",
-        "tick_domain_stats": DOMAINS_AT,
-        "tick_touched_bits": f"SELECT tick AS tick_ts, count(DISTINCT bit) AS touched FROM (SELECT tick, unnest(areas) AS bit FROM ({T}) t JOIN (SELECT unnest(range({MID - 16 * DAY}, {END + 3 * DAY}, {TICK})) AS tick) ON ts_ms BETWEEN tick - {WINDOW} AND tick) GROUP BY 1",
+        "tick_domain_stats": domains_at(WINDOW),
+        "tick_touched_bits": f"SELECT tick_ts, count(DISTINCT bit) AS touched FROM ({bits_at(WINDOW)}) GROUP BY 1",
+        "snapshot_frames": f"""SELECT tick_ts, coalesce(agents, 0) AS agents, coalesce(events, 0)::BIGINT AS events, gap, touched
+          FROM (SELECT tick_ts, sum(gap)::BIGINT AS gap FROM ({domains_at(WINDOW)}) GROUP BY 1) JOIN (SELECT tick_ts, count(DISTINCT bit) AS touched FROM ({bits_at(WINDOW)}) GROUP BY 1) USING (tick_ts)
+          LEFT JOIN (SELECT tick_ts, count(*) AS agents, sum(event_count) AS events FROM ({AGENTS}) GROUP BY 1) USING (tick_ts)""",
+        "parallel_views": " UNION ALL ".join(f"SELECT '{v}' AS view, * FROM ({shown(windows(E, w, by))})" for v, w, by in (("fine", 6 * HOUR, None), ("by_type", DAY, by_type), ("coarse", 2 * DAY, None))),
         "brain_baseline_ewma": f"{fold()} SELECT tick_ts, agent_id, round(b, 4) AS baseline, n AS observations, round(th, 4) AS threshold FROM f WHERE i > 0",
         "brain_ar": f"{fold()} SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar",
-        "brain_rc": f"{fold()} SELECT tick_ts, 'replayRequest' AS type, agent_id AS subject, dip_start - 5000 AS from_ts, tick_ts + 5000 AS to_ts FROM f WHERE rc",
-        "brain_cg": f"""WITH s AS (SELECT *, sum((gap <= 4)::INT) OVER (PARTITION BY domain ORDER BY tick_ts) AS run FROM ({DOMAINS_AT})),
+        "brain_rc": f"{fold()} SELECT tick_ts, 'replayRequest' AS type, agent_id AS subject, dip_start - 5000 AS from_ts, tick_ts + 5000 AS to_ts, 'observe:test_result:v1#fine' AS scope, 1000::BIGINT AS window_ms, 'agentId' AS group_by FROM f WHERE rc",
+        "brain_cg": f"""WITH s AS (SELECT *, sum((gap <= 4)::INT) OVER (PARTITION BY domain ORDER BY tick_ts) AS run FROM ({domains_at(ALERT_WINDOW)})),
           p AS (SELECT *, row_number() OVER (PARTITION BY domain, run ORDER BY tick_ts) AS place FROM s WHERE gap > 4) SELECT tick_ts, 'schemaUpdate' AS type, domain AS subject, gap FROM p WHERE place = 5""",
+        "brain_reset": f"{fold(resets=RESETS)} SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar",
         "brain_shadow": f"SELECT * FROM (SELECT 'primary' AS source, 'rerouteSchema' AS type, count(*) AS n FROM ({fold()} SELECT * FROM f WHERE ar) UNION ALL SELECT 'shadow', 'rerouteSchema', count(*) FROM ({fold(0.05)} SELECT * FROM f WHERE ar)) WHERE n > 0",
         "late_arrival_equivalence": shown(windows(E, DAY)),
         "registry_resolution": f"WITH writes(i, s, w) AS (VALUES {writes}), looks(schema, view) AS (VALUES {looks}) SELECT schema, view, coalesce({row("'observe:' || schema || '#' || view")}, {row("'observe:' || schema")}, {row("'observe:*'")})::BIGINT AS window_ms FROM looks",
         "calibration_false_alarm": trial_sql("0.95"),
+        "calibration_quiet_trials": trial_sql("0.95", "SELECT trial_id FROM t WHERE NOT blind AND z >= " + sidak_z_sql("2.0", "windows")),
         "calibration_power": trial_sql("CASE WHEN is_obs AND ts_ms >= 18000 THEN 0.90 ELSE 0.95 END"),
     }

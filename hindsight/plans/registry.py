@@ -9,6 +9,7 @@ from collections.abc import Callable
 from typing import Any, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import LAYERS, validate_observe
 
@@ -51,31 +52,45 @@ class Registry:
         self._rows[str(parsed)] = kept
         self._history.append((len(self._history) + 1, str(parsed), kept))
         for listener in list(self._listeners):
-            listener(parsed, kept)
+            listener(parsed, copy.deepcopy(kept))
 
     def get_observe(self, schema: str, view: str | None = None) -> dict[str, Any] | None:
         """First row of schema#view, schema, *; rows are never merged."""
         tried = ([f"observe:{schema}#{view}"] if view is not None else []) + [f"observe:{schema}", "observe:*"]
-        return next((self._rows[s] for s in tried if s in self._rows), None)
+        return next((copy.deepcopy(self._rows[s]) for s in tried if s in self._rows), None)
 
     def get_pipeline(self, target: str = "*") -> dict[str, Any] | None:
-        return self._rows.get(f"pipeline:{target}")
+        return copy.deepcopy(self._rows.get(f"pipeline:{target}"))
 
     def get_schema(self, schema: str) -> dict[str, Any] | None:
-        return self._rows.get(f"schema:{schema}", self._rows.get("schema:*"))
+        return copy.deepcopy(self._rows.get(f"schema:{schema}", self._rows.get("schema:*")))
 
     def on_change(self, listener: Callable[[Scope, dict[str, Any]], None]) -> Callable[[], None]:
         self._listeners.append(listener)
         return lambda: self._listeners.remove(listener) if listener in self._listeners else None
 
     def rows(self) -> list[tuple[int, str, dict[str, Any]]]:
-        return list(self._history)
+        return copy.deepcopy(self._history)
 
     def history(self, spark: SparkSession) -> DataFrame:
         """seq, scope, params (JSON) of every accepted write."""
         return spark.createDataFrame([(n, s, json.dumps(p, sort_keys=True)) for n, s, p in self._history], "seq long, scope string, params string")
 
 
+def resolve(history: DataFrame, looks: DataFrame, field: str) -> DataFrame:
+    """``looks(schema, view)`` with ``field`` (JSON text) of the observe row that was in force for each at last.
+
+    ``history`` is :meth:`Registry.history`. The last write of a scope counts; view, schema and * are tried in this order.
+    """
+    last = history.groupBy("scope").agg(F.max_by("params", "seq").alias("params"))
+    schema, view = F.col("schema"), F.col("view")
+    tried = [F.concat(F.lit("observe:"), schema, F.lit("#"), view), F.concat(F.lit("observe:"), schema), F.lit("observe:*")]
+    wanted = looks.distinct().select("schema", "view", F.posexplode(F.array(*tried)).alias("place", "scope")).where("scope is not null")
+    found = wanted.join(last, "scope").groupBy("schema", "view").agg(F.min_by("params", "place").alias("params"))
+    same = F.col("l.schema").eqNullSafe(F.col("f.schema")) & F.col("l.view").eqNullSafe(F.col("f.view"))
+    return looks.alias("l").join(found.alias("f"), same, "left").select("l.schema", "l.view", F.get_json_object("f.params", f"$.{field}").alias(field))
+
+
 def bind_window(registry: Registry, apply: Callable[[int], None], schema: str, view: str | None = None) -> Callable[[], None]:
     """Call ``apply(window_ms)`` now and whenever the lens in force changes it."""
     last: list[int | None] = [None]

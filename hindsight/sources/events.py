@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,19 @@ def value_of(result: Column) -> Column:
     return F.when(result == "pass", 1.0).when(result == "flaky", 0.5).when(result == "fail", 0.0)
 
 
-def read_events(spark: SparkSession, sf_dir: str, from_ts: str | None = None, to_ts: str | None = None) -> DataFrame:
-    """The events table; the bounds are literals on the stored column, so they reach the scan."""
+def _stored(ms: int) -> Column:
+    """Unix milliseconds as a literal of the stored, zone-less column."""
+    at = datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms)
+    return F.expr(f"timestamp_ntz'{at.isoformat(sep=' ', timespec='milliseconds')}'")
+
+
+def read_events(spark: SparkSession, sf_dir: str, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+    """The events table; bounds, both included, are literals on the stored column, so they reach the scan."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    if from_ts:
-        events = events.where(F.expr(f"ts >= timestamp_ntz'{from_ts}'"))
-    if to_ts:
-        events = events.where(F.expr(f"ts <= timestamp_ntz'{to_ts}'"))
+    if from_ms is not None:
+        events = events.where(F.col("ts") >= _stored(from_ms))
+    if to_ms is not None:
+        events = events.where(F.col("ts") < _stored(to_ms + 1))
     return events
 
 
@@ -75,8 +83,13 @@ def of_agent(tests: DataFrame, agent_id: str) -> DataFrame:
     return observe(tests.where(F.col("agent_id") == agent_id))
 
 
-def arriving_late(events: DataFrame, share: float = 0.1) -> DataFrame:
-    """The same events in another order of arrival: a share comes 500 to 3000 ms late, times unchanged."""
+def arrivals(events: DataFrame, share: float = 0.1) -> DataFrame:
+    """The same events with an ``arrival_ms``: a share comes 500 to 3000 ms late, times unchanged."""
     u = F.pmod(F.xxhash64("seq"), F.lit(10_000)) / 10_000
-    arrival = F.col("ts_ms") + F.when(u < share, 500 + F.pmod(F.hash("seq"), F.lit(2501))).otherwise(0)
-    return events.withColumn("arrival_ms", arrival).orderBy("arrival_ms", "seq")
+    return events.withColumn("arrival_ms", F.col("ts_ms") + F.when(u < share, 500 + F.pmod(F.hash("seq"), F.lit(2501))).otherwise(0))
+
+
+def arriving_late(events: DataFrame, share: float = 0.1) -> DataFrame:
+    """Events dealt over partitions, and read within them, by their arrival."""
+    late = arrivals(events, share)
+    return late.repartitionByRange("arrival_ms").sortWithinPartitions("arrival_ms", "seq")

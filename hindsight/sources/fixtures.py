@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import DOMAINS
+
 _MASK = 0xFFFFFFFF
 
-#: Pass and flaky rates, areas (fewest, most) and domain bias of the four agents.
+#: Pass and flaky rates, fewest and most areas of a test, and domain bias of the four agents.
 PROFILES = {
-    "agent-A": (0.95, 0.01, None),
-    "agent-B": (0.88, 0.02, {"ui": 4, "utils": 3, "auth": 1, "payment": 1}),
-    "agent-C": (0.95, 0.01, None),
-    "agent-D": (0.90, 0.08, None),
+    "agent-A": (0.95, 0.01, 2, 6, None),
+    "agent-B": (0.88, 0.02, 4, 12, {"auth": 1, "payment": 1, "ui": 4, "utils": 3}),
+    "agent-C": (0.95, 0.01, 2, 6, None),
+    "agent-D": (0.90, 0.08, 2, 5, None),
 }
+#: How often a domain is drawn unless a profile says otherwise, and draws per bit wanted.
+DOMAIN_BIAS, ATTEMPTS = {"auth": 3, "payment": 3, "ui": 2, "utils": 1}, 10
 #: Scenarios as (duration ms, agent, pass rate, removed bits) phases.
 SCENARIOS = {
     "AR": ((10_000, None, None, None), (30_000, "agent-C", 0.70, None)),
@@ -47,6 +51,22 @@ def mulberry32(seed: int) -> Iterator[float]:
         yield ((t ^ (t >> 14)) & _MASK) / 2**32
 
 
+def weighted_bits(n: Column, bias: dict[str, float] | None, draw: Callable[[Column, int], Column], most: int) -> Column:
+    """``n`` distinct bits, ``most`` at most, domains drawn by weight and bits evenly within; fewer if ATTEMPTS draws per bit bring no more.
+
+    ``draw(i, k)`` is the k-th even draw of attempt i.
+    """
+    weights = [(lo, hi - lo + 1, round((DOMAIN_BIAS | (bias or {}))[name])) for name, lo, hi, _ in DOMAINS]
+    pool = F.array(*[F.struct(F.lit(lo).alias("lo"), F.lit(size).alias("size")) for lo, size, w in weights for _ in range(w)])
+
+    def bit(i: Column) -> Column:
+        domain = F.get(pool, F.floor(draw(i, 0) * F.size(pool)).cast("int"))
+        return (domain["lo"] + F.floor(draw(i, 1) * domain["size"])).cast("int")
+
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(most * ATTEMPTS - 1)), lambda i: F.when(i < n * ATTEMPTS, bit(i)))
+    return F.slice(F.array_distinct(F.array_compact(drawn)), F.lit(1), n)
+
+
 def stream(spark: SparkSession, n: int, rate: int = 50, start_ms: int = 0, scenario: str | None = None, seed: int = 1) -> DataFrame:
     """``n`` test events at ``rate`` per second from the four agents, with a scenario's phases in force.
 
@@ -58,7 +78,8 @@ def stream(spark: SparkSession, n: int, rate: int = 50, start_ms: int = 0, scena
 
     names = list(PROFILES)
     agent = F.element_at(F.array(*map(F.lit, names)), F.floor(draw(0) * len(names)).cast("int") + 1)
-    rates = {k: F.element_at(F.create_map(*[F.lit(x) for a, p in PROFILES.items() for x in (a, p[k])]), F.col("agent_id")) for k in (0, 1)}
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for a, p in PROFILES.items() for x in (a, p[k])]), F.col("agent_id"))
+    rates, fewest, most = {k: of(k) for k in (0, 1)}, of(2), of(3)
     ts = (F.lit(start_ms) + F.col("id") * 1000 / rate).cast("long")
     passes, removed, at = rates[0], F.lit(None).cast("array<int>"), start_ms
     for ms, who, rate_, bits in SCENARIOS.get(scenario, ()):
@@ -70,7 +91,11 @@ def stream(spark: SparkSession, n: int, rate: int = 50, start_ms: int = 0, scena
         at += ms
     u = draw(1)
     out = spark.range(n).withColumn("ts_ms", ts).withColumn("agent_id", agent)
-    areas = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(256)).cast("int")))
+    n = (fewest + F.floor(draw(3) * (most - fewest + 1))).cast("int")
+    each = lambda i, k: F.pmod(F.xxhash64(F.lit(seed), "id", F.lit("bit"), i, F.lit(k)), F.lit(1 << 30)) / (1 << 30)
+    areas = F.lit(None).cast("array<int>")
+    for name, (_, _, _, top, bias) in PROFILES.items():
+        areas = F.when(F.col("agent_id") == name, weighted_bits(n, bias, each, top)).otherwise(areas)
     return out.select(
         "ts_ms", F.concat("agent_id", F.lit("::test_"), F.lpad((F.col("id") % 50).cast("string"), 3, "0")).alias("test_id"), "agent_id",
         F.when(removed.isNotNull(), F.array_except(areas, removed)).otherwise(areas).alias("areas"),
@@ -93,3 +118,29 @@ def trials(spark: SparkSession, count: int, span_ms: int = 10_000, events: int =
     rows = rows.withColumn("ts_ms", F.floor(bits(1) * span_ms).cast("long") + F.when(F.col("is_obs"), span_ms).otherwise(0))
     rate = F.lit(p) if burst is None else F.when(F.col("is_obs") & (F.col("ts_ms") >= span_ms + span_ms * 4 // 5), burst).otherwise(p)
     return rows.select("trial_id", "is_obs", "ts_ms", F.when(bits(9) < rate, 1.0).otherwise(0.0).alias("value"))
+
+
+#: Trials with a known truth, as (pass rate of the observed span, rate and part of the span of what is injected).
+TRUTHS = {"QUIET": (0.95, None), "AR": (0.95, (0.70, 0.5, 1.0)), "RC": (0.95, (0.20, 0.4, 0.6))}
+
+
+def truth_trials(spark: SparkSession, kind: str, count: int, span_ms: int = 10_000, events: int = 1000) -> tuple[DataFrame, tuple[int, int] | None]:
+    """Trials of a kind, and the span of time that is injected in each; null if none is."""
+    if kind not in TRUTHS:
+        raise ValueError(f"kind must be one of {', '.join(TRUTHS)}")
+    p, injected = TRUTHS[kind]
+    quiet = trials(spark, count, span_ms, events, p)
+    if injected is None:
+        return quiet, None
+    rate, a, b = injected
+    span = int(span_ms * (1 + a)), int(span_ms * (1 + b))
+    inside = F.col("is_obs") & (F.col("ts_ms") >= span[0]) & (F.col("ts_ms") < span[1])
+    keep = F.pmod(F.xxhash64("trial_id", "ts_ms", F.monotonically_increasing_id()), F.lit(10_000)) / 10_000 < rate
+    return quiet.withColumn("value", F.when(inside, F.when(keep, 1.0).otherwise(0.0)).otherwise(F.col("value"))), span
+
+
+def quiet_false_positives(spark: SparkSession, count: int) -> DataFrame:
+    """trial_id of the quiet trials, of ``count``, whose package has a tile that is no baseline."""
+    from ..operators.calibration import false_positives
+
+    return false_positives(trials(spark, count))
