@@ -201,5 +201,6 @@ def package_header(observed: DataFrame, reference: DataFrame, config: Curation =
     family = family.where(f"count >= {VALID_COUNT} and n_eff > 0").agg(F.count("*").alias("family_n"))
     unscored = unscored_groups(observed, reference).agg(F.count("*").alias("unscored_groups"), F.array_join(F.sort_array(F.collect_list("group_label")), ",").alias("unscored_labels"))
     tails = unreachable_tails(observed, reference, config, grouped).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "unit", "direction"))), ",").alias("unreachable"))
-    out = seen.crossJoin(mixed).crossJoin(family).crossJoin(unscored).crossJoin(tails)  # one row each
+    out = seen.join(mixed, F.lit(True), "left").crossJoin(family).crossJoin(unscored).crossJoin(tails)  # one row each; no reference leaves nulls
+    out = out.withColumn("reference_usable", F.coalesce("reference_usable", F.lit(False)))
     return out.withColumns({"base_z": F.lit(config.spike_z), "effective_z": sidak_z(F.lit(config.spike_z), F.col("family_n"))})

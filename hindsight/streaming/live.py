@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..model import Curation, Lens
 from ..operators import curator, retention
+from ..operators.lens import group_label
 from ..plans.registry import Registry
 
 
@@ -17,41 +18,79 @@ def observe_tick(retained: DataFrame, lens: Lens | dict, now_ms: int, spans: int
     """Tiles of the last whole windows against as many before, on the epoch grid, at ``now_ms``."""
     lens = Lens.of(lens) if isinstance(lens, dict) else lens
     (a, b), (c, d) = retention.live_spans(now_ms, lens.output_ms, spans, int(lens.origin or 0))
-    observed, reference = retention.replay(retained, lens, a, b), retention.replay(retained, lens, c, d)
+    observed, reference = retention.replay_spans(retained, lens, (a, b), (c, d))
     tiles = curator.curate(observed, reference, lens.output_ms, config, bool(lens.group_by))
     return tiles.withColumn("tick_ts", F.lit(now_ms).cast("long"))
 
 
+#: Width of a partition of the retained table.
+BUCKET_MS = 3_600_000
+
+
 class LiveSession:
     """Feeds a stream of lens events to a table and curates it once per micro-batch.
 
     The lens is read from the registry at the start of every batch: a new one looks at
     everything retained. Raw events stay in the table, so no state is lost with an executor.
+    The table is partitioned by batch and by bucket of time; a look reads the buckets it
+    needs, and buckets that retention has let go are deleted.
     """
 
     def __init__(self, spark: SparkSession, registry: Registry, table_dir: str, schema: str = "events", view: str | None = None):
         self.spark, self.registry, self.table_dir, self.schema, self.view = spark, registry, table_dir, schema, view
+        self.last_ms: int | None = None
 
-    def retained(self) -> DataFrame:
-        """What the table holds, less what the pipeline's retention has let go."""
-        events = self.spark.read.parquet(self.table_dir).drop("batch")
+    def _kept_ms(self) -> int | None:
         kept = (self.registry.get_pipeline() or {}).get("retention_window_ms")
-        return retention.fresh(events, int(kept)) if kept else events
+        return int(kept) if kept else None
+
+    def retained(self, from_ms: int | None = None) -> DataFrame:
+        """What the table holds from ``from_ms`` on, less what the pipeline's retention has let go."""
+        events, kept = self.spark.read.parquet(self.table_dir), self._kept_ms()
+        if self.last_ms is None:  # a new session over an old table looks once
+            newest = events.agg(F.max("bucket")).first()[0]
+            self.last_ms = events.where(F.col("bucket") == newest).agg(F.max("ts_ms")).first()[0]
+        starts = [x for x in (from_ms, self.last_ms - kept if kept and self.last_ms is not None else None) if x is not None]
+        if starts:
+            events = events.where((F.col("bucket") >= max(starts) // BUCKET_MS) & (F.col("ts_ms") >= max(starts)))
+        return events.drop("batch", "bucket")
+
+    def drop_expired(self) -> list[int]:
+        """Delete the buckets that lie before the retention as a whole; returns them."""
+        kept = self._kept_ms()
+        if not kept or self.last_ms is None:
+            return []
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        root = hadoop.Path(self.table_dir)
+        files, gone = root.getFileSystem(self.spark._jsc.hadoopConfiguration()), []
+        for found in files.globStatus(hadoop.Path(root, "batch=*/bucket=*")):
+            bucket = int(found.getPath().getName().split("=")[1])
+            if (bucket + 1) * BUCKET_MS <= self.last_ms - kept:
+                files.delete(found.getPath(), True)
+                gone.append(bucket)
+        return sorted(set(gone))
 
     def start(self, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint_dir: str, spans: int = 3) -> StreamingQuery:
         def on_batch(batch: DataFrame, number: int) -> None:
             # a batch that is run again replaces its own part: results stay exactly-once
-            batch.write.mode("overwrite").parquet(f"{self.table_dir}/batch={number}")
-            lens = self.registry.get_observe(self.schema, self.view)
-            last = self.retained().agg(F.max("ts_ms")).first()[0]
-            if lens is not None and last is not None:
-                sink(observe_tick(self.retained(), lens, int(last), spans))
+            batch = batch.where("ts_ms is not null").withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
+            batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.table_dir}/batch={number}")
+            newest = self.spark.read.parquet(f"{self.table_dir}/batch={number}").agg(F.max("ts_ms")).first()[0]
+            if newest is not None:
+                self.last_ms = newest if self.last_ms is None else max(self.last_ms, newest)
+            self.drop_expired()
+            row = self.registry.get_observe(self.schema, self.view)
+            if row is not None and self.last_ms is not None:
+                lens = Lens.of(row)
+                start = self.last_ms - retention.live_lookback_ms(lens.output_ms, spans) - lens.output_ms
+                sink(observe_tick(self.retained(start), lens, self.last_ms, spans))
 
         return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start()
 
 
-def windowed_counts(stream: DataFrame, window: str, watermark: str) -> DataFrame:
-    """Event-time windows of a stream whose lens is fixed: count, sum and sum of squares per key label."""
+def windowed_counts(stream: DataFrame, window: str, watermark: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Event-time windows of a stream whose lens is fixed: count, sum and sum of squares per label of the keys ``by``."""
     at = F.timestamp_millis("ts_ms")
     stream = stream.withColumn("at", at).withWatermark("at", watermark)
-    return stream.groupBy(F.window("at", window)).agg(F.count("*").alias("count"), F.sum("value").alias("sum_v"), F.sum(F.col("value") * F.col("value")).alias("sum_sq"))
+    label = group_label(F.col("keys"), by) if by else F.lit(None).cast("string")
+    return stream.groupBy(F.window("at", window), label.alias("group_label")).agg(F.count("*").alias("count"), F.sum("value").alias("sum_v"), F.sum(F.col("value") * F.col("value")).alias("sum_sq"))
