@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let
+from .common import let, tidy
 
 #: A token id plus SHIFT is its character; all stay below the surrogates.
 SHIFT, STOP = 256, 0xD800 - 256
@@ -233,12 +233,12 @@ def _texts(path: str) -> Callable:
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, token_ids (binary, little-endian unsigned 32-bit), decoded (binary) per row of ``docs(doc_id, text)``."""
     pairs, tokens, pieces = _tables(path)
-    new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_rows(path, pattern), "afresh boolean, words array<string>, ranks array<array<int>>, ids array<long>, rows array<binary>")
+    new = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_rows(path, pattern)), "afresh boolean, words array<string>, ranks array<array<int>>, ids array<long>, rows array<binary>")
     # each literal stands in the plan once
     maps = F.struct(F.from_json(F.lit(pairs), "array<string>").alias("pairs"), F.from_json(F.lit(tokens), "array<string>").alias("tokens"))
     new = new.withColumn("tokens", let(maps, lambda m: F.zip_with("words", "ranks", lambda w, r: encode_word(w, r, m["pairs"], m["tokens"]))))
     new = new.withColumn("decoded", let(F.from_json(F.lit(pieces), "array<string>"), lambda table: F.transform("tokens", lambda w: decode_word(w, table))))
-    return new.select("afresh", "ids", "rows", "tokens", "decoded").mapInArrow(_texts(path), "doc_id long, token_ids binary, decoded binary")
+    return new.select("afresh", "ids", "rows", "tokens", "decoded").mapInArrow(tidy(_texts(path)), "doc_id long, token_ids binary, decoded binary")
 
 
 def bpe_digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -1,20 +1,24 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one vector kept per group.
 
-Equal vectors become one with a weight. Centroids come from a bounded sample; every
-vector has a home cell, its most similar centroid, and visits each cell whose centroid is
-nearly as similar (within ``margin``), because a near copy may be at home there. A cell
-compares its residents with its residents and visitors in double precision. Cells larger
-than a block are split into a grid of blocks, so no task holds more than two blocks,
-however full a cell is. Each block reports link counts per resident and a spanning forest
-of its links; pairs never leave a block.
-
-A pair is missed only if its two vectors differ by more than ``margin`` in how they see
-two centroids; the tests measure recall against brute force. Nothing below the threshold
-is linked.
-
-Vectors that are null, empty, zero, of another length than the sample's, or have null or
-non-finite components link with nothing. Null ids are kept as rows that link with
-nothing. Labels are never read. No valid vector: everything is kept.
+Equal vectors become one with a weight. Centroids come from a bounded sample, one for every
+CELL_VECTORS vectors; every vector has a home cell, its most similar centroid, and visits
+each cell whose centroid is nearly as similar, because a near copy may be at home there. How
+nearly: along any direction a near copy of d components at the threshold is off by about
+sqrt((2 - 2 * threshold) / d), and REACH times that is the margin. A cell compares its
+residents with its residents and visitors in double precision. Cells larger than a block are
+split into a grid of blocks, so no task holds more than two blocks, however full a cell is.
+Each block reports link counts and a spanning forest of its links; pairs never leave a block.
+A pair that meets in one of its two home cells only is counted there for both.
+
+A pair is missed only if neither vector is within the margin of the other's home; the tests
+and the README measure recall against brute force. Nothing below the threshold is linked.
+Vectors of different lengths link with nothing; each length has its own cells, a length too
+rare for the sample a single one, in blocks like any other.
+
+Vectors that are null, empty, zero, or have null or non-finite components link with nothing.
+Null ids are kept as rows that link with nothing. Rows with equal ids are vectors of their
+own, which share the smallest component. Labels are never read. No valid vector: everything
+is kept. More than MOST_CELLS * CELL_VECTORS vectors fill the cells further.
 """
 
 from __future__ import annotations
@@ -24,16 +28,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, tidy
 
 #: The centroids are fitted on at most so many vectors, the ones of smallest id hash.
 SAMPLE_VECTORS = 20_000
 #: Vectors a cell is meant to hold, the most cells, and the vectors of a block.
-CELL_VECTORS, MOST_CELLS, BLOCK_VECTORS = 1500, 4096, 4096
-MARGIN = 0.3
+CELL_VECTORS, MOST_CELLS, BLOCK_VECTORS = 500, 4096, 2048
+REACH = 2.2
 ITERATIONS = 12
 
 
@@ -53,23 +58,32 @@ def spherical_kmeans(x: np.ndarray, k: int, iterations: int = ITERATIONS, seed:
     return c
 
 
-def _cells(centroids: np.ndarray, margin: float):
-    """Task body: rep, weight, v -> one row per cell visited; home marks the resident."""
+_PLACED = "width int, cell int, home int, top double, rep long, weight long, v array<double>"
+
+
+def _margin(threshold: float, width: int) -> float:
+    return REACH * float(np.sqrt((2 - 2 * threshold) / width))
+
+
+def _cells(centroids: dict[int, np.ndarray], threshold: float):
+    """Task body: rep, weight, v -> _PLACED, one row per cell visited; the resident's cell is its home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            x = x / np.linalg.norm(x, axis=1)[:, None]
-            near = x @ centroids.T
-            home = near.argmax(1)
-            row, cell = np.nonzero(near >= near.max(1)[:, None] - margin)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.astype(np.int32)), pa.array(cell == home[row]), batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take)],
-                ["cell", "home", "rep", "weight", "v"],
-            )
+            widths = np.asarray(pc.list_value_length(batch.column(2)))
+            for width in np.unique(widths):
+                part = batch.take(pa.array(np.flatnonzero(widths == width)))
+                if width in centroids:
+                    x = part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    near = x / np.linalg.norm(x, axis=1)[:, None] @ centroids[width].T
+                    home, top = near.argmax(1), near.max(1)
+                    row, cell = np.nonzero(near >= top[:, None] - _margin(threshold, width))
+                else:
+                    row = np.arange(part.num_rows)
+                    cell = home = np.zeros(part.num_rows, np.int64)
+                    top = np.zeros(part.num_rows)
+                first = [np.full(len(row), width, np.int32), cell.astype(np.int32), home[row].astype(np.int32), top[row]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, first), *[part.column(c).take(pa.array(row)) for c in range(3)]], [n.split()[0] for n in _PLACED.split(", ")])
 
     return run
 
@@ -92,25 +106,49 @@ def _forest(near: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> tuple[np.nd
     return row_label, col_label
 
 
-def _compare(threshold: float):
+def _compare(centroids: dict[int, np.ndarray], threshold: float):
     def run(table: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(table["v"].to_numpy()).astype(np.float64)
         x /= np.linalg.norm(x, axis=1)[:, None]
-        ids, weight = table["rep"].to_numpy(np.int64), table["weight"].to_numpy(np.int64)
-        side_row, side_col = table["is_row"].to_numpy(bool), ~table["is_row"].to_numpy(bool)
-        rows, cols = ids[side_row], ids[side_col]
-        near = (x[side_row] @ x[side_col].T >= threshold) & (rows[:, None] != cols[None, :])
-        links = near @ weight[side_col]
+        ids, weight, home, top = (table[c].to_numpy() for c in ("rep", "weight", "home", "top"))
+        row, col = np.flatnonzero(table["is_row"].to_numpy(bool)), np.flatnonzero(~table["is_row"].to_numpy(bool))
+        rows, cols = ids[row], ids[col]
+        near = (x[row] @ x[col].T >= threshold) & (rows[:, None] != cols[None, :])
+        links = near @ weight[col]
+        # visitors that a resident does not visit back count the link here
+        r, c = np.nonzero(near & (home[col] != table["cell"].iloc[0])[None, :])
+        back = np.zeros(len(col), np.int64)
+        if len(r):
+            width = x.shape[1]
+            seen = (x[row[r]] * centroids[width][home[col[c]]]).sum(1)
+            absent = seen < top[row[r]] - _margin(threshold, width)
+            np.add.at(back, c[absent], weight[row[r[absent]]])
         row_label, col_label = _forest(near, rows, cols)
         on = np.concatenate([row_label != rows, col_label != cols])
-        counted = pd.DataFrame({"rep": rows, "links": links, "to": np.int64(-1)})[links > 0]
+        counted = pd.DataFrame({"rep": np.concatenate([rows, cols]), "links": np.concatenate([links, back]), "to": np.int64(-1)})
+        counted = counted[counted["links"] > 0]
         forest = pd.DataFrame({"rep": np.concatenate([rows, cols])[on], "links": np.int64(0), "to": np.concatenate([row_label, col_label])[on]})
         return pd.concat([counted, forest], ignore_index=True).assign(joins=lambda t: t["links"] == 0)
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float = MARGIN) -> DataFrame:
+def fit_cells(reps: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """Centroids by vector length, for the lengths that a bounded sample shows to be common."""
+    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_VECTORS).collect()  # a bounded sample
+    out = {}
+    by_width: dict[int, list] = {}
+    for r in sample:
+        by_width.setdefault(len(r["v"]), []).append(r["v"])
+    for width, rows in by_width.items():
+        k = min(MOST_CELLS, total * len(rows) // len(sample) // CELL_VECTORS)
+        if k > 1:
+            x = np.array(rows)
+            out[width] = spherical_kmeans(x / np.linalg.norm(x, axis=1)[:, None], k)
+    return out
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors(vec_id, embedding)``."""
     v = F.col("embedding").cast("array<double>")
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -123,21 +161,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, margin: float =
     total = reps.count()
     if not total:
         return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = reps.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE_VECTORS).collect()  # a bounded sample
-    width = max(set(map(len, (r["v"] for r in sample))), key=[len(r["v"]) for r in sample].count)
-    x = np.array([r["v"] for r in sample if len(r["v"]) == width])
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    centroids = spherical_kmeans(x, max(1, min(MOST_CELLS, total // CELL_VECTORS)))
-    placed = reps.where(F.size("v") == width).select("rep", "weight", "v").mapInArrow(_cells(centroids, margin), "cell int, home boolean, rep long, weight long, v array<double>")
-    placed = materialise(placed, "vector-cells")
-    fill = placed.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("residents"), F.count("*").alias("members"))
+    centroids = fit_cells(reps, total)
+    placed = materialise(reps.select("rep", "weight", "v").mapInArrow(tidy(_cells(centroids, threshold)), _PLACED), "vector-cells")
+    at_home = F.col("cell") == F.col("home")
+    fill = placed.groupBy("width", "cell").agg(F.sum(at_home.cast("long")).alias("residents"), F.count("*").alias("members"))
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_VECTORS).cast("int")
-    fill = F.broadcast(fill.select("cell", blocks("residents").alias("rb"), blocks("members").alias("cb")).where("rb > 0"))  # at most MOST_CELLS rows
-    sided = placed.join(fill, "cell")
+    fill = fill.select("width", "cell", blocks("residents").alias("rb"), blocks("members").alias("cb")).where("rb > 0")
+    sided = placed.join(fill, ["width", "cell"])
     spread = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "rep"), n).cast("int")
-    as_row = sided.where("home").select("cell", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("c"), spread(F.col("rb"), 1).alias("r"), F.lit(True).alias("is_row"), "rep", "weight", "v")
-    as_col = sided.select("cell", spread(F.col("cb"), 2).alias("c"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("is_row"), "rep", "weight", "v")
-    compared = as_row.unionByName(as_col).groupBy("cell", "c", "r").applyInPandas(_compare(threshold), "rep long, links long, to long, joins boolean")
+    keep = ["home", "top", "rep", "weight", "v"]
+    as_row = sided.where(at_home).select("width", "cell", F.explode(F.sequence(F.lit(0), F.col("cb") - 1)).alias("c"), spread(F.col("rb"), 1).alias("r"), F.lit(True).alias("is_row"), *keep)
+    as_col = sided.select("width", "cell", spread(F.col("cb"), 2).alias("c"), F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("r"), F.lit(False).alias("is_row"), *keep)
+    compared = as_row.unionByName(as_col).groupBy("width", "cell", "c", "r").applyInPandas(_compare(centroids, threshold), "rep long, links long, to long, joins boolean")
     compared = materialise(compared, "vector-links")
     links = compared.where("not joins").groupBy("rep").agg(F.sum("links").alias("links"))
     label = connected_components(compared.where("joins").select(F.col("rep").alias("a"), F.col("to").alias("b")))

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: Elements that never hold the main text, that end a block, and class words that mark boilerplate.
 SKIP = frozenset("nav header footer aside form script style noscript template iframe svg button select textarea dialog head title menu canvas object audio video".split())
@@ -326,12 +326,12 @@ def templates(pages: DataFrame) -> DataFrame:
     A token goes with class 0 if it is of the frame; with another class it is the tag before the slot.
     """
     hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), "html")
-    read = hosted.mapInArrow(_read, "host string, mark long, tokens array<long>")
+    read = hosted.mapInArrow(tidy(_read), "host string, mark long, tokens array<long>")
     # of the pages of a host with one main text, one stands for all
     chosen = materialise(read.groupBy("host", "mark").agg(F.min("tokens").alias("tokens")), "template-pages")
     large = chosen.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
     enough = 10 * F.col("pages") >= LEAST_TENTHS * F.col("host_pages")
-    counted = chosen.mapInArrow(_vectors, "host string, token long, pages long, times long, place double, v1 long, v2 long")
+    counted = chosen.mapInArrow(tidy(_vectors), "host string, token long, pages long, times long, place double, v1 long, v2 long")
     tokens = counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in ("pages", "times", "place", "v1", "v2")])
     tokens = tokens.join(large, "host").where(enough)
     # tokens of one vector are one class; a class holds at most a page's worth of tokens, and so does a host
@@ -341,7 +341,7 @@ def templates(pages: DataFrame) -> DataFrame:
     classes = classes.groupBy("host").agg(F.sort_array(F.collect_list(ranked)).alias("ranked"), F.max("once").alias("framed")).where("framed")
     packed = F.flatten(F.transform("ranked.tokens", lambda t: F.concat(F.array(F.size(t).cast("long")), t)))
     classes = materialise(classes.select("host", packed.alias("classes")), "template-classes")
-    fits = chosen.join(classes, "host").select("host", "tokens", "classes").mapInArrow(_fits, "host string, class long, token long, pages long")
+    fits = chosen.join(classes, "host").select("host", "tokens", "classes").mapInArrow(tidy(_fits), "host string, class long, token long, pages long")
     fits = fits.groupBy("host", "class", "token").agg(F.sum("pages").alias("pages")).join(large, "host").where(enough)
     pair = F.sort_array(F.collect_list(F.struct("class", "token")))
     valid = fits.groupBy("host").agg(F.flatten(F.transform(pair, lambda p: F.array(p["class"], p["token"]))).alias("valid"))
@@ -367,7 +367,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     learned = materialise(templates(pages), "templates")
     host = F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))
     with_template = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(learned, "host", "left")
-    return with_template.select("page_id", "url", "html", "host", "classes", "valid").mapInArrow(_extract, "page_id long, url string, text string")
+    return with_template.select("page_id", "url", "html", "host", "classes", "valid").mapInArrow(tidy(_extract), "page_id long, url string, text string")
 
 
 def html_digest(pages: DataFrame) -> DataFrame:

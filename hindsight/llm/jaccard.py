@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise
+from .common import connected_components, materialise, tidy
 from .textstats import WordHashes, mix64, shingle_set
 
 #: Numbers of sets that share a key up to which a set of that level uses it; the last level uses all.
@@ -424,7 +424,7 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
         """Whole sets again from one text of each."""
         homes = signed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("h").alias("h"), F.min("n").alias("n"))
         homes = materialise(homes, "jaccard-homes")
-        found = texts.join(homes.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(_sets(width), "sid long, members binary")
+        found = texts.join(homes.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(tidy(_sets(width)), "sid long, members binary")
         return materialise(found.dropDuplicates(["sid"]).join(homes.select("sid", "n"), "sid"), "jaccard-members")
 
     def past_pivots(pairs: DataFrame, body: DataFrame, column: str, test: Callable) -> DataFrame:
@@ -437,7 +437,7 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
         names = ["pivot", "block", "sid", "n", column]
         rows = dealt.select(*names).unionByName(pivots.select(*names)).repartition("pivot", "block")
         rows = rows.sortWithinPartitions("pivot", "block", F.col("sid") != F.col("pivot"))
-        found = materialise(rows.mapInArrow(_past_pivot(column, test), "a long, b long"), "jaccard-past")
+        found = materialise(rows.mapInArrow(tidy(_past_pivot(column, test)), "a long, b long"), "jaccard-past")
         return found.select(F.col("a").alias("pivot"), F.col("b").alias("sid"))
 
     close = past_pivots(met, bits, "bits", _bits_close(num, den))
@@ -451,12 +451,12 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
 
     # where several components are left: families of members close by bitmap, then exact links within them
     near = _grid(grouped(every), "pivot").join(bits, "sid").select("pivot", "i", "j", "sid", "group", "side", "n", "bits")
-    near = materialise(_sorted(near, "pivot", "i", "j").mapInArrow(_families(num, den), "a long, b long").distinct(), "jaccard-near")
+    near = materialise(_sorted(near, "pivot", "i", "j").mapInArrow(tidy(_families(num, den)), "a long, b long").distinct(), "jaccard-near")
     family = materialise(connected_components(near), "jaccard-families").withColumnsRenamed({"id": "sid", "component": "family"})
     placed = materialise(_grid(grouped(family), "family"), "jaccard-placed")
     inside = placed.join(bits, "sid").join(members(placed.select("sid").distinct()).drop("n"), "sid")
     inside = inside.select("family", "i", "j", "sid", "group", "side", "n", "bits", "members")
-    more = materialise(_sorted(inside, "family", "i", "j").mapInArrow(_links(num, den), "a long, b long"), "jaccard-links")
+    more = materialise(_sorted(inside, "family", "i", "j").mapInArrow(tidy(_links(num, den)), "a long, b long"), "jaccard-links")
     return links.unionByName(more)
 
 
@@ -467,7 +467,7 @@ def jaccard_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5)
     class_id is the smallest doc_id with the same set, component_id the smallest reachable.
     """
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("h"), "text")
-    signed = materialise(texts.mapInArrow(_index(width, num, den), _INDEXED), "jaccard-sets")
+    signed = materialise(texts.mapInArrow(tidy(_index(width, num, den)), _INDEXED), "jaccard-sets")
     classes = signed.where("n > 0").groupBy("sid", "check").agg(F.min("doc_id").alias("class_id"))
     label = materialise(connected_components(component_links(texts, signed, width, num, den)), "jaccard-components")
     # sets to documents: a component's id is its smallest document

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 from .textstats import WordHashes, split_words
 
 FEATURES = (
@@ -80,7 +80,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, x (array of FEATURES) for every row."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_featurise, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_featurise), "doc_id long, x array<double>")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -150,7 +150,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     seen = materialise(features(docs), "quality-features")
     marked = labels.where("quality is not null").select("doc_id", F.col("quality").alias("label")).distinct()
     model = fit(seen.where(~held_out(F.col("doc_id"))).join(marked, "doc_id"))
-    out = seen.mapInArrow(_scorer(model), "doc_id long, score double")
+    out = seen.mapInArrow(tidy(_scorer(model)), "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
 
 
@@ -171,4 +171,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             x = np.array([statistics(t.as_py(), hashes) for t in texts]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

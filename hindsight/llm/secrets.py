@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidy
 
 #: The base patterns, in the order results list kinds at equal starts.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -256,7 +256,7 @@ def discovery_steps(counts: list[tuple[str, int, int, int]], moments: dict[tuple
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """doc_id, base spans and the random tokens that pass the false-discovery rule."""
-    scanned = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_scan, _SCHEMA), "secrets")
+    scanned = materialise(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(_scan), _SCHEMA), "secrets")
     sums = scanned.select(F.inline("moments")).groupBy("encoding", "length_class").agg(F.sum("n"), F.sum("s"), F.sum("ss"))
     moments = {(r[0], r[1]): tuple(r[2:]) for r in sums.collect()}  # one row per encoding and length class
     grid = scanned.select(F.inline("random")).groupBy("encoding", "length_class", "step").agg(F.count("*").alias("n"))

@@ -411,25 +411,44 @@ def test_bpe_equals_the_library(spark, docs):
     assert got == {i: bpe.reference_digest(t, path, pattern) for i, t in enumerate(texts)}
 
 
-def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "CELL_VECTORS", 100)
-    monkeypatch.setattr(embeddings, "BLOCK_VECTORS", 64)
+def brute_links(x):
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    np.fill_diagonal(near, False)
+    return near, components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+
+
+@pytest.mark.parametrize("block", [64, 2048])
+def test_embeddings(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "CELL_VECTORS", 60)
+    monkeypatch.setattr(embeddings, "BLOCK_VECTORS", block)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 32))
     x[300:500] = x[7] + rng.normal(size=(200, 32)) * 0.3
     x[500:560] = x[8]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     bad = [(700, None), (701, [0.0] * 32), (702, [float("nan")] * 32), (703, [1.0] * 3), (704, []), (None, [1.0] * 32)]
-    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>")).collect()}
-    u = x / np.linalg.norm(x, axis=1)[:, None]
-    near = u @ u.T >= 0.9
-    np.fill_diagonal(near, False)
-    truth = components(range(700), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
+    ragged = [(800, [0.0, 1.0]), (801, [0.01, 1.0]), (802, [1.0, 0.0]), (803, [0.0, 0.0, 1.0, 0.1])]
+    frame = spark.createDataFrame(rows + bad + ragged, "vec_id long, embedding array<double>").selectExpr("*", "1 AS v", "2 AS rep", "3 AS cell", "4 AS width")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    near, truth = brute_links(x)
     found, real = sum(got[i].n_links for i in range(700)), int(near.sum())
     assert found <= real and found >= 0.99 * real
     assert all(got[i].n_links <= near[i].sum() for i in range(700))
     assert np.mean([got[i].component_id == truth[i] for i in range(700)]) > 0.99
-    assert all(got[i].n_links == 0 and got[i].kept for i in range(700, 705)) and len(got) == 706
+    assert all(got[i].n_links == 0 and got[i].kept for i in [*range(700, 705), 802, 803]) and len(got) == 710
+    assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in (800, 801)] == [(1, 800, True), (1, 800, False)]
+
+
+def test_embeddings_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "CELL_VECTORS", 60)
+    frame = spark.read.parquet("/root/testdata/check_s/embeddings.parquet").where("vec_id < 3000")
+    rows = [r for r in frame.collect() if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)]
+    near, truth = brute_links(np.array([r.embedding for r in rows], float))
+    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
+    assert sum(got[r.vec_id].n_links for r in rows) >= 0.99 * near.sum() > 0
+    assert all(got[r.vec_id].n_links <= n for r, n in zip(rows, near.sum(1), strict=True))
+    assert np.mean([got[r.vec_id].component_id == min(rows[k].vec_id for k, t in enumerate(truth.values()) if t == truth[i]) for i, r in enumerate(rows)]) > 0.99
 
 
 def test_mix_comes_near_its_targets(spark, docs):
