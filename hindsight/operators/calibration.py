@@ -7,44 +7,42 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import sidak_z
 from ..model import VALID_COUNT, Curation, Lens
-from .curator import gaps, gate_z, steps, usable
+from .curator import gaps, gate_z, pool_stats, steps, usable
 from .lens import apply_lens
 
 
-def trial_scores(trials: DataFrame, window_ms: int = 1000, spike_z: float = 2.0) -> DataFrame:
-    """trial_id, windows, hits, blind for ``trials(trial_id, is_obs, ts_ms, value)`` of two-valued events.
+def trial_windows(trials: DataFrame, window_ms: int = 1000) -> DataFrame:
+    """Windows of every trial (group_label) and side (is_obs) for ``trials(trial_id, is_obs, ts_ms, value)``: events are read once; all after works on windows."""
+    keys = F.create_map(F.lit("trial"), F.col("trial_id").cast("string"))
+    events = trials.select("is_obs", "ts_ms", "value", keys.alias("keys"), F.lit(1.0).alias("weight"))
+    return apply_lens(events, Lens(window_ms=window_ms, origin=0, group_by=("trial",)), by=("is_obs",)).where("group_label is not null").persist()
 
-    Events are counted per trial, side and window once; everything after works on windows.
-    """
-    start = F.col("ts_ms") - F.pmod("ts_ms", F.lit(window_ms))
-    windows = trials.groupBy("trial_id", "is_obs", start.alias("window_start")).agg(F.count("*").alias("n"), F.sum("value").alias("v"), F.sum(F.col("value") * F.col("value")).alias("sq"))
-    n, v = F.sum("n"), F.sum("v")
-    pool = windows.where("not is_obs").groupBy("trial_id").agg(n.alias("ref_n"), (v / n).alias("ref_mean"), F.sum("sq").alias("ref_sq"))
-    var = F.greatest((F.col("ref_sq") - F.col("ref_n") * F.col("ref_mean") ** 2) / F.nullif(F.col("ref_n") - 1, F.lit(0)), F.lit(0.0))
-    pool = pool.withColumn("ref_var", var)
-    scored = windows.where(f"is_obs and n >= {VALID_COUNT}").join(pool, "trial_id")
+
+def trial_scores(windows: DataFrame, spike_z: float = 2.0) -> DataFrame:
+    """group_label, windows, hit (a spike or dip), blind per trial of two-valued events."""
+    pool = pool_stats(windows.where("not is_obs")).select(F.col("unit").alias("group_label"), "ref_n", "ref_mean", "ref_var")
+    scored = windows.where(f"is_obs and count >= {VALID_COUNT}").join(pool, "group_label")
     good = usable(F.col("ref_n"), F.col("ref_var"))
-    se = F.sqrt(F.col("ref_var") * (1 / F.col("n") + 1 / F.col("ref_n")))
-    z = gate_z(F.col("v") / F.col("n"), F.col("n"), F.when(good, se), F.lit(1.0), F.col("ref_mean"))
-    per_trial = scored.groupBy("trial_id").agg(F.count("*").alias("windows"), F.max(F.abs(z)).alias("most_z"), F.bool_and(~good).alias("blind"))
+    se = F.sqrt(F.col("ref_var") * (1 / F.col("count") + 1 / F.col("ref_n")))
+    z = gate_z(F.col("mean"), F.col("count"), F.when(good, se), F.lit(1.0), F.col("ref_mean"))
+    per_trial = scored.groupBy("group_label").agg(F.count("*").alias("windows"), F.max(F.abs(z)).alias("most_z"), F.bool_and(~good).alias("blind"))
     hit = F.coalesce(F.col("most_z") >= sidak_z(F.lit(spike_z), F.col("windows")), F.lit(False))
-    return per_trial.select("trial_id", "windows", hit.alias("hit"), "blind")
+    return per_trial.select("group_label", "windows", hit.alias("hit"), "blind")
 
 
-def trial_tiles(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
-    """trial_id, shape_tag for every step and gap of a trial. The spans of a trial share no window start, so none diverges."""
-    lens = Lens(window_ms=window_ms, origin=0, group_by=("trial",))
-    events = trials.select("is_obs", "ts_ms", "value", F.create_map(F.lit("trial"), F.col("trial_id").cast("string")).alias("keys"), F.lit(1.0).alias("weight"))
-    observed, reference = (apply_lens(events.where(side), lens).where("group_label is not null") for side in ("is_obs", "not is_obs"))
+def trial_tiles(windows: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
+    """group_label, shape_tag for every step and gap of a trial. The spans of a trial share no window start, so none diverges."""
+    observed, reference = windows.where("is_obs").drop("is_obs"), windows.where("not is_obs").drop("is_obs")
     found = steps(observed, reference, config, True).unionByName(gaps(observed, reference, window_ms, config, True))
-    return found.select(F.col("group_label").cast("long").alias("trial_id"), "shape_tag")
+    return found.select("group_label", "shape_tag")
 
 
 def judged_trials(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
     """trial_id, windows, hit, blind: whether a trial's package has any tile but the baseline."""
-    scored = trial_scores(trials, window_ms, config.spike_z)
-    other = trial_tiles(trials, window_ms, config).select("trial_id").distinct().withColumn("other", F.lit(True))
-    return scored.join(other, "trial_id", "left").select("trial_id", "windows", (F.col("hit") | F.coalesce("other", F.lit(False))).alias("hit"), "blind")
+    windows = trial_windows(trials, window_ms)
+    other = trial_tiles(windows, window_ms, config).select("group_label").distinct().withColumn("other", F.lit(True))
+    scored = trial_scores(windows, config.spike_z).join(other, "group_label", "left")
+    return scored.select(F.col("group_label").cast("long").alias("trial_id"), "windows", (F.col("hit") | F.coalesce("other", F.lit(False))).alias("hit"), "blind")
 
 
 def alarm_rate(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:

@@ -142,13 +142,24 @@ def divergences(observed: DataFrame, reference: DataFrame, config: Curation = Cu
     return hits.withColumnsRenamed({"window_start": "region_start", "window_end": "region_end"}).select(*_tile("divergence", F.col("z")))
 
 
-def baseline(observed: DataFrame, reference: DataFrame, others: DataFrame) -> DataFrame:
-    """The mixed window nearest the reference mean, valid ones first, unless a tile starts there."""
+def quietest(observed: DataFrame, reference: DataFrame) -> DataFrame:
+    """The baseline tile there would be: the mixed window nearest the reference mean, valid ones first."""
     rows = _units(observed).where("group_label is null").join(pool_stats(reference), "unit", "left")
     order = F.struct((~F.col("valid")).alias("invalid"), F.abs(F.col("mean") - F.col("ref_mean")).alias("off"), F.col("window_start").alias("region_start"))
     best = rows.agg(F.min_by(F.struct("group_label", F.col("window_start").alias("region_start"), F.col("window_end").alias("region_end")), order).alias("b"))
-    best = best.where("b is not null").select("b.*").join(others.select("region_start").distinct(), "region_start", "left_anti")
-    return best.select(*_tile("baseline", F.lit(None)))
+    return best.where("b is not null").select("b.*").select(*_tile("baseline", F.lit(None)))
+
+
+def with_baseline(tiles: DataFrame, candidate: DataFrame) -> DataFrame:
+    """``tiles`` and the candidate, unless a tile starts where it does. Either is made once."""
+    both = tiles.withColumn("found", F.lit(1)).unionByName(candidate.withColumn("found", F.lit(0)))
+    taken = F.max("found").over(Window.partitionBy("region_start"))
+    return both.withColumn("taken", taken).where("found = taken").drop("found", "taken")
+
+
+def baseline(observed: DataFrame, reference: DataFrame, others: DataFrame) -> DataFrame:
+    """The baseline tile, unless another starts there."""
+    return with_baseline(others, quietest(observed, reference)).where("shape_tag = 'baseline'")
 
 
 def unreachable_tails(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
@@ -171,7 +182,7 @@ def curate(observed: DataFrame, reference: DataFrame | None, window_ms: int, con
     if reference is not None:
         found = found.unionByName(divergences(observed, against, config))
     if config.include_baseline:
-        found = found.unionByName(baseline(observed, against, found))
+        found = with_baseline(found, quietest(observed, against))
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv]), F.col("shape_tag"))
     best = found.orderBy(F.coalesce("magnitude", F.lit(0.0)).desc(), rank, "region_start", F.coalesce("group_label", F.lit(MIXED)), "shape_tag").limit(config.max_tiles)
     return best.orderBy("region_start", rank, F.coalesce("group_label", F.lit(MIXED)), "shape_tag")
