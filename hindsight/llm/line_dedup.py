@@ -8,7 +8,9 @@ occurrence covers are removed, so runs longer than three lines go as a whole.
 Null texts stay null and have no lines; texts of fewer than three lines keep all. A null
 doc_id sorts first. Rows with equal doc_id and text are one document and fare alike;
 equal doc_id with different texts are told apart by a hash of the text. Only hashes and
-positions are shuffled before the last join; a very common window is summed map-side.
+positions are shuffled before the last join; a very common window is summed map-side, and
+its occurrences stream past one row, its first, in as many tasks as adaptive execution
+splits them over.
 """
 
 from __future__ import annotations
@@ -48,9 +50,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of text, plus n_lines and n_removed; they replace columns of the same name."""
     marks = repeated_lines(docs)
-    held = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"), F.split("text", "\n").alias("lines"))
+    held = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("t"))
     joined = held.alias("d").join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.t") == F.col("m.t")), "left")
-    joined = joined.select("row", "lines", "starts")
+    joined = joined.select("row", F.split("row.text", "\n").alias("lines"), "starts")
 
     def removed(worded: Column) -> Column:
         return F.array_distinct(F.flatten(F.transform("starts", lambda p: F.slice(worded, p + 1, WINDOW_LINES))))
