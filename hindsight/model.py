@@ -100,6 +100,11 @@ class Lens:
         return self.window_ms * self.downsample_factor
 
 
+def effective_window_ms(row: dict[str, Any] | None, fallback_ms: int) -> int:
+    """Width of the windows a row's lens puts out; the fallback, for rows without a width, is one already and is not scaled."""
+    return fallback_ms if not row or row.get("window_ms") is None else Lens.of(row).output_ms
+
+
 @dataclass(frozen=True)
 class Curation:
     """Thresholds of the comparison."""

@@ -36,8 +36,12 @@ class LiveSession:
     needs, and buckets that retention has let go are deleted.
     """
 
-    def __init__(self, spark: SparkSession, registry: Registry, table_dir: str, schema: str = "events", view: str | None = None):
+    def __init__(
+        self, spark: SparkSession, registry: Registry, table_dir: str, schema: str = "events", view: str | None = None, extract: Callable[[DataFrame], DataFrame] | None = None
+    ):
+        """``extract`` makes lens events of the stream's rows; the table keeps what it returns."""
         self.spark, self.registry, self.table_dir, self.schema, self.view = spark, registry, table_dir, schema, view
+        self.extract = extract or (lambda rows: rows)
         self.last_ms: int | None = None
 
     def _kept_ms(self) -> int | None:
@@ -73,7 +77,7 @@ class LiveSession:
     def start(self, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint_dir: str, spans: int = 3) -> StreamingQuery:
         def on_batch(batch: DataFrame, number: int) -> None:
             # a batch that is run again replaces its own part: results stay exactly-once
-            batch = batch.where("ts_ms is not null").withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
+            batch = self.extract(batch).where("ts_ms is not null").withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
             batch.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.table_dir}/batch={number}")
             newest = self.spark.read.parquet(f"{self.table_dir}/batch={number}").agg(F.max("ts_ms")).first()[0]
             if newest is not None:

@@ -56,6 +56,16 @@ def apply_decisions(decisions: DataFrame, registry: Registry, events: DataFrame,
     return out
 
 
+def write_turn(turn: dict[str, Any], folder: str) -> None:
+    """Append a turn of :meth:`Session.tick` to JSON-lines tables: frames, decisions, and tiles of what was replayed."""
+    turn["frame"].write.mode("append").json(f"{folder}/frames")
+    turn["decisions"].write.mode("append").json(f"{folder}/decisions")
+    for done in turn["packages"]:
+        if done["applied"]:
+            named = done["tiles"].withColumn("tick_ts", F.lit(done["decision"]["tick_ts"]))
+            named.write.mode("append").json(f"{folder}/tiles")
+
+
 class Diagnostics:
     """Warnings about the live view, each once while its cause lasts."""
 

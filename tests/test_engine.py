@@ -266,7 +266,7 @@ def test_applying_decisions(spark):
     assert "rejected" in refused[0] and not refused[0]["applied"]
 
 
-def test_session_controls(spark):
+def test_session_controls(spark, tmp_path):
     from hindsight.streaming.session import SCHEMA, Session
 
     registry = Registry()
@@ -286,6 +286,12 @@ def test_session_controls(spark):
         session.retention_ms = 10_000
         session.live(50_000)
     turn = session.tick(30_000)
+    from hindsight.streaming.session import write_turn
+
+    folder = str(tmp_path / "sink")
+    write_turn(turn, folder)
+    write_turn(turn, folder)
+    assert spark.read.json(f"{folder}/frames").count() == 2
     assert turn["frame"].count() == 1 and len(turn["writes"]) == 3 and session.status()["scenario"] == "AR"
     assert session.decide().where("type = 'rerouteSchema' and subject = 'agent-C'").count() >= 1
 
@@ -434,6 +440,25 @@ def test_live_session(spark, tmp_path):
     assert {t.tick_ts for t in got} == {rows.agg(F.max("ts_ms")).first()[0]}
 
 
+def test_live_session_extracts(spark, tmp_path):
+    from hindsight.streaming.live import LiveSession
+
+    tests = fixtures.stream(spark, 500, start_ms=1)
+    tests.coalesce(1).write.parquet(str(tmp_path / "in"))
+    registry, got = Registry(), []
+    registry.set("observe:*", {"window_ms": 1000, "origin": 0})
+    session = LiveSession(spark, registry, str(tmp_path / "table"), extract=source.observe)
+    session.start(spark.readStream.schema(tests.schema).parquet(str(tmp_path / "in")), lambda tiles: got.append(tiles.count()), str(tmp_path / "state")).awaitTermination()
+    assert session.retained().count() == 500 and len(got) == 1 and set(session.retained().columns) == {"ts_ms", "value", "keys", "weight", "seq"}
+
+
+def test_effective_window():
+    from hindsight.model import effective_window_ms
+
+    assert effective_window_ms({"window_ms": 500, "downsample_factor": 4}, 7) == 2000
+    assert effective_window_ms({"downsample_factor": 4}, 7) == 7 and effective_window_ms(None, 7) == 7
+
+
 def test_live_session_prunes_and_expires(spark, tmp_path):
     from hindsight.streaming import live
 
