@@ -342,6 +342,18 @@ def test_truth_trials(spark):
         fixtures.truth_trials(spark, "X", 1)
 
 
+@pytest.mark.parametrize(
+    ("p", "events", "burst", "published"),
+    [(0.95, 200, None, 0.0690), (0.95, 500, None, 0.0525), (0.95, 1000, None, 0.0440), (0.50, 1000, None, 0.0290), (0.99, 1000, None, 0.0810), (0.95, 1000, 0.90, 0.444), (0.95, 1000, 0.92, 0.211), (0.95, 1000, 0.60, 1.0)],
+)
+def test_published_rates(spark, p, events, burst, published):
+    """Error rates published for 2000 trials, within four standard errors of 400 trials."""
+    from hindsight.operators import calibration
+
+    got = calibration.alarm_rate(fixtures.trials(spark, 400, events=events, p=p, burst=burst)).first()
+    assert got.trials == 400 and abs(got.rate - published) <= 4 * (published * (1 - published) / 400 + published * (1 - published) / 2000) ** 0.5
+
+
 def test_adviser(spark):
     from hindsight.operators import adviser
     from hindsight.streaming.session import snapshot_frames
