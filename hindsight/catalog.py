@@ -189,7 +189,7 @@ def queries() -> dict[str, Query]:
         "curate_baseline": _baseline,
         "unreachable_tails": lambda s, d: rounded(curator.unreachable_tails(*_sides(s, d, GROUPED, _two_valued_tight), Curation(), True)),
         "curate_top_tiles": _curated,
-        "tile_text": lambda s, d: curator.tile_text(curator.spikes(*_sides(s, d, GROUPED), SENSITIVE, True)).select("shape_tag", "region_start", "label", "description"),
+        "tile_text": lambda s, d: curator.tile_text(curator.spikes(*_sides(s, d, GROUPED), Curation(spike_z=0.1), True)).select("shape_tag", "region_start", "label", "description"),
         "package_header": lambda s, d: rounded(curator.package_header(*_sides(s, d, GROUPED), Curation(), True)),
         "live_spans_curated": _live,
         "domain_rollup": lambda s, d: coverage.rollup(_tests(s, d)),

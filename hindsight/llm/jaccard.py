@@ -1,21 +1,24 @@
 """N-gram Jaccard self-join: universe-partition pigeonhole with one-deletion neighbourhoods.
 
 Shingles are hashed into m segments. Two sets of Jaccard at least t differ in at most
-H = floor((1-t)/(1+t) * (|x|+|y|)) shingles, so with m = H + 1 segments at least one
-segment is the same on both sides; m depends on the size band, and a set is indexed
-for its own band and the one below, where its smaller partners are.
-
-Cost-based allocation: a set has one exact key per segment and, in the first ``paid(m)``
-segments, the keys of the one-deletion neighbourhood too (all variants that lack one
-shingle). A segment with an exact key costs an opponent one difference, one with its
-neighbourhood two, so a set has ``paid(m)`` more than it needs and may go without its
-dearest keys. How many sets share a key is counted over all sets. A set leaves out all
-keys above the lowest of LEVELS that it can afford: what it loses there (one for a segment
-whose exact key goes, one for a neighbourhood that is not whole) must not exceed
-``paid(m)``. Segments that lie within a common passage, and empty ones, are so left out
-except by sets that consist of little else. Whether a key is above a level is the same for
-all sets, and a higher level only adds keys, so of any two sets the one of the lower level
-alone guarantees that they meet.
+H = floor((1-t)/(1+t) * (|x|+|y|)) shingles, so among any H + 1 segments at least one is the
+same on both sides. The hashing depends on the size band; a set is indexed for its own band
+and, if it can have partners there, for the one below.
+
+Cost-based allocation: a set has one exact key for each of the first H + 1 + a segments, where
+H is what it can differ by from any partner and a, the allowance, is the band's. In the first
+u segments it has the keys of the one-deletion neighbourhood too (all variants that lack one
+shingle). An exact key costs an opponent one difference, a segment with its neighbourhood two,
+so a set may go without its dearest keys, up to a + u differences' worth. How many sets share
+a key is counted over all sets. A set leaves out all keys above the lowest of LEVELS that it
+can afford: one is lost for a segment whose exact key goes (two with a neighbourhood), one for
+a neighbourhood that is not whole. Segments that lie within a common passage, and empty ones,
+are so left out except by sets that consist of little else.
+
+Why no pair is lost: whether a key is above a level is the same for all sets. Of two sets take
+the one of the lower level; of the segments both index, H + 1 + a at least for the H of one of
+them, it has lost a + u at most, so the other, which has all its keys there, must differ in
+more than H to avoid it.
 
 Sets that meet are compared twice over. First every member of a bucket with the bucket's
 smallest (a stream past one set). Then, where a bucket still holds several components,
@@ -57,53 +60,58 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SEGMENT_BITS, _SEGMENT_MASK = np.uint64(20), np.uint64((1 << 20) - 1)
 
 
-def _bands(num: int, den: int, size: int) -> list[tuple[int, int, int]]:
-    """(lowest size, highest size, segments) of every size band up to the one that holds ``size``.
+class Bands:
+    """Size bands for t = num/den, grown as larger sets come: lowest and highest size and most differences in the band's hashing.
 
-    The highest size of a band is the largest partner its lowest size can have; the
-    segments are one more than the differences two linked sets of the band can have
-    when the larger is in this band or the next.
+    A band reaches from a size to the largest partner of its largest partner. Where larger
+    sets meet those of the band, the differences are those of its highest size and a partner.
     """
-    out, lo = [], 1
-    while lo <= size:
-        hi = max(lo, lo * den // num)
-        largest = hi * den // num
-        out.append((lo, hi, (hi + largest) * (den - num) // (den + num) + 1))
-        lo = hi + 1
-    return out
-
-
-class Bands:
-    """Size bands for t = num/den, grown as larger sets come."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den, self.rows, self.starts = num, den, [], np.empty(0, np.int64)
 
+    def differences(self, x: int, y: int) -> int:
+        return (x + y) * (self.den - self.num) // (self.den + self.num)
+
     def of(self, size: int) -> int:
-        if not self.rows or size > self.rows[-1][1]:
-            self.rows = _bands(self.num, self.den, max(size, 1024) * 2)
+        while not self.rows or size > self.rows[-1][1]:
+            lo = self.rows[-1][1] + 1 if self.rows else 1
+            hi = max(lo, lo * self.den**2 // self.num**2)
+            self.rows.append((lo, hi, self.differences(hi, hi * self.den // self.num)))
             self.starts = np.asarray([r[0] for r in self.rows])
         return int(np.searchsorted(self.starts, size, "right")) - 1
 
-
-def paid(segments: int) -> int:
-    """Segments, from the first on, that a set indexes with their one-deletion neighbourhoods."""
-    return min(segments, segments // 25 + 1)
+    def plans(self, size: int) -> list[tuple[int, int, int, int, int]]:
+        """(band, segments, segments used, of these with neighbourhoods, allowance) of a set's own band and the one below.
+
+        A band whose sets admit no difference links equal sets only, which are one class already: no segments.
+        """
+        own, out = self.of(size), []
+        for band, largest in ((own, size * self.den // self.num), (own - 1, None)):
+            most = self.rows[band][2] if band >= 0 else 0
+            if largest is None:
+                largest = self.rows[band][1]
+                most = most if self.num * size <= self.den * largest else 0
+            spare = (most + 1) // 16 + 1
+            segments = most + 1 + spare
+            used = self.differences(size, largest) + 1 + spare
+            out.append((band, segments, used, segments // 50 + 1, spare) if most else (band, 0, 0, 0, 0))
+        return out
 
 
-def segment_keys(h: np.ndarray, band: int, segments: int) -> tuple[np.ndarray, int]:
-    """Keys of a set (sorted distinct hashes) in one band, one per segment and then the variants, and the number of variants.
+def segment_keys(h: np.ndarray, band: int, segments: int, used: int, around: int) -> tuple[np.ndarray, int]:
+    """Keys of a set (sorted distinct hashes) in one band: of the first ``used`` segments, then the variants of the first ``around``; and the number of variants.
 
     The low bits of a key are its segment's number; keys that collide bring candidates too many and none too few.
     """
     seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.uint16 if segments < 65536 else np.int64)
-    mixed, counts = mix64(h)[np.argsort(seg, kind="stable")], np.bincount(seg, minlength=segments)
+    mixed, counts = mix64(h)[np.argsort(seg, kind="stable")], np.bincount(seg, minlength=segments)[:used]
     upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed)])
     ends = np.cumsum(counts)
     sums = upto[ends] - upto[ends - counts]
-    first, ids = paid(segments), np.arange(segments, dtype=np.uint64)
-    lacking = np.repeat(ids[:first], counts[:first])
-    content = np.concatenate([sums, np.repeat(sums[:first], counts[:first]) - mixed[: len(lacking)]])
+    ids = np.arange(used, dtype=np.uint64)
+    lacking = np.repeat(ids[:around], counts[:around])
+    content = np.concatenate([sums, np.repeat(sums[:around], counts[:around]) - mixed[: len(lacking)]])
     ids = np.concatenate([ids, lacking])
     mixed = mix64(mix64(content) + ids * _STEP + np.uint64(band * 2 + 1))
     return (mixed << _SEGMENT_BITS) | (ids & _SEGMENT_MASK), len(lacking)
@@ -132,7 +140,7 @@ def _lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.ListArray:
 def _index(width: int, num: int, den: int):
     """Task body: doc_id, hash of the text, text -> _INDEXED; a set this task has met before brings its identity only.
 
-    layout tells the keys apart: segments and variants of the own band, then of the band below.
+    layout tells the keys apart: for the own band and then the one below, numbers of segments and of variants, segments with neighbourhoods, allowance.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,14 +157,13 @@ def _index(width: int, num: int, den: int):
                     if len(seen) >= 100_000:
                         seen.clear()
                     seen.add(digest)
-                    b, own, numbers = bands.of(len(h)), [np.empty(0, np.uint64)], []
-                    # a band whose sets admit no difference links equal sets only: those are one class already
-                    for k in (b, b - 1):
-                        segments, variants = bands.rows[k][2] if k >= 0 else 1, 0
-                        if segments > 1:
-                            found, variants = segment_keys(h, k, segments)
+                    own, numbers = [np.empty(0, np.uint64)], []
+                    for band, segments, used, around, spare in bands.plans(len(h)):
+                        variants = 0
+                        if segments:
+                            found, variants = segment_keys(h, band, segments, used, around)
                             own.append(found)
-                        numbers += [segments if segments > 1 else 0, variants]
+                        numbers += [used, variants, around, spare]
                     bits.append(bitmap(h))
                     keys.append(np.concatenate(own).view(np.int64))
                     layout.append(np.asarray(numbers))
@@ -187,24 +194,24 @@ def allocate(indexed: DataFrame) -> DataFrame:
     # a set's dear keys, as many as it has keys at most, decide its level in either band
     dear = rows.where(F.col("sets") > LEVELS[0]).groupBy("sid").agg(F.collect_set(F.struct("key", "sets", "at")).alias("dear"))
     layouts = indexed.select("sid", "layout").join(dear.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
-    dear = dear.join(layouts, "sid").select("sid", "dear", *[F.get("layout", F.lit(i)).alias(n) for i, n in enumerate(("own", "own_variants", "low", "low_variants"))])
-    begins = {"own": F.lit(0), "low": F.col("own") + F.col("own_variants")}
+    names = [f"{band}_{what}" for band in ("own", "low") for what in ("used", "variants", "around", "spare")]
+    dear = dear.join(layouts, "sid").select("sid", "dear", *[F.get("layout", F.lit(i)).alias(n) for i, n in enumerate(names)])
+    begins = {"own": F.lit(0), "low": F.col("own_used") + F.col("own_variants")}
 
     def level(band: str) -> Column:
-        begin, segments = begins[band], F.col(band)
-        pays = F.least(segments, F.floor(segments / 25).cast("int") + 1)
+        begin, used, variants, around, spare = begins[band], *[F.col(f"{band}_{what}") for what in ("used", "variants", "around", "spare")]
 
         def lost(level: int) -> Column:
             def gone(lo: Column, hi: Column) -> Column:
                 found = F.filter("dear", lambda k: (k["sets"] > level) & (k["at"] >= lo) & (k["at"] < hi))
                 return F.array_distinct(F.transform(found, lambda k: k["key"].bitwiseAND(int(_SEGMENT_MASK))))
 
-            exact, variants = gone(begin, begin + segments), gone(begin + segments, begin + segments + F.col(f"{band}_variants"))
-            return F.size(exact) + F.size(F.filter(exact, lambda s: s < pays)) + F.size(F.array_except(variants, exact))
+            exact, near = gone(begin, begin + used), gone(begin + used, begin + used + variants)
+            return F.size(exact) + F.size(F.filter(exact, lambda s: s < around)) + F.size(F.array_except(near, exact))
 
         out = F.lit(LEVELS[-1])
         for x in reversed(LEVELS[:-1]):
-            out = F.when(lost(x) <= pays, F.lit(x)).otherwise(out)
+            out = F.when(lost(x) <= spare + around, F.lit(x)).otherwise(out)
         return out
 
     dear = dear.select("sid", "dear", begins["low"].alias("begin"), level("own").alias("own_level"), level("low").alias("low_level"))

@@ -8,7 +8,7 @@ HOUR, DAY = 3_600_000, 86_400_000
 MID = 1_704_067_200_000 + 15 * DAY
 END = MID + 15 * DAY
 TICK, WINDOW = 6 * HOUR, DAY
-ALERT_WINDOW = 12 * HOUR
+ALERT_WINDOW = 9 * HOUR
 RESETS = (MID - 5 * DAY, MID + 4 * DAY)
 WRITES = (("observe:*", 1000), ("observe:a", 2000), ("observe:a#fine", 250), ("observe:b#fine", 500), ("observe:a", 3000))
 LOOKUPS = (("a", "fine"), ("a", "coarse"), ("a", None), ("b", "fine"), ("b", None), ("c", "fine"))
@@ -213,7 +213,7 @@ def queries() -> dict[str, str]:
           every AS (SELECT * FROM found UNION ALL SELECT 'baseline', NULL, region_start, region_end, NULL FROM pick WHERE region_start NOT IN (SELECT region_start FROM found))
           SELECT {TILE} FROM (SELECT * FROM every ORDER BY coalesce(magnitude, 0) DESC,
             CASE shape_tag WHEN 'spike' THEN 0 WHEN 'dip' THEN 0 WHEN 'step_up' THEN 1 WHEN 'step_down' THEN 1 WHEN 'divergence' THEN 2 WHEN 'gap' THEN 3 ELSE 4 END, region_start LIMIT 12)""",
-        "tile_text": f"""WITH {scores(E, by_type, 0.8)} SELECT tag AS shape_tag, window_start AS region_start, tag || ' in ' || group_label AS label,
+        "tile_text": f"""WITH {scores(E, by_type, 0.1)} SELECT tag AS shape_tag, window_start AS region_start, tag || ' in ' || group_label AS label,
           printf('mean %s the reference by %.1f standard errors', CASE WHEN tag = 'spike' THEN 'above' ELSE 'below' END, abs(raw_z)) AS description FROM scored WHERE tag IS NOT NULL""",
         "package_header": f"""WITH {scores(E, by_type, 2.0)}, {tails} SELECT (SELECT count(*) FROM obs WHERE group_label IS NULL) AS window_count, (SELECT sum(count)::BIGINT FROM obs WHERE group_label IS NULL) AS event_count,
           (SELECT max(window_end) - min(window_start) FROM obs WHERE group_label IS NULL) AS span_ms, round(ref_mean, 4) AS mean, round(sqrt(ref_var), 4) AS std_dev, coalesce(ref_n >= 3 AND ref_var > 0, FALSE) AS reference_usable,
