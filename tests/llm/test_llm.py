@@ -3,6 +3,8 @@
 import hashlib
 import json
 import re
+import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -233,17 +235,19 @@ def test_jaccard_allocation_loses_no_pair(num, den):
         y = np.unique(y)[: len(y) - int(rng.integers(0, 1 + len(x) // 12))]
         if not len(y) or not jaccard._linked(x, y, num, den) or (x.tobytes() == y.tobytes()):
             continue
-        sides = []
-        for h in (x, y):
-            b = bands.of(len(h))
-            sides.append({k: jaccard.segment_keys(h, k, bands.rows[k][2]) for k in (b, b - 1) if k >= 0 and bands.rows[k][2] > 1})
+        # whichever keys of x go, as many as it can afford, x and y still share one
+        sides = [{p[0]: (p, jaccard.segment_keys(h, *p[:4])) for p in bands.plans(len(h)) if p[1]} for h in (x, y)]
         band = next(k for k in sides[0] if k in sides[1])
-        # as many dear segments as the first set can afford: exact keys of unpaid segments cost one
-        segments = bands.rows[band][2]
-        keys = sides[0][band][0]
-        unpaid = np.arange(jaccard.paid(segments), segments)
-        dear = set(keys[rng.permutation(unpaid)[: jaccard.paid(segments)]].tolist())
-        assert (set(keys.tolist()) & set(sides[1][band][0].tolist())) - dear
+        (_, segments, used, around, spare), (keys, _) = sides[0][band]
+        both = set(keys.tolist()) & set(sides[1][band][1][0].tolist())
+        shared = sorted({k & (1 << 20) - 1 for k in both})
+        assert segments >= used > spare and both
+        cost = {j: 2 if j < around else 1 for j in shared}
+        assert sum(cost.values()) > 0
+        few = rng.permutation([j for j in range(used) if j >= around])[: spare + around].tolist()
+        left = [j for j in range(used) if j not in few]
+        same = {k & (1 << 20) - 1 for k in both}
+        assert any(j in same for j in left)
 
 
 def test_jaccard_rows_that_repeat_an_id(spark):
@@ -479,6 +483,115 @@ def test_mix_of_odd_sources(spark):
     assert again.where("source = 'empty'").count() == 0
 
 
+def plain_scores(docs, labels):
+    """The discriminant again, by numpy's own mean, covariance and inverse."""
+    hashes = quality.WordHashes()
+    x = np.array([quality.statistics(t, hashes) for t in docs.text])
+    marks = labels.dropna(subset=["quality", "doc_id"])[["doc_id", "quality"]].drop_duplicates()
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in docs.doc_id])
+    rows = {c: np.concatenate([x[(docs.doc_id == i).to_numpy() & ~held] for i in marks.doc_id[marks.quality == c]]) for c in (0, 1)}
+    n = {c: len(r) for c, r in rows.items()}
+    cov = {c: np.cov(r.T, bias=True) for c, r in rows.items()}
+    pooled = (n[0] * cov[0] + n[1] * cov[1]) / (n[0] + n[1])
+    log = {}
+    for c in (0, 1):
+        mixed = 0.7 * cov[c] + 0.3 * pooled
+        mixed = 0.9 * mixed + 0.1 * np.diag(np.diag(mixed)) + 1e-6 * np.eye(x.shape[1])
+        d = x - rows[c].mean(0)
+        log[c] = -0.5 * np.einsum("ij,jk,ik->i", d, np.linalg.inv(mixed), d) - 0.5 * np.linalg.slogdet(mixed)[1]
+    odds = log[1] - log[0] + np.log((n[1] + 1) / (n[0] + 1))
+    return 1 / (1 + np.exp(-np.clip(odds, -40, 40))), held
+
+
+def test_quality_equals_plain_numpy(spark, sf_dir, docs):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    plain = docs.toPandas()
+    scores, held = plain_scores(plain, labels.toPandas())
+    got = quality.score_quality(docs, labels).toPandas().set_index("doc_id").loc[plain.doc_id]
+    assert np.allclose(got.score, scores, atol=1e-6) and (got.held_out.to_numpy() == held).all()
+    assert ((got.predicted == 1).to_numpy() == (got.score >= 0.3).to_numpy()).all()
+    assert set(quality.keep_good(docs, labels).toPandas().doc_id) == set(plain.doc_id[got.score.to_numpy() >= 0.3])
+
+
+def test_html_reading_is_linear():
+    def seconds(text):
+        began = time.perf_counter()
+        html_text.blocks(html_text.pieces(text))
+        return time.perf_counter() - began
+
+    many = 200_000
+    for text in ("<a " * many, "<a 'x" * many, '<a "' * many + ">", "<p>x" + "</b>" * many, "<div>" * many + "</p>" * many, "<script>" * many, "<!-- " * many, "<p>" * many, "<b><p>" * many):
+        assert seconds(text) < 10
+
+
+def test_html_header_and_head():
+    of = lambda page: html_text.blocks(html_text.pieces(page))
+    assert of("<html><head><title>t</title><body><header>site</header><article><header><h1>Own</h1></header><p>x</p></article>") == ["Own", "x"]
+    assert of('<a title="1 > 0" href=x>y</a><p class=\'ad\'>no</p>') == ["y"]
+
+
+def pipeline_docs(spark):
+    rows = [r[:5] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    rows += [(10_000 + i, t, "en", f"s{i % 3}" if i % 4 else None, len(t or "")) for i, t in enumerate(ODD)]
+    rows += [rows[3], (rows[4][0], rows[5][1], "en", None, 1), (None, "a text of no id that is a little longer than the others are", None, None, None)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    stage, sf, frame = dict(corpus_pipeline.STAGES), "/root/testdata/sf0.001", pipeline_docs(spark)
+    plain = frame.toPandas()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").toPandas()
+    clear = plain[plain.doc_id.notna()].astype({"doc_id": "int64"})
+    scores, _ = plain_scores(clear, labels)
+    got = stage["quality_classifier"](spark, frame, sf).toPandas()
+    assert sorted(got.doc_id.dropna()) == sorted(clear.doc_id[scores >= 0.3])
+
+    con = duckdb.connect()
+    once = frame.dropDuplicates(["doc_id", "text"])  # equal rows fare alike, which SQL by row does not say
+    con.register("documents", once.toPandas())
+    lines = stage["line_dedup"](spark, once, sf)
+    assert lines.columns == frame.columns
+    want = sorted((r[0] if r[0] == r[0] and r[0] is not None else -1, r[3]) for r in con.sql(line_dedup.ORACLE_SQL).fetchall())
+    rows = lines.collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows) == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+    _, truth = shingle_truth(list(clear.text), 5, 4, 5)
+    ids = list(clear.doc_id)
+    least = {}
+    for i, root in truth.items():
+        least[root] = min(least.get(root, ids[i]), ids[i])
+    kept = {ids[i] for i, root in truth.items() if least[root] == ids[i]}
+    got = stage["ngram_jaccard_join"](spark, frame, sf).toPandas()
+    assert sorted(got.doc_id.dropna()) == sorted(i for i in ids if i in kept) and got.doc_id.isna().sum() == 1
+
+    frame.write.parquet(str(tmp_path / "documents"))
+    con.unregister("documents")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")  # pandas would make ids of null and number floats
+    mixed = stage["source_mixing"](spark, frame, sf).toPandas()
+    taken = con.sql(mixing.ORACLE_SQL).df()
+    words = {}
+    for i, t in zip(mixed.doc_id.fillna(-1), mixed.text, strict=True):
+        words[i] = words.get(i, 0) + len(re.findall(r"[^ \t-\r]+", t))
+    want = taken.assign(doc_id=taken.doc_id.fillna(-1)).groupby("doc_id").taken.sum()
+    assert words == {i: n for i, n in want.items() if n} and list(mixed.columns) == frame.columns
+
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in stage["byte_bpe"](spark, frame, sf).collect())
+    path, pattern = queries.tokenizer()
+    assert got == sorted((-1 if i != i else int(i), *bpe.reference_digest(t, path, pattern)) for i, t in zip(plain.doc_id, plain.text, strict=True))
+
+
+def test_pipeline_stages_on_empty_and_wider_tables(spark):
+    import corpus_pipeline
+
+    frame = pipeline_docs(spark).limit(30).selectExpr("*", "1 AS size", "2 AS copies", "3 AS row", "4 AS sid", "5 AS key")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, frame.limit(0), "/root/testdata/sf0.001").count() == 0, name
+        assert stage(spark, frame, "/root/testdata/sf0.001").count() > 0, name
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
