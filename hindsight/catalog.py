@@ -174,6 +174,7 @@ def queries() -> dict[str, Query]:
         "retention_segment": lambda s, d: retention.segment(_events(s, d, MID, END), MID, END).select("seq", "ts_ms", F.round("value", 2).alias("value")),
         "retention_thinned": lambda s, d: retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3).select("seq", "ts_ms", "weight"),
         "replay_thinned": lambda s, d: rounded(retention.replay(retention.zones(_events(s, d), 5 * DAY, 15 * DAY, 3), PLAIN), *WINDOW_COLUMNS),
+        "retention_resized": lambda s, d: retention.zones(_events(s, d), 3 * DAY).select("seq", "ts_ms", "weight"),
         "retention_sizes": lambda s, d: retention.sizes(_events(s, d), 5 * DAY, 15 * DAY, 3),
         "pool_reference": _pool,
         "reference_usable": _usable,
@@ -197,6 +198,7 @@ def queries() -> dict[str, Query]:
         "coverage_gaps": lambda s, d: coverage.coverage_gaps(_tests(s, d), "commit_hash"),
         "primary_domain": lambda s, d: _tests(s, d).groupBy(coverage.primary_domain(F.col("areas")).alias("domain")).agg(F.count("*").alias("n")),
         "observed_tests": lambda s, d: rounded(apply_lens(source.observe(_tests(s, d)), Lens(window_ms=DAY, origin=0, group_by=("agentId", "domain"))), *WINDOW_COLUMNS),
+        "observed_agent": lambda s, d: rounded(apply_lens(source.of_agent(_tests(s, d), "agent-A"), PLAIN), *WINDOW_COLUMNS),
         "tick_agent_stats": lambda s, d: rounded(_agents(s, d)),
         "tick_domain_stats": _domains,
         "snapshot_frames": _frames,
@@ -206,6 +208,7 @@ def queries() -> dict[str, Query]:
         "brain_ar": lambda s, d: brain.regressions(_agents(s, d)),
         "brain_rc": lambda s, d: brain.replays(_agents(s, d)),
         "brain_cg": lambda s, d: brain.coverage_alerts(coverage.domain_stats(_tests(s, d), TICK, ALERT_WINDOW)),
+        "brain_decisions": lambda s, d: brain.decisions(_agents(s, d), coverage.domain_stats(_tests(s, d), TICK, ALERT_WINDOW)).select("tick_ts", "type", "subject"),
         "brain_reset": lambda s, d: brain._reroutes(brain.judged(_agents(s, d), resets=RESETS)),
         "brain_shadow": _shadow,
         "late_arrival_equivalence": _late,

@@ -187,6 +187,7 @@ def queries() -> dict[str, str]:
         "retention_segment": f"SELECT seq, ts_ms, round(value, 2) AS value FROM ({E}) WHERE ts_ms BETWEEN {MID} AND {END}",
         "retention_thinned": f"SELECT seq, ts_ms, weight::DOUBLE AS weight FROM ({THINNED})",
         "replay_thinned": shown(windows(THINNED, DAY)),
+        "retention_resized": f"SELECT seq, ts_ms, weight::DOUBLE AS weight FROM ({E}) WHERE ts_ms >= (SELECT max(epoch_us(ts) // 1000) FROM events) - {3 * DAY}",
         "retention_sizes": f"SELECT count(*) FILTER (weight = 1) AS size, count(*) FILTER (weight = 3) AS reference_size FROM ({THINNED})",
         "pool_reference": f"WITH {sides(E, by_type)} SELECT unit, round(ref_w, 4) AS ref_w, round(ref_n, 4) AS ref_n, round(ref_mean, 4) AS ref_mean, round(ref_var, 4) AS ref_var, ref_count, ref_windows FROM pool",
         "reference_usable": f"WITH {sides(P, by_type)} SELECT unit, coalesce(ref_n >= 3 AND ref_var > 0, FALSE) AS usable FROM pool",
@@ -229,6 +230,7 @@ def queries() -> dict[str, str]:
             FROM (SELECT commit_hash, unnest(areas) AS bit FROM ({T})), {DICTIONARY} GROUP BY ALL) WHERE covered < required""",
         "primary_domain": f"SELECT split_part(who, '|', 2) AS domain, count(*) AS n FROM ({observed}) GROUP BY 1",
         "observed_tests": shown(windows(observed, DAY, "who")),
+        "observed_agent": shown(windows(f"SELECT * FROM ({observed}) WHERE who LIKE 'agent-A|%'", DAY)),
         "tick_agent_stats": f"SELECT tick_ts, agent_id, round(pass_rate, 4) AS pass_rate, round(flaky_rate, 4) AS flaky_rate, event_count FROM ({AGENTS})",
         "tick_domain_stats": domains_at(WINDOW),
         "tick_touched_bits": f"SELECT tick_ts, count(DISTINCT bit) AS touched FROM ({bits_at(WINDOW)}) GROUP BY 1",
@@ -241,6 +243,10 @@ def queries() -> dict[str, str]:
         "brain_rc": f"{fold()} SELECT tick_ts, 'replayRequest' AS type, agent_id AS subject, dip_start - 5000 AS from_ts, tick_ts + 5000 AS to_ts, 'observe:test_result:v1#fine' AS scope, 1000::BIGINT AS window_ms, 'agentId' AS group_by FROM f WHERE rc",
         "brain_cg": f"""WITH s AS (SELECT *, sum((gap <= 4)::INT) OVER (PARTITION BY domain ORDER BY tick_ts) AS run FROM ({domains_at(ALERT_WINDOW)})),
           p AS (SELECT *, row_number() OVER (PARTITION BY domain, run ORDER BY tick_ts) AS place FROM s WHERE gap > 4) SELECT tick_ts, 'schemaUpdate' AS type, domain AS subject, gap FROM p WHERE place = 5""",
+        "brain_decisions": f"""{fold()}, s AS (SELECT *, sum((gap <= 4)::INT) OVER (PARTITION BY domain ORDER BY tick_ts) AS run FROM ({domains_at(ALERT_WINDOW)})),
+          p AS (SELECT *, row_number() OVER (PARTITION BY domain, run ORDER BY tick_ts) AS place FROM s WHERE gap > 4)
+          SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar UNION ALL SELECT tick_ts, 'replayRequest', agent_id FROM f WHERE rc
+          UNION ALL SELECT tick_ts, 'schemaUpdate', domain FROM p WHERE place = 5""",
         "brain_reset": f"{fold(resets=RESETS)} SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar",
         "brain_shadow": f"SELECT * FROM (SELECT 'primary' AS source, 'rerouteSchema' AS type, count(*) AS n FROM ({fold()} SELECT * FROM f WHERE ar) UNION ALL SELECT 'shadow', 'rerouteSchema', count(*) FROM ({fold(0.05)} SELECT * FROM f WHERE ar)) WHERE n > 0",
         "late_arrival_equivalence": shown(windows(E, DAY)),
