@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialise, tidy
+from .common import connected_components, discard, materialise, tidy
 from .textstats import WordHashes, mix64, shingle_set
 
 #: Numbers of sets that share a key up to which a set of that level uses it; the last level uses all.
@@ -182,8 +182,8 @@ def _index(width: int, num: int, den: int):
     return run
 
 
-def allocate(indexed: DataFrame) -> DataFrame:
-    """key, sid for every key a set indexes, of keys that two sets or more share.
+def allocate(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, sid for every key a set indexes, of keys that two sets or more share; and the table to discard when these are read.
 
     ``indexed`` (sid, keys, layout) may hold a set once per task that met it; a key's rows are
     counted map-side. The count is one number per key for all sets, which is all the guarantee needs.
@@ -217,7 +217,7 @@ def allocate(indexed: DataFrame) -> DataFrame:
     dear = dear.select("sid", "dear", begins["low"].alias("begin"), level("own").alias("own_level"), level("low").alias("low_level"))
     used = F.filter("dear", lambda k: k["sets"] <= F.when(k["at"] < F.col("begin"), F.col("own_level")).otherwise(F.col("low_level")))
     used = dear.select("sid", F.explode(used).alias("used")).select("used.key", "sid")
-    return rows.where(F.col("sets") <= LEVELS[0]).select("key", "sid").unionByName(used)
+    return rows.where(F.col("sets") <= LEVELS[0]).select("key", "sid").unionByName(used), rows
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -420,9 +420,10 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
 
     ``signed`` is what :func:`_index` makes of ``texts(doc_id, h, text)``.
     """
-    kept = allocate(signed.where("keys is not null").select("sid", "keys", "layout"))
+    kept, shared = allocate(signed.where("keys is not null").select("sid", "keys", "layout"))
     least = kept.groupBy("key").agg(F.min("sid").alias("pivot"), F.max("sid").alias("last")).where("pivot < last").drop("last")
     met = materialise(kept.join(least, "key").where("sid <> pivot").select("pivot", "sid").distinct(), "jaccard-met")
+    discard(shared)
     every = met.unionByName(met.select("pivot", F.col("pivot").alias("sid")).distinct())
     bits = signed.where("bits is not null").select("sid", "n", "bits").join(every.select("sid").distinct(), "sid", "left_semi")
     bits = materialise(bits.dropDuplicates(["sid"]), "jaccard-bits")
@@ -432,7 +433,9 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
         homes = signed.join(sids, "sid", "left_semi").groupBy("sid").agg(F.min("h").alias("h"), F.min("n").alias("n"))
         homes = materialise(homes, "jaccard-homes")
         found = texts.join(homes.select("h").distinct(), "h", "left_semi").select("text").mapInArrow(tidy(_sets(width)), "sid long, members binary")
-        return materialise(found.dropDuplicates(["sid"]).join(homes.select("sid", "n"), "sid"), "jaccard-members")
+        found = materialise(found.dropDuplicates(["sid"]).join(homes.select("sid", "n"), "sid"), "jaccard-members")
+        discard(homes)
+        return found
 
     def past_pivots(pairs: DataFrame, body: DataFrame, column: str, test: Callable) -> DataFrame:
         """The (pivot, sid) of ``pairs`` that pass the test, a pivot's members dealt over blocks."""
@@ -451,6 +454,7 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
     whole = members(close.select("sid").union(close.select("pivot")).distinct())
     exact = lambda x, _n, y, _m: _linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)
     links = past_pivots(close, whole, "members", exact).select(F.col("pivot").alias("a"), F.col("sid").alias("b"))
+    discard(whole)
     label = materialise(connected_components(links), "jaccard-labels").withColumnsRenamed({"id": "sid", "component": "group"})
 
     def grouped(rows: DataFrame) -> DataFrame:
@@ -461,9 +465,12 @@ def component_links(texts: DataFrame, signed: DataFrame, width: int, num: int, d
     near = materialise(_sorted(near, "pivot", "i", "j").mapInArrow(tidy(_families(num, den)), "a long, b long").distinct(), "jaccard-near")
     family = materialise(connected_components(near), "jaccard-families").withColumnsRenamed({"id": "sid", "component": "family"})
     placed = materialise(_grid(grouped(family), "family"), "jaccard-placed")
-    inside = placed.join(bits, "sid").join(members(placed.select("sid").distinct()).drop("n"), "sid")
+    whole = members(placed.select("sid").distinct())
+    inside = placed.join(bits, "sid").join(whole.drop("n"), "sid")
     inside = inside.select("family", "i", "j", "sid", "group", "side", "n", "bits", "members")
     more = materialise(_sorted(inside, "family", "i", "j").mapInArrow(tidy(_links(num, den)), "a long, b long"), "jaccard-links")
+    for done in (met, bits, near, placed, whole):
+        discard(done)
     return links.unionByName(more)
 
 
