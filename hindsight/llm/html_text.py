@@ -59,7 +59,7 @@ _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 #: A class is valid in hosts of so many pages, in so many tenths of them.
 LEAST_PAGES, LEAST_TENTHS = 3, 9
-_LOWER = {c: c + 32 for c in range(65, 91)}
+_ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
 class Tag(NamedTuple):
@@ -94,7 +94,7 @@ def pieces(page: str) -> list[tuple[str, Tag | None]]:
     A closed raw element (script, style ...) is one piece, so markup in it is not read as tags.
     """
     out: list[tuple[str, Tag | None]] = []
-    at, lower, last, unclosed = 0, None, page.rfind(">"), set()
+    at, last, unclosed = 0, page.rfind(">"), set()
     while True:
         found = _TOKEN.search(page, at) if at <= last or page.find("<!--", at) >= 0 else None
         start = found.start() if found else len(page)
@@ -108,10 +108,8 @@ def pieces(page: str) -> list[tuple[str, Tag | None]]:
             continue
         out.append((markup, tag))
         if tag.opens and tag.name in RAW and not tag.single and tag.name not in unclosed:
-            # only A-Z are lowered, so places stay
-            lower = lower or page.translate(_LOWER)
-            if (end := lower.find(f"</{tag.name}", at)) >= 0:
-                at = end
+            if end := _ENDS[tag.name].search(page, at):
+                at = end.start()
             else:
                 unclosed.add(tag.name)
 
