@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and their SQL."""
+"""The registered queries of the operators and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, html_text, jaccard, line_dedup, mixing, pii, quality, rules, secrets
+from . import bpe, embeddings, html_text, jaccard, licenses, line_dedup, mixing, negatives, pii, prefix_trie, quality, rules, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,8 +38,18 @@ def queries() -> dict[str, Query]:
         "op8_embedding_dedup": _over("embeddings", embeddings.near_duplicates),
         "op9_quality_rules": _over("documents", rules.rules_digest),
         "op10_source_mixing": _over("documents", mixing.mixing_digest),
+        "op11_hard_negatives": _over("embeddings", negatives.hard_negatives),
+        "op12_prefix_trie": _over("conversations", prefix_trie.prefix_trie),
+        "op13_license_scan": _over("documents", licenses.license_digest),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op9_quality_rules": rules.ORACLE_SQL, "op10_source_mixing": mixing.ORACLE_SQL}
+    return {
+        "op1_line_dedup": line_dedup.ORACLE_SQL,
+        "op9_quality_rules": rules.ORACLE_SQL,
+        "op10_source_mixing": mixing.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op13_license_scan": licenses.ORACLE_SQL,
+    }
