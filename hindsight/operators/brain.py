@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import Rules
+from ..plans.registry import in_force
 
 #: Scope and lens that a replay asks for.
 FINE_SCOPE, FINE_GROUPS = "observe:test_result:v1#fine", ("agentId",)
@@ -41,18 +42,19 @@ class AgentState:
         self.rerouted = self.active = self.replayed = False
         self.since = None
 
-    def tick(self, ts: int, rate: float, count: int, rules: Rules) -> dict[str, Any]:
-        """Learn first, then judge with what this tick taught."""
+    def tick(self, ts: int, rate: float, count: int, rules: Rules, delta: float | None = None) -> dict[str, Any]:
+        """Learn first, then judge with what this tick taught; ``delta`` is the one in force at the tick, else that of the rules."""
+        delta = rules.delta if delta is None else delta
         if count >= rules.least_events:
             if self.baseline is None:
                 self.baseline = rate
-            elif self.observations < rules.warmup or rate >= self.baseline - rules.delta:
+            elif self.observations < rules.warmup or rate >= self.baseline - delta:
                 self.baseline = rules.alpha * rate + (1 - rules.alpha) * self.baseline
             self.observations += 1
         out = {"baseline": self.baseline, "observations": self.observations, "threshold": None, "fired_ar": False, "fired_rc": False, "dip_start": None}
         if self.observations < rules.warmup:
             return out
-        out["threshold"] = threshold = max(self.baseline - rules.delta, rules.floor)
+        out["threshold"] = threshold = max(self.baseline - delta, rules.floor)
         below = rate < threshold
         self.low = self.low + 1 if below else 0
         out["fired_ar"] = below and self.low >= rules.regression_ticks and not self.rerouted
@@ -74,19 +76,22 @@ def _judge(rules: Rules, resets: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agent, state, due = object(), AgentState(), 0
+        names = [c.split()[0] for c in _JUDGED.split(", ")]
+        kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64()]
         for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                if row["agent_id"] != agent:
-                    agent, state, due = row["agent_id"], AgentState(), 0
-                while due < len(resets) and resets[due] < row["tick_ts"]:
+            out: list[list] = [[] for _ in names[3:]]
+            agents, ticks, rates, counts, deltas = (batch.column(i).to_pylist() for i in range(5))
+            for who, ts, rate, count, delta in zip(agents, ticks, rates, counts, deltas, strict=True):
+                if who != agent:
+                    agent, state, due = who, AgentState(), 0
+                while due < len(resets) and resets[due] < ts:
                     state.reset()
                     due += 1
-                seen = {k: row[k] for k in ("tick_ts", "agent_id", "pass_rate")}
-                rows.append(seen | state.tick(row["tick_ts"], row["pass_rate"], row["event_count"], rules))
-            kinds = [pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.float64(), pa.bool_(), pa.bool_(), pa.int64()]
-            names = [c.split()[0] for c in _JUDGED.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds, strict=True)], names)
+                said = state.tick(ts, rate, count, rules, delta)
+                for column, name in zip(out, names[3:], strict=True):
+                    column.append(said[name])
+            made = [pa.array(c, k) for c, k in zip(out, kinds[3:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(1).cast(kinds[0]), batch.column(0), batch.column(2).cast(kinds[2]), *made], names)
 
     return run
 
@@ -94,9 +99,11 @@ def _judge(rules: Rules, resets: tuple[int, ...]):
 def judged(stats: DataFrame, rules: Rules = Rules(), resets: Iterable[int] = ()) -> DataFrame:
     """What every tick of an agent taught and fired: tick_ts, agent_id, pass_rate, baseline, observations, threshold (null while warming up), fired_ar, fired_rc, dip_start.
 
-    ``resets`` are times after which detections start anew on learned baselines.
+    ``resets`` are times after which detections start anew on learned baselines. A column
+    ``delta`` of ``stats`` overrides the rules' where it is not null.
     """
-    ordered = stats.select("agent_id", "tick_ts", "pass_rate", "event_count").repartition("agent_id").sortWithinPartitions("agent_id", "tick_ts")
+    delta = F.col("delta").cast("double") if "delta" in stats.columns else F.lit(None).cast("double").alias("delta")
+    ordered = stats.select("agent_id", "tick_ts", "pass_rate", "event_count", delta).repartition("agent_id").sortWithinPartitions("agent_id", "tick_ts")
     return ordered.mapInArrow(_judge(rules, tuple(sorted(resets))), _JUDGED)
 
 
@@ -156,6 +163,28 @@ def rules_of(schema_row: dict[str, Any] | None, rules: Rules = Rules()) -> Rules
     return replace(rules, delta=float(delta)) if valid else rules
 
 
+def with_delta(stats: DataFrame, history: DataFrame, schema: str) -> DataFrame:
+    """``stats`` with the delta that the schema's row set at each tick (null: the default): later writes change no earlier tick."""
+    row = in_force(stats, history, (f"schema:{schema}", "schema:*"), "_row")
+    said = F.get_json_object("_row", "$.baseline_delta")
+    delta = said.try_cast("double")
+    sound = (delta >= 0) & (delta < float("inf")) & ~F.isnan(delta)
+    return row.withColumn("delta", F.when(sound, delta)).drop("_row")
+
+
+def blindness(stats: DataFrame, silent_ms: int, until_ms: int | None = None) -> DataFrame:
+    """tick_ts, type 'blind', subject: an agent was absent for ``silent_ms``; once per silence.
+
+    A silence that lasts is reported if it has reached its width by ``until_ms`` (null: the last tick of all).
+    """
+    order = Window.partitionBy("agent_id").orderBy("tick_ts")
+    end = F.lit(until_ms).cast("long").alias("_end")
+    last = F.broadcast(stats.agg(F.max("tick_ts").alias("_end"))) if until_ms is None else F.broadcast(stats.sparkSession.range(1).select(end))  # one row
+    rows = stats.select("agent_id", "tick_ts", F.lead("tick_ts").over(order).alias("_next")).crossJoin(last)
+    late = F.col("tick_ts") + silent_ms
+    return rows.where((late < F.coalesce("_next", F.col("_end") + 1)) & (late <= F.col("_end"))).select(late.alias("tick_ts"), F.lit("blind").alias("type"), F.col("agent_id").alias("subject"))
+
+
 @dataclass
 class ShadowLog:
     """Runs a second rule layer beside the first: numbered entries, the last ``bound`` kept, tallies of all.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import sidak_z
 from ..model import VALID_COUNT, Curation, Lens
-from .curator import gaps, gate_z, pool_stats, steps, usable
+from .curator import frame, with_neighbours
 from .lens import apply_lens
 
 
@@ -18,31 +18,22 @@ def trial_windows(trials: DataFrame, window_ms: int = 1000) -> DataFrame:
     return apply_lens(events, Lens(window_ms=window_ms, origin=0, group_by=("trial",)), by=("is_obs",)).where("group_label is not null").persist()
 
 
-def trial_scores(windows: DataFrame, spike_z: float = 2.0) -> DataFrame:
-    """group_label, windows, hit (a spike or dip), blind per trial of two-valued events."""
-    pool = pool_stats(windows.where("not is_obs")).select(F.col("unit").alias("group_label"), "ref_n", "ref_mean", "ref_var")
-    scored = windows.where(f"is_obs and count >= {VALID_COUNT}").join(pool, "group_label")
-    good = usable(F.col("ref_n"), F.col("ref_var"))
-    se = F.sqrt(F.col("ref_var") * (1 / F.col("count") + 1 / F.col("ref_n")))
-    z = gate_z(F.col("mean"), F.col("count"), F.when(good, se), F.lit(1.0), F.col("ref_mean"))
-    per_trial = scored.groupBy("group_label").agg(F.count("*").alias("windows"), F.max(F.abs(z)).alias("most_z"), F.bool_and(~good).alias("blind"))
-    hit = F.coalesce(F.col("most_z") >= sidak_z(F.lit(spike_z), F.col("windows")), F.lit(False))
-    return per_trial.select("group_label", "windows", hit.alias("hit"), "blind")
-
-
-def trial_tiles(windows: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
-    """group_label, shape_tag for every step and gap of a trial. The spans of a trial share no window start, so none diverges."""
-    observed, reference = windows.where("is_obs").drop("is_obs"), windows.where("not is_obs").drop("is_obs")
-    found = steps(observed, reference, config, True).unionByName(gaps(observed, reference, window_ms, config, True))
-    return found.select("group_label", "shape_tag")
-
-
 def judged_trials(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:
-    """trial_id, windows, hit, blind: whether a trial's package has any tile but the baseline."""
+    """trial_id, windows, hit, blind: whether a trial's package has any tile but the baseline.
+
+    A trial is a group, so pools, scores, steps and gaps of all trials come from one frame; the
+    family is the trial's own. Its spans share no window start, so none diverges.
+    """
     windows = trial_windows(trials, window_ms)
-    other = trial_tiles(windows, window_ms, config).select("group_label").distinct().withColumn("other", F.lit(True))
-    scored = trial_scores(windows, config.spike_z).join(other, "group_label", "left")
-    return scored.select(F.col("group_label").cast("long").alias("trial_id"), "windows", (F.col("hit") | F.coalesce("other", F.lit(False))).alias("hit"), "blind")
+    observed, reference = (windows.where(side).drop("is_obs") for side in ("is_obs", "not is_obs"))
+    rows = with_neighbours(frame(observed, reference, config, grouped=True), window_ms, config)
+    counted = F.col("count") >= VALID_COUNT
+    per_trial = rows.groupBy("group_label").agg(
+        F.count_if(counted).alias("windows"), F.max(F.when(F.col("scorable"), F.abs("gate_z"))).alias("most_z"), F.bool_and(F.when(counted, ~F.col("sound"))).alias("blind"),
+        F.bool_or(F.col("gap_end").isNotNull() | F.col("run").isNotNull()).alias("other"),
+    ).where("windows > 0")
+    hit = F.coalesce(F.col("most_z") >= sidak_z(F.lit(config.spike_z), F.col("windows")), F.lit(False))
+    return per_trial.select(F.col("group_label").cast("long").alias("trial_id"), "windows", (hit | F.col("other")).alias("hit"), "blind")
 
 
 def alarm_rate(trials: DataFrame, window_ms: int = 1000, config: Curation = Curation()) -> DataFrame:

@@ -69,10 +69,23 @@ def _at_ticks(slots: DataFrame, tick_ms: int) -> DataFrame:
     return slots.select("*", F.explode(F.sequence("first_tick", "last_tick", F.lit(tick_ms).cast("long"))).alias("tick_ts")).drop("first_tick", "last_tick")
 
 
+#: A spine of more ticks is refused: a stray time would ask for ages of empty windows.
+MOST_TICKS = 100_000_000
+
+
 def ticks(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
-    """tick_ts: every tick from the first that sees an event to the last, those with an empty window too."""
-    ends = _slots(tests.select("ts_ms"), tick_ms, window_ms).agg(F.min("first_tick").alias("a"), F.max("last_tick").alias("b")).where("a is not null")
-    return ends.select(F.explode(F.sequence("a", "b", F.lit(tick_ms).cast("long"))).alias("tick_ts"))
+    """tick_ts: every tick from the first that sees an event to the last, those with an empty window too.
+
+    The two ends are looked up when this is called; the ticks between are a range, made in
+    parallel. A span of more than MOST_TICKS raises ValueError: cut it with :func:`retention.segment`.
+    """
+    spark = tests.sparkSession
+    a, b = _slots(tests.select("ts_ms"), tick_ms, window_ms).agg(F.min("first_tick"), F.max("last_tick")).first()
+    if a is None:
+        return spark.range(0).withColumnRenamed("id", "tick_ts")
+    if (b - a) // tick_ms >= MOST_TICKS:
+        raise ValueError(f"{(b - a) // tick_ms + 1} ticks between {a} and {b} are more than {MOST_TICKS}: is one time astray? take a segment, or a longer tick")
+    return spark.range(a, b + 1, tick_ms).withColumnRenamed("id", "tick_ts")
 
 
 def agent_stats(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
@@ -95,17 +108,18 @@ def _bits_at_ticks(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
     return _at_ticks(slots, tick_ms).distinct()
 
 
-def domain_stats(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
+def domain_stats(tests: DataFrame, tick_ms: int, window_ms: int, spine: DataFrame | None = None) -> DataFrame:
     """tick_ts, domain, covered_bits, required_bits, gap: every domain at every tick; an empty window covers nothing."""
     every = F.array(*[F.struct(F.lit(n).alias("domain"), F.lit(t).cast("long").alias("required_bits")) for n, _, _, t in DOMAINS])
-    spine = ticks(tests, tick_ms, window_ms).select("tick_ts", F.inline(every))
+    spine = (ticks(tests, tick_ms, window_ms) if spine is None else spine).select("tick_ts", F.inline(every))
     bits = _bits_at_ticks(tests, tick_ms, window_ms).withColumn("domain", domain_of_bit(F.col("bit")))
     counted = bits.groupBy("tick_ts", "domain").agg(F.count("*").alias("n"))
     covered, required = F.coalesce("n", F.lit(0)), F.col("required_bits")
     return spine.join(counted, ["tick_ts", "domain"], "left").select("tick_ts", "domain", covered.alias("covered_bits"), "required_bits", F.greatest(required - covered, F.lit(0)).alias("gap"))
 
 
-def touched_bits(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
+def touched_bits(tests: DataFrame, tick_ms: int, window_ms: int, spine: DataFrame | None = None) -> DataFrame:
     """tick_ts, touched: number of distinct bits in the window."""
     counted = _bits_at_ticks(tests, tick_ms, window_ms).groupBy("tick_ts").agg(F.count("*").alias("n"))
-    return ticks(tests, tick_ms, window_ms).join(counted, "tick_ts", "left").select("tick_ts", F.coalesce("n", F.lit(0)).alias("touched"))
+    spine = ticks(tests, tick_ms, window_ms) if spine is None else spine
+    return spine.join(counted, "tick_ts", "left").select("tick_ts", F.coalesce("n", F.lit(0)).alias("touched"))

@@ -19,18 +19,27 @@ _RANK = {"spike": 0, "dip": 0, "step_up": 1, "step_down": 1, "divergence": 2, "g
 TILE = ("shape_tag", "group_label", "region_start", "region_end", "magnitude")
 
 
-def pool_stats(windows: DataFrame) -> DataFrame:
-    """One row per unit: ref_w, ref_w2, ref_n, ref_mean, ref_var, ref_count, ref_windows."""
-    w, w2 = F.sum("sum_w"), F.sum("sum_w2")
-    pooled = windows.groupBy(F.coalesce("group_label", F.lit(MIXED)).alias("unit")).agg(
-        w.alias("ref_w"), w2.alias("ref_w2"), (F.sum(F.col("mean") * F.col("sum_w")) / w).alias("ref_mean"),
-        F.sum("sum_sq").alias("ref_sq"), F.sum("count").alias("ref_count"), F.count("*").alias("ref_windows"),
-    )
+def _pooled(where: Column | None = None) -> list[Column]:
+    """Sums of windows as a reference: those that meet ``where``."""
+    of = lambda c: c if where is None else F.when(where, c)
+    w, w2 = F.sum(of(F.col("sum_w"))), F.sum(of(F.col("sum_w2")))
+    return [
+        w.alias("ref_w"), w2.alias("ref_w2"), (F.sum(of(F.col("mean") * F.col("sum_w"))) / w).alias("ref_mean"),
+        F.sum(of(F.col("sum_sq"))).alias("ref_sq"), F.sum(of(F.col("count"))).alias("ref_count"), F.count(of(F.lit(1))).alias("ref_windows"),
+    ]
+
+
+def _with_variance(pooled: DataFrame) -> DataFrame:
     return pooled.withColumn("ref_n", kish_n(F.col("ref_w"), F.col("ref_w2"))).withColumn(
         "ref_var", pooled_variance(F.col("ref_w"), F.col("ref_w2"), F.col("ref_mean"), F.col("ref_sq"))
     )
 
 
+def pool_stats(windows: DataFrame) -> DataFrame:
+    """One row per unit: ref_w, ref_w2, ref_n, ref_mean, ref_var, ref_count, ref_windows."""
+    return _with_variance(_units(windows).groupBy("unit").agg(*_pooled()))
+
+
 def usable(n: Column, var: Column) -> Column:
     """A reference of three effective events or more that varies at all."""
     return F.coalesce((n >= 3) & (var > 0), F.lit(False))
@@ -41,14 +50,6 @@ def _units(windows: DataFrame) -> DataFrame:
     return windows.withColumn("unit", F.coalesce("group_label", F.lit(MIXED)))
 
 
-def _scored_units(observed: DataFrame, reference: DataFrame, grouped: bool, strict: bool) -> DataFrame:
-    """Observed windows joined with their unit's pooled reference."""
-    units = _units(observed).where(F.col("group_label").isNotNull() if grouped else F.col("group_label").isNull())
-    joined = units.join(pool_stats(reference), "unit", "left")
-    good = usable(F.col("ref_n"), F.col("ref_var"))
-    return joined.where(good) if grouped or strict else joined
-
-
 def unscored_groups(observed: DataFrame, reference: DataFrame) -> DataFrame:
     """group_label of the observed groups that cannot be compared."""
     groups = observed.where("group_label is not null").select("group_label").distinct()
@@ -56,15 +57,18 @@ def unscored_groups(observed: DataFrame, reference: DataFrame) -> DataFrame:
     return groups.join(pools, "group_label", "left_anti")
 
 
-def lattices(observed: DataFrame, reference: DataFrame) -> DataFrame:
-    """unit, step: the distance of the two values of a unit that has only two, else null."""
-    both = _units(observed).unionByName(_units(reference))
+def _lattice() -> list[Column]:
+    """Moments and range of a unit's windows, for :func:`_lattice_step`."""
     w = F.sum("sum_w")
-    sums = both.groupBy("unit").agg(w.alias("w"), (F.sum("sum_sq") / w).alias("sq"), (F.sum(F.col("mean") * F.col("sum_w")) / w).alias("m"), F.min("min_v").alias("lo"), F.max("max_v").alias("hi"))
-    q = (F.col("m") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
-    predicted = F.col("lo") * F.col("lo") + (F.col("hi") * F.col("hi") - F.col("lo") * F.col("lo")) * q
-    two_valued = F.abs(F.col("sq") - predicted) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(predicted))
-    return sums.select("unit", F.when(two_valued, F.col("hi") - F.col("lo")).alias("step"))
+    return [(F.sum("sum_sq") / w).alias("_sq"), (F.sum(F.col("mean") * F.col("sum_w")) / w).alias("_m"), F.min("min_v").alias("_lo"), F.max("max_v").alias("_hi")]
+
+
+def _lattice_step() -> Column:
+    """The distance of the two values of a unit that has only two, else null."""
+    lo, hi = F.col("_lo"), F.col("_hi")
+    predicted = lo * lo + (hi * hi - lo * lo) * (F.col("_m") - lo) / F.nullif(hi - lo, F.lit(0.0))
+    two_valued = F.abs(F.col("_sq") - predicted) <= 1e-9 * F.greatest(F.lit(1.0), F.abs(predicted))
+    return F.when(two_valued, hi - lo)
 
 
 def gate_z(mean: Column, n_eff: Column, se: Column, step: Column, ref_mean: Column) -> Column:
@@ -74,80 +78,120 @@ def gate_z(mean: Column, n_eff: Column, se: Column, step: Column, ref_mean: Colu
     return F.signum(deviation) * F.greatest(F.abs(deviation) - half, F.lit(0.0)) / F.nullif(se, F.lit(0.0))
 
 
-def score_windows(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
-    """Scorable windows with n_eff, se, raw_z, gate_z, the family-wise threshold and spike/dip tag."""
-    scored = _scored_units(observed, reference, grouped, config.strict_reference)
-    scored = scored.withColumn("n_eff", kish_n(F.col("sum_w"), F.col("sum_w2"))).where(f"count >= {VALID_COUNT} and n_eff > 0")
+def frame(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
+    """The observed windows with all that shapes are told from; every detector reads this one frame.
+
+    One aggregation by unit gives pool and lattice of both sides; one exchange by unit, sorted by
+    time, serves the join with it and what windows know of their neighbours. Columns: the
+    window's own, unit, ref_*, step, n_eff, se, raw_z, gate_z, judged (its unit is compared),
+    sound (it has a usable reference), scorable, other (the reference's mean at the same time).
+    The mixed view is there too if the units are groups, unjudged.
+    """
+    both = _units(observed).withColumn("side", F.lit(0)).unionByName(_units(reference).withColumn("side", F.lit(1)))
+    units = _with_variance(both.groupBy("unit").agg(*_pooled(F.col("side") == 1), *_lattice())).withColumn("step", _lattice_step()).drop("_sq", "_m", "_lo", "_hi")
+    other = F.max(F.when(F.col("side") == 1, F.col("mean"))).over(Window.partitionBy("unit", "window_start"))
+    rows = both.join(units, "unit").withColumn("other", other).where("side = 0").drop("side")
+    mine = F.col("group_label").isNotNull() if grouped else F.col("group_label").isNull()
+    rows = rows.where(mine | F.col("group_label").isNull()).withColumn("sound", usable(F.col("ref_n"), F.col("ref_var")))
+    judged = mine & F.col("sound") if grouped or config.strict_reference else mine
+    rows = rows.withColumn("n_eff", kish_n(F.col("sum_w"), F.col("sum_w2"))).withColumn("judged", judged).withColumn("followed", mine & F.col("sound") if grouped else mine)
     se = F.sqrt(F.col("ref_var") * (1 / F.col("n_eff") + 1 / F.nullif(F.col("ref_n"), F.lit(0.0))))
-    scored = scored.join(lattices(observed, reference), "unit", "left").withColumn("se", se)
-    family = F.broadcast(scored.agg(F.count("*").alias("family_n")))  # one row
-    scored = scored.crossJoin(family).withColumns(
+    rows = rows.withColumn("scorable", F.coalesce(F.col("judged") & (F.col("count") >= VALID_COUNT) & (F.col("n_eff") > 0), F.lit(False))).withColumn("se", se)
+    return rows.withColumns(
         {
             "raw_z": (F.col("mean") - F.col("ref_mean")) / F.nullif(F.col("se"), F.lit(0.0)),
             "gate_z": gate_z(F.col("mean"), F.col("n_eff"), F.col("se"), F.col("step"), F.col("ref_mean")),
-            "threshold": sidak_z(F.lit(config.spike_z), F.col("family_n")),
         }
     )
+
+
+def _tag(rows: DataFrame, config: Curation) -> DataFrame:
+    rows = rows.withColumn("threshold", sidak_z(F.lit(config.spike_z), F.col("family_n")))
     tag = F.when(F.col("gate_z") >= F.col("threshold"), "spike").when(F.col("gate_z") <= -F.col("threshold"), "dip")
-    return scored.withColumn("tag", tag)
+    return rows.withColumn("tag", F.when(F.col("scorable"), tag))
+
+
+def score_windows(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
+    """Scorable windows with n_eff, se, raw_z, gate_z, the family-wise threshold and spike/dip tag."""
+    scored = frame(observed, reference, config, grouped).where("scorable")
+    family = F.broadcast(scored.agg(F.count("*").alias("family_n")))  # one row
+    return _tag(scored.crossJoin(family), config)
 
 
-def _tile(shape: Column | str, magnitude: Column) -> list[Column]:
-    tag = F.lit(shape) if isinstance(shape, str) else shape
-    return [tag.alias("shape_tag"), F.col("group_label"), F.col("region_start"), F.col("region_end"), magnitude.cast("double").alias("magnitude")]
+def with_neighbours(rows: DataFrame, window_ms: int, config: Curation) -> DataFrame:
+    """A :func:`frame` with gap_end (where a hole after the window ends) and, at the last window of a run beyond the step threshold, run (its dir, start and z)."""
+    order = Window.partitionBy("unit").orderBy("window_start")
+    following = F.lead("window_start").over(order)
+    wide = F.col("followed") & (following - F.col("window_end") >= (config.min_gap_ms or 2 * window_ms))
+    base = F.coalesce(F.nullif(F.col("ref_mean"), F.lit(0.0)), F.lit(1.0))
+    delta = F.when(F.col("judged") & F.col("sound"), (F.col("mean") - F.col("ref_mean")) / base)
+    rows = rows.withColumn("gap_end", F.when(wide, following))
+    rows = rows.withColumn("_dir", F.when(delta >= config.step_threshold, 1).when(delta <= -config.step_threshold, -1).otherwise(0))
+    changed = F.when(F.col("_dir") == F.lag("_dir").over(order), 0).otherwise(1)
+    rows = rows.withColumns({"_new": changed, "_last": ~F.coalesce(F.lead("_dir").over(order) == F.col("_dir"), F.lit(False))})
+    rows = rows.withColumn("_run", F.sum("_new").over(order))
+    run = Window.partitionBy("unit", "_run")
+    w, w2, wv = (F.sum(c).over(run) for c in (F.col("sum_w"), F.col("sum_w2"), F.col("mean") * F.col("sum_w")))
+    rows = rows.withColumns({"_n": F.count("*").over(run), "_w": w, "_w2": w2, "_wv": wv, "_start": F.min("window_start").over(run)})
+    se = F.sqrt(F.col("ref_var") * (1 / kish_n(F.col("_w"), F.col("_w2")) + 1 / F.col("ref_n")))
+    z = F.when(se > 0, F.abs(F.col("_wv") / F.col("_w") - F.col("ref_mean")) / se).otherwise(0.0)
+    ends = F.col("_last") & (F.col("_dir") != 0) & (F.col("_n") >= config.step_windows)
+    rows = rows.withColumn("run", F.when(ends, F.struct(F.col("_dir").alias("dir"), F.col("_start").alias("start"), z.alias("z"))))
+    return rows.drop("_dir", "_new", "_last", "_run", "_n", "_w", "_w2", "_wv", "_start")
+
+
+def detect(observed: DataFrame, reference: DataFrame, window_ms: int, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
+    """Every tile the comparison gives, unranked, the quietest window as the baseline there would be: TILE."""
+    rows = frame(observed, reference, config, grouped)
+    off = F.struct((~F.col("valid")).alias("invalid"), F.abs(F.col("mean") - F.col("ref_mean")).alias("off"), F.col("window_start").alias("start"))
+    mixed = F.col("group_label").isNull()
+    diff = F.when(mixed, F.abs(F.col("mean") - F.col("other")))
+    all_of_it = F.broadcast(
+        rows.agg(
+            F.count_if("scorable").alias("family_n"), F.avg(diff).alias("avg_diff"), F.stddev_pop(diff).alias("std_diff"), F.min_by(F.when(mixed, F.col("window_start")), F.when(mixed, off)).alias("quietest"),
+        )
+    )  # one row
+    rows = _tag(with_neighbours(rows, window_ms, config).crossJoin(all_of_it), config)
+    apart = (diff - F.col("avg_diff")) / F.nullif(F.col("std_diff"), F.lit(0.0))
+    start, end = F.col("window_start"), F.col("window_end")
+
+    def tile(when: Column, tag: Column | str, a: Column, b: Column, magnitude: Column) -> Column:
+        named = F.lit(tag) if isinstance(tag, str) else tag
+        return F.when(when, F.struct(named.alias("shape_tag"), a.alias("region_start"), b.alias("region_end"), magnitude.cast("double").alias("magnitude")))
+
+    tiles = [
+        tile(F.col("tag").isNotNull(), F.col("tag"), start, end, F.abs("raw_z")),
+        tile(F.col("run").isNotNull(), F.when(F.col("run.dir") > 0, "step_up").otherwise("step_down"), F.col("run.start"), start, F.col("run.z")),
+        tile(F.col("gap_end").isNotNull(), "gap", end, F.col("gap_end"), F.lit(None)),
+        tile(apart >= config.divergence_z, "divergence", start, end, apart),
+        tile(mixed & (start == F.col("quietest")), "baseline", start, end, F.lit(None)),
+    ]
+    return rows.select("group_label", F.inline(F.array_compact(F.array(*tiles)))).select(*TILE)
 
 
 def spikes(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
     hits = score_windows(observed, reference, config, grouped).where("tag is not null")
-    hits = hits.withColumnsRenamed({"window_start": "region_start", "window_end": "region_end"})
-    return hits.select(*_tile(F.col("tag"), F.abs("raw_z")))
+    return hits.select(F.col("tag").alias("shape_tag"), "group_label", F.col("window_start").alias("region_start"), F.col("window_end").alias("region_end"), F.abs("raw_z").alias("magnitude"))
 
 
 def steps(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
     """Runs of consecutive emitted windows that stay beyond the step threshold on one side."""
-    rows = _scored_units(observed, reference, grouped, config.strict_reference).where(usable(F.col("ref_n"), F.col("ref_var")))
-    base = F.coalesce(F.nullif(F.col("ref_mean"), F.lit(0.0)), F.lit(1.0))
-    delta = (F.col("mean") - F.col("ref_mean")) / base
-    rows = rows.withColumn("dir", F.when(delta >= config.step_threshold, 1).when(delta <= -config.step_threshold, -1).otherwise(0))
-    order = Window.partitionBy("unit").orderBy("window_start")
-    changed = F.when(F.col("dir") == F.lag("dir").over(order), 0).otherwise(1)
-    rows = rows.withColumn("_new", changed).withColumn("run", F.sum("_new").over(order)).where("dir <> 0")
-    runs = rows.groupBy("unit", "group_label", "run", "dir").agg(
-        F.min("window_start").alias("region_start"), F.max("window_start").alias("region_end"), F.count("*").alias("n"),
-        F.sum("sum_w").alias("w"), F.sum("sum_w2").alias("w2"), F.sum(F.col("mean") * F.col("sum_w")).alias("wv"),
-        F.first("ref_mean").alias("ref_mean"), F.first("ref_var").alias("ref_var"), F.first("ref_n").alias("ref_n"),
-    ).where(F.col("n") >= config.step_windows)
-    se = F.sqrt(F.col("ref_var") * (1 / kish_n(F.col("w"), F.col("w2")) + 1 / F.col("ref_n")))
-    z = F.when(se > 0, F.abs(F.col("wv") / F.col("w") - F.col("ref_mean")) / se).otherwise(0.0)
-    return runs.select(*_tile(F.when(F.col("dir") > 0, "step_up").otherwise("step_down"), z))
+    return detect(observed, reference, 0, config, grouped).where("shape_tag in ('step_up', 'step_down')")
 
 
 def gaps(observed: DataFrame, reference: DataFrame, window_ms: int, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
     """Holes between consecutive windows of a unit, at least min_gap_ms or two windows wide."""
-    least = config.min_gap_ms or 2 * window_ms
-    rows = _scored_units(observed, reference, grouped, False)
-    following = F.lead("window_start").over(Window.partitionBy("unit").orderBy("window_start"))
-    rows = rows.withColumn("region_end", following).where(F.col("region_end") - F.col("window_end") >= least)
-    return rows.withColumn("region_start", F.col("window_end")).select(*_tile("gap", F.lit(None)))
+    return detect(observed, reference, window_ms, config, grouped).where("shape_tag = 'gap'")
 
 
 def divergences(observed: DataFrame, reference: DataFrame, config: Curation = Curation()) -> DataFrame:
     """Mixed windows of equal start whose means differ unusually."""
-    mixed = lambda df: df.where("group_label is null")
-    other = mixed(reference).select("window_start", F.col("mean").alias("other"))
-    pairs = mixed(observed).join(other, "window_start").withColumn("diff", F.abs(F.col("mean") - F.col("other")))
-    spread = F.broadcast(pairs.agg(F.avg("diff").alias("avg_diff"), F.stddev_pop("diff").alias("std_diff")))  # one row
-    z = (F.col("diff") - F.col("avg_diff")) / F.nullif(F.col("std_diff"), F.lit(0.0))
-    hits = pairs.crossJoin(spread).withColumn("z", z).where(F.col("z") >= config.divergence_z)
-    return hits.withColumnsRenamed({"window_start": "region_start", "window_end": "region_end"}).select(*_tile("divergence", F.col("z")))
+    return detect(observed, reference, 0, config).where("shape_tag = 'divergence'")
 
 
 def quietest(observed: DataFrame, reference: DataFrame) -> DataFrame:
     """The baseline tile there would be: the mixed window nearest the reference mean, valid ones first."""
-    rows = _units(observed).where("group_label is null").join(pool_stats(reference), "unit", "left")
-    order = F.struct((~F.col("valid")).alias("invalid"), F.abs(F.col("mean") - F.col("ref_mean")).alias("off"), F.col("window_start").alias("region_start"))
-    best = rows.agg(F.min_by(F.struct("group_label", F.col("window_start").alias("region_start"), F.col("window_end").alias("region_end")), order).alias("b"))
-    return best.where("b is not null").select("b.*").select(*_tile("baseline", F.lit(None)))
+    return detect(observed, reference, 0).where("shape_tag = 'baseline'")
 
 
 def with_baseline(tiles: DataFrame, candidate: DataFrame) -> DataFrame:
@@ -177,12 +221,12 @@ def curate(observed: DataFrame, reference: DataFrame | None, window_ms: int, con
 
     Without a reference the observation is its own and divergence is not looked for.
     """
-    against = observed if reference is None else reference
-    found = spikes(observed, against, config, grouped).unionByName(steps(observed, against, config, grouped)).unionByName(gaps(observed, against, window_ms, config, grouped))
-    if reference is not None:
-        found = found.unionByName(divergences(observed, against, config))
-    if config.include_baseline:
-        found = with_baseline(found, quietest(observed, against))
+    found = detect(observed, observed if reference is None else reference, window_ms, config, grouped)
+    if reference is None:
+        found = found.where("shape_tag <> 'divergence'")
+    # a baseline tile stays unless another tile starts there
+    others = F.max((F.col("shape_tag") != "baseline").cast("int")).over(Window.partitionBy("region_start"))
+    found = found.withColumn("_others", others).where("shape_tag <> 'baseline' or _others = 0").drop("_others") if config.include_baseline else found.where("shape_tag <> 'baseline'")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv]), F.col("shape_tag"))
     best = found.orderBy(F.coalesce("magnitude", F.lit(0.0)).desc(), rank, "region_start", F.coalesce("group_label", F.lit(MIXED)), "shape_tag").limit(config.max_tiles)
     return best.orderBy("region_start", rank, F.coalesce("group_label", F.lit(MIXED)), "shape_tag")
@@ -208,8 +252,7 @@ def package_header(observed: DataFrame, reference: DataFrame, config: Curation =
         F.col("ref_mean").alias("mean"), F.sqrt("ref_var").alias("std_dev"), usable(F.col("ref_n"), F.col("ref_var")).alias("reference_usable")
     )
     seen = observed.where("group_label is null").agg(F.count("*").alias("window_count"), F.sum("count").alias("event_count"), (F.max("window_end") - F.min("window_start")).alias("span_ms"))
-    family = _scored_units(observed, reference, grouped, config.strict_reference).withColumn("n_eff", kish_n(F.col("sum_w"), F.col("sum_w2")))
-    family = family.where(f"count >= {VALID_COUNT} and n_eff > 0").agg(F.count("*").alias("family_n"))
+    family = frame(observed, reference, config, grouped).agg(F.count_if("scorable").alias("family_n"))
     unscored = unscored_groups(observed, reference).agg(F.count("*").alias("unscored_groups"), F.array_join(F.sort_array(F.collect_list("group_label")), ",").alias("unscored_labels"))
     tails = unreachable_tails(observed, reference, config, grouped).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "unit", "direction"))), ",").alias("unreachable"))
     out = seen.join(mixed, F.lit(True), "left").crossJoin(family).crossJoin(unscored).crossJoin(tails)  # one row each; no reference leaves nulls

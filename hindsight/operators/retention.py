@@ -37,15 +37,20 @@ def thinned(events: DataFrame, retention_ms: int, reference_ms: int, ratio: int)
     task ever orders all aged events. Events without ``seq`` come first, in order of time.
     """
     aged = events.crossJoin(_last(events)).where(F.col("ts_ms") < F.col("_last") - retention_ms).drop("_last")
-    aged = aged.withColumn("_bucket", F.coalesce(F.floor(F.col("seq") / BUCKET_EVENTS), F.lit(-1)))
-    counts = aged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_bucket", before.alias("_before"))
-    numbered = aged.join(offsets, "_bucket").withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_bucket").orderBy("seq", "ts_ms")))
-    kept = numbered.where(F.col("_i") % ratio == 0).drop("_bucket", "_before", "_i").withColumn("weight", F.lit(float(ratio)))
+    kept = numbered(aged).where(F.col("_i") % ratio == 0).drop("_i").withColumn("weight", F.lit(float(ratio)))
     return kept.crossJoin(_last(kept)).where(F.col("ts_ms") >= F.col("_last") - reference_ms).drop("_last")
 
 
+def numbered(events: DataFrame, start: int = 0) -> DataFrame:
+    """``events`` with _i, their number in order of ``seq`` after ``start``; those without ``seq`` come first, in order of time."""
+    events = events.withColumn("_bucket", F.coalesce(F.floor(F.col("seq") / BUCKET_EVENTS), F.lit(-1)))
+    counts = events.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for BUCKET_EVENTS events
+    offsets = counts.select("_bucket", (before + start).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("seq", "ts_ms"))
+    return events.join(offsets, "_bucket").withColumn("_i", F.col("_before") + place).drop("_bucket", "_before")
+
+
 def zones(events: DataFrame, retention_ms: int, reference_ms: int | None = None, ratio: int | None = None) -> DataFrame:
     """What a buffer would hold: the fresh zone and, if configured, the thinned one before it."""
     validate(retention_ms, reference_ms, ratio)
@@ -77,6 +82,7 @@ def replay_spans(events: DataFrame, lens: Lens | dict, observed: tuple[int, int]
 
     On an epoch grid both come from one scan and one aggregation, and are kept: windows are
     few, and all comparisons read them again. A lost part is made again from the events.
+    :func:`release` frees them when the results have been written.
     """
     lens = Lens.of(lens) if isinstance(lens, dict) else lens
     if lens.grid != "epoch" or lens.decay is not None:
@@ -84,7 +90,20 @@ def replay_spans(events: DataFrame, lens: Lens | dict, observed: tuple[int, int]
     events = segment(events, min(observed[0], reference[0]), max(observed[1], reference[1]))
     sides = F.array(*[F.when(F.col("ts_ms").between(*span), F.lit(i)) for i, span in enumerate((observed, reference))])
     both = apply_lens(events.withColumn("side", F.explode(F.array_compact(sides))), lens, by=("side",)).persist()
-    return both.where("side = 0").drop("side"), both.where("side = 1").drop("side")
+    return tuple(keeping(both.where(f"side = {i}").drop("side"), both) for i in (0, 1))
+
+
+def keeping(frame: DataFrame, source: DataFrame) -> DataFrame:
+    """``frame``, remembering which kept windows it is made of."""
+    frame.kept_windows = getattr(source, "kept_windows", source)
+    return frame
+
+
+def release(frame: DataFrame) -> None:
+    """Free the windows that a replay kept, when what is made of them has been written."""
+    kept = getattr(frame, "kept_windows", None)
+    if kept is not None:
+        kept.unpersist()
 
 
 def sizes(events: DataFrame, retention_ms: int, reference_ms: int | None = None, ratio: int | None = None) -> DataFrame:

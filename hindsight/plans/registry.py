@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import LAYERS, validate_observe
+from ..operators.asof import as_of
 
 
 class Scope(NamedTuple):
@@ -42,15 +43,20 @@ class Registry:
     def __init__(self) -> None:
         self._rows: dict[str, dict[str, Any]] = {}
         self._history: list[tuple[int, str, dict[str, Any]]] = []
+        self._times: list[int | None] = []
         self._listeners: list[Callable[[Scope, dict[str, Any]], None]] = []
 
-    def set(self, scope: str, params: dict[str, Any]) -> None:
+    def set(self, scope: str, params: dict[str, Any], at_ms: int | None = None) -> None:
+        """Replace the row of a scope; ``at_ms`` is the stream's time from which it is in force (null: from the beginning)."""
         parsed = parse_scope(scope)
         if parsed.layer == "observe":
             validate_observe(params)
-        kept = copy.deepcopy(params)
+        self._accept(parsed, copy.deepcopy(params), at_ms)
+
+    def _accept(self, parsed: Scope, kept: dict[str, Any], at_ms: int | None) -> None:
         self._rows[str(parsed)] = kept
         self._history.append((len(self._history) + 1, str(parsed), kept))
+        self._times.append(at_ms)
         for listener in list(self._listeners):
             listener(parsed, copy.deepcopy(kept))
 
@@ -73,8 +79,61 @@ class Registry:
         return copy.deepcopy(self._history)
 
     def history(self, spark: SparkSession) -> DataFrame:
-        """seq, scope, params (JSON) of every accepted write."""
-        return spark.createDataFrame([(n, s, json.dumps(p, sort_keys=True)) for n, s, p in self._history], "seq long, scope string, params string")
+        """seq, scope, params (JSON), at_ms of every accepted write."""
+        rows = [(n, s, json.dumps(p, sort_keys=True), t) for (n, s, p), t in zip(self._history, self._times, strict=True)]
+        return spark.createDataFrame(rows, HISTORY)
+
+
+HISTORY = "seq long, scope string, params string, at_ms long"
+
+
+class RegistryLog(Registry):
+    """A registry whose history is an append-only table in a folder that all sessions share.
+
+    A write is a file named by its sequence number, which can be made once only; whoever comes
+    second reads what came first and takes the next number. A new session starts from the
+    table, so it resolves what the last one did. A file that was never finished counts for nothing.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__()
+        self.spark, self.folder, self._last = spark, folder, 0
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        self._path = hadoop.Path
+        self._files = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._files.mkdirs(hadoop.Path(folder))
+        self.refresh()
+
+    def history(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(HISTORY).json(self.folder).where("seq is not null and scope is not null")
+
+    def refresh(self) -> int:
+        """Take in the writes of others since the last look, in order; returns how many."""
+        found = self.history(self.spark).where(F.col("seq") > self._last).orderBy("seq").collect()  # writes of parameters since the last look
+        for row in found:
+            self._last = row["seq"]
+            super()._accept(parse_scope(row["scope"]), json.loads(row["params"]), row["at_ms"])
+        return len(found)
+
+    def _accept(self, parsed: Scope, kept: dict[str, Any], at_ms: int | None) -> None:
+        while True:
+            number = max(self._last, self._taken()) + 1
+            row = {"seq": number, "scope": str(parsed), "params": json.dumps(kept, sort_keys=True), "at_ms": at_ms}
+            try:
+                out = self._files.create(self._path(self.folder, f"{number:012d}.json"), False)
+            except Exception as refused:  # py4j wraps the file system's answer
+                if "AlreadyExists" not in str(refused):
+                    raise
+                continue
+            out.write(bytearray(json.dumps(row).encode()))
+            out.close()
+            break
+        self.refresh()
+
+    def _taken(self) -> int:
+        """The largest number in use, unfinished files too."""
+        names = [f.getPath().getName() for f in self._files.listStatus(self._path(self.folder))]
+        return max((int(n[:12]) for n in names if n[:12].isdigit()), default=0)
 
 
 def resolve(history: DataFrame, looks: DataFrame, field: str) -> DataFrame:
@@ -91,6 +150,24 @@ def resolve(history: DataFrame, looks: DataFrame, field: str) -> DataFrame:
     return looks.alias("l").join(found.alias("f"), same, "left").select("l.schema", "l.view", F.get_json_object("f.params", f"$.{field}").alias(field))
 
 
+def in_force(ticks: DataFrame, history: DataFrame, scopes: tuple[str, ...], name: str = "params") -> DataFrame:
+    """``ticks`` with the JSON row that was in force at ``tick_ts`` for the first of ``scopes`` that had one.
+
+    An as-of join by time, writes of equal time by sequence: a later write changes no earlier tick.
+    """
+    out = ticks
+    timed = history.withColumn("at_ms", F.coalesce("at_ms", F.lit(BEGINNING)))
+    found = [f"_{name}{i}" for i in range(len(scopes))]
+    for column, scope in zip(found, scopes, strict=True):
+        writes = timed.where(F.col("scope") == scope).select("seq", "at_ms", F.col("params").alias(column))
+        out = as_of(out, writes, "tick_ts", "at_ms", (column,), order="seq")
+    return out.withColumn(name, F.coalesce(*[F.col(c) for c in found])).drop(*found)
+
+
+#: Before any event: writes without a time are in force from here on.
+BEGINNING = -(2**53)
+
+
 def bind_window(registry: Registry, apply: Callable[[int], None], schema: str, view: str | None = None) -> Callable[[], None]:
     """Call ``apply(window_ms)`` now and whenever the lens in force changes it."""
     last: list[int | None] = [None]

@@ -23,8 +23,9 @@ SHOWN_WRITES = 20
 def snapshot_frames(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
     """tick_ts, agents and domains (arrays of structs in order of name), touched: one row per tick, those with an empty window too."""
     agents = coverage.agent_stats(tests, tick_ms, window_ms).groupBy("tick_ts").agg(F.sort_array(F.collect_list(F.struct("agent_id", "pass_rate", "flaky_rate", "event_count"))).alias("agents"))
-    domains = coverage.domain_stats(tests, tick_ms, window_ms).groupBy("tick_ts").agg(F.sort_array(F.collect_list(F.struct("domain", "covered_bits", "required_bits", "gap"))).alias("domains"))
-    out = domains.join(agents, "tick_ts", "left").join(coverage.touched_bits(tests, tick_ms, window_ms), "tick_ts")
+    spine = coverage.ticks(tests, tick_ms, window_ms)
+    domains = coverage.domain_stats(tests, tick_ms, window_ms, spine).groupBy("tick_ts").agg(F.sort_array(F.collect_list(F.struct("domain", "covered_bits", "required_bits", "gap"))).alias("domains"))
+    out = domains.join(agents, "tick_ts", "left").join(coverage.touched_bits(tests, tick_ms, window_ms, spine), "tick_ts")
     none = F.array().cast(agents.schema["agents"].dataType)
     return out.select("tick_ts", F.coalesce("agents", none).alias("agents"), "domains", "touched")
 
@@ -47,11 +48,9 @@ def apply_decisions(decisions: DataFrame, registry: Registry, events: DataFrame,
                 done["rejected"] = str(refused)
             else:
                 observed, reference = retention.replay_with_reference(events, lens, row["from_ts"], row["to_ts"])
-                done |= {
-                    "applied": True,
-                    "tiles": curator.curate(observed, reference, Lens.of(lens).output_ms, config, True),
-                    "header": curator.package_header(observed, reference, config, True),
-                }
+                tiles = curator.curate(observed, reference, Lens.of(lens).output_ms, config, True)
+                header = curator.package_header(observed, reference, config, True)
+                done |= {"applied": True, "tiles": retention.keeping(tiles, observed), "header": retention.keeping(header, observed)}
         out.append(done)
     return out
 
@@ -64,6 +63,8 @@ def write_turn(turn: dict[str, Any], folder: str) -> None:
         if done["applied"]:
             named = done["tiles"].withColumn("tick_ts", F.lit(done["decision"]["tick_ts"]))
             named.write.mode("append").json(f"{folder}/tiles")
+            retention.release(done["tiles"])
+    turn["decisions"].unpersist()
 
 
 class Diagnostics:
@@ -99,6 +100,7 @@ class Session:
         self.spark, self.registry, self.tests, self.retention_ms, self.base_rules = spark, registry, tests, retention_ms, rules
         self.resets: list[int] = []
         self.scenario: str | None = None
+        self.now_ms: int | None = None
         self.diagnostics, self.log = Diagnostics(), brain.ShadowLog()
 
     def rules(self) -> Rules:
@@ -117,10 +119,12 @@ class Session:
     def stop(self) -> None:
         self.scenario = None
 
-    def set_baseline_delta(self, value: float) -> None:
+    def set_baseline_delta(self, value: float, at_ms: int | None = None) -> None:
+        """``at_ms``: the time from which it is in force; null, the time after the last tick."""
         if isinstance(value, bool) or not isinstance(value, (int, float)) or not 0 <= value < float("inf"):
             raise ValueError("baseline_delta must be a finite number of 0 or more")
-        self.registry.set(f"schema:{SCHEMA}", {"baseline_delta": value})
+        now = None if self.now_ms is None else self.now_ms + 1
+        self.registry.set(f"schema:{SCHEMA}", {"baseline_delta": value}, now if at_ms is None else at_ms)
 
     def set_coarse_downsample(self, factor: int) -> None:
         """Changes the factor of the coarse lens and nothing else of it."""
@@ -152,12 +156,14 @@ class Session:
         return curator.curate(observed, reference, lens.output_ms, config, bool(lens.group_by)), header
 
     def decide(self, tick_ms: int = 1000, window_ms: int = 5000) -> DataFrame:
+        """Every tick judged by the delta in force at it: a later write changes no earlier decision."""
         tests = self.tests()
-        return brain.decisions(coverage.agent_stats(tests, tick_ms, window_ms), coverage.domain_stats(tests, tick_ms, window_ms), self.rules(), self.resets)
+        agents = brain.with_delta(coverage.agent_stats(tests, tick_ms, window_ms), self.registry.history(self.spark), SCHEMA)
+        return brain.decisions(agents, coverage.domain_stats(tests, tick_ms, window_ms), self.base_rules, self.resets)
 
     def tick(self, now_ms: int, tick_ms: int = 1000, window_ms: int = 5000, shadow: Callable[[], DataFrame] | None = None) -> dict[str, Any]:
         """One turn: frame, decisions taken at ``now_ms`` and what became of them. Frame and packages are tables to write to any sink."""
-        tests = self.tests()
+        self.now_ms, tests = now_ms, self.tests()
         frame = snapshot_frames(tests, tick_ms, window_ms).where(F.col("tick_ts") == now_ms)
         taken = self.decide(tick_ms, window_ms).where(F.col("tick_ts") == now_ms).persist()
         self.log.run(taken, shadow or (lambda: taken.limit(0)))
