@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from . import oracle
 from .functions.stats import family_alpha, kish_n, norm_cdf, norm_ppf, sidak_z
 from .model import Curation, Lens
-from .operators import brain, calibration, coverage, curator, retention
+from .operators import brain, calibration, coverage, curator, retention, vectors
 from .operators.lens import apply_lens
 from .oracle import ALERT_WINDOW, DAY, END, HOUR, MID, RESETS, TICK, WINDOW
 from .plans.registry import Registry, resolve
 from .sources import events as source
 from .sources import fixtures
-from .streaming import session, views
+from .sources.storage import shared_folder
+from .streaming import rules, session, summary, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 DIGITS = 4
@@ -29,11 +30,15 @@ PLAIN = Lens(window_ms=DAY, origin=0)
 SENSITIVE = Curation(spike_z=0.8, step_threshold=0.02, step_windows=2, divergence_z=0.5)
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
+#: Means of sums that merge in another order than the SQL's, short enough in any case not to end in 5 there.
+MERGED_DIGITS = 10
+
+
+def rounded(df: DataFrame, *names: str, mean_digits: int = MEAN_DIGITS) -> DataFrame:
     """Doubles rounded for comparison across engines."""
     wanted = names or df.columns
     kinds = dict(df.dtypes)
-    digits = lambda c: MEAN_DIGITS if c == "mean" and "sum_sq" in wanted else DIGITS
+    digits = lambda c: mean_digits if c == "mean" and "sum_sq" in wanted else DIGITS
     return df.select(*[F.round(c, digits(c)).alias(c) if kinds[c] == "double" else F.col(c) for c in wanted])
 
 
@@ -157,6 +162,59 @@ def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source", "type").agg(F.count("*").alias("n"))
 
 
+def _deltas(spark: SparkSession) -> DataFrame:
+    """The registry's history after the writes of the delta."""
+    registry = Registry()
+    for scope, row, at_ms in oracle.DELTAS:
+        registry.set(scope, row, at_ms)
+    return registry.history(spark)
+
+
+def _delta_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brain.regressions(brain.with_delta(_agents(spark, sf_dir), _deltas(spark), session.SCHEMA))
+
+
+def _stream(spark: SparkSession, sf_dir: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The events table as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    return extract(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a pattern: one file or a folder of them
+
+
+def _stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of a stream over the whole table, run until the table has been seen."""
+    at = shared_folder(spark, "stream-decisions")
+    ticks = rules.tick_stream(_stream(spark, sf_dir, source.test_events), TICK, WINDOW, f"{HOUR} milliseconds")
+    decisions = rules.agent_decisions(ticks, deltas=rules.deltas_of(_deltas(spark), session.SCHEMA))
+    rules.start_decisions(decisions, rules.decisions_sink(f"{at}/found"), f"{at}/state", availableNow=True).awaitTermination()
+    return spark.read.schema(rules.DECISION).json(f"{at}/found").select("tick_ts", "type", "subject")
+
+
+def _stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a stream whose events come in any order, corrected as they come."""
+    at = shared_folder(spark, "stream-windows")
+    table = summary.CorrectedTable(spark, f"{at}/windows", GROUPED)
+    table.start(_stream(spark, sf_dir, source.lens_events), 400 * DAY, f"{at}/state", availableNow=True).awaitTermination()
+    return rounded(table.windows(), *WINDOW_COLUMNS, mean_digits=MERGED_DIGITS)
+
+
+def _from_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A replay answered from window statistics that two batches left, raw events only at its ends."""
+    store = summary.SummaryStore(spark, shared_folder(spark, "summary"), HOUR, 6, ("event_type", "bucket"))
+    store.add(_events(spark, sf_dir, to_ms=MID - 1), 0)
+    store.add(_events(spark, sf_dir, from_ms=MID), 1)
+    return rounded(store.replay(lambda a, b: _events(spark, sf_dir, a, b), GROUPED, *oracle.SPAN), *WINDOW_COLUMNS, mean_digits=MERGED_DIGITS)
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test events whose weight is a mutation score."""
+    return _tests(spark, sf_dir).withColumn("weight", F.pmod(F.col("seq") * 13, F.lit(101)) / 100)
+
+
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dictionary = spark.createDataFrame(oracle.TAGS, "version string, since_ms long, tag string, lo int, hi int")
+    return vectors.tag_rollup(vectors.in_dictionary(_tests(spark, sf_dir), dictionary))
+
+
 def queries() -> dict[str, Query]:
     """Name to query; each takes (spark, sf_dir)."""
     return {
@@ -211,6 +269,18 @@ def queries() -> dict[str, Query]:
         "brain_decisions": lambda s, d: brain.decisions(_agents(s, d), coverage.domain_stats(_tests(s, d), TICK, ALERT_WINDOW)).select("tick_ts", "type", "subject"),
         "brain_reset": lambda s, d: brain._reroutes(brain.judged(_agents(s, d), resets=RESETS)),
         "brain_shadow": _shadow,
+        "brain_delta_as_of": _delta_as_of,
+        "agent_blindness": lambda s, d: brain.blindness(coverage.agent_stats(_tests(s, d), HOUR, HOUR), HOUR),
+        "stream_decisions": _stream_decisions,
+        "stream_corrected_windows": _stream_windows,
+        "replay_from_summary": _from_summary,
+        "coverage_cumulative": lambda s, d: vectors.cumulative_coverage(_tests(s, d), TICK),
+        "coverage_weights": lambda s, d: vectors.weight_vectors(_scored(s, d), DAY),
+        "coverage_contributions": lambda s, d: vectors.contributions(_scored(s, d)),
+        "coverage_delta_24h": lambda s, d: vectors.coverage_deltas(_tests(s, d)),
+        "flaky_quarantine": lambda s, d: rounded(vectors.quarantines(_tests(s, d))),
+        "agent_regressions_7d": lambda s, d: rounded(vectors.regressions(_tests(s, d))),
+        "tag_rollup": _tags,
         "late_arrival_equivalence": _late,
         "registry_resolution": _registry,
         "calibration_false_alarm": lambda s, d: calibration.alarm_rate(fixtures.trials(s, 500)),

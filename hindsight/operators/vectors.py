@@ -44,7 +44,11 @@ def _size(words: list[Column]) -> Column:
 
 def positions(words: list[Column]) -> Column:
     """The set bits in order, joined by commas."""
-    places = [F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b, w=w: F.getbit(w, b) == 1), lambda b, i=i: b + 64 * i) for i, w in enumerate(words)]
+
+    def of(i: int, word: Column) -> Column:
+        return F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda b: F.getbit(word, b) == 1), lambda b: b + 64 * i)
+
+    places = [of(i, w) for i, w in enumerate(words)]
     return F.array_join(F.concat(*places).cast("array<string>"), ",")
 
 

@@ -11,6 +11,15 @@ TICK, WINDOW = 6 * HOUR, DAY
 ALERT_WINDOW = 9 * HOUR
 RESETS = (MID - 5 * DAY, MID + 4 * DAY)
 WRITES = (("observe:*", 1000), ("observe:a", 2000), ("observe:a#fine", 250), ("observe:b#fine", 500), ("observe:a", 3000))
+#: Writes of the delta: scope, row and the time from which it is in force.
+DELTAS = (("schema:*", {"baseline_delta": 0.05}, None), ("schema:test_result:v1", {"baseline_delta": 0.02}, MID), ("schema:test_result:v1", {"note": "default"}, MID + 5 * DAY), ("schema:test_result:v1", {"baseline_delta": 0.2}, MID + 9 * DAY))
+SPAN = (MID + 5_400_000, END - 6_000_000)
+#: Versions of an area dictionary: version, since, tag, first and last bit.
+TAGS = (
+    ("v1", 0, "auth.login", 0, 15), ("v1", 0, "auth.session", 16, 31), ("v1", 0, "payment", 32, 63), ("v1", 0, "ui", 64, 127),
+    ("v2", MID, "auth.login", 0, 23), ("v2", MID, "payment.charge.card", 32, 47), ("v2", MID, "payment.refund", 44, 63), ("v2", MID, "ui.forms", 64, 127), ("v2", MID, "db.users", 128, 200),
+    ("v3", MID + 7 * DAY, "core", 0, 255),
+)
 LOOKUPS = (("a", "fine"), ("a", "coarse"), ("a", None), ("b", "fine"), ("b", None), ("c", "fine"))
 
 E = "SELECT (epoch_us(ts) // 1000) AS ts_ms, value, event_type, (user_id % 4)::VARCHAR AS bucket, 1.0::DOUBLE AS weight, event_id AS seq FROM events"
@@ -36,8 +45,8 @@ def windows(source: str, w: int, label: str | None = None, origin: str = "0", wh
     FROM (SELECT *, {grid('ts_ms', w, origin)} AS window_start, {label or 'NULL'} AS label FROM ({source}) s WHERE {where}) GROUP BY {sets}"""
 
 
-def shown(windows_sql: str) -> str:
-    return f"""SELECT group_label, window_start, window_end, count, round(mean, 7) AS mean, round(sum_sq, 4) AS sum_sq, round(sum_w, 4) AS sum_w,
+def shown(windows_sql: str, digits: int = 7) -> str:
+    return f"""SELECT group_label, window_start, window_end, count, round(mean, {digits}) AS mean, round(sum_sq, 4) AS sum_sq, round(sum_w, 4) AS sum_w,
       round(min_v, 4) AS min_v, round(max_v, 4) AS max_v, valid FROM ({windows_sql})"""
 
 
@@ -108,8 +117,9 @@ def domains_at(window: int) -> str:
     FROM ({bits_at(window)}), {DICTIONARY} GROUP BY tick_ts, dict.domain, required"""
 
 
-def fold(delta: float = 0.10, resets: tuple[int, ...] = ()) -> str:
-    """Recursive CTE f: the rule state after every tick of an agent."""
+def fold(delta: float | str = 0.10, resets: tuple[int, ...] = ()) -> str:
+    """Recursive CTE f: the rule state after every tick of an agent. ``delta`` may be an expression of {ts}, the tick's time."""
+    delta_at = lambda ts: str(delta).replace("{ts}", ts)
     fresh = " OR ".join(f"(coalesce(f.tick_ts, 0) <= {r} AND a.tick_ts > {r})" for r in resets) or "FALSE"
     old = lambda name, reset: f"CASE WHEN {fresh} THEN {reset} ELSE f.{name} END AS {name}"
     kept = ", ".join(old(n, r) for n, r in (("low", "0"), ("rer", "FALSE"), ("dips", "0"), ("act", "FALSE"), ("since", "NULL"), ("replayed", "FALSE")))
@@ -131,10 +141,10 @@ def fold(delta: float = 0.10, resets: tuple[int, ...] = ()) -> str:
         replayed OR (th IS NOT NULL AND NOT {below} AND act),
         th IS NOT NULL AND NOT {below} AND act AND NOT replayed,
         CASE WHEN th IS NOT NULL AND NOT {below} AND act AND NOT replayed THEN coalesce(since, tick_ts) END
-      FROM (SELECT *, CASE WHEN n >= 10 THEN greatest(b - {delta}, 0) END AS th FROM (
+      FROM (SELECT *, CASE WHEN n >= 10 THEN greatest(b - {delta_at('tick_ts')}, 0) END AS th FROM (
         SELECT a.agent_id, a.i, a.tick_ts, a.pass_rate, {kept},
           f.n + (a.event_count >= 3)::INT AS n,
-          CASE WHEN a.event_count < 3 THEN f.b WHEN f.b IS NULL THEN a.pass_rate WHEN f.n < 10 OR a.pass_rate >= f.b - {delta} THEN 0.05 * a.pass_rate + 0.95 * f.b ELSE f.b END AS b
+          CASE WHEN a.event_count < 3 THEN f.b WHEN f.b IS NULL THEN a.pass_rate WHEN f.n < 10 OR a.pass_rate >= f.b - {delta_at('a.tick_ts')} THEN 0.05 * a.pass_rate + 0.95 * f.b ELSE f.b END AS b
         FROM f JOIN a ON a.agent_id = f.agent_id AND a.i = f.i + 1))
     )"""
 
@@ -152,6 +162,65 @@ def trial_sql(burst: str, shown: str = "") -> str:
     {shown or rate}"""
 
 
+DELTA_AT = f"(CASE WHEN {{ts}} < {MID} THEN 0.05 WHEN {{ts}} < {MID + 5 * DAY} THEN 0.02 WHEN {{ts}} < {MID + 9 * DAY} THEN 0.10 ELSE 0.2 END)"
+SLOT = "(ceil(ts_ms / {0}.0) * {0})::BIGINT"
+
+
+def rolling(key: str, result: str, slot: int, window: int) -> str:
+    """Rate of a result over the slots of the last window, at every slot of a key."""
+    frame = f"(PARTITION BY key ORDER BY tick_ts RANGE BETWEEN {window - slot} PRECEDING AND CURRENT ROW)"
+    return f"""SELECT tick_ts, key, sum(n) OVER w AS n, sum(hits) OVER w AS hits, sum(hits) OVER w / sum(n) OVER w AS rate
+      FROM (SELECT {SLOT.format(slot)} AS tick_ts, {key} AS key, count(*) AS n, sum((result = '{result}')::INT) AS hits FROM (SELECT *, agent_id || '::test_' || lpad((seq % 50)::VARCHAR, 3, '0') AS test_id FROM ({T})) GROUP BY 1, 2)
+      WINDOW w AS {frame}"""
+
+
+def risen(rates: str, above: float, kind: str) -> str:
+    return f"""SELECT tick_ts, '{kind}' AS type, key AS subject, round(rate, 4) AS rate FROM (SELECT *, rate > {above} AS bad, lag(rate > {above}, 1, FALSE) OVER (PARTITION BY key ORDER BY tick_ts) AS was FROM ({rates})) WHERE bad AND NOT was"""
+
+
+def vectors() -> dict[str, str]:
+    """Coverage as vectors, rolling rules and the versioned dictionary."""
+    passing = f"SELECT *, unnest(areas) AS bit FROM ({T}) WHERE result = 'pass'"
+    target = "bit BETWEEN 0 AND 31 OR bit BETWEEN 32 AND 63 OR bit BETWEEN 64 AND 111 OR bit BETWEEN 128 AND 159"
+    day = f"(SELECT DISTINCT {SLOT.format(HOUR)} AS tick_ts FROM ({T}))"
+    recent = lambda a, b: f"count(DISTINCT bit) FILTER (slot > tick_ts - {a} AND slot <= tick_ts - {b} AND bit BETWEEN lo AND hi)"
+    dictionary = ", ".join(f"('{v}', {since}, '{tag}', {lo}, {hi})" for v, since, tag, lo, hi in TAGS)
+    return {
+        "coverage_cumulative": f"""WITH first AS (SELECT bit, min({SLOT.format(TICK)}) AS seen FROM ({passing}) GROUP BY 1),
+          grid AS (SELECT tick_ts, bit, coalesce(seen <= tick_ts, FALSE) AS have, {target} AS want FROM (SELECT DISTINCT {SLOT.format(TICK)} AS tick_ts FROM ({T})), (SELECT unnest(range(256)) AS bit) b LEFT JOIN first USING (bit))
+          SELECT tick_ts, count(*) FILTER (have) AS covered, count(*) FILTER (want AND NOT have) AS missing, count(*) FILTER (have AND NOT want) AS beyond,
+            coalesce(string_agg(bit::VARCHAR, ',' ORDER BY bit) FILTER (want <> have), '') AS gap_vec FROM grid GROUP BY 1""",
+        "coverage_weights": f"""SELECT (ts_ms // {DAY}) * {DAY} AS window_start, bit, bool_or(result = 'pass') AS covered, max((seq * 13) % 101 / 100.0)::DOUBLE AS weight, count(*) AS tests
+          FROM (SELECT *, unnest(areas) AS bit FROM ({T})) GROUP BY 1, 2""",
+        "coverage_contributions": f"""WITH p AS ({passing}), f AS (SELECT bit, min_by(commit_hash, (ts_ms, seq)) AS commit_hash FROM p GROUP BY 1)
+          SELECT commit_hash, count(DISTINCT bit) AS new_bits, max((seq * 13) % 101 / 100.0)::DOUBLE AS new_weight FROM f JOIN p USING (bit, commit_hash) GROUP BY 1""",
+        "coverage_delta_24h": f"""SELECT tick_ts, domain, {recent(DAY, 0)} AS covered, ({recent(DAY, 0)} - {recent(2 * DAY, DAY)})::BIGINT AS delta
+          FROM {day} t JOIN (SELECT {SLOT.format(HOUR)} AS slot, bit FROM ({passing}) UNION ALL SELECT {SLOT.format(HOUR)}, NULL FROM ({T})) e ON slot <= tick_ts AND slot > tick_ts - {2 * DAY}, {DICTIONARY} GROUP BY tick_ts, domain""",
+        "flaky_quarantine": risen(rolling("test_id", "flaky", 60_000, HOUR), 0.30, "quarantineApprove"),
+        "agent_regressions_7d": risen(rolling("agent_id", "fail", HOUR, 7 * DAY), 0.15, "rerouteSchema"),
+        "tag_rollup": f"""WITH d(version, since, tag, lo, hi) AS (VALUES {dictionary}), v AS (SELECT DISTINCT version, since FROM d),
+          e AS (SELECT t.*, (SELECT max_by(version, since) FROM v WHERE since <= ts_ms) AS version FROM ({T}) t),
+          hit AS (SELECT DISTINCT seq, result, e.version, unnest(list_transform(range(1, len(string_split(tag, '.')) + 1), lambda n: array_to_string(string_split(tag, '.')[1:n], '.'))) AS tag
+            FROM (SELECT *, unnest(areas) AS bit FROM e) e JOIN d ON d.version = e.version AND bit BETWEEN lo AND hi)
+          SELECT version, tag, count(*) AS events, sum((result = 'pass')::INT)::BIGINT AS passes FROM hit GROUP BY 1, 2""",
+    }
+
+
+def streams() -> dict[str, str]:
+    """What streams over the table end with; their last ticks wait for the watermark."""
+    until = f"(SELECT max(ts_ms) FROM ({T})) - {HOUR}"
+    ticks = f"SELECT DISTINCT agent_id, unnest(generate_series((ceil(ts_ms / {float(HOUR)}) * {HOUR})::BIGINT, (ts_ms + {HOUR}) // {HOUR} * {HOUR}, {HOUR})) AS tick_ts FROM ({T})"
+    silent = lambda end: f"""SELECT tick_ts + {HOUR} AS tick_ts, 'blind' AS type, agent_id AS subject FROM (SELECT *, lead(tick_ts, 1, {end} + 1) OVER (PARTITION BY agent_id ORDER BY tick_ts) AS nx FROM ({{0}}))
+      WHERE tick_ts + {HOUR} < nx AND tick_ts + {HOUR} <= {end}"""
+    return {
+        "agent_blindness": silent("(SELECT max(tick_ts) FROM t)").format("SELECT * FROM t").join((f"WITH t AS ({ticks}) ", "")),
+        "stream_decisions": f"""{fold(DELTA_AT)} SELECT * FROM (SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar UNION ALL SELECT tick_ts, 'replayRequest', agent_id FROM f WHERE rc) WHERE tick_ts < {until}""",
+        "stream_corrected_windows": shown(windows(E, DAY, "event_type"), 10) + " WHERE group_label IS NOT NULL",
+        "replay_from_summary": shown(windows(E, DAY, "event_type", where=f"ts_ms BETWEEN {SPAN[0]} AND {SPAN[1]}"), 10),
+        "brain_delta_as_of": f"{fold(DELTA_AT)} SELECT tick_ts, 'rerouteSchema' AS type, agent_id AS subject FROM f WHERE ar",
+    }
+
+
 def queries() -> dict[str, str]:
     by_type, by_two = "event_type", "event_type || '|' || bucket"
     spans = (END - DAY - 1) // DAY * DAY
@@ -172,7 +241,7 @@ def queries() -> dict[str, str]:
     looks = ", ".join(f"('{s}', {'NULL' if v is None else repr(v)})" for s, v in LOOKUPS)
     writes = ", ".join(f"({i}, '{s}', {w})" for i, (s, w) in enumerate(WRITES))
     row = lambda scope: f"(SELECT max_by(w, i) FROM writes WHERE s = {scope})"
-    return {
+    return vectors() | streams() | {
         "lens_tumbling": shown(windows(E, DAY)),
         "lens_epoch_origin": shown(windows(E, 6 * HOUR, origin=str(3 * HOUR))),
         "lens_first_event": shown(windows(E, DAY, origin="(SELECT min((epoch_us(ts) // 1000)) FROM events)")),
