@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..model import Curation, Lens
 from ..operators import curator, retention
@@ -66,16 +66,24 @@ class LiveSession:
         """The table from a bucket on, with ``bucket``: batches compacted into another are passed over."""
         paths = []
         for bucket in (b for b in self._buckets() if from_bucket is None or b >= from_bucket):
-            names = self.files.names(f"bucket={bucket}")
-            done = max((n for n in names if n.startswith("all=") and f"{n}.done" in names), key=lambda n: int(n[4:]), default=None)
-            upto = -1 if done is None else int(done[4:])
-            batches = [n for n in names if n.startswith("batch=") and int(n[6:]) > upto and int(n[6:]) != without_batch]
-            paths += [f"{self.table_dir}/bucket={bucket}/{n}" for n in ([done] if done else []) + batches]
-        schema = self._columns or (self.spark.read.parquet(paths[0]).schema if paths else None)
-        if schema is None:
-            raise ValueError("the table holds no events yet")
-        rows = read_table(self.spark, paths, schema)
-        return rows.withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
+            batches, upto = self._batches(bucket)
+            paths += [f"{self.table_dir}/bucket={bucket}/batch={n}" for n in batches if n != without_batch]
+        if not paths:
+            if self._columns is None:
+                raise ValueError("the table holds no events yet")
+            return self.spark.createDataFrame([], self._columns).withColumn("bucket", F.lit(None).cast("long"))
+        reader = self.spark.read.option("basePath", self.table_dir)
+        if self._columns is not None:
+            reader = reader.schema(StructType([*self._columns.fields, StructField("bucket", LongType()), StructField("batch", LongType())]))
+        rows = reader.parquet(*paths).drop("batch")
+        return rows if from_bucket is None else rows.where(F.col("bucket") >= from_bucket)
+
+    def _batches(self, bucket: int) -> tuple[list[int], int]:
+        """The batches of a bucket that count, and up to which they are one: batches up to n, compacted, are batch -n - 1 once that is marked done."""
+        names = self.files.names(f"bucket={bucket}")
+        upto = max((int(n[6:].split(".")[0]) for n in names if n.startswith("_done-")), default=-1)
+        found = [int(n[6:]) for n in names if n.startswith("batch=")]
+        return sorted(n for n in found if n > upto or n == -upto - 1 and upto >= 0), upto
 
     def _newest(self) -> int | None:
         """The last event's time; a new session over an old table looks once."""
@@ -115,14 +123,13 @@ class LiveSession:
         """Write buckets of many batches anew as one, which counts as soon as it is marked done; returns them."""
         out = []
         for bucket in self._buckets():
-            names = self.files.names(f"bucket={bucket}")
-            batches = [n for n in names if n.startswith("batch=")]
+            batches, upto = self._batches(bucket)
             if len(batches) > above:
-                newest = max(int(n[6:]) for n in batches)
+                newest = max(batches)
                 whole = self._table(bucket).where(F.col("bucket") == bucket).drop("bucket")
-                whole.coalesce(1).write.mode("overwrite").parquet(f"{self.table_dir}/bucket={bucket}/all={newest}")
-                self.files.write(f"bucket={bucket}/all={newest}.done", {"upto": newest})
-                for name in [*batches, *[n for n in names if n.startswith("all=")]]:
+                whole.coalesce(1).write.mode("overwrite").parquet(f"{self.table_dir}/bucket={bucket}/batch={-newest - 1}")
+                self.files.write(f"bucket={bucket}/_done-{newest}.json", {"upto": newest})
+                for name in [*[f"batch={n}" for n in batches], *([f"_done-{upto}.json"] if upto >= 0 else [])]:
                     self.files.delete(f"bucket={bucket}/{name}")
                 out.append(bucket)
         return out
@@ -145,7 +152,7 @@ class LiveSession:
         self.compact()
 
     def start(self, stream: DataFrame, sink: Callable[[DataFrame], None], checkpoint_dir: str, spans: int = 3, **trigger: Any) -> StreamingQuery:
-        """Run until stopped, or with ``availableNow=True`` until what is there has been seen."""
+        """Run until what is there has been seen, or, with another trigger (``processingTime="1 second"``), until stopped."""
 
         def on_batch(batch: DataFrame, number: int) -> None:
             self.take(batch, number)
@@ -158,7 +165,7 @@ class LiveSession:
                 retention.release(tiles)
 
         query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint_dir)
-        return query.trigger(**(trigger or {"processingTime": "1 second"})).start()
+        return query.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def windowed_counts(stream: DataFrame, window: str, watermark: str, by: tuple[str, ...] = ()) -> DataFrame:

@@ -73,5 +73,5 @@ class ReferenceZone:
         """The zone: kept events within the reference width of the newest kept one."""
         newest = self._counter()["kept"]
         paths = [f"{self.folder}/{n}" for n in self.files.names() if n.startswith("batch=") and any(b.startswith("bucket=") for b in self.files.names(n))]
-        rows = read_table(self.spark, paths, self.schema)
+        rows = read_table(self.spark, paths, self.schema).drop("bucket")
         return rows if newest is None else rows.where(F.col("ts_ms") >= newest - self.reference_ms)
