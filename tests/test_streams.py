@@ -95,3 +95,125 @@ def test_registry_log(spark, tmp_path):
     three.set("observe:*", {"window_ms": 9})
     assert RegistryLog(spark, folder).get_observe("b") == {"window_ms": 9}
     assert [r.at_ms for r in three.history(spark).orderBy("seq").collect()] == [None, 7, None, None]
+
+
+def plain_rows(frame):
+    """Rows in order of what is exact in them; doubles compare with a tolerance, as sums merge in any order."""
+    exact = lambda r: tuple(x for x in r if not isinstance(x, float))
+    return [tuple(pytest.approx(x, rel=1e-9) if isinstance(x, float) else x for x in r) for r in sorted(map(tuple, frame.collect()), key=lambda r: repr(exact(r)))]
+
+
+def bare(frame):
+    return [tuple(x.expected if hasattr(x, "expected") else x for x in r) for r in plain_rows(frame)]
+
+
+def test_summary_store_answers_without_the_raw_middle(spark, sf_dir, tmp_path):
+    import shutil
+
+    from hindsight.model import Lens
+    from hindsight.operators.lens import apply_lens
+    from hindsight.streaming.summary import SummaryStore
+
+    events = source.lens_events(source.read_events(spark, sf_dir)).withColumn("day", F.floor(F.col("ts_ms") / DAY)).cache()
+    events.repartition("day").write.partitionBy("day").parquet(str(tmp_path / "raw"))
+    first = events.agg(F.min("day")).first()[0]
+    a, b = first * DAY + 5 * HOUR + 7, (first + 20) * DAY + 1234
+    lenses = [
+        Lens(window_ms=DAY, origin=0, group_by=("bucket",)), Lens(window_ms=6 * HOUR, origin=3 * HOUR), Lens(window_ms=HOUR, origin=0, downsample_factor=8, group_by=("bucket", "event_type")),
+        Lens(window_ms=DAY), Lens(window_ms=DAY, origin=0, group_by=("absent",)),
+    ]
+    want = [plain_rows(apply_lens(events.where(f"ts_ms between {a} and {b}"), x)) for x in lenses]
+    store = SummaryStore(spark, str(tmp_path / "store"), HOUR, 6, ("event_type", "bucket"))
+    for n in range(3):
+        store.add(events.where(f"pmod(hash(seq), 3) = {n}"), n)
+    store.add(events.where("pmod(hash(seq), 3) = 2"), 2)  # tried again
+    read = lambda x, y: spark.read.parquet(str(tmp_path / "raw")).where(f"day between {x // DAY} and {y // DAY} and ts_ms between {x} and {y}")
+    assert [bare(store.replay(read, x, a, b)) for x in lenses] == want
+    assert [store.level_of(x) for x in lenses] == [3, 0, 3, None, None]
+    store.compact()
+    store.add(events.limit(0), 3)
+    for day in range(first + 2, first + 19):
+        shutil.rmtree(tmp_path / "raw" / f"day={day}")  # no raw event of the middle is left
+    assert [bare(store.replay(read, x, a, b)) for x in lenses[:3]] == want[:3]
+    assert bare(store.replay(read, lenses[0], a, a + HOUR)) == plain_rows(apply_lens(events.where(f"ts_ms between {a} and {a + HOUR}"), lenses[0]))
+
+
+def test_late_events_correct_their_windows(spark, sf_dir, tmp_path):
+    from hindsight.model import Lens
+    from hindsight.operators.lens import apply_lens
+    from hindsight.streaming.summary import CorrectedTable
+
+    lens = Lens(window_ms=6 * HOUR, origin=HOUR, group_by=("event_type",))
+    events = source.lens_events(source.read_events(spark, sf_dir))
+    late = events.withColumn("arrival", F.col("ts_ms") + F.when(F.col("seq") % 5 == 0, 9 * DAY).otherwise(0))
+    ends = late.agg(F.min("arrival"), F.max("arrival")).first()
+    table = CorrectedTable(spark, str(tmp_path / "out"), lens)
+    for i in range(3):
+        step = (ends[1] - ends[0]) // 3 + 1
+        feed(late, tmp_path / "in", str(i), ends[0] + i * step, ends[0] + (i + 1) * step)
+        stream = spark.readStream.schema(late.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        table.start(stream, 10 * DAY, str(tmp_path / "state"), availableNow=True).awaitTermination()
+    want = apply_lens(events, lens).where("group_label is not null").select(*[c for c in table.windows().columns])
+    assert bare(table.windows()) == plain_rows(want)
+    with pytest.raises(ValueError):
+        table.lens = Lens(window_ms=1000)
+        table.start(stream, 1, str(tmp_path / "other"))
+
+
+def live_events(spark, rows):
+    return spark.createDataFrame([(ts, float(seq % 3), {"k": "a"}, 1.0, seq) for seq, ts in enumerate(rows)], "ts_ms long, value double, keys map<string,string>, weight double, seq long")
+
+
+def test_live_table_thins_like_the_batch(spark, tmp_path):
+    from hindsight.operators import retention
+    from hindsight.plans.registry import Registry
+    from hindsight.streaming.live import BUCKET_MS, LiveSession
+
+    rows = live_events(spark, [i * BUCKET_MS // 25 for i in range(400)]).cache()
+    registry = Registry()
+    registry.set("pipeline:*", {"retention_window_ms": 3 * BUCKET_MS})
+    folder = str(tmp_path / "table")
+    cuts = [0, 30, 31, 120, 200, 201, 330, 400]
+    session = LiveSession(spark, registry, folder, reference=(6 * BUCKET_MS, 4))
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        session.take(rows.where(f"seq >= {a} and seq < {b}"), n)
+        if n == 3:
+            session.take(rows.where(f"seq >= {a} and seq < {b}"), n)  # tried again
+        if n == 4:  # another session goes on
+            session = LiveSession(spark, registry, folder, reference=(6 * BUCKET_MS, 4))
+        want = retention.zones(rows.where(f"seq < {b}"), 3 * BUCKET_MS, 6 * BUCKET_MS, 4)
+        if session._columns is not None:
+            assert bare(session.both_zones().select("seq", "ts_ms", "weight")) == plain_rows(want.select("seq", "ts_ms", "weight")), n
+    assert min(session._buckets()) >= 12 and session.zone()._counter()["aged"] == 400 - 76
+
+
+def test_live_table_compacts(spark, tmp_path):
+    from hindsight.plans.registry import Registry
+    from hindsight.streaming.live import LiveSession
+
+    rows = live_events(spark, [i * 1000 for i in range(60)])
+    session = LiveSession(spark, Registry(), str(tmp_path / "table"))
+    for n in range(6):
+        session.take(rows.where(f"seq % 6 = {n}"), n)
+    assert session._batches(0) == ([0, 1, 2, 3, 4, 5], -1) and session.compact(above=3) == [0] and session._batches(0) == ([-6], 5)
+    session.take(rows.where("seq = 0"), 6)
+    assert session.retained().count() == 61 and session.compact(above=1) == [0] and session._batches(0) == ([-7], 6)
+    again = LiveSession(spark, Registry(), str(tmp_path / "table"))
+    assert again.retained().count() == 61 and again._newest() == 59_000
+
+
+def test_sketches_merge(spark, sf_dir):
+    from hindsight.model import Lens
+    from hindsight.operators import sketches
+
+    events = source.lens_events(source.read_events(spark, sf_dir))
+    fine = sketches.window_sketches(events, Lens(window_ms=HOUR, origin=0, group_by=("event_type",)))
+    coarse = sketches.quantiles(sketches.merged(fine, "group_label")).collect()
+    values = events.select(F.element_at("keys", "event_type").alias("k"), "value").toPandas()
+    for row in coarse:
+        mine = values[values.k == row.group_label].value
+        assert row["count"] == len(mine)
+        for q in (50, 90, 99):
+            assert abs((mine <= row[f"q{q}"]).mean() - q / 100) < 0.02
+    with pytest.raises(ValueError):
+        sketches.window_sketches(events, Lens(window_ms=HOUR))
