@@ -102,7 +102,8 @@ class Bands:
 def segment_keys(h: np.ndarray, band: int, segments: int, used: int, around: int) -> tuple[np.ndarray, int]:
     """Keys of a set (sorted distinct hashes) in one band: of the first ``used`` segments, then the variants of the first ``around``; and the number of variants.
 
-    The low bits of a key are its segment's number; keys that collide bring candidates too many and none too few.
+    The low bits of a variant's key are its segment's number, which fits: texts of a string's greatest length have no 2^20
+    segments with neighbourhoods. Keys that collide bring candidates too many and none too few.
     """
     seg = ((h >> np.uint64(32)) % np.uint64(segments)).astype(np.uint16 if segments < 65536 else np.int64)
     mixed, counts = mix64(h)[np.argsort(seg, kind="stable")], np.bincount(seg, minlength=segments)[:used]
@@ -202,11 +203,13 @@ def allocate(indexed: DataFrame) -> tuple[DataFrame, DataFrame]:
         begin, used, variants, around, spare = begins[band], *[F.col(f"{band}_{what}") for what in ("used", "variants", "around", "spare")]
 
         def lost(level: int) -> Column:
-            def gone(lo: Column, hi: Column) -> Column:
+            def gone(lo: Column, hi: Column, segment: Callable[[Column], Column]) -> Column:
                 found = F.filter("dear", lambda k: (k["sets"] > level) & (k["at"] >= lo) & (k["at"] < hi))
-                return F.array_distinct(F.transform(found, lambda k: k["key"].bitwiseAND(int(_SEGMENT_MASK))))
+                return F.array_distinct(F.transform(found, segment))
 
-            exact, near = gone(begin, begin + used), gone(begin + used, begin + used + variants)
+            # an exact key's place is its segment; those with neighbourhoods are the first fiftieth, so their numbers fit the bits
+            exact = gone(begin, begin + used, lambda k: (k["at"] - begin).cast("long"))
+            near = gone(begin + used, begin + used + variants, lambda k: k["key"].bitwiseAND(int(_SEGMENT_MASK)))
             return F.size(exact) + F.size(F.filter(exact, lambda s: s < around)) + F.size(F.array_except(near, exact))
 
         out = F.lit(LEVELS[-1])

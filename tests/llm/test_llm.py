@@ -456,6 +456,14 @@ def test_embeddings_of_the_table(spark, monkeypatch):
     assert np.mean([got[r.vec_id].component_id == min(rows[k].vec_id for k, t in enumerate(truth.values()) if t == truth[i]) for i, r in enumerate(rows)]) > 0.99
 
 
+def test_segments_beyond_the_bits_of_a_key(spark):
+    """Forty sets share three keys whose numbers end alike, as those of segments 2^20 apart do: an allowance of one pays for one of them."""
+    keys = [(k << 20) | 5 for k in (7, 8, 9)]
+    frame = spark.createDataFrame([(i, [*keys, (1 << 30) + i], [4, 0, 0, 1, 0, 0, 0, 0]) for i in range(40)], "sid long, keys array<long>, layout array<int>")
+    kept, _ = jaccard.allocate(frame)
+    assert kept.where(jaccard.F.col("key").isin(keys)).count() == 120
+
+
 def test_mix_comes_near_its_targets(spark, docs):
     rows = mixing.mix(docs).toPandas()
     assert (rows.copies <= 3).all()
