@@ -8,10 +8,14 @@ class is valid if in nine tenths of the pages its tokens repeat in one order, al
 between the same two tags of the frame; nesting is one level deep.
 
 What lies between a page's template tokens are its slots. Runs of text that stand in their
-place in the template are the template's and never text, in an article or main element as
-elsewhere; the same words out of that place are text. Of the slots, those inside an article
-or main element hold the text; where a page has neither, those outside menus, headers,
-footers and the like do.
+place in the template are the template's and never text; the same words out of that place are.
+The slots decide where the text is: each page votes for the innermost element of the frame whose
+slots hold half of its text or more and the text of its first-level headings, and the element with most votes of a host's pages is where
+its pages have their text, whatever it is called and whatever it stands in. Inside it the
+contract's own list (menus, forms, scripts, marked notices, adverts and comments) still goes.
+
+Where no such element is smaller than the body, or a page lacks it, element rules decide: the
+text is inside article and main elements, else outside menus, headers, footers and the like.
 
 Pages of a host whose main text by the element rules alone is equal count as one page, so
 copies of an article make no template. Html is read twice: once for a page's tokens, 64-bit
@@ -24,7 +28,7 @@ Markup is read in time linear in the page: a tag whose quotes never close ends a
 '>', and what follows the last '>' is text.
 
 Null and empty html give an empty text. A host of fewer than three different pages has no
-template: the element rules alone decide. Pages with equal ids are extracted one by one; a
+template: the element rules alone decide. Ties of votes go to the smaller token. Pages with equal ids are extracted one by one; a
 null url is a host of its own.
 """
 
@@ -62,6 +66,12 @@ LEAST_PAGES, LEAST_TENTHS = 3, 9
 _ENDS = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
+#: Bits of a tag's token: it is a tag, it opens, it stands alone, and below the hash the name's.
+_TAG, _OPENS, _ALONE, _NAME_SHIFT, _LOW = 1, 2, 4, 3, (1 << 11) - 1
+#: Share of a page's text that an element must hold to be voted for, as 1 / HALF.
+HALF = 2
+
+
 class Tag(NamedTuple):
     """What the extraction needs to know of a tag; token is odd."""
 
@@ -84,8 +94,14 @@ def read_tag(markup: str) -> Tag | None:
         return None
     name, opens = found.group(1).lower(), markup[1] != "/"
     words = [a or b or c for a, b, c in _CLASS.findall(markup)] if "=" in markup else []
-    token = _hash(("o" if opens else "c") + name + " " + " ".join(w for w in words if w)) | 1
-    return Tag(opens, name, token, any(MARKED.search(w) for w in words), name in VOID or markup.endswith("/>"))
+    single = name in VOID or markup.endswith("/>")
+    token = _hash(("o" if opens else "c") + name + " " + " ".join(w for w in words if w)) & ~_LOW
+    token |= _TAG | opens * _OPENS | single * _ALONE | name_bits(name) << _NAME_SHIFT
+    return Tag(opens, name, token, any(MARKED.search(w) for w in words), single)
+
+
+def name_bits(name: str) -> int:
+    return _hash(name) & 0xFF
 
 
 def pieces(page: str) -> list[tuple[str, Tag | None]]:
@@ -176,8 +192,8 @@ def _bounds(frame: dict[int, int]) -> tuple[list[int], list[int]]:
     return [at for at, _ in held], [t for _, t in held]
 
 
-def owned_pieces(tokens: list[int], classes: list[list[int]], valid: list[tuple[int, int]]) -> frozenset[int]:
-    """Numbers of the page's pieces that are its host's template."""
+def owned_pieces(tokens: list[int], classes: list[list[int]], valid: list[tuple[int, int]]) -> tuple[frozenset[int], dict[int, int]]:
+    """Numbers of the page's pieces that are its host's template, and the places of the frame's tokens."""
     places = _places(tokens)
     frame = _frame(classes, places, frozenset(t for c, t in valid if c == 0))
     bounds, names = _bounds(frame)
@@ -185,17 +201,48 @@ def owned_pieces(tokens: list[int], classes: list[list[int]], valid: list[tuple[
     for c, before in valid:
         if c and (slot := _nested(classes[c], places, bounds)) is not None and (names[slot - 1] if slot else 0) == before:
             out.update(at for t in classes[c] for at in places[t])
-    return frozenset(out)
+    return frozenset(out), frame
+
+
+def content_vote(tokens: list[int], sizes: list[int], owned: frozenset[int], frame: dict[int, int]) -> int:
+    """Token of the innermost frame element whose slots hold half the page's text or more, and its headings'; 0 if there is none below the body."""
+    upto, total = [], 0
+    for at, size in enumerate(sizes):
+        upto.append(total)
+        total += 0 if at in owned or tokens[at] & _TAG else size
+    open_, found, titles = [], [], []
+    for at, token in zip(*_bounds(frame), strict=True):
+        name = token >> _NAME_SHIFT & 0xFF
+        if token & _ALONE:
+            continue
+        if token & _OPENS:
+            open_.append((name, at, token))
+        elif any(n == name for n, _, _ in open_):
+            while open_[-1][0] != name:
+                open_.pop()
+            _, start, opened = open_.pop()
+            if name == _TITLE and upto[at] > upto[start]:
+                titles.append((start, at))
+            if total and HALF * (upto[at] - upto[start]) >= total and name not in _WHOLE:
+                found.append((at - start, opened, start, at))
+    whole = [(width, token) for width, token, a, b in found if all(a <= x and y <= b for x, y in titles)]
+    return min(whole, default=(0, 0))[1]
+
 
+_WHOLE, _TITLE = frozenset(map(name_bits, ("html", "body"))), name_bits("h1")
 
-def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozenset()) -> list[str]:
-    """Text blocks of the main content, in page order, less the pieces the template owns."""
+
+def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozenset(), inner: int | None = None) -> list[str]:
+    """Text blocks of the main content, in page order, less the pieces the template owns.
+
+    ``inner`` is the place of the tag that opens the element with the text; null, the element rules find it.
+    """
     stack: list[tuple[str, bool, bool]] = []
     opened: Counter[str] = Counter()
     found: list[tuple[bool, str]] = []
     run: list[str] = []
-    skip = main = 0
-    any_main = False
+    skip = main = hidden = 0
+    any_main = inner is not None
 
     def flush() -> None:
         if run:
@@ -205,11 +252,13 @@ def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozense
             run.clear()
 
     def leave() -> str:
-        nonlocal skip, main
+        nonlocal skip, main, hidden
         name, was_skip, was_main = stack.pop()
         opened[name] -= 1
         skip -= was_skip
         main -= was_main
+        if was_main and inner is not None:  # what the element stands in counts again
+            skip, hidden = hidden, 0
         return name
 
     for at, (content, tag) in enumerate(parts):
@@ -233,8 +282,11 @@ def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozense
                     leave()
             own_header = name == "header" and main > 0
             opens = (name in SKIP and not own_header) or (tag.marked and name not in ("html", "body", "article", "main"))
-            holds = name in ("article", "main") and not skip
-            any_main = any_main or holds
+            if inner is None:
+                holds = name in ("article", "main") and not skip
+                any_main = any_main or holds
+            elif holds := at == inner:
+                opens, hidden, skip = False, skip, 0
             stack.append((name, opens, holds))
             opened[name] += 1
             skip += opens
@@ -247,14 +299,16 @@ def blocks(parts: list[tuple[str, Tag | None]], owned: frozenset[int] = frozense
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: host, html -> host, hash of the main text by the element rules alone, tokens."""
+    """Task body: host, html -> host, hash of the main text by the element rules alone, tokens, sizes of runs of text."""
     for batch in batches:
-        marks, tokens = [], []
+        marks, tokens, sizes = [], [], []
         for page in batch.column(1):
             parts = pieces(page.as_py() or "")
             marks.append(_hash("\n\n".join(blocks(parts))))
             tokens.append(page_tokens(parts))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["host", "mark", "tokens"])
+            sizes.append([len(content) if tag is None else 0 for content, tag in parts])
+        lists = [pa.array(tokens, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.int64()), *lists], ["host", "mark", "tokens", "sizes"])
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,17 +376,18 @@ def _fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, classes (the root first, tokens in order, each class after its length), valid (class, token, class, token ...).
+    """host, classes (the root first, tokens in order, each class after its length), valid (class, token, class, token ...), content (the element with the text, or 0).
 
     A token goes with class 0 if it is of the frame; with another class it is the tag before the slot.
     """
     hosted = pages.select(F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit("")).alias("host"), "html")
-    read = hosted.mapInArrow(tidy(_read), "host string, mark long, tokens array<long>")
+    read = hosted.mapInArrow(tidy(_read), "host string, mark long, tokens array<long>, sizes array<int>")
     # of the pages of a host with one main text, one stands for all
-    chosen = materialise(read.groupBy("host", "mark").agg(F.min("tokens").alias("tokens")), "template-pages")
+    chosen = read.groupBy("host", "mark").agg(F.min(F.struct("tokens", "sizes")).alias("page")).select("host", "mark", "page.*")
+    chosen = materialise(chosen, "template-pages")
     large = chosen.groupBy("host").agg(F.count("*").alias("host_pages")).where(F.col("host_pages") >= LEAST_PAGES)
     enough = 10 * F.col("pages") >= LEAST_TENTHS * F.col("host_pages")
-    counted = chosen.mapInArrow(tidy(_vectors), "host string, token long, pages long, times long, place double, v1 long, v2 long")
+    counted = chosen.select("host", "mark", "tokens").mapInArrow(tidy(_vectors), "host string, token long, pages long, times long, place double, v1 long, v2 long")
     tokens = counted.groupBy("host", "token").agg(*[F.sum(n).alias(n) for n in ("pages", "times", "place", "v1", "v2")])
     tokens = tokens.join(large, "host").where(enough)
     # tokens of one vector are one class; a class holds at most a page's worth of tokens, and so does a host
@@ -346,20 +401,35 @@ def templates(pages: DataFrame) -> DataFrame:
     fits = fits.groupBy("host", "class", "token").agg(F.sum("pages").alias("pages")).join(large, "host").where(enough)
     pair = F.sort_array(F.collect_list(F.struct("class", "token")))
     valid = fits.groupBy("host").agg(F.flatten(F.transform(pair, lambda p: F.array(p["class"], p["token"]))).alias("valid"))
-    return classes.join(valid, "host")
+    known = materialise(classes.join(valid, "host"), "template-known")
+    votes = chosen.join(known, "host").select("host", "tokens", "sizes", "classes", "valid").mapInArrow(tidy(_votes), "host string, content long, votes long")
+    votes = votes.groupBy("host", "content").agg(F.sum("votes").alias("votes"))
+    most = votes.groupBy("host").agg(F.min_by("content", F.struct(-F.col("votes"), F.col("content"))).alias("content"))
+    return known.join(most, "host", "left")
+
+
+def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Task body: host, tokens, sizes, classes, valid -> host, element with the text, votes."""
+    for batch in batches:
+        hosts = batch.column(0).to_pylist()
+        known, votes = Templates(hosts, batch.column(3), batch.column(4)), Counter()
+        for row, (tokens, sizes) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            votes[hosts[row], content_vote(tokens, sizes, *owned_pieces(tokens, *known.at(row)))] += 1
+        columns = [pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.int64()), pa.array(votes.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["host", "content", "votes"])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Task body: page_id, url, html, host, classes, valid -> page_id, url, text."""
+    """Task body: page_id, url, html, host, classes, valid, content -> page_id, url, text."""
     for batch in batches:
         out = []
-        classes = batch.column(4)
+        classes, contents = batch.column(4), batch.column(6).to_pylist()
         known = Templates(batch.column(3).to_pylist(), classes, batch.column(5))
         has = np.asarray(classes.is_valid())
         for row, page in enumerate(batch.column(2)):
             parts = pieces(page.as_py() or "")
-            owned = owned_pieces(page_tokens(parts), *known.at(row)) if has[row] else frozenset()
-            out.append("\n\n".join(blocks(parts, owned)))
+            owned, frame = owned_pieces(page_tokens(parts), *known.at(row)) if has[row] else (frozenset(), {})
+            out.append("\n\n".join(blocks(parts, owned, frame.get(contents[row]))))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["page_id", "url", "text"])
 
 
@@ -368,7 +438,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     learned = materialise(templates(pages), "templates")
     host = F.coalesce(F.regexp_extract("url", _HOST, 1), F.lit(""))
     with_template = pages.select(F.col("page_id").cast("long"), "url", "html", host.alias("host")).join(learned, "host", "left")
-    return with_template.select("page_id", "url", "html", "host", "classes", "valid").mapInArrow(tidy(_extract), "page_id long, url string, text string")
+    return with_template.select("page_id", "url", "html", "host", "classes", "valid", "content").mapInArrow(tidy(_extract), "page_id long, url string, text string")
 
 
 def html_digest(pages: DataFrame) -> DataFrame:
