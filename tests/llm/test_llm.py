@@ -465,10 +465,12 @@ def brute_links(x):
     return near, components(range(len(x)), [(int(a), int(b)) for a, b in zip(*np.nonzero(near), strict=True) if a < b])
 
 
-@pytest.mark.parametrize("block", [64, 2048])
-def test_embeddings(spark, monkeypatch, block):
-    monkeypatch.setattr(embeddings, "CELL_VECTORS", 60)
+@pytest.mark.parametrize("block, fan", [(64, 1024), (2048, 1024), (64, 3)])
+def test_embeddings(spark, monkeypatch, block, fan):
+    """In one level of cells, in blocks, and in levels of at most three cells each."""
+    monkeypatch.setattr(embeddings, "CELL_VECTORS", 60 if fan > 3 else 10)
     monkeypatch.setattr(embeddings, "BLOCK_VECTORS", block)
+    monkeypatch.setattr(embeddings, "FAN", fan)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(700, 32))
     x[300:500] = x[7] + rng.normal(size=(200, 32)) * 0.3
@@ -488,14 +490,23 @@ def test_embeddings(spark, monkeypatch, block):
 
 
 def test_embeddings_of_the_table(spark, monkeypatch):
+    """The table's vectors, which have no near copies, and copies of 500 of them at cosines from 0.88 to 0.98."""
     monkeypatch.setattr(embeddings, "CELL_VECTORS", 60)
-    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [r for r in frame.collect() if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)]
-    near, truth = brute_links(np.array([r.embedding for r in rows], float))
-    got = {r.vec_id: r for r in embeddings.near_duplicates(frame).collect()}
-    assert sum(got[r.vec_id].n_links for r in rows) >= 0.99 * near.sum() > 0
-    assert all(got[r.vec_id].n_links <= n for r, n in zip(rows, near.sum(1), strict=True))
-    assert np.mean([got[r.vec_id].component_id == min(rows[k].vec_id for k, t in enumerate(truth.values()) if t == truth[i]) for i, r in enumerate(rows)]) > 0.99
+    held = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in held if r.embedding is not None and np.isfinite(r.embedding).all() and np.any(r.embedding)], float)
+    rng = np.random.default_rng(11)
+    base = x[rng.choice(len(x), 500)]
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    off = rng.normal(size=base.shape)
+    off -= (off * base).sum(1)[:, None] * base
+    off /= np.linalg.norm(off, axis=1)[:, None]
+    cosine = rng.uniform(0.88, 0.98, len(base))[:, None]
+    x = np.concatenate([x, cosine * base + np.sqrt(1 - cosine**2) * off])
+    near, truth = brute_links(x)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert sum(got[i].n_links for i in range(len(x))) >= 0.99 * near.sum() > 800
+    assert all(got[i].n_links <= n for i, n in enumerate(near.sum(1)))
+    assert np.mean([got[i].component_id == truth[i] for i in range(len(x))]) > 0.99
 
 
 def test_segments_beyond_the_bits_of_a_key(spark):
