@@ -4,13 +4,15 @@ An event ages when the newest event is more than the retention after it. Aged ev
 numbered in the order they age, batch after batch and by ``seq`` within one; every ratio-th is
 kept and stands for ratio events. The number goes on from batch to batch in a small file, and
 runs over partitions by offsets: counts per bucket of ``seq``, then ranks inside it. A batch
-that is tried again starts from the count of the batch before and replaces its own part.
+that is tried again starts from the count of the batch before and replaces its own part; if its
+count is there already, it was done.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..operators.retention import numbered
 from ..sources.storage import Folder, read_table
@@ -36,6 +38,8 @@ class ReferenceZone:
 
         ``table`` holds the fresh events of all batches before this one, with ``bucket``, the WIDTH_MS of their time.
         """
+        if self.files.read(f"counters/{batch}.json") is not None:
+            return 0  # done by an earlier try, after which what aged may be deleted
         state = self._counter(batch)
         last = max((x for x in (state["last"], last_ms) if x is not None), default=None)
         if last is None:
@@ -73,5 +77,8 @@ class ReferenceZone:
         """The zone: kept events within the reference width of the newest kept one."""
         newest = self._counter()["kept"]
         paths = [f"{self.folder}/{n}" for n in self.files.names() if n.startswith("batch=") and any(b.startswith("bucket=") for b in self.files.names(n))]
-        rows = read_table(self.spark, paths, self.schema).drop("bucket")
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        named = StructType([*self.schema.fields, StructField("bucket", LongType()), StructField("batch", LongType())])
+        rows = self.spark.read.option("basePath", self.folder).schema(named).parquet(*paths).drop("bucket", "batch")
         return rows if newest is None else rows.where(F.col("ts_ms") >= newest - self.reference_ms)
