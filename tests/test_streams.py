@@ -217,3 +217,34 @@ def test_sketches_merge(spark, sf_dir):
             assert abs((mine <= row[f"q{q}"]).mean() - q / 100) < 0.02
     with pytest.raises(ValueError):
         sketches.window_sketches(events, Lens(window_ms=HOUR))
+
+
+def test_views_share_one_table(spark, tmp_path):
+    from hindsight.model import Lens
+    from hindsight.operators.lens import apply_lens
+    from hindsight.plans.registry import Registry
+    from hindsight.streaming.views import ObservationOverlay
+
+    rows = live_events(spark, [i * 100 for i in range(300)]).cache()
+    registry, overlay = Registry(), None
+    registry.set("observe:s#a", {"window_ms": 1000, "origin": 0, "group_by": ["k"]})
+    registry.set("observe:s", {"window_ms": 2000})
+    overlay = ObservationOverlay(registry)
+    overlay.add(rows.where("seq < 50"), "s", "a", max_events=80)
+    overlay.push("s", rows.where("seq >= 50 and seq < 100"))
+    late = overlay.add(rows.where("seq >= 90 and seq < 100"), "s", "b")
+    overlay.push("s", rows.where("seq >= 100 and seq < 150"))
+    overlay.push("unknown", rows)
+    both = overlay.windows()
+    names = [c for c in both.columns if c != "view"]
+    for view, lens, low in (("a", Lens(window_ms=1000, origin=0, group_by=("k",)), 70), ("b", Lens(window_ms=2000), 90)):
+        want = apply_lens(rows.where(f"seq >= {low} and seq < 150"), lens).select(*names)
+        assert bare(both.where(F.col("view") == f"s#{view}").select(*names)) == plain_rows(want)
+    scans = lambda: overlay.windows()._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    before = scans()
+    for n in range(3):
+        overlay.push("s", rows.where(f"seq = {200 + n}"))
+    assert scans() == before
+    overlay.remove("s", "b")
+    overlay.push("s", rows.where("seq = 250"))
+    assert late.held().count() == 63 and overlay.keys() == [("s", "a")]
