@@ -162,6 +162,19 @@ def _shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("source", "type").agg(F.count("*").alias("n"))
 
 
+def _frame_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the frames show of the registry: how many writes, and the last one."""
+    frames = session.snapshot_frames(_tests(spark, sf_dir), TICK, WINDOW, _deltas(spark))
+    return frames.select("tick_ts", "touched", F.size("writes").cast("long").alias("writes"), F.try_element_at("writes", F.lit(-1))["params"].alias("last_write"))
+
+
+def _shape_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every shape: the top tiles of days and the gaps of groups by the hour."""
+    by_hour = Lens(window_ms=HOUR, origin=0, group_by=("event_type", "bucket"))
+    tiles = curator.curate(*_sides(spark, sf_dir, PLAIN), DAY, SENSITIVE).unionByName(curator.gaps(*_sides(spark, sf_dir, by_hour), HOUR, Curation(), True))
+    return curator.tile_text(tiles).select("shape_tag", "region_start", "label", "description")
+
+
 def _deltas(spark: SparkSession) -> DataFrame:
     """The registry's history after the writes of the delta."""
     registry = Registry()
@@ -249,6 +262,8 @@ def queries() -> dict[str, Query]:
         "unreachable_tails": lambda s, d: rounded(curator.unreachable_tails(*_sides(s, d, GROUPED, _two_valued_tight), Curation(), True)),
         "curate_top_tiles": _curated,
         "tile_text": lambda s, d: curator.tile_text(curator.spikes(*_sides(s, d, GROUPED), Curation(spike_z=0.1), True)).select("shape_tag", "region_start", "label", "description"),
+        "tile_text_shapes": _shape_texts,
+        "snapshot_writes": _frame_writes,
         "package_header": lambda s, d: rounded(curator.package_header(*_sides(s, d, GROUPED), Curation(), True)),
         "live_spans_curated": _live,
         "domain_rollup": lambda s, d: coverage.rollup(_tests(s, d)),

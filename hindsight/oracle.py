@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from .functions.stats import norm_cdf_sql, norm_ppf_sql, sidak_z_sql
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -241,7 +243,7 @@ def queries() -> dict[str, str]:
     looks = ", ".join(f"('{s}', {'NULL' if v is None else repr(v)})" for s, v in LOOKUPS)
     writes = ", ".join(f"({i}, '{s}', {w})" for i, (s, w) in enumerate(WRITES))
     row = lambda scope: f"(SELECT max_by(w, i) FROM writes WHERE s = {scope})"
-    return vectors() | streams() | {
+    found = vectors() | streams() | {
         "lens_tumbling": shown(windows(E, DAY)),
         "lens_epoch_origin": shown(windows(E, 6 * HOUR, origin=str(3 * HOUR))),
         "lens_first_event": shown(windows(E, DAY, origin="(SELECT min((epoch_us(ts) // 1000)) FROM events)")),
@@ -324,3 +326,18 @@ def queries() -> dict[str, str]:
         "calibration_quiet_trials": trial_sql("0.95", "SELECT trial_id FROM t WHERE NOT blind AND z >= " + sidak_z_sql("2.0", "windows")),
         "calibration_power": trial_sql("CASE WHEN is_obs AND ts_ms >= 18000 THEN 0.90 ELSE 0.95 END"),
     }
+    top = found["curate_top_tiles"].replace(TILE, TILE.split(", round(")[0] + ", magnitude")
+    hourly = found["curate_gaps"]
+    texts = """replace(shape_tag, '_', ' ') || CASE WHEN group_label IS NOT NULL THEN ' in ' || group_label ELSE '' END AS label, CASE shape_tag
+        WHEN 'spike' THEN printf('mean above the reference by %.1f standard errors', magnitude) WHEN 'dip' THEN printf('mean below the reference by %.1f standard errors', magnitude)
+        WHEN 'step_up' THEN printf('a run of windows above the reference, %.1f standard errors', magnitude) WHEN 'step_down' THEN printf('a run of windows below the reference, %.1f standard errors', magnitude)
+        WHEN 'divergence' THEN printf('observation and reference differ more than usual, %.3f deviations', magnitude)
+        WHEN 'gap' THEN printf('no events for %.1f s', (region_end - region_start) / 1000.0) ELSE 'a quiet window near the reference mean' END AS description"""
+    found["tile_text_shapes"] = f"SELECT shape_tag, region_start, {texts} FROM (SELECT * FROM ({top}) UNION ALL SELECT * FROM ({hourly}))"
+    params = [json.dumps(row, sort_keys=True) for _, row, _ in DELTAS]
+    times = [-(2**53) if at is None else at for _, _, at in DELTAS]
+    writes = ", ".join(f"({i + 1}, {at}, '{p}')" for i, (at, p) in enumerate(zip(times, params, strict=True)))
+    found["snapshot_writes"] = f"""SELECT tick_ts, touched, (SELECT count(*) FROM w WHERE at_ms <= tick_ts) AS writes, (SELECT max_by(params, seq) FROM w WHERE at_ms <= tick_ts) AS last_write
+      FROM ({found["tick_touched_bits"]}), (SELECT 1)"""
+    found["snapshot_writes"] = f"WITH w(seq, at_ms, params) AS (VALUES {writes}) " + found["snapshot_writes"]
+    return found

@@ -18,10 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from ..model import DOMAINS, Rules
-from ..operators import brain
+from ..model import DOMAINS, Curation, Rules
+from ..operators import brain, retention
 from ..operators.brain import AgentState
-from ..plans.registry import BEGINNING
+from ..plans.registry import BEGINNING, Registry
+from .session import apply_decisions
 
 DECISION = "tick_ts long, type string, subject string, from_ts long, to_ts long, scope string, window_ms long, group_by string"
 _NAMES = [c.split()[0] for c in DECISION.split(", ")]
@@ -175,3 +176,23 @@ def start_decisions(decisions: DataFrame, sink: Callable[[DataFrame, int], None]
 def decisions_sink(folder: str) -> Callable[[DataFrame, int], None]:
     """A sink that keeps decisions as JSON lines, a folder for each batch: tried again, a batch replaces its own."""
     return lambda decisions, number: decisions.write.mode("overwrite").json(f"{folder}/batch={number}")
+
+
+def applying_sink(registry: Registry, events: Callable[[], DataFrame], folder: str, config: Curation = Curation()) -> Callable[[DataFrame, int], None]:
+    """A sink that takes the decisions of a micro-batch, applies them and keeps both as JSON lines: decisions, and the tiles of what was replayed.
+
+    A replay writes the lens it asks for to the registry and looks at ``events()``, the retained
+    lens events, through it. A batch that is tried again replaces its own files; the registry
+    then has its write twice, which changes nothing.
+    """
+
+    def sink(decisions: DataFrame, number: int) -> None:
+        decisions.write.mode("overwrite").json(f"{folder}/decisions/batch={number}")
+        taken = decisions.sparkSession.read.schema(DECISION).json(f"{folder}/decisions/batch={number}")
+        turns = apply_decisions(taken, registry, events(), config)  # a micro-batch's decisions, a few rows
+        for i, turn in enumerate(t for t in turns if t["applied"]):
+            named = turn["tiles"].withColumns({"tick_ts": F.lit(turn["decision"]["tick_ts"]), "subject": F.lit(turn["decision"]["subject"])})
+            named.write.mode("overwrite").json(f"{folder}/tiles/batch={number}/turn={i}")
+            retention.release(turn["tiles"])
+
+    return sink

@@ -6,12 +6,13 @@ import warnings
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import Curation, Lens, Rules
 from ..operators import brain, coverage, curator, retention
-from ..plans.registry import Registry
+from ..operators.asof import as_of
+from ..plans.registry import BEGINNING, Registry
 from ..sources import events as source
 from ..sources import fixtures
 
@@ -20,14 +21,27 @@ SCHEMA = "test_result:v1"
 SHOWN_WRITES = 20
 
 
-def snapshot_frames(tests: DataFrame, tick_ms: int, window_ms: int) -> DataFrame:
-    """tick_ts, agents and domains (arrays of structs in order of name), touched: one row per tick, those with an empty window too."""
+def snapshot_frames(tests: DataFrame, tick_ms: int, window_ms: int, history: DataFrame | None = None) -> DataFrame:
+    """tick_ts, agents and domains (arrays of structs in order of name), touched: one row per tick, those with an empty window too.
+
+    With a registry's ``history`` also writes: the last SHOWN_WRITES writes (seq, scope, params) in force by the tick, in order.
+    """
     agents = coverage.agent_stats(tests, tick_ms, window_ms).groupBy("tick_ts").agg(F.sort_array(F.collect_list(F.struct("agent_id", "pass_rate", "flaky_rate", "event_count"))).alias("agents"))
     spine = coverage.ticks(tests, tick_ms, window_ms)
     domains = coverage.domain_stats(tests, tick_ms, window_ms, spine).groupBy("tick_ts").agg(F.sort_array(F.collect_list(F.struct("domain", "covered_bits", "required_bits", "gap"))).alias("domains"))
     out = domains.join(agents, "tick_ts", "left").join(coverage.touched_bits(tests, tick_ms, window_ms, spine), "tick_ts")
     none = F.array().cast(agents.schema["agents"].dataType)
-    return out.select("tick_ts", F.coalesce("agents", none).alias("agents"), "domains", "touched")
+    out = out.select("tick_ts", F.coalesce("agents", none).alias("agents"), "domains", "touched")
+    return out if history is None else with_writes(out, history)
+
+
+def with_writes(ticks: DataFrame, history: DataFrame, shown: int = SHOWN_WRITES) -> DataFrame:
+    """``ticks`` with writes: the last ``shown`` writes by their time. Each write carries those before it; ticks find theirs as of their time."""
+    order = Window.orderBy("at_ms", "seq")  # writes of parameters, which are few
+    timed = history.withColumn("at_ms", F.coalesce("at_ms", F.lit(BEGINNING)))
+    carried = timed.select("at_ms", "seq", F.collect_list(F.struct("seq", "scope", "params")).over(order.rowsBetween(1 - shown, 0)).alias("writes"))
+    found = as_of(ticks, carried, "tick_ts", "at_ms", ("writes",), order="seq")
+    return found.withColumn("writes", F.coalesce("writes", F.array().cast(carried.schema["writes"].dataType)))
 
 
 def apply_decisions(decisions: DataFrame, registry: Registry, events: DataFrame, config: Curation = Curation()) -> list[dict[str, Any]]:
@@ -164,7 +178,7 @@ class Session:
     def tick(self, now_ms: int, tick_ms: int = 1000, window_ms: int = 5000, shadow: Callable[[], DataFrame] | None = None) -> dict[str, Any]:
         """One turn: frame, decisions taken at ``now_ms`` and what became of them. Frame and packages are tables to write to any sink."""
         self.now_ms, tests = now_ms, self.tests()
-        frame = snapshot_frames(tests, tick_ms, window_ms).where(F.col("tick_ts") == now_ms)
+        frame = snapshot_frames(tests, tick_ms, window_ms, self.registry.history(self.spark)).where(F.col("tick_ts") == now_ms)
         taken = self.decide(tick_ms, window_ms).where(F.col("tick_ts") == now_ms).persist()
         self.log.run(taken, shadow or (lambda: taken.limit(0)))
         packages = apply_decisions(taken, self.registry, source.observe(tests))
