@@ -248,3 +248,27 @@ def test_views_share_one_table(spark, tmp_path):
     overlay.remove("s", "b")
     overlay.push("s", rows.where("seq = 250"))
     assert late.held().count() == 63 and overlay.keys() == [("s", "a")]
+
+
+def test_decisions_are_applied_on_the_stream(spark, tmp_path):
+    from hindsight.model import Lens
+    from hindsight.operators import curator, retention
+    from hindsight.plans.registry import Registry
+    from hindsight.sources import fixtures
+    from hindsight.streaming import rules as live
+
+    tests = fixtures.stream(spark, 6000, start_ms=1_000_000, scenario="RC").cache()
+    feed(tests.withColumn("arrival", F.col("ts_ms")), tmp_path / "in", "a", 0, 2**62)
+    stream = spark.readStream.schema(tests.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    registry = Registry()
+    decisions = live.agent_decisions(live.tick_stream(stream, 1000, 3000))
+    live.start_decisions(decisions, live.applying_sink(registry, lambda: source.observe(tests), str(tmp_path / "out")), str(tmp_path / "state"), availableNow=True).awaitTermination()
+    taken = spark.read.schema(live.DECISION).json(str(tmp_path / "out" / "decisions")).where("type = 'replayRequest'").collect()
+    assert taken and registry.get_observe(SCHEMA, "fine") == {"window_ms": 1000, "group_by": ["agentId"]}
+    lens = Lens(window_ms=1000, group_by=("agentId",))
+    want = set()
+    for row in taken:
+        sides = retention.replay_with_reference(source.observe(tests), lens, row.from_ts, row.to_ts)
+        want |= {(row.subject, t.shape_tag, t.group_label, t.region_start) for t in curator.curate(*sides, 1000, curator.Curation(), True).collect()}
+    got = spark.read.json(str(tmp_path / "out" / "tiles")).select("subject", "shape_tag", "group_label", "region_start").collect()
+    assert {tuple(r) for r in got} == want and any(t[1] == "dip" for t in want)
