@@ -188,8 +188,10 @@ def _delta_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, extract: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The events table as a stream of files."""
+    """The events table as a stream of files, in a session of its own: a stream keeps the number of partitions its state began with, one for each core."""
     path = f"{sf_dir}/events.parquet"
+    spark = spark.newSession()
+    spark.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     return extract(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*"))  # a pattern: one file or a folder of them
 
 

@@ -246,6 +246,17 @@ def tile_text(tiles: DataFrame) -> DataFrame:
     return tiles.select("*", F.concat(F.replace("shape_tag", F.lit("_"), F.lit(" ")), where).alias("label"), said.alias("description"))
 
 
+#: Names a header shows of a list; the whole lists are :func:`unscored_groups` and :func:`unreachable_tails`.
+SHOWN_NAMES = 50
+
+
+def _shown(rows: DataFrame, name: Column, as_: str) -> DataFrame:
+    """One row: the first SHOWN_NAMES names in order, joined by commas, and ... if there are more."""
+    first = rows.select(name.alias("name")).orderBy("name").limit(SHOWN_NAMES + 1)
+    names = F.sort_array(F.collect_list("name"))
+    return first.agg(F.array_join(F.concat(F.slice(names, 1, SHOWN_NAMES), F.when(F.size(names) > SHOWN_NAMES, F.array(F.lit("..."))).otherwise(F.array().cast("array<string>"))), ",").alias(as_))
+
+
 def package_header(observed: DataFrame, reference: DataFrame, config: Curation = Curation(), grouped: bool = False) -> DataFrame:
     """One row: global statistics, whether the reference is usable, family size and thresholds, span, unscored groups and tails out of reach."""
     mixed = pool_stats(reference.where("group_label is null")).select(
@@ -253,8 +264,9 @@ def package_header(observed: DataFrame, reference: DataFrame, config: Curation =
     )
     seen = observed.where("group_label is null").agg(F.count("*").alias("window_count"), F.sum("count").alias("event_count"), (F.max("window_end") - F.min("window_start")).alias("span_ms"))
     family = frame(observed, reference, config, grouped).agg(F.count_if("scorable").alias("family_n"))
-    unscored = unscored_groups(observed, reference).agg(F.count("*").alias("unscored_groups"), F.array_join(F.sort_array(F.collect_list("group_label")), ",").alias("unscored_labels"))
-    tails = unreachable_tails(observed, reference, config, grouped).agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "unit", "direction"))), ",").alias("unreachable"))
+    groups = unscored_groups(observed, reference)
+    unscored = groups.agg(F.count("*").alias("unscored_groups")).crossJoin(_shown(groups, F.col("group_label"), "unscored_labels"))
+    tails = _shown(unreachable_tails(observed, reference, config, grouped), F.concat_ws(":", "unit", "direction"), "unreachable")
     out = seen.join(mixed, F.lit(True), "left").crossJoin(family).crossJoin(unscored).crossJoin(tails)  # one row each; no reference leaves nulls
     out = out.withColumn("reference_usable", F.coalesce("reference_usable", F.lit(False)))
     return out.withColumns({"base_z": F.lit(config.spike_z), "effective_z": sidak_z(F.lit(config.spike_z), F.col("family_n"))})

@@ -110,6 +110,10 @@ def trials(spark: SparkSession, count: int, span_ms: int = 10_000, events: int =
     ``burst`` is the rate in the last fifth of the observed span. Draws are md5 bits of
     (trial, event), so other engines can make the same.
     """
+    return _draws(spark, count, span_ms, events, p, burst).drop("i")
+
+
+def _draws(spark: SparkSession, count: int, span_ms: int, events: int, p: float, burst: float | None = None) -> DataFrame:
     half = F.floor(F.col("id") / events) % 2
     trial, i = F.floor(F.col("id") / (2 * events)), F.col("id") % (2 * events)
     digest = F.md5(F.concat_ws(":", F.col("trial_id").cast("string"), F.col("i").cast("string")).cast("binary"))
@@ -117,7 +121,34 @@ def trials(spark: SparkSession, count: int, span_ms: int = 10_000, events: int =
     rows = spark.range(2 * events * count).select(trial.alias("trial_id"), i.alias("i"), (half == 1).alias("is_obs"))
     rows = rows.withColumn("ts_ms", F.floor(bits(1) * span_ms).cast("long") + F.when(F.col("is_obs"), span_ms).otherwise(0))
     rate = F.lit(p) if burst is None else F.when(F.col("is_obs") & (F.col("ts_ms") >= span_ms + span_ms * 4 // 5), burst).otherwise(p)
-    return rows.select("trial_id", "is_obs", "ts_ms", F.when(bits(9) < rate, 1.0).otherwise(0.0).alias("value"))
+    return rows.select("trial_id", "is_obs", "ts_ms", F.when(bits(9) < rate, 1.0).otherwise(0.0).alias("value"), "i")
+
+
+#: The published trial shapes, as window and parts (from, to, events, pass rate), times from the observed span's start.
+AB_START = 2_000_000
+AB_SHAPES = {
+    "RC": (1_000, ((-10_000, 0, 1_000, 0.95), (0, 8_000, 800, 0.95), (8_000, 10_000, 200, 0.10))),
+    "AR": (5_000, ((-15_000, 0, 1_500, 0.95), (0, 30_000, 3_000, 0.70))),
+    "QUIET": (1_000, ((-10_000, 0, 1_000, 0.95), (0, 10_000, 1_000, 0.95))),
+}
+
+
+def ab_trials(spark: SparkSession, kind: str, count: int) -> tuple[DataFrame, int]:
+    """Trials (trial_id, is_obs, ts_ms, value) of a published shape, and the width of its windows. Times and outcomes are md5 bits of (trial, event)."""
+    if kind not in AB_SHAPES:
+        raise ValueError(f"kind must be one of {', '.join(AB_SHAPES)}")
+    window_ms, parts = AB_SHAPES[kind]
+    each = sum(n for _, _, n, _ in parts)
+    rows = spark.range(each * count).select(F.floor(F.col("id") / each).alias("trial_id"), (F.col("id") % each).alias("i"))
+    digest = F.md5(F.concat_ws(":", F.col("trial_id").cast("string"), F.col("i").cast("string")).cast("binary"))
+    bits = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long") / 2.0**32
+    ts, rate, begin = F.lit(None).cast("long"), F.lit(None).cast("double"), 0
+    for a, b, n, p in parts:
+        mine = F.col("i").between(begin, begin + n - 1)
+        ts = F.when(mine, F.floor(bits(1) * (b - a)).cast("long") + AB_START + a).otherwise(ts)
+        rate = F.when(mine, p).otherwise(rate)
+        begin += n
+    return rows.select("trial_id", (ts >= AB_START).alias("is_obs"), ts.alias("ts_ms"), F.when(bits(9) < rate, 1.0).otherwise(0.0).alias("value")), window_ms
 
 
 #: Trials with a known truth, as (pass rate of the observed span, rate and part of the span of what is injected).
@@ -129,14 +160,14 @@ def truth_trials(spark: SparkSession, kind: str, count: int, span_ms: int = 10_0
     if kind not in TRUTHS:
         raise ValueError(f"kind must be one of {', '.join(TRUTHS)}")
     p, injected = TRUTHS[kind]
-    quiet = trials(spark, count, span_ms, events, p)
+    quiet = _draws(spark, count, span_ms, events, p)
     if injected is None:
-        return quiet, None
+        return quiet.drop("i"), None
     rate, a, b = injected
     span = int(span_ms * (1 + a)), int(span_ms * (1 + b))
     inside = F.col("is_obs") & (F.col("ts_ms") >= span[0]) & (F.col("ts_ms") < span[1])
-    keep = F.pmod(F.xxhash64("trial_id", "ts_ms", F.monotonically_increasing_id()), F.lit(10_000)) / 10_000 < rate
-    return quiet.withColumn("value", F.when(inside, F.when(keep, 1.0).otherwise(0.0)).otherwise(F.col("value"))), span
+    keep = F.pmod(F.xxhash64("trial_id", "i"), F.lit(10_000)) / 10_000 < rate
+    return quiet.withColumn("value", F.when(inside, F.when(keep, 1.0).otherwise(0.0)).otherwise(F.col("value"))).drop("i"), span
 
 
 def quiet_false_positives(spark: SparkSession, count: int) -> DataFrame:
