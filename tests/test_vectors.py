@@ -92,3 +92,28 @@ def test_one_frame_for_all_detectors(spark, sf_dir):
     assert tiles.count() > 0
     retention.release(observed)
     assert not spark._jsparkSession.sharedState().cacheManager().lookupCachedData(observed.kept_windows._jdf).isDefined()
+
+
+def test_published_trial_shapes(spark):
+    """The published magnitudes: 35 to 38 standard errors for the burst, 21.4 to 23.5 for the regression; nothing much for quiet ones."""
+    from hindsight.operators import calibration
+    from hindsight.sources import fixtures
+
+    for kind, low, high in (("RC", 34, 41), ("AR", 20, 26), ("QUIET", 1, 3)):
+        trials, window_ms = fixtures.ab_trials(spark, kind, 40)
+        windows = calibration.trial_windows(trials, window_ms)
+        rows = curator.frame(windows.where("is_obs").drop("is_obs"), windows.where("not is_obs").drop("is_obs"), Curation(), True)
+        most = rows.groupBy("group_label").agg(F.max(F.abs("raw_z")).alias("z")).agg(F.avg("z"), F.count("*")).first()
+        assert low < most[0] < high and most[1] == 40, (kind, most)
+        hits = calibration.judged_trials(trials, window_ms).agg(F.avg(F.col("hit").cast("int"))).first()[0]
+        assert hits == 1 if kind != "QUIET" else hits < 0.2
+        windows.unpersist()
+    with pytest.raises(ValueError):
+        fixtures.ab_trials(spark, "X", 1)
+
+
+def test_header_shows_some_names(spark):
+    names = spark.createDataFrame([(f"g{i:03d}",) for i in range(60)], "n string")
+    shown = curator._shown(names, F.col("n"), "s").first()[0].split(",")
+    assert shown == [f"g{i:03d}" for i in range(curator.SHOWN_NAMES)] + ["..."]
+    assert curator._shown(names.limit(0), F.col("n"), "s").first()[0] == ""
