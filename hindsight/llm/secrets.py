@@ -195,9 +195,10 @@ def candidates(text: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple
         tested = [(t[1], i - j, i, j, t[0]) for i, j in parts if free(i, j) and (t := statistic(text[i:j])) and t[1] <= EVEN]
         kept: list[tuple[int, int, str, float]] = []
         for value, _, i, j, encoding in sorted(tested):
-            if not any(a < j and i < b for a, b, _, _ in kept):
-                kept.append((i, j, encoding, value))
-        out += sorted(kept)
+            at = bisect_right(kept, (i, j))  # those kept are apart and in order, so only two can overlap
+            if not (at and kept[at - 1][1] > i) and not (at < len(kept) and kept[at][0] < j):
+                kept.insert(at, (i, j, encoding, value))
+        out += kept
     around, last = [], 0
     for a, b in sorted(taken):
         if a > last:

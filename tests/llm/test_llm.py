@@ -405,6 +405,47 @@ def test_secrets_in_a_text_of_very_many_spans(spark):
     assert row.n_assign == 20_000 and row.spans.count("random") > 15_000
 
 
+def test_a_run_of_many_stretches_is_quick():
+    """One unbroken run whose parts switch alphabets: many candidates of one run."""
+    rng = np.random.default_rng(9)
+    token = lambda: "".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), 30))
+    text = "".join(token() + ("/" if i % 2 else "-") for i in range(16_000))
+    began = time.perf_counter()
+    found, _ = secrets.candidates(text, [])
+    assert len(found) > 5000 and time.perf_counter() - began < 20
+    assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+
+def test_whole_scan_equals_brute_force(spark):
+    """Every text of a table scanned in plain Python, the false-discovery rule over all candidates at once."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").coalesce(1)
+    rng = np.random.default_rng(3)
+    odd = [(90_000 + i, t) for i, t in enumerate([*ODD, *["key " + "".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), 48)) + " end" for _ in range(20)]])]
+    rows = [tuple(r) for r in docs.collect()] + odd
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    base = {i: secrets.base_spans(t or "") for i, t in rows}
+    found, around = {}, []
+    for i, t in rows:
+        found[i], rest = secrets.candidates(t or "", base[i])
+        around += rest
+    assert sum(len(t or "") for _, t in rows) < 4_000_000  # one piece of running text
+    moments = {(e, c): (n, s, ss) for e, c, n, s, ss in secrets.text_moments("".join(around).encode("utf-8", "replace"))}
+    groups = {}
+    for i, _ in rows:
+        for a, b, encoding, value in found[i]:
+            groups.setdefault((encoding, secrets.length_class(b - a)), []).append((int(secrets.STEPS * np.log1p(value)), i, a, b))
+    kept = {i: [] for i, _ in rows}
+    for (encoding, size), group in groups.items():
+        steps = sorted(g[0] for g in group)
+        good = [s for s in steps if secrets.text_p(moments, encoding, size, (s + 1) / secrets.STEPS) <= secrets.FALSE_DISCOVERY * sum(x <= s for x in steps) / len(steps)]
+        for s, i, a, b in group:
+            if good and s <= max(good):
+                kept[i].append((a, 3, b))
+    want = {i: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base[i] + kept[i])) for i, _ in rows}
+    got = {r.doc_id: r.spans for r in secrets.secrets_digest(frame).collect()}
+    assert got == want and sum(map(len, kept.values())) >= 20
+
+
 def test_random_tokens_after_a_name_or_a_path(spark):
     rng = np.random.default_rng(4)
     tokens = ["".join(rng.choice(list(secrets.ALPHABETS["base64"][:62]), 64)) for _ in range(40)]
