@@ -42,7 +42,7 @@ def test_hard_negatives(spark, monkeypatch, leaf):
     label[100:220] = 2
     rows = [(int(i), v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))]
     rows += [(600, None, 1), (601, [0.1] * 7 + [None], 1), (602, [float("nan")] * 8, 1), (603, [0.2] * 8, None), (None, [0.2] * 8, 1)]
-    rows += [(650, [0.5, 0.5], 1), (651, [0.4, 0.5], 1), (652, [0.3, 0.5], 3), (700, [], 1), (750, [0.1] * 8, 99)]
+    rows += [(650, [0.5, 0.5], 1), (651, [0.4, 0.5], 0), (652, [0.3, 0.5], 3), (700, [], 1), (750, [0.1] * 8, 99)]
     frame = spark.createDataFrame(rows + rows[150:200], VECTORS).selectExpr("*", "1 AS tree", "2 AS node", "'x' AS pid", "3 AS rows")
     got = [tuple(r) for r in negatives.hard_negatives(frame).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_negatives(rows)
