@@ -103,12 +103,13 @@ def tilted(lam: Column, size: Column) -> Column:
 
 
 def multipliers(targets: DataFrame, counts: DataFrame) -> DataFrame:
-    """``targets`` with ``lam``, the dual's solution; ``counts(source, size, n)`` has no size 0. Sources without words get null.
+    """source, source_size, target, lam, the dual's solution, of the sources that have words; ``counts(source, size, n)`` has no size 0.
 
     At either end of the bracket all documents have at most, or at least, the rate that the target asks of them on average.
+    A step is one join: the state of a source goes along as a key of its sums.
     """
     least = counts.groupBy("source").agg(F.min("size").alias("least"))
-    state = targets.alias("t").join(least.alias("l"), _same("t", "l")).where("target > 0").select("t.*", "least")
+    state = targets.alias("t").join(least.alias("l"), _same("t", "l")).where("target > 0").select("t.source", "source_size", "target", "least")
     ends = {
         "lo": F.least(F.lit(0.0), F.log(F.col("target") / F.col("source_size")) / F.col("least")),
         "hi": F.when(F.col("target") > F.col("source_size"), F.lit(math.log(MOST)) / F.col("least")).otherwise(0.0),
@@ -118,10 +119,9 @@ def multipliers(targets: DataFrame, counts: DataFrame) -> DataFrame:
     for _ in range(NEWTON_STEPS):
         state = written.drop("open")
         rate = tilted(F.col("lam"), F.col("size"))
-        rows = counts.alias("c").join(state.select("source", "lam").alias("s"), _same("c", "s"))
+        rows = counts.alias("c").join(state.alias("s"), _same("c", "s")).select("s.*", "size", "n")
         words = F.col("n") * F.col("size") * rate
-        moments = rows.groupBy(F.col("c.source").alias("source")).agg(F.sum(words).alias("m1"), F.sum(F.when(rate < MOST, words * F.col("size")).otherwise(0.0)).alias("m2"))
-        step = state.alias("s").join(moments.alias("m"), _same("s", "m")).select("s.*", "m1", "m2")
+        step = rows.groupBy(*state.columns).agg(F.sum(words).alias("m1"), F.sum(F.when(rate < MOST, words * F.col("size")).otherwise(0.0)).alias("m2"))
         step = step.withColumn("off", F.abs(F.col("m1") / F.col("target") - 1))
         step = step.withColumns({"lo": F.when(F.col("m1") < F.col("target"), F.col("lam")).otherwise(F.col("lo")), "hi": F.when(F.col("m1") > F.col("target"), F.col("lam")).otherwise(F.col("hi"))})
         newton = F.col("lam") + F.log(F.col("target") / F.col("m1")) * F.col("m1") / F.col("m2")
@@ -132,41 +132,40 @@ def multipliers(targets: DataFrame, counts: DataFrame) -> DataFrame:
         discard(last)
         if written.where("open").isEmpty():
             break
-    lam = written.select("source", "lam")
-    return targets.alias("t").join(lam.alias("s"), _same("t", "s"), "left").select("t.*", "s.lam")
+    return written.select("source", "source_size", "target", "lam")
 
 
 def plan_mix(sized: DataFrame) -> DataFrame:
-    """source, source_size, target, lam, below for every source of ``sized(source, size, u)``.
+    """source, source_size, target, lam, below for every source of ``sized(source, size, u)``; lam is null without words.
 
-    Documents whose hash over fraction is under ``below`` get one copy more than their whole rate.
+    Documents whose hash over fraction is under ``below`` get one copy more than their whole rate. Every
+    table sent to the tasks costs the driver memory, so a source's plan goes along as a key of its sums.
     """
     counts = materialise(sized.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("n")), "mixing-counts")
-    plan = multipliers(source_targets(sized), counts)
-    whole = counts.alias("c").join(plan.alias("p"), _same("c", "p")).select("c.source", (F.col("n") * F.col("size") * copies_and_fraction()[0]).alias("words"))
-    whole = whole.groupBy("source").agg(F.sum("words").alias("words"))
-    plan = plan.alias("p").join(whole.alias("w"), _same("p", "w"), "left")
-    plan = plan.select("p.*", F.greatest(F.col("target") - F.coalesce("words", F.lit(0)), F.lit(0.0)).alias("need"))
+    targets = materialise(source_targets(sized).drop("weight"), "mixing-targets")
+    solved = multipliers(targets, counts)
+    whole = counts.alias("c").join(solved.alias("p"), _same("c", "p")).groupBy(*[F.col(f"p.{c}").alias(c) for c in solved.columns])
+    whole = whole.agg(F.sum(F.col("n") * F.col("size") * copies_and_fraction()[0]).alias("words"))
+    plan = whole.withColumn("need", F.greatest(F.col("target") - F.col("words"), F.lit(0.0))).drop("words")
     plan = materialise(plan.withColumns({"below": F.lit(0).cast("long"), "under": F.lit(0).cast("long")}), "mixing-plan")
     for level in range(1, LEVELS + 1):
         shift = LEVEL_BITS * (LEVELS - level)
-        rows = sized.alias("d").join(plan.alias("p"), _same("d", "p")).where("size > 0").select("p.source", "size", "below", order_of().alias("v"))
+        rows = sized.alias("d").join(plan.alias("p"), _same("d", "p")).where("size > 0").select("p.*", "size", order_of().alias("v"))
         rows = rows.where(F.shiftright("v", shift + LEVEL_BITS) == F.col("below"))
-        bins = rows.groupBy("source", F.shiftright("v", shift).alias("bin")).agg(F.sum("size").alias("words"))
+        bins = rows.groupBy(*plan.columns, F.shiftright("v", shift).alias("bin")).agg(F.sum("size").alias("words"))
         upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0)))
-        found = bins.alias("b").join(plan.alias("p"), _same("b", "p")).where("under + before <= need")
-        last = found.groupBy(F.col("b.source").alias("source")).agg(F.max(F.struct("bin", "before", "words")).alias("at"))
-        joined = plan.alias("p").join(last.alias("l"), _same("p", "l"), "left")
-        under = F.coalesce(F.col("at.before"), F.lit(0)) + F.col("under")
-        bin_, words = F.coalesce(F.col("at.bin"), F.shiftleft("below", LEVEL_BITS)), F.coalesce(F.col("at.words"), F.lit(0))
+        bins = bins.withColumn("before", F.coalesce(F.sum("words").over(upto), F.lit(0))).where("under + before <= need")
+        # never empty: the plan's sources have words, and the first bin has none before it
+        found = bins.groupBy(*plan.columns).agg(F.max(F.struct("bin", "before", "words")).alias("at"))
+        under, bin_, words = F.col("at.before") + F.col("under"), F.col("at.bin"), F.col("at.words")
         if level == LEVELS:  # the rows at the threshold are taken if that comes nearer
             takes = (words > 0) & (under + words - F.col("need") < F.col("need") - under)
             bin_ = F.when(takes, bin_ + 1).otherwise(bin_)
-        keep = [F.col(f"p.{c}").alias(c) for c in ("source", "source_size", "target", "lam", "need")]
-        before, plan = plan, materialise(joined.select(*keep, bin_.alias("below"), under.alias("under")), "mixing-plan")
+        keep = ("source", "source_size", "target", "lam", "need")
+        before, plan = plan, materialise(found.select(*keep, bin_.alias("below"), under.alias("under")), "mixing-plan")
         discard(before)
-    return plan.drop("need", "under")
+    plan = targets.alias("t").join(plan.alias("p"), _same("t", "p"), "left")
+    return plan.select("t.source", "t.source_size", "t.target", "lam", F.coalesce("below", F.lit(0)).alias("below"))
 
 
 def copies_and_fraction() -> tuple[Column, Column]:
