@@ -164,8 +164,9 @@ def plan_mix(sized: DataFrame) -> DataFrame:
         keep = ("source", "source_size", "target", "lam", "need")
         before, plan = plan, materialise(found.select(*keep, bin_.alias("below"), under.alias("under")), "mixing-plan")
         discard(before)
-    plan = targets.alias("t").join(plan.alias("p"), _same("t", "p"), "left")
-    return plan.select("t.source", "t.source_size", "t.target", "lam", F.coalesce("below", F.lit(0)).alias("below"))
+    # written, so that its size is known to be small and documents are joined with it unshuffled
+    out = targets.alias("t").join(plan.alias("p"), _same("t", "p"), "left")
+    return materialise(out.select("t.source", "t.source_size", "t.target", "lam", F.coalesce("below", F.lit(0)).alias("below")), "mixing-plan")
 
 
 def copies_and_fraction() -> tuple[Column, Column]:

@@ -24,11 +24,17 @@ def test_a_step_of_the_mix_joins_once(spark, monkeypatch):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
     assert len([x for x in seen if x[0] == "mixing-dual"]) > 2
-    assert len([x for x in seen if x[0] == "mixing-plan"]) == mixing.LEVELS + 1
+    assert len([x for x in seen if x[0] == "mixing-plan"]) == mixing.LEVELS + 2
     assert max(n for _, n in seen) == 1, seen
     assert [(r["target"], r["rate"], r["copies"]) for r in out if r["source"] == "no words"] == [(0.0, 0.0, 0)]
 
 
+def test_texts_are_not_shuffled_to_be_mixed(spark):
+    docs = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i % 9)) for i in range(90)], "doc_id long, source string, text string")
+    plan = mixing.repeat_documents(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_links_that_are_stars_need_no_pass(spark, monkeypatch):
     seen = written_by(monkeypatch, common)
     links = spark.createDataFrame([(1, 5), (7, 1), (2, 9), (9, 2), (3, 3), (None, 4)], "a long, b long")
